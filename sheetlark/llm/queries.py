@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe
-from .common import table
+from . import bpe, langid
+from .common import crc_bucket, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -22,3 +23,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_bpe"] = op10_bpe
+
+
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    bucket = crc_bucket(F.col("doc_id"), 4)
+    model = langid.fit(docs.where(bucket != 2).select("text", "lang"))
+    held = F.coalesce(bucket == 2, F.lit(False)).alias("held_out")
+    return langid.predict(docs, model, carry=(held,)).select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+QUERIES["op2_langid"] = op2_langid
