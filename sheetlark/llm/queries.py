@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid
+from . import bpe, langid, minhash
 from .common import crc_bucket, table
 
 QUERIES: dict = {}
@@ -34,3 +34,10 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_langid"] = op2_langid
+
+
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op3_minhash"] = op3_minhash
