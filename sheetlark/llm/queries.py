@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, minhash
-from .common import crc_bucket, table
+from . import bpe, langid, minhash, warc
+from .common import crc_bucket, scratch_path, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -41,3 +41,22 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_minhash"] = op3_minhash
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), folder)
+    read = warc.read_warc(spark, folder, payloads=False)
+    return read.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES["op4_warc"] = op4_warc
+ORACLES["op4_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha256(body) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first_id FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first_id = page_id THEN NULL ELSE first_id END AS refers_to
+FROM f
+"""
