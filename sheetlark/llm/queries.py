@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, minhash, warc
+from . import bpe, langid, minhash, suffix, warc
 from .common import crc_bucket, scratch_path, table
 
 QUERIES: dict = {}
@@ -60,3 +60,10 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN first_id = page_id THEN NULL ELSE first_id END AS refers_to
 FROM f
 """
+
+
+def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeat_digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op5_suffix"] = op5_suffix
