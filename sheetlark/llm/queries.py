@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, minhash, suffix, warc
+from . import bpe, langid, media, minhash, suffix, warc
 from .common import crc_bucket, scratch_path, table
 
 QUERIES: dict = {}
@@ -67,3 +67,11 @@ def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_suffix"] = op5_suffix
+
+
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.media_columns(table(spark, sf_dir, "documents"))
+    return stored.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bit_depth")
+
+
+QUERIES["op7_media"] = op7_media
