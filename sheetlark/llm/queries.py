@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, media, minhash, suffix, warc
+from . import bpe, langid, lm, media, minhash, suffix, warc
 from .common import crc_bucket, scratch_path, table
 
 QUERIES: dict = {}
@@ -75,3 +75,13 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_media"] = op7_media
+
+
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bucket = crc_bucket(F.col("doc_id"), 10)
+    scored = lm.score(table(spark, sf_dir, "documents"), bucket != 0)
+    held = F.coalesce(bucket == 0, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES["op9_lm"] = op9_lm
