@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lm, media, minhash, suffix, warc
+from . import bpe, embed, langid, lm, media, minhash, suffix, warc
 from .common import crc_bucket, scratch_path, table
 
 QUERIES: dict = {}
@@ -85,3 +85,10 @@ def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_lm"] = op9_lm
+
+
+def op1_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op1_embed"] = op1_embed
