@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed, langid, lm, media, minhash, suffix, warc
+from . import bpe, embed, langid, licenses, lm, media, minhash, packing, suffix, warc
 from .common import crc_bucket, scratch_path, table
 
 QUERIES: dict = {}
@@ -92,3 +92,18 @@ def op1_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_embed"] = op1_embed
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op6_licenses"] = op6_licenses
+ORACLES["op6_licenses"] = licenses.oracle()
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op8_packing"] = op8_packing
