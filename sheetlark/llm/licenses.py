@@ -68,8 +68,8 @@ def _band(shingles: Column, band: Column) -> Column:
 
 def templates(spark: SparkSession, texts: dict[str, tuple[str, ...]]) -> DataFrame:
     """``(license, template, shingles, size, stride, length, bands)``; as many rows as templates."""
-    rows = [(name, f"{name}/{i}", text) for name, group in texts.items() for i, text in enumerate(group)]
-    t = spark.createDataFrame(rows, "license string, template string, text string").withColumn("h", _shingles(F.col("text")))
+    rows = [F.struct(F.lit(name).alias("license"), F.lit(f"{name}/{i}").alias("template"), F.lit(text).alias("text")) for name, group in texts.items() for i, text in enumerate(group)]
+    t = spark.range(1).select(F.explode(F.array(*rows)).alias("t")).select("t.*").withColumn("h", _shingles(F.col("text")))
     n = F.size("h") + 4
     stride = F.ceil(n / 4).cast("int")
     bands = F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda k: F.struct(k.alias("k"), _band(F.col("h"), k).alias("m")))
@@ -88,8 +88,9 @@ def scan(df: DataFrame, *, id: str = "doc_id", text: str = "text", texts: dict[s
     keys = sorted({r.h for r in least.collect()})
     reach = known.agg(F.max("length")).first()[0]
     wanted = F.lit(keys) if keys else F.array().cast("array<bigint>")
-    hashed = df.select(F.col(id).alias("row_id"), _shingles(F.col(text)).alias("h"))
-    found = hashed.withColumn("hits", F.array_intersect("h", wanted)).where(F.size("hits") > 0)
+    # a one-row explode keeps the hashes from being worked out again wherever they are used
+    hashed = df.select(F.col(id).alias("row_id"), F.explode(F.array(_shingles(F.col(text)))).alias("h"))
+    found = hashed.select("row_id", "h", F.explode(F.array(F.array_intersect("h", wanted))).alias("hits")).where(F.size("hits") > 0)
     at = F.filter(F.transform("h", lambda x, i: F.when(F.array_contains(F.col("hits"), x), i)), lambda i: i.isNotNull())
     around = F.transform(at, lambda i: F.struct(i.alias("p"), F.get(F.col("h"), i).alias("h"), F.greatest(i - reach, F.lit(0)).alias("base"), F.slice(F.col("h"), F.greatest(i - reach, F.lit(0)) + 1, 2 * reach).alias("near")))
     spots = found.select("row_id", F.explode(around).alias("s")).select("row_id", "s.*")
