@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 
 _SCRATCH: list[str] = []
+_TABLES: list[str] = []
 
 
 # ---------------------------------------------------------------- scratch tables
@@ -34,15 +35,17 @@ def shared_dir(spark: SparkSession) -> str:
     return folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
+def scratch_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new path in the shared folder; unless ``keep`` is set, :func:`release` deletes it."""
     path = f"{shared_dir(spark)}/sheetlark/{name}-{uuid.uuid4().hex[:12]}"
-    _SCRATCH.append(path)
+    if not keep:
+        _SCRATCH.append(path)
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: lineage ends here."""
-    path = scratch_path(df.sparkSession, name)
+    path = scratch_path(df.sparkSession, name, keep)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -50,11 +53,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Delete the scratch tables made so far; results that still read them must be written by now."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
     while _SCRATCH:
         path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
         path.getFileSystem(conf).delete(path, True)
 
 
+def bucketed(df: DataFrame, n: int, column: str, name: str) -> DataFrame:
+    """Write ``df`` as a table of ``n`` buckets, so that joins and co-groups by ``column`` leave it in place."""
+    spark = df.sparkSession
+    name = f"{name}_{uuid.uuid4().hex[:12]}"
+    df.repartition(n, column).write.option("compression", "zstd").bucketBy(n, column).saveAsTable(name)
+    _TABLES.append(name)
+    return spark.table(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -235,14 +235,14 @@ def _flush(model: Model, parts: list) -> tuple[list, list, list, list]:
     return pred, share, spans
 
 
-def predict(df: DataFrame, model: Model, *, id: str = "doc_id", text: str = "text", carry: tuple[Column, ...] = (), spans: bool = True) -> DataFrame:
-    """``(id, *carry, lang_pred, score[, spans])`` of every whole text.
+def predict(df: DataFrame, model: Model, *, id: str = "doc_id", text: str = "text", carry: tuple[Column, ...] = (), spans: bool = True, keep_text: bool = False) -> DataFrame:
+    """``(id, *carry[, text], lang_pred, score[, spans])`` of every whole text.
 
     ``score`` is the share of the text's letters in words of the predicted language;
     spans are byte ranges of the UTF-8 text.
     """
     small = df.select(F.col(id), *carry, F.col(text).alias("text"))
-    kept = [c for c in small.columns if c != "text"]
+    kept = [c for c in small.columns if c != "text" or keep_text]
     shared = df.sparkSession.sparkContext.broadcast(model)
     span_type = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 

@@ -29,7 +29,6 @@ rows; extra columns are carried through untouched.
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -37,15 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import BYTE_VALUES, batch_of, materialize, mix, partitions, prefix_hashes, signed, slices, span_hashes, text_buffer
+from .common import BYTE_VALUES, batch_of, bucketed, materialize, mix, partitions, prefix_hashes, signed, slices, span_hashes, text_buffer
 
 LENGTH, GRAM, MOST, CHUNK = 200, 64, 6000, 1 << 20
 PIECE = 2 << 20
 _POS = 26
 
-_TABLES: list[str] = []
-
-
 # ---------------------------------------------------------------- anchors
 
 
@@ -259,18 +255,7 @@ def _count_windows(cut: DataFrame, length: int) -> DataFrame:
 
 def _keyed(df: DataFrame) -> DataFrame:
     """The table with a row key, bucketed by it, so that joins by key leave the texts in place."""
-    spark, n = df.sparkSession, partitions(df.sparkSession)
-    name = f"keyed_{uuid.uuid4().hex[:12]}"
-    keyed = df.withColumn("uid", F.monotonically_increasing_id())
-    keyed.repartition(n, "uid").write.option("compression", "zstd").bucketBy(n, "uid").saveAsTable(name)
-    _TABLES.append(name)
-    return spark.table(name)
-
-
-def release(spark) -> None:
-    """Drop the keyed tables made so far; results that read them must be written by now."""
-    while _TABLES:
-        spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
+    return bucketed(df.withColumn("uid", F.monotonically_increasing_id()), partitions(df.sparkSession), "uid", "keyed")
 
 
 def covered_ranges(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
