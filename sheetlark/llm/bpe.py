@@ -1,7 +1,8 @@
 """BPE encoding and decoding with a minimal acyclic transducer lexicon.
 
-1. Spark counts the space-separated words of all documents; the ``lexicon_size`` most
-   frequent (a bound on the model, not on the data) are cut into pieces and merged once.
+1. Spark counts the space-separated words of all documents; those that make up at least
+   ``lexicon_share`` of all (so at most 1 / ``lexicon_share`` words, at any size) are cut
+   into pieces and merged once.
 2. Their pieces become a minimal acyclic automaton with shared suffixes. Every state
    carries the number of words below it, so a walk yields the word's index, and the index
    its ids. The automaton is one flat file, shipped with the job and memory-mapped.
@@ -20,6 +21,7 @@ import heapq
 import json
 import os
 import tempfile
+import uuid
 from functools import lru_cache
 
 import numpy as np
@@ -29,10 +31,12 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, batch_of, prefix_hashes, slices, span_hashes, text_buffer
+from .common import BYTE_VALUES, batch_of, materialize, prefix_hashes, slices, span_hashes, text_buffer
 
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-CACHE_UNITS = 400_000
+LEXICON_SHARE = 2e-6
+CACHE_UNITS = 150_000
+SLICE = 2 << 20
 LONG_PIECE = 200
 
 
@@ -235,7 +239,10 @@ def gather(pool: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray
     total = np.cumsum(lens)
     if not len(total):
         return pool[:0]
-    return pool[np.repeat(starts - (total - lens), lens) + np.arange(total[-1])]
+    kind = np.int32 if max(total[-1], len(pool)) < 2**31 else np.int64
+    at = np.repeat((starts - (total - lens)).astype(kind), lens)
+    at += np.arange(total[-1], dtype=kind)
+    return pool[at]
 
 
 def unit_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -332,31 +339,33 @@ def _encoder(name: str, merges) -> Encoder:
     return Encoder(SparkFiles.get(name), merges.value)
 
 
-def build(df: DataFrame, tokenizer: str, lexicon_size: int = 50_000, text: str = "text") -> tuple[str, object]:
+def build(df: DataFrame, tokenizer: str, lexicon_share: float = LEXICON_SHARE, text: str = "text") -> tuple[str, object]:
     """Count, compile and ship: the lexicon's file name in the job and the broadcast merges.
 
-    Both are bounded: by ``lexicon_size`` and by the vocabulary file.
+    Both are bounded: a lexicon has at most 1 / ``lexicon_share`` words, and the merges are the vocabulary file's.
     """
     spark = df.sparkSession
     merges = Merges(tokenizer)
-    words = df.select(F.explode(F.split(F.col(text), " ")).alias("w")).groupBy("w").count().where("count > 1").orderBy(F.desc("count"), "w").limit(lexicon_size)
-    pieces = sorted({p.encode() for r in words.collect() for unit in (r.w, f" {r.w}") for p in PIECES.findall(unit)})
-    name = f"lexicon-{hashlib.sha256(b'\0'.join(pieces) + tokenizer.encode()).hexdigest()[:16]}.bin"
+    counts = materialize(df.select(F.explode(F.split(F.col(text), " ")).alias("w")).groupBy("w").count().where("count > 1"), "words")
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    words = counts.where(F.col("count") >= lexicon_share * total).select("w").collect()
+    pieces = sorted({p.encode() for r in words for unit in (r.w, f" {r.w}") for p in PIECES.findall(unit)})
+    name = f"lexicon-{uuid.uuid4().hex}.bin"
     folder = tempfile.mkdtemp(prefix="lexicon-")
     save_lexicon(compile_lexicon(pieces, merges.merge(pieces)), f"{folder}/{name}")
     spark.sparkContext.addFile(f"{folder}/{name}")
     return name, spark.sparkContext.broadcast(merges)
 
 
-def encode(df: DataFrame, tokenizer: str, *, id: str = "doc_id", text: str = "text", lexicon_size: int = 50_000) -> DataFrame:
+def encode(df: DataFrame, tokenizer: str, *, id: str = "doc_id", text: str = "text", lexicon_share: float = LEXICON_SHARE) -> DataFrame:
     """``(id, ids array<int>, decoded string)``: every whole text encoded, and its ids decoded again."""
-    name, merges = build(df, tokenizer, lexicon_size, text)
+    name, merges = build(df, tokenizer, lexicon_share, text)
     schema = pa.schema([(id, pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
     def run(batches):
         encoder = _encoder(name, merges)
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, SLICE):
                 ids, rows = encoder.encode(*text_buffer(part.column(text)))
                 out, at = encoder.decode(ids, rows)
                 raw = out.tobytes()
@@ -366,15 +375,15 @@ def encode(df: DataFrame, tokenizer: str, *, id: str = "doc_id", text: str = "te
     return df.select(F.col(id).cast("long").alias(id), text).mapInArrow(run, f"{id} long, ids array<int>, decoded string")
 
 
-def encode_digests(df: DataFrame, tokenizer: str, *, id: str = "doc_id", text: str = "text", lexicon_size: int = 50_000) -> DataFrame:
+def encode_digests(df: DataFrame, tokenizer: str, *, id: str = "doc_id", text: str = "text", lexicon_share: float = LEXICON_SHARE) -> DataFrame:
     """``(id, n_tokens, ids_sha256, decoded_sha256)`` of every row, by the same encoder."""
-    name, merges = build(df, tokenizer, lexicon_size, text)
+    name, merges = build(df, tokenizer, lexicon_share, text)
     schema = pa.schema([(id, pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(batches):
         encoder = _encoder(name, merges)
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, SLICE):
                 ids, rows = encoder.encode(*text_buffer(part.column(text)))
                 listed, la = encoder.decimal(ids, rows)
                 out, oa = encoder.decode(ids, rows)
