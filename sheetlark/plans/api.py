@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.masking import mask, reveal
@@ -35,9 +37,14 @@ def provenance(spark: SparkSession, pairs: DataFrame | list[tuple[str, str]], pa
     return comparing.provenance(*_facts_of(spark, pairs, path))
 
 
+def _as_scanned(path: str) -> str:
+    """A path in the form that Spark's binary source tells it."""
+    return re.sub("^(file:)?/+", "file:/", path) if path.startswith(("file:", "/")) else path
+
+
 def _facts_of(spark, pairs, path):
     if isinstance(pairs, list):
-        fixed = [tuple(p if "://" in p or p.startswith("file:") else f"file:{p}" for p in x) for x in pairs]
+        fixed = [tuple(_as_scanned(p) for p in x) for x in pairs]
         path = path or sorted({p for x in fixed for p in x})
         pairs = comparing.pairs(spark, *fixed)
     if path is None:

@@ -1,6 +1,352 @@
-"""Registered queries of the workbook engine, each with its SQL."""
+"""Registered queries of the workbook engine, each with its SQL.
+
+The driver's tables hold no workbooks, so most queries feed an operator with facts derived
+from those tables; the golden queries read generated workbooks and are held against fixed
+rows, which is a golden file and not an independent oracle.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import identifiers as ids
+from .functions.masking import mask, reveal
+from .operators import compare, findings
+from .plans import api
+from .plans.golden import golden
+from .sources import workbook
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str):
+    def register(f):
+        QUERIES[f.__name__] = f
+        ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def facts(df: DataFrame, kind: str, **columns: Column) -> DataFrame:
+    """Facts of one kind from any table; what is not given is null."""
+    types = dict(f.split() for f in workbook.FACTS.split(", "))
+    given = {"kind": F.lit(kind), "path": F.lit("table"), **columns}
+    return df.select(*(given.get(n, F.lit(None)).cast(t).alias(n) for n, t in types.items()))
+
+
+def money(c: str) -> Column:
+    return F.col(c).cast("decimal(18,2)").cast("string")
+
+
+# ---------------------------------------------------------------- masking, grouping, risk
+
+CARD, IPV4 = r"(^|[^0-9A-Za-z])(\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4})([^0-9A-Za-z]|$)", r"(^|[^0-9A-Za-z.])(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})([^0-9A-Za-z]|$)"
+
+
+def document_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Card- and IPv4-shaped values of documents: stand-ins that the driver's tables do hold."""
+    docs = table(spark, sf_dir, "documents")
+    each = F.array(*(F.struct(F.lit(k).alias("kind"), F.regexp_extract("text", p, 2).alias("raw")) for k, p in (("card", CARD), ("ipv4", IPV4))))
+    raw = docs.select(F.col("doc_id").cast("string").alias("path"), F.explode(each).alias("x")).where("x.raw <> ''")
+    return findings.classify(raw.select("path", "x.kind", F.lit(None).cast("string").alias("sheet"), F.lit(None).cast("string").alias("ref"), "x.raw"))
+
+
+_DOC_FINDINGS = f"""
+r AS (SELECT CAST(doc_id AS VARCHAR) AS path, 'card' AS kind, 'alto' AS severity, regexp_extract(text, '{CARD}', 2) AS raw FROM documents
+ UNION ALL SELECT CAST(doc_id AS VARCHAR), 'ipv4', 'medio', regexp_extract(text, '{IPV4}', 2) FROM documents),
+f AS (SELECT * FROM r WHERE raw <> '')"""
+_MASK = "CASE WHEN length({0}) <= 2 THEN '****' ELSE left({0}, 2) || '****' END"
+
+
+@query(f"WITH {_DOC_FINDINGS} SELECT severity, kind, count(*) AS n_findings, count(DISTINCT path) AS n_files FROM f GROUP BY GROUPING SETS ((severity, kind), (severity), ())")
+def findings_grouped(spark, sf_dir):
+    return findings.grouped(document_findings(spark, sf_dir))
+
+
+@query(f"WITH {_DOC_FINDINGS} SELECT path, kind, severity, {_MASK.format('raw')} AS masked FROM f")
+def findings_masked_by_default(spark, sf_dir):
+    return reveal(document_findings(spark, sf_dir)).select("path", "kind", "severity", "masked")
+
+
+@query(f"WITH {_DOC_FINDINGS} SELECT path, kind, raw FROM f")
+def findings_revealed_on_request(spark, sf_dir):
+    return reveal(document_findings(spark, sf_dir), raw=True).select("path", "kind", "raw")
+
+
+@query(f"WITH {_DOC_FINDINGS} SELECT CAST(d.doc_id AS VARCHAR) AS path, count(f.path) AS n_findings, CASE max(CASE severity WHEN 'alto' THEN 3 WHEN 'medio' THEN 2 ELSE 0 END) WHEN 3 THEN 'Alto' WHEN 2 THEN 'Médio' ELSE 'Nenhum' END AS level FROM documents d LEFT JOIN f ON f.path = CAST(d.doc_id AS VARCHAR) GROUP BY d.doc_id")
+def risk_level(spark, sf_dir):
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"))
+    return findings.risk(document_findings(spark, sf_dir), files)
+
+
+@query(f"SELECT o_orderkey, {_MASK.format('CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR)')} AS masked FROM orders")
+def mask_values(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", mask(money("o_totalprice")).alias("masked"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{s}', {findings.RANKS[s]}, '{e}')" for k, s, e in findings.RULES) + ") t(kind, severity, rank, explanation)")
+def severity_rules(spark, sf_dir):
+    return findings.rules(spark)
+
+
+# ---------------------------------------------------------------- identifiers
+
+
+def _sql_digit(number: str, weights: tuple[int, ...]) -> str:
+    total = " + ".join(f"CAST(substr({number}, {i + 1}, 1) AS INT) * {w}" for i, w in enumerate(weights))
+    return f"(CASE WHEN ({total}) % 11 < 2 THEN 0 ELSE 11 - ({total}) % 11 END)"
+
+
+def _check_digits(spark, sf_dir, size, weights):
+    base = F.lpad(F.pmod(F.col("c_custkey") * 7919 + 104729, F.lit(10**9)).cast("string"), size, "1")
+    df = table(spark, sf_dir, "customer").select("c_custkey", base.alias("number"))
+    for w in weights:
+        df = df.withColumn("number", F.concat("number", ids.check_digit(F.col("number"), w).cast("string")))
+    return df.select("c_custkey", "number", ids.holds(F.col("number"), weights).alias("valid"), ids.holds(F.concat(F.expr("left(number, length(number) - 1)"), F.pmod(F.right("number", F.lit(1)).cast("int") + 1, F.lit(10)).cast("string")), weights).alias("valid_if_changed"))
+
+
+def _check_sql(size, weights):
+    sql = f"SELECT c_custkey, lpad(CAST((c_custkey * 7919 + 104729) % 1000000000 AS VARCHAR), {size}, '1') AS number FROM customer"
+    for w in weights:
+        sql = f"SELECT c_custkey, number || CAST({_sql_digit('number', w)} AS VARCHAR) AS number FROM ({sql})"
+    return f"SELECT c_custkey, number, length(replace(number, substr(number, 1, 1), '')) > 0 AS valid, false AS valid_if_changed FROM ({sql})"
+
+
+@query(_check_sql(9, ids.CPF_WEIGHTS))
+def cpf_check_digit(spark, sf_dir):
+    return _check_digits(spark, sf_dir, 9, ids.CPF_WEIGHTS)
+
+
+@query(_check_sql(12, ids.CNPJ_WEIGHTS))
+def cnpj_check_digit(spark, sf_dir):
+    return _check_digits(spark, sf_dir, 12, ids.CNPJ_WEIGHTS)
+
+
+@query(_check_sql(10, ids.PIS_WEIGHTS))
+def pis_check_digit(spark, sf_dir):
+    return _check_digits(spark, sf_dir, 10, ids.PIS_WEIGHTS)
+
+
+_CPF_TEXT = f"SELECT c_custkey, substr(number, 1, 3) || '.' || substr(number, 4, 3) || '.' || substr(number, 7, 3) || '-' || substr(number, 10, 2) AS raw FROM ({_check_sql(9, ids.CPF_WEIGHTS)})"
+
+
+@query(f"SELECT CAST(c_custkey AS VARCHAR) AS ref, 'cpf' AS kind, raw FROM ({_CPF_TEXT})")
+def cpf_in_cells(spark, sf_dir):
+    """Formatted CPFs in text cells, one valid, one with a wrong digit, one inside a longer token."""
+    n = F.col("number")
+    shaped = lambda x: F.concat(F.left(x, F.lit(3)), F.lit("."), F.substring(x, 4, 3), F.lit("."), F.substring(x, 7, 3), F.lit("-"), F.substring(x, 10, 2))
+    wrong = F.concat(F.left(n, F.lit(10)), F.pmod(F.right(n, F.lit(1)).cast("int") + 1, F.lit(10)).cast("string"))
+    text = F.concat(F.lit("Nome X, CPF "), shaped(n), F.lit("; outro "), shaped(wrong), F.lit("; token a"), n, F.lit("f"))
+    cells = facts(_check_digits(spark, sf_dir, 9, ids.CPF_WEIGHTS), "cell", ref=F.col("c_custkey"), type=F.lit("s"), value=text)
+    return findings.identifiers(cells).where("kind = 'cpf'").select("ref", "kind", "raw")
+
+
+@query("""WITH d AS (SELECT c_custkey, '4' || lpad(CAST((c_custkey * 7919 + 104729) % 1000000000 AS VARCHAR), 14, '3') AS b FROM customer),
+s AS (SELECT c_custkey, b, list_sum(list_transform(range(1, 16), lambda i: CASE WHEN i % 2 = 0 THEN CAST(substr(b, i, 1) AS INT) WHEN CAST(substr(b, i, 1) AS INT) * 2 > 9 THEN CAST(substr(b, i, 1) AS INT) * 2 - 9 ELSE CAST(substr(b, i, 1) AS INT) * 2 END)) AS t FROM d)
+SELECT c_custkey, b || CAST((10 - t % 10) % 10 AS VARCHAR) AS number FROM s""")
+def card_luhn(spark, sf_dir):
+    base = F.concat(F.lit("4"), F.lpad(F.pmod(F.col("c_custkey") * 7919 + 104729, F.lit(10**9)).cast("string"), 14, "3"))
+    each = table(spark, sf_dir, "customer").select("c_custkey", F.explode(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(base, d.cast("string")))).alias("number"))
+    return each.where(ids.is_card(F.col("number")))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS ref, 'Agência ' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') || ' conta ' || CAST(10000 + c_custkey AS VARCHAR) || '-' || CAST(c_custkey % 10 AS VARCHAR) AS raw FROM customer")
+def bank_accounts_in_cells(spark, sf_dir):
+    k = F.col("c_custkey")
+    value = F.concat(F.lit("Pagar: Agência "), F.lpad((k % 10000).cast("string"), 4, "0"), F.lit(" conta "), (10000 + k).cast("string"), F.lit("-"), (k % 10).cast("string"), F.lit(", obrigado"))
+    return findings.identifiers(facts(table(spark, sf_dir, "customer"), "cell", ref=k, type=F.lit("s"), value=value)).where("kind = 'bank_account'").select("ref", "raw")
+
+
+# ---------------------------------------------------------------- detectors over facts
+
+_FOLDERS = ("C:\\Users\\{}\\Docs", "C:\\Users\\{}\\OneDrive\\Obras", "\\\\servidor\\{}", "D:\\Obras\\{}", "https://d.docs.live.net/{}")
+
+
+def _folder(key: Column, who: Column) -> Column:
+    shapes = F.array(*(F.lit(s) for s in _FOLDERS))
+    return F.replace(F.element_at(shapes, (key % 5 + 1).cast("int")), F.lit("{}"), who)
+
+
+@query("SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'windows_user' WHEN 1 THEN 'onedrive' WHEN 2 THEN 'network' WHEN 3 THEN 'other' ELSE 'onedrive' END AS location, CASE WHEN c_custkey % 5 IN (0, 1) THEN c_name END AS windows_user FROM customer")
+def save_folder_class(spark, sf_dir):
+    folder = _folder(F.col("c_custkey"), F.col("c_name"))
+    return table(spark, sf_dir, "customer").select("c_custkey", findings.folder_class(folder).alias("location"), findings.windows_user(folder).alias("windows_user"))
+
+
+@query("SELECT page_id, regexp_extract_all(html, '(?s)<!--(.*?)-->', 1) AS c, len(regexp_extract_all(html, '(?s)<!--(.*?)-->', 1)) AS n FROM pages".replace("regexp_extract_all(html, '(?s)<!--(.*?)-->', 1) AS c, ", ""))
+def hidden_markup_comments(spark, sf_dir):
+    """HTML comments as the pages' hidden notes, through the comment detector."""
+    each = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("(?s)<!--(.*?)-->"), F.lit(1))).alias("text"))
+    found = findings.comments(facts(each, "comment", path=F.col("page_id"), value=F.col("text")))
+    counts = found.groupBy("path").agg(F.count("*").alias("n")).select(F.col("path").cast("long").alias("page_id"), "n")
+    return table(spark, sf_dir, "pages").select("page_id").join(counts, "page_id", "left").fillna(0, ["n"])
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS path, unnest(range(n_nationkey * 30 + 1, n_nationkey * 30 + n_regionkey + 2)) AS i FROM nation".replace("AS i FROM nation", "AS i FROM nation").join(("WITH e AS (", ") SELECT path, CASE WHEN i > 702 THEN chr(CAST(65 + ((i - 1) // 26 - 1) // 26 - 1 AS INT)) ELSE '' END || CASE WHEN i > 26 THEN chr(CAST(65 + ((i - 1) // 26 - 1) % 26 AS INT)) ELSE '' END || chr(CAST(65 + (i - 1) % 26 AS INT)) AS ref FROM e")))
+def hidden_columns_named(spark, sf_dir):
+    k = F.col("n_nationkey")
+    hidden = facts(table(spark, sf_dir, "nation"), "hidden_col", path=k, row=k * 30 + 1, col=k * 30 + 1 + F.col("n_regionkey"))
+    return findings.hidden_columns(hidden).select("path", "ref")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS path, p_name AS raw FROM part WHERE p_size % 3 > 0")
+def hidden_sheets_found(spark, sf_dir):
+    state = F.element_at(F.array(F.lit("visible"), F.lit("hidden"), F.lit("veryHidden")), (F.col("p_size") % 3 + 1).cast("int"))
+    return findings.hidden_sheets(facts(table(spark, sf_dir, "part"), "sheet", path=F.col("p_partkey"), sheet=F.col("p_name"), value=state)).select("path", "raw")
+
+
+# ---------------------------------------------------------------- comparison
+
+
+def _order_cells(orders: DataFrame) -> DataFrame:
+    """Orders as long cells: the address is column letter and order key, prices carry a formula."""
+    columns = (("A", F.col("o_orderstatus")), ("B", money("o_totalprice")), ("C", F.col("o_orderpriority")))
+    cell = F.array(*(F.struct(F.lit(c).alias("c"), v.alias("value"), (F.concat(F.lit("SUM(D"), F.col("o_orderkey").cast("string"), F.lit(")")) if c == "B" else F.lit(None).cast("string")).alias("formula")) for c, v in columns))
+    return orders.select("o_orderkey", F.explode(cell).alias("x")).select("o_orderkey", F.concat("x.c", F.col("o_orderkey").cast("string")).alias("ref"), "x.value", "x.formula")
+
+
+def _versions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Orders, and orders as they came back: some prices and formulas changed, some rows gone, some new."""
+    old = _order_cells(table(spark, sf_dir, "orders"))
+    k, priced = F.col("o_orderkey"), F.col("ref").startswith("B")
+    value = F.when(priced & (k % 97 == 0), F.concat("value", F.lit("1"))).otherwise(F.col("value"))
+    formula = F.when(priced & (k % 89 == 0), F.lit(None)).when(priced & (k % 83 == 0), F.concat("formula", F.lit("*2"))).otherwise(F.col("formula"))
+    ref = F.when(k % 101 == 0, F.concat(F.lit("Z"), "ref")).otherwise(F.col("ref"))
+    new = old.select(ref.alias("ref"), value.alias("value"), formula.alias("formula"))
+    pair, sheet = F.lit("p").alias("pair_id"), F.lit("Boletim").alias("sheet")
+    return tuple(d.select(pair, sheet, F.lit("cell").alias("kind"), "ref", "value", "formula") for d in (old, new))
+
+
+_CELLS = """
+o AS (SELECT o_orderkey AS k, unnest(['A', 'B', 'C']) AS c, unnest([o_orderstatus, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR), o_orderpriority]) AS value FROM orders),
+a AS (SELECT k, c || CAST(k AS VARCHAR) AS ref, value, CASE WHEN c = 'B' THEN 'SUM(D' || CAST(k AS VARCHAR) || ')' END AS formula FROM o),
+b AS (SELECT CASE WHEN k % 101 = 0 THEN 'Z' || ref ELSE ref END AS ref,
+ CASE WHEN ref LIKE 'B%' AND k % 97 = 0 THEN value || '1' ELSE value END AS value,
+ CASE WHEN ref LIKE 'B%' AND k % 89 = 0 THEN NULL WHEN ref LIKE 'B%' AND k % 83 = 0 THEN formula || '*2' ELSE formula END AS formula FROM a),
+d AS (SELECT coalesce(a.ref, b.ref) AS ref, a.ref IS NOT NULL AS i, b.ref IS NOT NULL AS j, a.value AS v, b.value AS w, a.formula AS f, b.formula AS g FROM a FULL JOIN b ON a.ref = b.ref)"""
+
+
+@query(f"WITH {_CELLS} SELECT ref, value, formula FROM a")
+def cells_unpivot(spark, sf_dir):
+    return _order_cells(table(spark, sf_dir, "orders")).select("ref", "value", "formula")
+
+
+def _category(name):
+    def run(spark, sf_dir):
+        return compare.cells(*_versions(spark, sf_dir)).where(F.col("category") == name).select("ref", "old", "new")
+
+    run.__name__ = f"version_diff_{name}"
+    return run
+
+
+for _name, _where, _old, _new in (
+    ("value_changed", "i AND j AND v IS DISTINCT FROM w", "v", "w"),
+    ("formula_to_constant", "i AND j AND f IS NOT NULL AND g IS NULL AND w IS NOT NULL", "f", "w"),
+    ("formula_changed", "i AND j AND f IS DISTINCT FROM g AND NOT (f IS NOT NULL AND g IS NULL AND w IS NOT NULL)", "f", "g"),
+    ("cell_added", "NOT i", "v", "w"),
+    ("cell_removed", "NOT j", "v", "w"),
+):
+    query(f"WITH {_CELLS} SELECT ref, {_old} AS old, {_new} AS new FROM d WHERE {_where}")(_category(_name))
+
+
+def _sided(df: DataFrame, kind: str, **columns: Column) -> DataFrame:
+    return facts(df, kind, **columns).withColumn("pair_id", F.lit("p"))
+
+
+@query("WITH o AS (SELECT DISTINCT 'http://h/' || CAST(ps % 5000 AS VARCHAR) AS t FROM (SELECT l_partkey AS ps FROM lineitem WHERE l_linenumber = 1)), n AS (SELECT DISTINCT 'http://h/' || CAST(l_partkey % 5000 AS VARCHAR) AS t FROM lineitem WHERE l_linenumber = 2) SELECT 'link_added' AS category, t AS target FROM (SELECT t FROM n EXCEPT SELECT t FROM o) UNION ALL SELECT 'link_removed', t FROM (SELECT t FROM o EXCEPT SELECT t FROM n)")
+def new_links_anti(spark, sf_dir):
+    target = F.concat(F.lit("http://h/"), (F.col("l_partkey") % 5000).cast("string"))
+    lines = table(spark, sf_dir, "lineitem")
+    old, new = (_sided(lines.where(F.col("l_linenumber") == n), "link", value=target) for n in (1, 2))
+    return compare.links(old, new).select("category", F.coalesce("old", "new").alias("target"))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS ref, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_name END AS old, CASE WHEN c_custkey % 11 = 0 THEN NULL WHEN c_custkey % 5 = 0 THEN upper(c_name) || '!' ELSE c_name END AS new FROM customer WHERE (CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_name END) IS DISTINCT FROM (CASE WHEN c_custkey % 11 = 0 THEN NULL WHEN c_custkey % 5 = 0 THEN upper(c_name) || '!' ELSE c_name END)")
+def metadata_diff(spark, sf_dir):
+    k, name = F.col("c_custkey"), F.col("c_name")
+    customers = table(spark, sf_dir, "customer")
+    old = _sided(customers.where(k % 7 != 0), "prop", name=k, value=name)
+    new = _sided(customers.where(k % 11 != 0), "prop", name=k, value=F.when(k % 5 == 0, F.concat(F.upper(name), F.lit("!"))).otherwise(name))
+    return compare.metadata(old, new).select("ref", "old", "new")
+
+
+@query("SELECT p_name AS sheet, CASE WHEN p_size % 2 = 0 THEN 'sheet_hidden' ELSE 'sheet_shown' END AS category, count(*) AS n FROM (SELECT p_partkey || ':' || p_name AS p_name, p_size FROM part WHERE p_size % 3 <> 0) GROUP BY ALL")
+def sheets_hidden_or_shown(spark, sf_dir):
+    part = table(spark, sf_dir, "part").withColumn("s", F.concat(F.col("p_partkey").cast("string"), F.lit(":"), "p_name"))
+    even, same = F.col("p_size") % 2 == 0, F.col("p_size") % 3 == 0
+    state = lambda hidden: F.when(hidden, "hidden").otherwise("visible")
+    old = _sided(part, "sheet", sheet=F.col("s"), value=state(~even))
+    new = _sided(part, "sheet", sheet=F.col("s"), value=F.when(same, state(~even)).otherwise(state(even)))
+    return compare.sheets(old, new).groupBy("sheet", "category").agg(F.count("*").alias("n"))
+
+
+@query("WITH o AS (SELECT n_name AS s, unnest(range(n_nationkey + 1, n_nationkey + 4)) AS i FROM nation), n AS (SELECT n_name AS s, unnest(range(n_nationkey + 2, n_nationkey + 6)) AS i FROM nation) SELECT 'row_hidden' AS category, s AS sheet, CAST(i AS VARCHAR) AS ref FROM (SELECT * FROM n EXCEPT SELECT * FROM o) UNION ALL SELECT 'row_shown', s, CAST(i AS VARCHAR) FROM (SELECT * FROM o EXCEPT SELECT * FROM n)")
+def hidden_axes_diff(spark, sf_dir):
+    nation, k = table(spark, sf_dir, "nation"), F.col("n_nationkey")
+    old = _sided(nation, "hidden_row", sheet=F.col("n_name"), row=k + 1, col=k + 3)
+    new = _sided(nation, "hidden_row", sheet=F.col("n_name"), row=k + 2, col=k + 5)
+    return compare.axes(old, new).select("category", "sheet", "ref")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS pair_id, c_name AS saved_by_old, CASE WHEN c_custkey % 2 = 0 THEN upper(c_name) ELSE 'x' END AS saved_by_new, c_custkey % 5 IN (0, 1) AND c_custkey % 2 = 0 AS same_windows_user_hint FROM customer")
+def provenance_hint(spark, sf_dir):
+    k, name = F.col("c_custkey"), F.col("c_name")
+    customers = table(spark, sf_dir, "customer")
+    other = F.when(k % 2 == 0, F.upper(name)).otherwise("x")
+    props = None
+    for side, who in (("old", name), ("new", other)):
+        for prop, value in (("lastModifiedBy", who), ("save_folder", _folder(k, who))):
+            one = facts(customers, "prop", path=F.concat(F.lit(side), k.cast("string")), name=F.lit(prop), value=value)
+            props = one if props is None else props.unionByName(one)
+    pairs = customers.select(k.cast("string").alias("pair_id"), F.concat(F.lit("old"), k.cast("string")).alias("old_path"), F.concat(F.lit("new"), k.cast("string")).alias("new_path"))
+    return compare.provenance(props, pairs).select("pair_id", "saved_by_old", "saved_by_new", "same_windows_user_hint")
+
+
+# ---------------------------------------------------------------- golden workbooks
+
+
+def _golden_folder(spark: SparkSession) -> str:
+    """The golden workbooks, written to the folder that the cluster shares."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="golden-")
+    folder = f"{folder if '://' in folder or folder.startswith('file:') else f'file://{folder}'}/golden-{uuid.uuid4().hex[:12]}"
+    fs, path = pafs.FileSystem.from_uri(folder)
+    fs.create_dir(path, recursive=True)
+    for name, data in golden().items():
+        with fs.open_output_stream(f"{path}/{name}", compression=None) as stream:
+            stream.write(data)
+    return folder
+
+
+@query("""SELECT * FROM (VALUES ('full.xlsm', 'bank_account', 1), ('full.xlsm', 'cnpj', 1), ('full.xlsm', 'comment', 1), ('full.xlsm', 'cpf', 2), ('full.xlsm', 'external_link', 2), ('full.xlsm', 'hidden_column', 2),
+ ('full.xlsm', 'hidden_row', 1), ('full.xlsm', 'hidden_sheet', 2), ('full.xlsm', 'macro', 1), ('full.xlsm', 'metadata_author', 1), ('full.xlsm', 'metadata_company', 1), ('full.xlsm', 'metadata_last_editor', 1), ('full.xlsm', 'save_folder', 1),
+ ('returned.xlsx', 'external_link', 1), ('returned.xlsx', 'hidden_row', 1), ('returned.xlsx', 'hidden_sheet', 1), ('returned.xlsx', 'metadata_last_editor', 1), ('returned.xlsx', 'save_folder', 1),
+ ('sent.xlsx', 'metadata_last_editor', 1), ('sent.xlsx', 'save_folder', 1)) t(file, kind, n)""")
+def workbook_golden(spark, sf_dir):
+    found = api.scan(spark, _golden_folder(spark))
+    return found.groupBy(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "kind").agg(F.count("*").cast("int").alias("n"))
+
+
+@query("""SELECT * FROM (VALUES ('value_changed', 'Boletim', 'B1', '100', '150'), ('value_changed', 'Boletim', 'B2', '200', '300'), ('formula_to_constant', 'Boletim', 'B2', 'B1*2', '300'), ('row_hidden', 'Boletim', '2', NULL, NULL),
+ ('sheet_hidden', 'Base', NULL, 'visible', 'hidden'), ('link_added', NULL, NULL, NULL, 'file:///C:\\tmp\\novo.xlsx'), ('metadata_changed', NULL, 'lastModifiedBy', 'Ana', 'Bruno'),
+ ('metadata_changed', NULL, 'save_folder', 'C:\\Users\\ana\\obra\\', 'D:\\Users\\Ana\\')) t(category, sheet, ref, old, new)""")
+def workbook_golden_changes(spark, sf_dir):
+    folder = _golden_folder(spark)
+    return api.compare(spark, [(f"{folder}/sent.xlsx", f"{folder}/returned.xlsx")], raw=True).select("category", "sheet", "ref", "old", "new")
+
+
+@query("""SELECT * FROM (VALUES ('bank_account', 1), ('cnpj', 1), ('cpf', 2), ('hidden_column', 2), ('hidden_row', 1), ('metadata_last_editor', 1), ('save_folder', 1)) t(kind, n)""")
+def workbook_golden_clean(spark, sf_dir):
+    folder = _golden_folder(spark)
+    api.clean(spark, f"{folder}/full.xlsm", f"{folder}/clean", drop_hidden_sheets=True, drop_macros=True)
+    return api.scan(spark, f"{folder}/clean").groupBy("kind").agg(F.count("*").cast("int").alias("n"))
