@@ -109,18 +109,22 @@ def scan(df: DataFrame, *, id: str = "doc_id", text: str = "text", texts: dict[s
     )
 
 
+def sql_words(text: str) -> str:
+    """SQL for the lower-cased words of a text."""
+    return f"string_split_regex(trim(translate({text}, '{UPPER}', '{LOWER}'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{SPACE}')"
+
+
 def oracle() -> str:
     """The same result in SQL, by counting shared shingles in every window."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     values = ",\n".join(f"({quote(name)}, {quote(f'{name}/{i}')}, {quote(text)})" for name, group in TEMPLATES.items() for i, text in enumerate(group))
-    words = "string_split_regex(trim(translate({0}, '" + UPPER + "', '" + LOWER + r"'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\x20\x09-\x0D]+')"
     shingles = "list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))"
     return f"""
 WITH t(license, template, text) AS (VALUES {values}),
-tw AS (SELECT license, template, {words.format("text")} AS w FROM t),
+tw AS (SELECT license, template, {sql_words("text")} AS w FROM t),
 ts AS (SELECT license, template, len(w) AS n, CAST(ceil(len(w) / 4.0) AS INT) AS stride, unnest(list_distinct({shingles})) AS s FROM tw),
 tn AS (SELECT template, count(*) AS size FROM ts GROUP BY template),
-dw AS (SELECT doc_id, {words.format("text")} AS w FROM documents WHERE text IS NOT NULL),
+dw AS (SELECT doc_id, {sql_words("text")} AS w FROM documents WHERE text IS NOT NULL),
 ds AS (SELECT doc_id, unnest({shingles}) AS s, generate_subscripts({shingles}, 1) - 1 AS p FROM dw WHERE len(w) >= 5),
 hit AS (SELECT doc_id, license, template, n, stride, ds.s, p FROM ds JOIN ts USING (s)),
 win AS (SELECT *, unnest(range(greatest(0, CAST(ceil((p + 5 - (n + stride - 1)) / CAST(stride AS DOUBLE)) AS BIGINT)), p // stride + 1)) AS j FROM hit),

@@ -107,3 +107,39 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_packing"] = op8_packing
+
+
+# ---------------------------------------------------------------- SQL for the two link queries
+
+#: Smallest id reachable over ``link(a, b)`` from every row of ``v(id)``.
+_COMPONENTS = """
+both_ways AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach(id, place) AS (SELECT id, id FROM v UNION SELECT reach.id, both_ways.b FROM reach JOIN both_ways ON reach.place = both_ways.a),
+class AS (SELECT id, min(place) AS component_id FROM reach GROUP BY id)"""
+
+ORACLES["op1_embed"] = f"""
+WITH RECURSIVE e AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+v AS (SELECT DISTINCT id FROM e WHERE id IS NOT NULL),
+fine AS (SELECT id, label, x FROM e WHERE id IS NOT NULL AND label IS NOT NULL AND len(x) > 0
+  AND len(list_filter(x, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+link AS (SELECT p.id AS a, q.id AS b FROM fine p JOIN fine q ON p.label = q.label AND p.id < q.id AND len(p.x) = len(q.x)
+  WHERE list_cosine_similarity(p.x, q.x) >= 0.98),
+{_COMPONENTS},
+n AS (SELECT a, count(*) AS n_links FROM both_ways GROUP BY a)
+SELECT class.id AS vec_id, coalesce(n_links, 0) AS n_links, component_id, class.id = component_id AS kept
+FROM class LEFT JOIN n ON n.a = class.id
+"""
+
+ORACLES["op3_minhash"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {licenses.sql_words("coalesce(text, '')")} AS w FROM documents),
+full_ AS (SELECT doc_id, CASE WHEN len(w) = 1 AND w[1] = '' THEN [] ELSE w END AS w FROM d),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM full_),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS k FROM s p JOIN s q ON p.s = q.s AND p.doc_id < q.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+v AS (SELECT DISTINCT doc_id AS id FROM documents WHERE doc_id IS NOT NULL),
+{_COMPONENTS}
+SELECT class.id AS doc_id, coalesce(n, 0) AS n_shingles, component_id, class.id = component_id AS kept
+FROM class LEFT JOIN n ON n.doc_id = class.id
+"""
