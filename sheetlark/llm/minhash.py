@@ -17,7 +17,7 @@ Steps, none of which gathers a group in one task:
 4. Round two compares, bucket by bucket, only sets of different classes. Buckets of up to
    ``block`` such sets yield their cross pairs. Larger ones go the exact way: sets at
    Jaccard >= t share one of their rarest (1 - t) * n + 1 shingles under one common order,
-   so only sets that share such a shingle are paired.
+   so only sets that share such a shingle, at ranks that leave enough behind it, are paired.
 5. Every link is confirmed by intersecting full shingle sets.
 
 Rows without words (or with null text) have empty sets and link with nothing. Rows with a
@@ -126,21 +126,27 @@ def links(df: DataFrame, *, id: str = "doc_id", text: str = "text", size: int =
 
 
 def _by_rare_shingles(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different classes in large buckets that share one of their rarest shingles: exact, by prefix filtering.
+    """Pairs of different classes in large buckets that can reach ``percent``: exact, by prefix and position.
 
-    Classes are met through their members' prefixes; a shingle that many members of one
-    class hold pairs each of them with the members of other classes only.
+    Shingles are ranked rarest first under one common order. For a pair with the smaller set
+    of n and the larger of m shingles, the first common shingle must be among the
+    n - ceil(2t / (1 + t) * n) + 1 rarest of the smaller and the m - ceil(t * m) + 1 rarest of the
+    larger, and what stands behind it in both must suffice for the overlap t / (1 + t) * (n + m).
     """
     members = large.select("id", "class").distinct()
-    shingles = members.join(sets, "id").select("id", "class", F.size("s").alias("size"), F.explode("s").alias("s"))
+    shingles = members.join(sets, "id").select("id", "class", F.size("s").alias("n"), F.explode("s").alias("s"))
     frequency = shingles.groupBy("s").agg(F.count("*").alias("df"))
     ranked = shingles.join(frequency, "s").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("df", "s")))
-    prefix = materialize(ranked.where((F.col("r") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1) & (F.col("df") > 1)).select("id", "class", "size", "s"), "prefixes")
+    n = F.col("n")
+    prefix = materialize(ranked.where((F.col("r") <= n - F.ceil(n * percent / 100) + 1) & (F.col("df") > 1)).select("id", "class", "n", "s", "r"), "prefixes")
     open_ = prefix.groupBy("s").agg(F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 <> c1").select("s")
     prefix = prefix.join(open_, "s", "left_semi")
-    other = prefix.select(F.col("id").alias("b"), F.col("class").alias("cb"), F.col("size").alias("nb"), "s")
-    near = (F.col("size") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("size") * percent)
-    return prefix.select(F.col("id").alias("a"), F.col("class").alias("ca"), "size", "s").join(other, "s").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b").distinct()
+    small = prefix.where(F.col("r") <= n - F.ceil(n * 2 * percent / (100 + percent)) + 1).select(F.col("id").alias("a"), F.col("class").alias("ca"), F.col("n").alias("na"), F.col("r").alias("ra"), "s")
+    large_ = prefix.select(F.col("id").alias("b"), F.col("class").alias("cb"), F.col("n").alias("nb"), F.col("r").alias("rb"), "s")
+    order = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    behind = 1 + F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb"))
+    enough = behind * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
+    return small.join(large_, "s").where((F.col("ca") != F.col("cb")) & order & enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(df: DataFrame, *, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
