@@ -219,4 +219,4 @@ def read_warc(spark: SparkSession, folder: str, *, payloads: bool = True) -> Dat
 
 def _small(manifest: DataFrame, most: int = 100_000) -> bool:
     """Whether the manifest has few enough files to be broadcast."""
-    return len(manifest.select("shard").limit(most + 1).collect()) <= most
+    return manifest.limit(most + 1).count() <= most
