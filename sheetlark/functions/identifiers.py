@@ -33,20 +33,29 @@ def _digit(number: Column, i: int) -> Column:
     return F.ascii(F.substring(number, i + 1, 1)) - 48
 
 
+def _with(value: Column, make) -> Column:
+    """``make(value)`` with the value worked out once, however often it is used there."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
 def check_digit(number: Column, weights: tuple[int, ...]) -> Column:
     """11 minus the weighted sum modulo 11, where 10 and 11 count as 0."""
-    total = sum((_digit(number, i) * w for i, w in enumerate(weights)), F.lit(0))
-    rest = total % 11
-    return F.when(rest < 2, F.lit(0)).otherwise(11 - rest)
+    def digit(n: Column) -> Column:
+        total = sum((_digit(n, i) * w for i, w in enumerate(weights)), F.lit(0))
+        return (11 - total % 11) % 11 % 10
+
+    return _with(number, digit)
 
 
 def holds(number: Column, weights: tuple[tuple[int, ...], ...]) -> Column:
     """Whether a string of digits has the right length and check digits and is not one repeated digit."""
-    size = len(weights[-1]) + 1
-    ok = (F.length(number) == size) & ~number.rlike(r"^(\d)\1*$")
-    for w in weights:
-        ok &= check_digit(number, w) == _digit(number, len(w))
-    return ok
+    def ok(n: Column) -> Column:
+        out = (F.length(n) == len(weights[-1]) + 1) & ~n.rlike(r"^(\d)\1*$")
+        for w in weights:
+            out &= check_digit(n, w) == _digit(n, len(w))
+        return out
+
+    return _with(number, ok)
 
 
 def is_cpf(number: Column) -> Column:
@@ -63,11 +72,12 @@ def is_pis(number: Column) -> Column:
 
 def is_card(number: Column) -> Column:
     """Sixteen digits whose Luhn sum is a multiple of ten."""
-    total = F.lit(0)
-    for i in range(16):
-        d = _digit(number, i) * (2 if i % 2 == 0 else 1)
-        total = total + F.when(d > 9, d - 9).otherwise(d)
-    return (F.length(number) == 16) & ~number.rlike(r"^(\d)\1*$") & (total % 10 == 0)
+    def ok(n: Column) -> Column:
+        # a doubled digit of 5 or more counts its digits' sum, which is the double less nine
+        total = sum((_digit(n, i) * 2 % 10 + F.floor(_digit(n, i) / 5) if i % 2 == 0 else _digit(n, i) for i in range(16)), F.lit(0))
+        return (F.length(n) == 16) & ~n.rlike(r"^(\d)\1*$") & (total % 10 == 0)
+
+    return _with(number, ok)
 
 
 CHECKS = {"cpf": is_cpf, "cnpj": is_cnpj, "pis": is_pis, "card": is_card}
@@ -84,5 +94,4 @@ def found_in_number(value: Column, kind: str) -> Column:
     """The same for a numeric cell, which has lost its leading zeros."""
     size = {"cpf": 11, "cnpj": 14, "pis": 11}[kind]
     padded = F.lpad(value, size, "0")
-    ok = value.rlike(rf"^\d{{{size - 3},{size}}}$") & CHECKS[kind](padded)
-    return F.when(ok, F.array(padded)).otherwise(F.array().cast("array<string>"))
+    return F.filter(F.array(padded), lambda v: value.rlike(rf"^\d{{{size - 3},{size}}}$") & CHECKS[kind](v))
