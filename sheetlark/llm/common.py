@@ -208,10 +208,8 @@ def shingle_hashes(words: np.ndarray, rows: np.ndarray, size: int = 5) -> tuple[
         to = np.repeat(out_rows[long] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
         out[to] = every[at]
     for r in np.flatnonzero((counts > 0) & (counts < size)):
-        total = _U(counts[r])
-        for j, w in enumerate(words[rows[r] : rows[r + 1]]):
-            total = total + w * weights[j]
-        out[out_rows[r]] = total
+        some = words[rows[r] : rows[r + 1]]
+        out[out_rows[r]] = (some * weights[: len(some)]).sum(dtype=_U) + counts[r : r + 1].astype(_U)[0]
     return mix(out), out_rows
 
 

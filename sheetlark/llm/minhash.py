@@ -16,8 +16,9 @@ Steps, none of which gathers a group in one task:
    confirmed is contracted to classes.
 4. Round two compares, bucket by bucket, only sets of different classes. Buckets of up to
    ``block`` such sets yield their cross pairs. Larger ones go the exact way: sets at
-   Jaccard >= t share one of their rarest (1 - t) * n + 1 shingles under one common order,
-   so only sets that share such a shingle, at ranks that leave enough behind it, are paired.
+   Jaccard >= t share one of their first (1 - t) * n + 1 shingles under any one order, here
+   with the most common shingles last, so only sets that share such a shingle, at ranks that
+   leave enough behind it, are paired.
 5. Every link is confirmed by intersecting full shingle sets.
 
 Rows without words (or with null text) have empty sets and link with nothing. Rows with a
@@ -28,7 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch_of, constants, distinct_in_rows, materialize, mix, shingle_hashes, signed, slices, text_buffer, word_hashes
@@ -117,30 +118,75 @@ def links(df: DataFrame, *, id: str = "doc_id", text: str = "text", size: int =
     rest = materialize(placed.join(open_, "key"), "open")
     few = rest.where(F.col("n") <= block).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("id", "class"))).alias("m"))
     small = few.select(F.explode("m").alias("x"), "m").select("x", F.explode(F.filter("m", lambda y: (y["id"] > F.col("x.id")) & (y["class"] != F.col("x.class")))).alias("y"))
-    cross = small.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    large = rest.where(F.col("n") > block)
+    # a pair that is due misses all tables but one with probability below 1e-8, so one common bucket is no
+    # sign of it; those that share a large one as well come from there
+    cross = small.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).groupBy("a", "b").agg(F.count("*").alias("k")).where("k > 1").select("a", "b")
+    often = rest.groupBy("id").agg(F.count("*").alias("open")).where("open > 1").select("id")
+    large = rest.where(F.col("n") > block).select("id", "class").distinct().join(often, "id", "left_semi")
     if not large.isEmpty():
         cross = cross.unionByName(_by_rare_shingles(large, sets, percent))
     two = materialize(confirmed(cross.distinct().join(star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti"), sets, percent), "crossed")
     return per_row, same.unionByName(one).unionByName(two)
 
 
-def _by_rare_shingles(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _common_shingles(members: DataFrame, share: float) -> np.ndarray:
+    """Shingles that about ``share`` of the members or more hold; at most their mean set size / ``share``.
+
+    Counts below two in a task are not told. The list only orders shingles, so results do not depend on it.
+    """
+    schema = pa.schema([("s", pa.int64()), ("c", pa.int64()), ("n", pa.int64())])
+
+    def run(batches):
+        held, size, rows = [], 0, 0
+
+        def told():
+            s, c = np.unique(np.concatenate(held), return_counts=True)
+            s, c = s[c > 1], c[c > 1]
+            return batch_of(schema, s=s, c=c, n=np.zeros(len(s), np.int64))
+
+        for batch in batches:
+            held.append(batch.column("s").flatten().to_numpy())
+            size, rows = size + len(held[-1]), rows + batch.num_rows
+            if size > 2_000_000:
+                yield told()
+                held, size = [], 0
+        if held:
+            yield told()
+        yield batch_of(schema, s=pa.array([None], pa.int64()), c=[0], n=[rows])
+
+    counted = materialize(members.select("s").mapInArrow(run, "s long, c long, n long").groupBy("s").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "common")
+    total = counted.where("s is null").agg(F.sum("n")).first()[0] or 0
+    return np.array(sorted(r.s for r in counted.where(F.col("s").isNotNull() & (F.col("c") >= share * total)).select("s").collect()), np.int64)
+
+
+def _by_rare_shingles(large: DataFrame, sets: DataFrame, percent: int, share: float = 0.02) -> DataFrame:
     """Pairs of different classes in large buckets that can reach ``percent``: exact, by prefix and position.
 
-    Shingles are ranked rarest first under one common order. For a pair with the smaller set
-    of n and the larger of m shingles, the first common shingle must be among the
-    n - ceil(2t / (1 + t) * n) + 1 rarest of the smaller and the m - ceil(t * m) + 1 rarest of the
-    larger, and what stands behind it in both must suffice for the overlap t / (1 + t) * (n + m).
+    Shingles stand in one order, common ones last. For a pair with the smaller set of n and the
+    larger of m shingles, the first common shingle must be among the first
+    n - ceil(2t / (1 + t) * n) + 1 of the smaller and the first m - ceil(t * m) + 1 of the larger,
+    and what stands behind it in both must suffice for the overlap t / (1 + t) * (n + m).
     """
-    members = large.select("id", "class").distinct()
-    shingles = members.join(sets, "id").select("id", "class", F.size("s").alias("n"), F.explode("s").alias("s"))
-    frequency = shingles.groupBy("s").agg(F.count("*").alias("df"))
-    ranked = shingles.join(frequency, "s").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("df", "s")))
-    n = F.col("n")
-    prefix = materialize(ranked.where((F.col("r") <= n - F.ceil(n * percent / 100) + 1) & (F.col("df") > 1)).select("id", "class", "n", "s", "r"), "prefixes")
+    members = materialize(large.join(sets, "id"), "members")
+    common = members.sparkSession.sparkContext.broadcast(_common_shingles(members, share))
+    schema = pa.schema([("id", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("s", pa.int64()), ("r", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            values, off = batch.column("s").flatten().to_numpy(), np.asarray(batch.column("s").offsets)
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(off))
+            order = np.lexsort((values, np.isin(values, common.value), owner))  # rows stay together
+            n = np.diff(off).astype(np.int64)
+            rank = np.arange(len(values)) - (off[:-1] - off[0])[owner] + 1
+            first = rank <= (n - -(-n * percent // 100) + 1)[owner]
+            keep = owner[first]
+            ids, classes = batch.column("id").to_numpy(), batch.column("class").to_numpy()
+            yield batch_of(schema, id=ids[keep], **{"class": classes[keep]}, n=n[keep], s=values[order][first], r=rank[first])
+
+    prefix = materialize(members.mapInArrow(run, "id long, class long, n long, s long, r long"), "prefixes")
     open_ = prefix.groupBy("s").agg(F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 <> c1").select("s")
     prefix = prefix.join(open_, "s", "left_semi")
+    n = F.col("n")
     small = prefix.where(F.col("r") <= n - F.ceil(n * 2 * percent / (100 + percent)) + 1).select(F.col("id").alias("a"), F.col("class").alias("ca"), F.col("n").alias("na"), F.col("r").alias("ra"), "s")
     large_ = prefix.select(F.col("id").alias("b"), F.col("class").alias("cb"), F.col("n").alias("nb"), F.col("r").alias("rb"), "s")
     order = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
