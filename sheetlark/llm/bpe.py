@@ -6,7 +6,7 @@
 2. Their pieces become a minimal acyclic automaton with shared suffixes. Every state
    carries the number of words below it, so a walk yields the word's index, and the index
    its ids. The automaton is one flat file, shipped with the job and memory-mapped.
-3. Tasks cut whole texts into units at safe spaces, look each distinct unit up in the
+3. Tasks cut whole texts into units where pieces surely begin, look each distinct unit up in the
    transducer and merge unseen pieces exactly, by rank.
 
 Nulls count as empty texts, empty texts have no tokens, a repeated row repeats its
@@ -35,7 +35,7 @@ from .common import BYTE_VALUES, batch_of, materialize, prefix_hashes, slices, s
 
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 LEXICON_SHARE = 2e-6
-CACHE_UNITS = 150_000
+CACHE_UNITS = 250_000
 SLICE = 2 << 20
 LONG_PIECE = 200
 
@@ -226,7 +226,7 @@ def map_lexicon(path: str) -> dict[str, np.ndarray]:
     at, out = 8 + size + (-(8 + size) % 8), {}
     for k, (kind, n) in json.loads(raw[8 : 8 + size].tobytes()).items():
         width = np.dtype(kind).itemsize * n
-        out[k] = raw[at : at + width].view(kind)
+        out[k] = raw[at : at + width].view(kind).view(np.ndarray)  # still the mapped pages
         at += width + (-width % 8)
     return out
 
@@ -245,12 +245,27 @@ def gather(pool: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray
     return pool[at]
 
 
-def unit_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cut rows before single spaces between characters that are surely no white space.
+def cut_tables(special: dict[str, int]) -> tuple[np.ndarray, bool, bool]:
+    """Punctuation before which texts may be cut after a letter or digit, and whether spaces and newlines may be cut at.
 
-    At such a space every pattern starts a new piece, so units can be cut alone.
+    The apostrophe opens contractions; what stands so inside a special token would tear it.
+    """
+    fine = np.array([33 <= b < 127 and not chr(b).isalnum() and chr(b) != "'" for b in range(256)])
+    for token in special:
+        for x, y in zip(token, token[1:], strict=False):
+            if x.isalnum() and ord(y) < 256:
+                fine[ord(y)] = False
+    return fine, not any(" " in t for t in special), not any("\n" in t for t in special)
+
+
+def unit_spans(data: np.ndarray, offsets: np.ndarray, tables: tuple[np.ndarray, bool, bool]) -> tuple[np.ndarray, np.ndarray]:
+    """Cut rows where a new piece surely begins, so that units can be cut into pieces alone.
+
+    That is at a single space or newline between characters that are surely no white space,
+    and between a letter or digit and punctuation.
     """
     n = len(data)
+    fine, spaces, newlines = tables
     cut = np.zeros(n + 1, bool)
     if n > 2:
         solid = (data > 32) & (data < 127)
@@ -258,7 +273,16 @@ def unit_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
         opens = solid | wide
         closes = solid.copy()
         closes[1:] |= wide[:-1] & (data[1:] >= 0x80)
-        cut[1 : n - 1] = (data[1:-1] == 32) & closes[:-2] & opens[2:]
+        if spaces:
+            cut[1 : n - 1] = (data[1:-1] == 32) & closes[:-2] & opens[2:]
+        lower = data | 32
+        word = ((data >= 48) & (data <= 57)) | ((lower >= 97) & (lower <= 122))
+        word[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        cut[1:n] |= word[:-1] & fine[data[1:]]
+        if newlines:
+            alone = (data[1:-1] == 10) & closes[:-2] & opens[2:]
+            cut[1 : n - 1] |= alone
+            cut[2:n] |= alone
     cut[offsets] = True
     cut[n] = False
     starts = np.flatnonzero(cut)
@@ -271,6 +295,7 @@ class Encoder:
 
     def __init__(self, lexicon: str, merges: Merges):
         self.lexicon, self.merges = map_lexicon(lexicon), merges
+        self.tables = cut_tables(merges.special)
         self.cut = regex.compile("|".join(f"({regex.escape(s)})" for s in merges.special)) if merges.special else None
         self.units: dict[int, np.ndarray] = {}
         decimal = [f"{i},".encode() for i in range(len(merges.token_len))]
@@ -306,12 +331,12 @@ class Encoder:
         """Ids of all rows and the rows' offsets in them."""
         if not len(data):
             return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-        starts, ends = unit_spans(data, offsets)
+        starts, ends = unit_spans(data, offsets, self.tables)
         hashes = span_hashes(prefix_hashes(data, BYTE_VALUES), starts, ends)
         distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.units) > CACHE_UNITS:
-            self.units.clear()
         keys = distinct.tolist()
+        if len(self.units) > CACHE_UNITS:
+            self.units = {k: self.units[k] for k in keys if k in self.units}
         new = [i for i, k in enumerate(keys) if k not in self.units]
         raw = data.tobytes()
         for a in range(0, len(new), 20_000):

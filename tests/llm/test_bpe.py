@@ -11,7 +11,7 @@ from sheetlark.llm.queries import tokenizer_path
 PATH = tokenizer_path()
 TEXTS = [
     "", None, "hello world", "  two  spaces\n\n newline \t tab ", "a<|endoftext|>b <|endoftext|>", "it's we'll I'D <|endo", "éà ñandú déjà vu", "日本語のテキスト　全角", "x" * 5000,
-    "1234 5 6,7 == !! ?? ...", "a b c  d", "emoji 😀😀 é", "\x00\x01 \x7f", " lead", "trail ", "=" * 700 + " " * 300 + "z", "the the the the",
+    "1234 5 6,7 == !! ?? ...", "a b c  d", "emoji 😀😀 é", "\x00\x01 \x7f", " lead", "trail ", "a\nb\n\nc. \nd 'tis 1,000.50 x\u0301, «é» ×2÷3 a|b t|> <|endoftext|>x,<|endoftext|>", "=" * 700 + " " * 300 + "z", "the the the the",
 ]
 
 
@@ -49,8 +49,8 @@ def encoder(tmp_path_factory):
     return bpe.Encoder(path, merges), Tokenizer.from_file(PATH)
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" \n\t'the<|endoftxt>é1 "), st.characters(codec="utf-8")), max_size=60), max_size=5))
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" \n\t'the<|endoftxt>é×1,. -\u0301\u00a0 "), st.characters(codec="utf-8")), max_size=60), max_size=5))
 def test_property(encoder, texts):
     import pyarrow as pa
 
