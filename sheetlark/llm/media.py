@@ -33,12 +33,13 @@ from pyspark.sql import functions as F
 from .common import batch_of, materialize, scratch_path, slices, text_buffer
 
 WIDTH = 576
+LEVEL = 6
 BLOCK = 512
 HEADER = 33  # PNG signature and IHDR chunk
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 INDEX = "row_id long, n_bytes long, digest string, media_bytes long, shard string, offset long"
-MEDIA = "digest string, width int, height int, bit_depth int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_sha256 string, feature string"
+MEDIA = "digest string, shard string, offset long, width int, height int, bit_depth int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_sha256 string, feature string"
 
 
 def _chunk(kind: bytes, data: bytes) -> bytes:
@@ -49,7 +50,7 @@ def pad(text: bytes) -> bytes:
     return text + b"\xff" * (-len(text) % WIDTH if text else WIDTH)
 
 
-def encode_image(payload: bytes, level: int = 1) -> bytes:
+def encode_image(payload: bytes, level: int = LEVEL) -> bytes:
     """A grey PNG of WIDTH columns; every scan line has filter type 0."""
     rows = len(payload) // WIDTH
     lines = np.zeros((rows, WIDTH + 1), np.uint8)
@@ -128,8 +129,11 @@ class _Shards:
         return name
 
 
-def write_media(df: DataFrame, folder: str, *, id: str = "doc_id", payload: str = "text", shard_bytes: int = 32 << 20, level: int = 1) -> DataFrame:
-    """Store the payloads of ``df`` below ``folder``; returns the index, one row per row of ``df``."""
+def write_media(df: DataFrame, folder: str, *, id: str = "doc_id", payload: str = "text", shard_bytes: int = 32 << 20, level: int = LEVEL) -> DataFrame:
+    """Store the payloads of ``df`` below ``folder``; returns the index, one row per row of ``df``.
+
+    Contents that several tasks met are in several shards; :func:`read_media` settles on one.
+    """
     schema = pa.schema([("row_id", pa.int64()), ("n_bytes", pa.int64()), ("digest", pa.string()), ("media_bytes", pa.int64()), ("shard", pa.string()), ("offset", pa.int64())])
 
     def run(batches):
@@ -154,17 +158,15 @@ def write_media(df: DataFrame, folder: str, *, id: str = "doc_id", payload: str
             yield told(shards.close())
 
     rows = df.select(F.col(id).cast("long").alias("row_id"), F.col(payload).alias("payload"))
-    index = materialize(rows.mapInArrow(run, INDEX), "media-index")
-    place = index.groupBy("digest").agg(F.min(F.struct("shard", "offset")).alias("place"))
-    return index.drop("shard", "offset").join(place, "digest").select("row_id", "n_bytes", "digest", "media_bytes", "place.shard", "place.offset")
+    return materialize(rows.mapInArrow(run, INDEX), "media-index")
 
 
 def read_media(index: DataFrame, folder: str, *, features: bool = True) -> DataFrame:
-    """Metadata columns and features of every distinct content that ``index`` points to.
+    """Place, metadata columns and features of every distinct content that ``index`` points to.
 
     With ``features`` off only headers are read, and the columns taken from payloads are null.
     """
-    schema = pa.schema([("digest", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("bit_depth", pa.int32()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+    schema = pa.schema([("digest", pa.string()), ("shard", pa.string()), ("offset", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("bit_depth", pa.int32()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
     def run(batches):
         fs, root = pafs.FileSystem.from_uri(folder)
@@ -182,20 +184,20 @@ def read_media(index: DataFrame, folder: str, *, features: bool = True) -> DataF
                     raise ValueError(f"{name} at {offset} holds {member.name}")
                 width, height, depth = image_header(head[BLOCK:])
                 if not features:
-                    out.append((digest, width, height, depth, None, None, None, None, None))
+                    out.append((digest, name, offset, width, height, depth, None, None, None, None, None))
                     continue
                 image = file.read_at(n, offset + BLOCK)
                 sha = hashlib.sha256(image).hexdigest()
                 if sha != digest:
                     raise ValueError(f"{name} at {offset}: the stored bytes' digest differs")
                 payload = decode_image(image)
-                out.append((digest, width, height, depth, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), sha, feature(payload)))
+                out.append((digest, name, offset, width, height, depth, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), sha, feature(payload)))
             if out:
                 yield batch_of(schema, **dict(zip(schema.names, zip(*out, strict=True), strict=True)))
         if file:
             file.close()
 
-    distinct = index.groupBy("digest").agg(F.first("shard").alias("shard"), F.first("offset").alias("offset"), F.first("media_bytes").alias("media_bytes"))
+    distinct = index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "media_bytes")).alias("place")).select("digest", "place.*")
     return distinct.repartition(F.col("shard"), F.floor(F.col("offset") / F.lit(4 << 20))).sortWithinPartitions("shard", "offset").mapInArrow(run, MEDIA)
 
 
@@ -203,4 +205,4 @@ def media_columns(df: DataFrame, folder: str | None = None, *, id: str = "doc_id
     """Store, read back and join: one row per row of ``df`` with its place, metadata and features."""
     folder = folder or scratch_path(df.sparkSession, "media")
     index = write_media(df, folder, id=id, payload=payload, **options)
-    return index.join(read_media(index, folder), "digest").withColumnRenamed("row_id", id)
+    return index.drop("shard", "offset").join(read_media(index, folder), "digest").withColumnRenamed("row_id", id)
