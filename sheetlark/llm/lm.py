@@ -2,17 +2,20 @@
 
 Tokens are the words ``[^\\x20\\x09-\\x0D]+`` of whole texts with A-Z lower-cased, then one end.
 
-* Unigrams cover every word of the corpus. Counting happens per chunk of documents first, so
-  a frequent word is one row per chunk in the shuffle. Each chunk then gets back the counts
-  of just its own words, joined on the word, and meets its texts in a co-group: the
-  vocabulary grows with the corpus and is never whole in one place.
-* Words that make up ``context_share`` of the training tokens or more (so at most
-  1 / context_share of them, at any size) are context states. Bigrams between them, seen
-  ``least`` times or more, are arcs, discounted by ``discount``.
-* Every other word leaves a state by its failure arc, which carries the backoff weight, to
-  the root, whose arcs are the smoothed unigrams. One left-to-right traversal carries the
-  state over a text and adds up log-probabilities; texts of a chunk advance in lockstep. A
-  text starts in the state of the end token.
+* Unigrams and bigrams cover the whole corpus: every word is a context state, and every bigram
+  seen ``least`` times or more is an arc, discounted by ``discount``. ``context_share`` narrows
+  the contexts to words of at least that share of the training tokens; by default it is 0.
+* Counting happens per chunk of documents first, so a frequent word or bigram is one entry per
+  chunk in the shuffle. A chunk sends its sorted distinct keys in ranges of the hash, all
+  ranges of one number meet, and each chunk gets the totals of just its own keys back in the
+  same order (:func:`_exchange`). Of a key's chunks the first owns it; owners send what a
+  context's arcs add up to for the backoff weights, the same way. Vocabulary, arcs and weights
+  grow with the corpus and are never whole in one place.
+* Each chunk compiles the automaton of its own words and bigrams. Any other word leaves a
+  state by its failure arc, which carries the backoff weight, to the root, whose arcs are the
+  smoothed unigrams. One left-to-right traversal carries the state over a text and adds up
+  log-probabilities; texts of a chunk advance in lockstep. A text starts in the state of the
+  end token.
 
 The unigrams are (c + 0.1) / (N + 0.1 (V + 1)), and arcs with backoff sum to one in every
 state. Null text is an empty one, whose only token is the end. Rows with a null id are scored
@@ -29,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, bucketed, constants, materialize, partitions, signed, slices, text_buffer, word_hashes
+from .common import BASE, batch_of, bucketed, constants, materialize, mix, partitions, signed, slices, text_buffer, word_hashes
 
 ADD = 0.1
 CHUNK_BYTES = 8 << 20
-CONTEXT_SHARE, LEAST, DISCOUNT = 1e-3, 2, 0.5
+CHUNKS_A_PART = 4
+CONTEXT_SHARE, LEAST, DISCOUNT = 0.0, 2, 0.5
 END = int(signed(constants(71, 1))[0])
 
 
@@ -108,121 +112,178 @@ class Automaton:
         return out
 
 
-def automaton(words: np.ndarray, counts: np.ndarray, pairs: np.ndarray, seen: np.ndarray, n_tokens: int, n_words: int, discount: float = DISCOUNT) -> Automaton:
-    """Compile counted bigrams (``pairs`` is context * len(words) + word, ascending) with discounts and backoff weights."""
+def automaton(words: np.ndarray, counts: np.ndarray, pairs: np.ndarray, seen: np.ndarray, n_tokens: int, n_words: int, discount: float = DISCOUNT, sums: np.ndarray | None = None) -> Automaton:
+    """Compile counted bigrams (``pairs`` is context * len(words) + word, ascending) with discounts and backoff weights.
+
+    ``sums`` holds what the arcs of each context add up to (arcs, times seen, counts of their
+    words) where ``pairs`` are not all arcs of the model.
+    """
     k = max(1, len(words))
-    p1 = (counts + ADD) / (n_tokens + ADD * (n_words + 1))
     u, v = pairs // k, pairs % k
     p = (seen - discount) / np.maximum(counts[u], 1) if len(pairs) else np.zeros(0)
-    held, below = np.bincount(u, p, minlength=len(words)), np.bincount(u, p1[v], minlength=len(words))
+    if sums is None:
+        sums = np.array([np.bincount(u, w, minlength=len(words)) for w in (np.ones(len(u)), seen, counts[v] if len(v) else np.zeros(0))])
+    held, below = (sums[1] - discount * sums[0]) / np.maximum(counts, 1), (sums[2] + ADD * sums[0]) / (n_tokens + ADD * (n_words + 1))
     back = np.log10(np.maximum(1 - held, 1e-12) / np.maximum(1 - below, 1e-12)) if len(words) else np.zeros(0)
     end = np.flatnonzero(words == END)
     return Automaton(words, (u + 1) * k + v, np.log10(p), v + 1, np.zeros(len(words) + 1, np.int64), np.concatenate([[0.0], back]), n_tokens, n_words, int(end[0]) + 1 if len(end) else 0)
 
 
-def _chunked(df: DataFrame, text: str, keep: list[Column]) -> DataFrame:
-    """The rows with a chunk number, bucketed by it: later co-groups leave the texts in place."""
+def _chunked(df: DataFrame, text: str, keep: list[Column]) -> tuple[DataFrame, int]:
+    """The rows with a chunk number, bucketed by it, and the number of chunks: later groups leave the texts in place."""
     spark = df.sparkSession
     total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n = max(partitions(spark), int(total // CHUNK_BYTES) + 1)
     rows = df.select(*keep, F.col(text).alias("text"))
     chunk = F.pmod(F.xxhash64(F.coalesce(F.col("row_id"), F.xxhash64("text"))), F.lit(n)).cast("int")
-    return bucketed(rows.withColumn("chunk", chunk), n, "chunk", "chunked")
-
-
-def _vocabulary(chunked: DataFrame) -> DataFrame:
-    """``(chunk, h, n)``: the distinct tokens of each chunk and how often its training rows hold them."""
-    schema = pa.schema([("chunk", pa.int32()), ("h", pa.int64()), ("n", pa.int64())])
-
-    def run(batches):
-        held: dict[int, list] = {}
-        for batch in batches:
-            for part in slices(batch):
-                h, rows = tokens(part.column("text"))
-                learn = np.repeat(part.column("learn").to_numpy(zero_copy_only=False).astype(bool), np.diff(rows))
-                chunk = np.repeat(part.column("chunk").to_numpy(), np.diff(rows))
-                for c in np.unique(chunk).tolist():
-                    mine = chunk == c
-                    held.setdefault(c, []).append(_summed(h[mine], learn[mine].astype(np.int64)))
-                    if len(held[c]) > 8:
-                        held[c] = [_summed(*map(np.concatenate, zip(*held[c], strict=True)))]
-        for c, parts in held.items():
-            h, n = _summed(*map(np.concatenate, zip(*parts, strict=True)))
-            for a in range(0, len(h), 100_000):
-                yield batch_of(schema, chunk=np.full(len(h[a : a + 100_000]), c, np.int32), h=h[a : a + 100_000], n=n[a : a + 100_000])
-
-    return chunked.select("chunk", "learn", "text").mapInArrow(run, "chunk int, h long, n long")
-
-
-def _summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    distinct, which = np.unique(h, return_inverse=True)
-    return distinct, np.bincount(which, n, minlength=len(distinct)).astype(np.int64)
-
-
-def _bigrams(rows: DataFrame, words: np.ndarray, least: int) -> DataFrame:
-    """``(pair, n)`` of adjacent context words in training rows, the end token standing before each text."""
-    schema = pa.schema([("pair", pa.int64()), ("n", pa.int64())])
-    k = len(words)
-    lookup = Automaton(words, *[np.zeros(0)] * 5, 0, 0, 0)
-    end = int(np.searchsorted(words, END)) if END in words else -1
-
-    def run(batches):
-        total = np.zeros(k * k, np.int64)
-        for batch in batches:
-            for part in slices(batch):
-                h, off = tokens(part.column("text"))
-                sym = lookup.symbols(h)
-                before = np.empty_like(sym)
-                before[1:] = sym[:-1]
-                before[off[:-1]] = end
-                both = (sym >= 0) & (before >= 0)
-                pair, n = np.unique(before[both] * k + sym[both], return_counts=True)
-                total[pair] += n
-        pair = np.flatnonzero(total)
-        yield batch_of(schema, pair=pair, n=total[pair])
-
-    return rows.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return bucketed(rows.withColumn("chunk", chunk), n, "chunk", "chunked"), n
+
+
+# ---------------------------------------------------------------- totals by key, back to the chunks
+
+WORDS, BIGRAMS, CONTEXTS = range(3)
+_SENT = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("chunk", pa.int32()), ("size", pa.int64()), ("keys", pa.binary()), ("numbers", pa.binary())])
+_REPLY = pa.schema([("chunk", pa.int32()), ("kind", pa.int32()), ("part", pa.int32()), ("size", pa.int64()), ("numbers", pa.binary()), ("n_keys", pa.int64()), ("total", pa.int64())])
+SENT = "kind int, part int, chunk int, size long, keys binary, numbers binary"
+REPLY = "chunk int, kind int, part int, size long, numbers binary, n_keys long, total long"
+
+
+def _pack(numbers: np.ndarray) -> bytes:
+    """Rows of numbers by byte planes, compressed: high bytes are mostly zero."""
+    planes = np.ascontiguousarray(numbers, np.int64).reshape(-1).view(np.uint8).reshape(-1, 8).T
+    return pa.Codec("zstd", 1).compress(planes.tobytes(), asbytes=True)
+
+
+def _unpack(data: bytes, rows: int, size: int) -> np.ndarray:
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data, rows * size * 8, asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view(np.int64).reshape(rows, size)
+
+
+def _sent(chunk: int, kind: int, keys: np.ndarray, numbers: np.ndarray, parts: int) -> list[pa.RecordBatch]:
+    """One row for each range of the ascending ``keys``, with the keys as differences, and ``numbers`` (rows by keys)."""
+    part = ((((keys.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+    edges = np.searchsorted(part, np.arange(parts + 1))
+    some = np.flatnonzero(np.diff(edges))
+    cuts = [(edges[i], edges[i + 1]) for i in some]
+    fields = {"kind": np.full(len(some), kind, np.int32), "part": some.astype(np.int32), "chunk": np.full(len(some), chunk, np.int32), "size": np.diff(edges)[some]}
+    return [batch_of(_SENT, **fields, keys=pa.array([_pack(np.diff(keys[a:b], prepend=np.int64(0))) for a, b in cuts], pa.binary()), numbers=pa.array([_pack(numbers[:, a:b]) for a, b in cuts], pa.binary()))]
+
+
+def _totals(sent: pa.Table) -> pa.Table:
+    """The sums of every key's numbers, in the order sent; one more row marks the keys that a chunk owns."""
+    rows = sorted(sent.to_pylist(), key=lambda r: r["chunk"])
+    sizes = np.array([r["size"] for r in rows])
+    keys = np.concatenate([np.cumsum(_unpack(r["keys"], 1, r["size"])[0]) for r in rows])
+    kinds = 3 if rows[0]["kind"] == CONTEXTS else 1
+    numbers = np.concatenate([_unpack(r["numbers"], kinds, r["size"]) for r in rows], axis=1)
+    distinct, first, which = np.unique(keys, return_index=True, return_inverse=True)
+    out = np.zeros((kinds + 1, len(keys)), np.int64)
+    for i in range(kinds):
+        out[i] = np.bincount(which, numbers[i], minlength=len(distinct)).astype(np.int64)[which]
+    out[kinds, first] = out[0, first] > 0
+    edges = np.concatenate([[0], np.cumsum(sizes)])
+    each = [out[:, a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    reply = batch_of(
+        _REPLY, chunk=np.array([r["chunk"] for r in rows], np.int32), kind=np.array([r["kind"] for r in rows], np.int32), part=np.array([r["part"] for r in rows], np.int32), size=sizes,
+        numbers=pa.array([_pack(x) for x in each], pa.binary()), n_keys=np.array([x[kinds].sum() for x in each]), total=np.array([(x[0] * x[kinds]).sum() for x in each]),
+    )
+    return pa.Table.from_batches([reply])
+
+
+def _exchange(sent: DataFrame) -> DataFrame:
+    """Each chunk's keys with the totals over all chunks."""
+    return sent.groupBy("kind", "part").applyInArrow(_totals, REPLY)
+
+
+def _replies(replies: pa.Table, kind: int) -> np.ndarray:
+    """The numbers of all keys of one kind that a chunk sent, in ascending order of the keys."""
+    rows = sorted((r for r in replies.to_pylist() if r["kind"] == kind), key=lambda r: r["part"])
+    width = 4 if kind == CONTEXTS else 2
+    return np.concatenate([np.zeros((width, 0), np.int64), *(_unpack(r["numbers"], width, r["size"]) for r in rows)], axis=1)
+
+
+# ---------------------------------------------------------------- one chunk
+
+
+@dataclass(frozen=True)
+class Chunk:
+    """The tokens of a chunk as indices of its distinct words and bigrams, both by ascending hash."""
+
+    rows: np.ndarray
+    words: np.ndarray
+    word: np.ndarray
+    bigrams: np.ndarray
+    bigram: np.ndarray
+    left: np.ndarray  # words of each bigram
+    right: np.ndarray
+
+
+def _chunk(texts: pa.Table) -> Chunk:
+    found, lengths = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for batch in texts.select(["text"]).combine_chunks().to_batches():
+        for part in slices(batch):
+            h, off = tokens(part.column("text"))
+            found.append(h)
+            lengths.append(np.diff(off))
+    rows = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
+    words, word = np.unique(np.concatenate(found), return_inverse=True)
+    before = np.empty_like(word)
+    before[1:] = word[:-1]
+    before[rows[:-1]] = np.searchsorted(words, END)
+    pair = signed(mix(words[before].view(np.uint64) * np.uint64(BASE) + words[word].view(np.uint64)))
+    bigrams, first, bigram = np.unique(pair, return_index=True, return_inverse=True)
+    return Chunk(rows, words, word, bigrams, bigram, before[first], word[first])
 
 
 def score(df: DataFrame, learn: Column, *, id: str = "doc_id", text: str = "text", context_share: float = CONTEXT_SHARE, least: int = LEAST, discount: float = DISCOUNT) -> DataFrame:
     """``(id, n_tokens, n_known, train_tokens, base_score, score)`` of every row; ``learn`` marks the training rows."""
     learn = F.coalesce(learn, F.lit(False))
-    chunked = _chunked(df, text, [F.col(id).cast("long").alias("row_id"), learn.alias("learn")])
-    vocabulary = materialize(_vocabulary(chunked), "vocabulary")
-    counts = materialize(vocabulary.groupBy("h").agg(F.sum("n").alias("c")).where("c > 0"), "counts")
-    n_tokens, n_words = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = sorted((r.h, r.c) for r in counts.where(F.col("c") >= context_share * n_tokens).collect())
-    words, word_counts = (np.array([x[i] for x in top], np.int64) for i in (0, 1))
-    pairs = sorted((r.pair, r.n) for r in (_bigrams(df.where(learn).select(F.col(text).alias("text")), words, least).collect() if len(words) else ()))
-    model = automaton(words, word_counts, *(np.array([x[i] for x in pairs], np.int64) for i in (0, 1)), n_tokens, n_words, discount)
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    chunked, n = _chunked(df, text, [F.col(id).cast("long").alias("row_id"), learn.alias("learn")])
+    parts = max(partitions(df.sparkSession), n // CHUNKS_A_PART)
+
+    def count(texts: pa.Table) -> pa.Table:
+        c, chunk = _chunk(texts), texts.column("chunk")[0].as_py()
+        learned = np.repeat(texts.column("learn").to_numpy().astype(bool), np.diff(c.rows))
+        seen = ((WORDS, c.words, c.word), (BIGRAMS, c.bigrams, c.bigram))
+        return pa.Table.from_batches([b for kind, keys, which in seen for b in _sent(chunk, kind, keys, np.bincount(which[learned], minlength=len(keys))[None], parts)], _SENT)
+
+    texts = chunked.select("chunk", "learn", "text").groupBy("chunk")
+    counts = materialize(_exchange(texts.applyInArrow(count, SENT)), "counts")
+    n_words, n_tokens = counts.where(F.col("kind") == WORDS).agg(F.coalesce(F.sum("n_keys"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+
+    def arcs(c: Chunk, replies: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Counts of the words, which are contexts, counts of the bigrams, which are arcs and which of these the chunk owns."""
+        (of_word, _), (of_bigram, own) = _replies(replies, WORDS), _replies(replies, BIGRAMS)
+        context = (of_word > 0) & (of_word >= context_share * n_tokens)
+        arc = (of_bigram > 0) & (of_bigram >= least) & context[c.left] & context[c.right]
+        return of_word, context, of_bigram, arc, arc & (own > 0)
+
+    def add_up(texts: pa.Table, replies: pa.Table) -> pa.Table:
+        c, chunk = _chunk(texts), texts.column("chunk")[0].as_py()
+        of_word, context, of_bigram, _, own = arcs(c, replies)
+        left, size = c.left[own], len(c.words)
+        sums = np.array([np.bincount(left, w, minlength=size) for w in (np.ones(len(left)), of_bigram[own], of_word[c.right[own]])]).astype(np.int64)
+        return pa.Table.from_batches(_sent(chunk, CONTEXTS, c.words[context], sums[:, context], parts), _SENT)
+
+    texts = chunked.select("chunk", "text").groupBy("chunk")
+    sums = _exchange(texts.cogroup(counts.groupBy("chunk")).applyInArrow(add_up, SENT))
     schema = pa.schema([("row_id", pa.int64()), *((k, pa.int64()) for k in ("n_tokens", "n_known", "train_tokens")), ("base_score", pa.float64()), ("score", pa.float64())])
 
-    def run(texts: pa.Table, known: pa.Table) -> pa.Table:
-        m = shared.value
-        h, c = known.column("h").to_numpy(), known.column("c").to_numpy()
-        order = np.argsort(h)
-        h, c = h[order], c[order]
-        out = []
-        for batch in texts.combine_chunks().to_batches():
-            symbols, rows, found = [], [0], []
-            for part in slices(batch):
-                t, off = tokens(part.column("text"))
-                at = np.minimum(np.searchsorted(h, t), max(0, len(h) - 1))
-                found.append(np.where(h[at] == t, c[at], 0) if len(h) else np.zeros(len(t), np.int64))
-                symbols.append(m.symbols(t))
-                rows.extend((off[1:] + rows[-1]).tolist())
-            rows_, count, sym = np.array(rows), np.concatenate(found), np.concatenate(symbols)
-            root = m.unigram(count)
-            some = np.concatenate([[0], np.cumsum(count > 0)])
-            out.append(
-                batch_of(
-                    schema, row_id=batch.column("row_id"), n_tokens=np.diff(rows_), n_known=np.diff(some[rows_]), train_tokens=np.full(batch.num_rows, m.n_tokens),
-                    base_score=np.add.reduceat(root, rows_[:-1]), score=m.traverse(sym, root, rows_),
-                )
-            )
-        return pa.Table.from_batches(out, schema)
-
-    own = vocabulary.select("chunk", "h").join(counts, "h").select("chunk", "h", "c")
-    scored = chunked.select("chunk", "row_id", "text").groupBy("chunk").cogroup(own.groupBy("chunk")).applyInArrow(run, "row_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    def run(texts: pa.Table, replies: pa.Table) -> pa.Table:
+        c = _chunk(texts)
+        of_word, context, of_bigram, arc, _ = arcs(c, replies)
+        symbol = np.where(context, np.cumsum(context) - 1, -1)
+        pairs = symbol[c.left[arc]] * max(1, int(context.sum())) + symbol[c.right[arc]]
+        order = np.argsort(pairs)
+        m = automaton(c.words[context], of_word[context], pairs[order], of_bigram[arc][order], n_tokens, n_words, discount, _replies(replies, CONTEXTS)[:3])
+        root = m.unigram(of_word[c.word])
+        some = np.concatenate([[0], np.cumsum(of_word[c.word] > 0)])
+        scored = batch_of(
+            schema, row_id=texts.column("row_id").combine_chunks(), n_tokens=np.diff(c.rows), n_known=np.diff(some[c.rows]), train_tokens=np.full(texts.num_rows, n_tokens),
+            base_score=np.add.reduceat(root, c.rows[:-1]), score=m.traverse(symbol[c.word], root, c.rows),
+        )
+        return pa.Table.from_batches([scored], schema)
+
+    texts = chunked.select("chunk", "row_id", "text").groupBy("chunk")
+    scored = texts.cogroup(counts.unionByName(sums).groupBy("chunk")).applyInArrow(run, "row_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return scored.withColumnRenamed("row_id", id)

@@ -62,6 +62,22 @@ def test_documents(spark):
     compare(got, brute(docs, learned, 0.01, lm.LEAST, lm.DISCOUNT))
 
 
+def test_every_word_is_a_context(spark):
+    """Rare words next to a frequent one: each bigram seen twice counts, whatever its words' shares."""
+    docs = {i: f"rare{i // 2} next{i // 2} " + "often " * 3000 for i in range(40)} | {99: "rare1 next1 rare2 next3"}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = lm.score(df, F.col("doc_id") != 99).collect()
+    compare(got, brute(docs, list(range(40)), 0, lm.LEAST, lm.DISCOUNT))
+
+
+def test_documents_with_every_context(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 1500").limit(60).collect()}
+    learned = [i for i in docs if zlib.crc32(str(i).encode()) % 10]
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = lm.score(df, F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)) != 0).collect()
+    compare(got, brute(docs, learned, 0, lm.LEAST, lm.DISCOUNT))
+
+
 def test_query_beats_the_base_on_held_out_text(spark):
     got = op9_lm(spark, SF)
     r = got.where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.count("*").alias("n")).first()
