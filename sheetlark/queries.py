@@ -52,13 +52,17 @@ def money(c: str) -> Column:
 # ---------------------------------------------------------------- masking, grouping, risk
 
 CARD, IPV4 = r"(^|[^0-9A-Za-z])(\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4})([^0-9A-Za-z]|$)", r"(^|[^0-9A-Za-z.])(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})([^0-9A-Za-z]|$)"
+#: The same shapes for every match: the signs next to a value are looked at, not taken.
+EACH_CARD, EACH_IPV4 = r"(?<![0-9A-Za-z])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}(?![0-9A-Za-z])", r"(?<![0-9A-Za-z.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![0-9A-Za-z])"
 
 
 def document_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Card- and IPv4-shaped values of documents: stand-ins that the driver's tables do hold."""
     docs = table(spark, sf_dir, "documents")
-    each = F.array(*(F.struct(F.lit(k).alias("kind"), F.regexp_extract("text", p, 2).alias("raw")) for k, p in (("card", CARD), ("ipv4", IPV4))))
-    raw = docs.select(F.col("doc_id").cast("string").alias("path"), F.explode(each).alias("x")).where("x.raw <> ''")
+    found = lambda p: F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(p), F.lit(0))
+    tagged = lambda k, p: F.transform(found(p), lambda v: F.struct(F.lit(k).alias("kind"), v.alias("raw")))
+    each = F.concat(tagged("card", EACH_CARD), tagged("ipv4", EACH_IPV4))
+    raw = docs.select(F.col("doc_id").cast("string").alias("path"), F.explode(each).alias("x"))
     return findings.classify(raw.select("path", "x.kind", F.lit(None).cast("string").alias("sheet"), F.lit(None).cast("string").alias("ref"), "x.raw"))
 
 
