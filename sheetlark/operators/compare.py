@@ -91,10 +91,34 @@ def metadata(old: DataFrame, new: DataFrame) -> DataFrame:
     return _rows(diff(a, b, ["pair_id", "name"], ["value"]), F.lit("metadata_changed"), None, "name", "value_old", "value_new")
 
 
+#: Kinds of facts that cannot be compared where a part is unreadable; an error without a name is a whole file.
+_HIDDEN = ("hidden_row", "hidden_col")
+MISSED = {"properties": ("prop",), "links": ("link",), "sheets": ("sheet", "cell", *_HIDDEN), "shared_strings": ("cell",), "sheet": ("cell", *_HIDDEN)}
+
+
+def unreadable(old: DataFrame, new: DataFrame) -> DataFrame:
+    """What could not be read in either version, and so is not compared."""
+    a, b = (x.where("kind = 'error'") for x in (old, new))
+    out = _rows(a, F.lit("unreadable"), "sheet", "name", "value", None)
+    return out.unionByName(_rows(b, F.lit("unreadable"), "sheet", "name", None, "value"))
+
+
+def readable(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides without the facts that an unreadable part of one of them would make look added or removed."""
+    every = ("prop", "link", *MISSED["sheets"])
+    kinds = F.when(F.col("name").isNull(), F.array(*map(F.lit, every)))
+    for name, missed in MISSED.items():
+        kinds = kinds.when(F.col("name") == name, F.array(*map(F.lit, missed)))
+    errors = old.unionByName(new).where("kind = 'error'").select("pair_id", "sheet", F.explode(kinds).alias("kind")).distinct()
+    whole, one = errors.where("sheet IS NULL").drop("sheet"), errors.where("sheet IS NOT NULL")
+    return tuple(x.join(whole, ["pair_id", "kind"], "left_anti").join(one, ["pair_id", "kind", "sheet"], "left_anti") for x in (old, new))
+
+
 def changes(facts: DataFrame, pairs_: DataFrame) -> DataFrame:
     old, new = sides(facts, pairs_)
-    out = cells(old, new)
-    for part in (sheets, axes, links, metadata):
+    out = unreadable(old, new)
+    old, new = readable(old, new)
+    for part in (cells, sheets, axes, links, metadata):
         out = out.unionByName(part(old, new))
     return out
 

@@ -16,11 +16,14 @@ comment   sheet, ref; name: author; value: text
 prop      name: creator, lastModifiedBy, company, save_folder, ...; value
 link      name: the part that holds it; value: target, which is never opened
 macro     name: part; value: SHA-256; row: bytes. Macros are never run
-error     value: why a file or part could not be read
+error     value: why a file or part could not be read; name: what it is, sheet: whose
 ========  ==========================================================================
 
-Sheets are parsed as a stream and handed on in batches, so a large sheet is never whole in a
-task. A part that inflates beyond ``MAX_PART`` is told as an error, not read.
+Sheets, comments, shared strings and macros are read as a stream, whatever their size, and
+sheets are handed on in batches, so a large sheet is never whole in a task; the shared strings'
+texts are. An unreadable sheet or part is an error by itself: the others are read. Only the
+relationships, properties, people and list of sheets, which inflate beyond ``MAX_PART`` in no
+sound file, are told as an error then.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ import io
 import posixpath
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -40,6 +44,7 @@ FACTS = "path string, kind string, sheet string, ref string, row int, col int, n
 FIELDS = [f.split()[0] for f in FACTS.split(", ")]
 MAX_PART = 512 << 20
 BATCH = 20_000
+ERRORS = (ElementTree.ParseError, zipfile.BadZipFile, zlib.error, EOFError, ValueError, TypeError, KeyError, RuntimeError, NotImplementedError, OSError)
 
 _PROPS = {"creator", "lastModifiedBy", "created", "modified", "title", "subject", "description", "keywords", "category"}
 _APP_PROPS = {"Company": "company", "Manager": "manager", "Application": "application"}
@@ -97,10 +102,27 @@ def _text(node) -> str:
     return own + "".join(map(_text, node))
 
 
-def _shared_strings(book: zipfile.ZipFile) -> list[str]:
-    if "xl/sharedStrings.xml" not in book.NameToInfo:
-        return []
-    return [_text(si) for si in ElementTree.fromstring(_read(book, "xl/sharedStrings.xml")) if local(si.tag) == "si"]
+def _nodes(book: zipfile.ZipFile, part: str, *tags: str) -> Iterator:
+    """Finished elements of a part as a stream; what stands in them is forgotten after those of ``tags``."""
+    above = []
+    with book.open(part) as stream:
+        for event, node in ElementTree.iterparse(stream, ("start", "end")):
+            if event == "start":
+                above.append(node)
+                continue
+            above.pop()
+            yield node
+            if local(node.tag) in tags:
+                (above[-1] if above else node).clear()
+
+
+def _shared_strings(book: zipfile.ZipFile) -> Iterator[str]:
+    if "xl/sharedStrings.xml" in book.NameToInfo:
+        yield from (_text(node) for node in _nodes(book, "xl/sharedStrings.xml", "si") if local(node.tag) == "si")
+
+
+def _error(name: str, error: Exception, sheet: str | None = None) -> dict:
+    return {"kind": "error", "name": name, "sheet": sheet, "value": f"{type(error).__name__}: {error}"[:500]}
 
 
 def workbook_facts(content: bytes) -> Iterator[dict]:
@@ -114,8 +136,8 @@ def workbook_facts(content: bytes) -> Iterator[dict]:
         for step in (_properties, _links, _macros, _sheets):
             try:
                 yield from step(book)
-            except (ElementTree.ParseError, zipfile.BadZipFile, ValueError, KeyError, RuntimeError, NotImplementedError, OSError) as error:
-                yield {"kind": "error", "name": step.__name__.lstrip("_"), "value": f"{type(error).__name__}: {error}"[:500]}
+            except ERRORS as error:
+                yield _error(step.__name__.lstrip("_"), error)
 
 
 def _properties(book: zipfile.ZipFile) -> Iterator[dict]:
@@ -142,73 +164,98 @@ def _links(book: zipfile.ZipFile) -> Iterator[dict]:
 def _macros(book: zipfile.ZipFile) -> Iterator[dict]:
     for path in sorted(book.NameToInfo):
         if posixpath.basename(path) in ("vbaProject.bin", "vbaData.xml") or path.startswith("xl/macrosheets/"):
-            data = _read(book, path)
-            marks = [w for w in ("AutoOpen", "Auto_Open", "Workbook_Open", "Shell", "CreateObject", "URLDownloadToFile", "powershell") if w.encode() in data or w.encode("utf-16-le") in data]
-            yield {"kind": "macro", "name": path, "value": hashlib.sha256(data).hexdigest(), "row": len(data), "type": ",".join(marks)}
+            seen, size, digest, window = set(), 0, hashlib.sha256(), b""
+            words = ("AutoOpen", "Auto_Open", "Workbook_Open", "Shell", "CreateObject", "URLDownloadToFile", "powershell")
+            try:
+                with book.open(path) as stream:
+                    while block := stream.read(1 << 20):
+                        window = window[-64:] + block
+                        digest.update(block)
+                        size += len(block)
+                        seen |= {w for w in words if w.encode() in window or w.encode("utf-16-le") in window}
+            except ERRORS as error:
+                yield _error(path, error)
+                continue
+            yield {"kind": "macro", "name": path, "value": digest.hexdigest(), "row": size if size < 2**31 else None, "type": ",".join(w for w in words if w in seen)}
 
 
 def _sheets(book: zipfile.ZipFile) -> Iterator[dict]:
-    rels = relations(book, "xl/workbook.xml")
-    strings = _shared_strings(book)
     sheets = [n for n in ElementTree.fromstring(_read(book, "xl/workbook.xml")).iter() if local(n.tag) == "sheet"]
-    people = {}
+    for position, node in enumerate(sheets, 1):
+        yield {"kind": "sheet", "sheet": node.get("name"), "row": position, "value": node.get("state", "visible")}
+    rels = relations(book, "xl/workbook.xml")
+    strings, people = [], {}
+    try:
+        strings.extend(_shared_strings(book))
+    except ERRORS as error:
+        yield _error("shared_strings", error)
     for path in sorted(book.NameToInfo):
         if path.startswith("xl/persons/"):
-            people |= {n.get("id"): n.get("displayName") for n in ElementTree.fromstring(_read(book, path))}
-    for position, node in enumerate(sheets, 1):
+            try:
+                people |= {n.get("id"): n.get("displayName") for n in ElementTree.fromstring(_read(book, path))}
+            except ERRORS as error:
+                yield _error("persons", error)
+    for node in sheets:
         name = node.get("name")
-        yield {"kind": "sheet", "sheet": name, "row": position, "value": node.get("state", "visible")}
         _, part, _ = rels.get(attribute(node, "id") or "", ("", "", ""))
-        if part in book.NameToInfo:
+        if part not in book.NameToInfo:
+            continue
+        try:
             yield from ({**f, "sheet": name} for f in _sheet(book, part, strings))
-            for kind, target, _ in relations(book, part).values():
-                if kind in ("comments", "threadedComment") and target in book.NameToInfo:
-                    yield from ({**f, "sheet": name} for f in _comments(_read(book, target), people))
+        except ERRORS as error:
+            yield _error("sheet", error, name)
+        try:
+            targets = [t for kind, t, _ in relations(book, part).values() if kind in ("comments", "threadedComment") and t in book.NameToInfo]
+        except ERRORS as error:
+            yield _error("comments", error, name)
+            continue
+        for target in targets:
+            try:
+                yield from ({**f, "sheet": name} for f in _comments(book, target, people))
+            except ERRORS as error:
+                yield _error("comments", error, name)
 
 
 def _sheet(book: zipfile.ZipFile, part: str, strings: list[str]) -> Iterator[dict]:
-    if book.getinfo(part).file_size > MAX_PART:
-        raise ValueError(f"{part} inflates beyond {MAX_PART} bytes")
     shared: dict[str, str] = {}
     number = 0
-    with book.open(part) as stream:
-        for _, node in ElementTree.iterparse(stream):
-            tag = local(node.tag)
-            if tag == "col":
-                if node.get("hidden") in ("1", "true"):
-                    yield {"kind": "hidden_col", "row": int(node.get("min")), "col": int(node.get("max"))}
-            elif tag == "row":
-                number = int(node.get("r", number + 1))
-                if node.get("hidden") in ("1", "true"):
-                    yield {"kind": "hidden_row", "row": number, "col": number}
-                at = 0
-                for cell in node:
-                    if local(cell.tag) != "c":
-                        continue
-                    ref = cell.get("r") or f"{column_name(at + 1)}{number}"
-                    at = column_index(ref)
-                    kind, value, formula = cell.get("t", "n"), None, None
-                    for child in cell:
-                        if local(child.tag) == "v":
-                            value = child.text
-                        elif local(child.tag) == "is":
-                            value = _text(child)
-                        elif local(child.tag) == "f":
-                            formula = child.text
-                            if child.get("t") == "shared":
-                                formula = shared.setdefault(child.get("si"), formula or "") if formula else f"shared:{shared.get(child.get('si'), '')}"
-                    if kind == "s" and value is not None:
-                        value = strings[int(value)] if int(value) < len(strings) else None
-                    if value is not None or formula is not None:
-                        yield {"kind": "cell", "ref": ref, "row": number, "col": at, "type": kind, "value": value, "formula": formula}
-                node.clear()
-
-
-def _comments(xml: bytes, people: dict) -> Iterator[dict]:
-    root = ElementTree.fromstring(xml)
-    authors = [n.text or "" for n in root.iter() if local(n.tag) == "author"]
-    for node in root.iter():
-        if local(node.tag) == "comment":
+    for node in _nodes(book, part, "row"):
+        tag = local(node.tag)
+        if tag == "col":
+            if node.get("hidden") in ("1", "true"):
+                yield {"kind": "hidden_col", "row": int(node.get("min")), "col": int(node.get("max"))}
+        elif tag == "row":
+            number = int(node.get("r", number + 1))
+            if node.get("hidden") in ("1", "true"):
+                yield {"kind": "hidden_row", "row": number, "col": number}
+            at = 0
+            for cell in node:
+                if local(cell.tag) != "c":
+                    continue
+                ref = cell.get("r") or f"{column_name(at + 1)}{number}"
+                at = column_index(ref)
+                kind, value, formula = cell.get("t", "n"), None, None
+                for child in cell:
+                    if local(child.tag) == "v":
+                        value = child.text
+                    elif local(child.tag) == "is":
+                        value = _text(child)
+                    elif local(child.tag) == "f":
+                        formula = child.text
+                        if child.get("t") == "shared":
+                            formula = shared.setdefault(child.get("si"), formula or "") if formula else f"shared:{shared.get(child.get('si'), '')}"
+                if kind == "s" and value is not None:
+                    value = strings[int(value)] if int(value) < len(strings) else None
+                if value is not None or formula is not None:
+                    yield {"kind": "cell", "ref": ref, "row": number, "col": at, "type": kind, "value": value, "formula": formula}
+
+
+def _comments(book: zipfile.ZipFile, part: str, people: dict) -> Iterator[dict]:
+    authors = []
+    for node in _nodes(book, part, "comment", "threadedComment"):
+        if local(node.tag) == "author":
+            authors.append(node.text or "")
+        elif local(node.tag) == "comment":
             who = int(node.get("authorId", -1))
             yield {"kind": "comment", "ref": node.get("ref"), "name": authors[who] if 0 <= who < len(authors) else None, "value": _text(node)}
         elif local(node.tag) == "threadedComment":

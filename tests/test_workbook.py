@@ -155,3 +155,29 @@ def test_command_line_and_stream(spark, folder, tmp_path, capsys):
     assert "não significa" in capsys.readouterr().out and (tmp_path / "r.html").exists()
     watch(spark, str(folder), str(tmp_path / "s"), str(tmp_path / "cp")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "s")).count() == api.scan(spark, str(folder)).count()
+
+
+def _with_part(data, part, content):
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(data)) as old, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as new:
+        for name in old.namelist():
+            new.writestr(name, content if name == part else old.read(name))
+    return out.getvalue()
+
+
+def test_unreadable_parts_cost_nothing_else(spark, tmp_path, monkeypatch):
+    row = lambda v: f'<row r="1">{cell("A1", v)}</row>'
+    whole = workbook([("One", "visible", "", row("1")), ("Two", "hidden", "", row("2")), ("Three", "visible", "", row("3"))])
+    broken = _with_part(whole, "xl/worksheets/sheet1.xml", "<worksheet><sheetData><row")
+    facts = list(source.workbook_facts(broken))
+    assert [(f["sheet"], f["value"]) for f in facts if f["kind"] == "sheet"] == [("One", "visible"), ("Two", "hidden"), ("Three", "visible")]
+    assert [(f["sheet"], f["value"]) for f in facts if f["kind"] == "cell"] == [("Two", "2"), ("Three", "3")]
+    assert [(f["name"], f["sheet"]) for f in facts if f["kind"] == "error"] == [("sheet", "One")]
+    (tmp_path / "a.xlsx").write_bytes(whole)
+    (tmp_path / "b.xlsx").write_bytes(broken)
+    got = api.compare(spark, [(str(tmp_path / "a.xlsx"), str(tmp_path / "b.xlsx"))], raw=True).collect()
+    assert [(r.category, r.sheet, r.ref) for r in got] == [("unreadable", "One", "sheet")]
+    monkeypatch.setattr(source, "MAX_PART", 4000)
+    large = workbook([("One", "visible", "", "".join(f'<row r="{i}">{cell(f"A{i}", "0", "s")}</row>' for i in range(1, 400)))], strings=("x" * 9000,))
+    facts = list(source.workbook_facts(large))
+    assert sum(f["kind"] == "cell" and f["value"] == "x" * 9000 for f in facts) == 399 and not [f for f in facts if f["kind"] == "error"]
