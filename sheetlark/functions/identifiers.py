@@ -7,9 +7,6 @@ PIS at once: both are told.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 #: Weights of the check digits, as published by the issuing bodies.
 CPF_WEIGHTS = ((10, 9, 8, 7, 6, 5, 4, 3, 2), (11, 10, 9, 8, 7, 6, 5, 4, 3, 2))
 CNPJ_WEIGHTS = ((5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2), (6, 5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2))
@@ -23,75 +20,56 @@ PATTERNS = {
     "bank_account": r"(?i)(?<![a-zÀ-ÿ])ag(?:[êe]ncia)?\.?:?\s*\d{3,5}(?:-[\dx])?\s*[,;/|-]?\s*(?:conta(?: corrente)?|c/?c|cta)\.?:?\s*\d{3,12}-?[\dx]?(?![0-9A-Za-zÀ-ÿ])",
     "card": _ALONE.format(r"\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}"),
 }
+REPEATED = r"^(\d)\1*$"
+DIGITS = "regexp_replace({}, '[^0-9]', '')"
 
 
-def digits(value: Column) -> Column:
-    return F.regexp_replace(value, "[^0-9]", "")
+# Expressions are SQL text over a column's name: a check is some hundred operators, which the
+# JVM parses at once.
 
 
-def _digit(number: Column, i: int) -> Column:
-    return F.ascii(F.substring(number, i + 1, 1)) - 48
+def _with(value: str, make) -> str:
+    """``make`` of a value that is worked out once, however often it is used there."""
+    return f"get(transform(array({value}), n -> {make('n')}), 0)"
 
 
-def _with(value: Column, make) -> Column:
-    """``make(value)`` with the value worked out once, however often it is used there."""
-    return F.get(F.transform(F.array(value), make), F.lit(0))
+def _weighted(number: str, weights: tuple[int, ...]) -> str:
+    return "(" + " + ".join(f"ascii(substring({number}, {i}, 1)) * {w}" for i, w in enumerate(weights, 1)) + f" - {48 * sum(weights)})"
 
 
-def check_digit(number: Column, weights: tuple[int, ...]) -> Column:
+def check_digit(number: str, weights: tuple[int, ...]) -> str:
     """11 minus the weighted sum modulo 11, where 10 and 11 count as 0."""
-    def digit(n: Column) -> Column:
-        total = sum((_digit(n, i) * w for i, w in enumerate(weights)), F.lit(0))
-        return (11 - total % 11) % 11 % 10
-
-    return _with(number, digit)
+    return f"((11 - {_weighted(number, weights)} % 11) % 11 % 10)"
 
 
-def holds(number: Column, weights: tuple[tuple[int, ...], ...]) -> Column:
+def holds(number: str, weights: tuple[tuple[int, ...], ...]) -> str:
     """Whether a string of digits has the right length and check digits and is not one repeated digit."""
-    def ok(n: Column) -> Column:
-        out = (F.length(n) == len(weights[-1]) + 1) & ~n.rlike(r"^(\d)\1*$")
-        for w in weights:
-            out &= check_digit(n, w) == _digit(n, len(w))
-        return out
-
-    return _with(number, ok)
-
-
-def is_cpf(number: Column) -> Column:
-    return holds(number, CPF_WEIGHTS)
-
-
-def is_cnpj(number: Column) -> Column:
-    return holds(number, CNPJ_WEIGHTS)
-
+    fits = lambda n, w: f"{check_digit(n, w)} = ascii(substring({n}, {len(w) + 1}, 1)) - 48"
+    return _with(number, lambda n: f"(length({n}) = {len(weights[-1]) + 1} AND NOT {n} RLIKE r'{REPEATED}' AND {' AND '.join(fits(n, w) for w in weights)})")
 
-def is_pis(number: Column) -> Column:
-    return holds(number, PIS_WEIGHTS)
 
+def luhn(number: str) -> str:
+    """Sixteen digits, not one repeated, whose Luhn sum is a multiple of ten."""
+    # a doubled digit of 5 or more counts its digits' sum, which is the double less nine
+    digit = lambda n, i: f"(ascii(substring({n}, {i + 1}, 1)) - 48)"
+    total = lambda n: " + ".join(f"{digit(n, i)} * 2 % 10 + {digit(n, i)} DIV 5" if i % 2 == 0 else digit(n, i) for i in range(16))
+    return _with(number, lambda n: f"(length({n}) = 16 AND NOT {n} RLIKE r'{REPEATED}' AND ({total(n)}) % 10 = 0)")
 
-def is_card(number: Column) -> Column:
-    """Sixteen digits whose Luhn sum is a multiple of ten."""
-    def ok(n: Column) -> Column:
-        # a doubled digit of 5 or more counts its digits' sum, which is the double less nine
-        total = sum((_digit(n, i) * 2 % 10 + F.floor(_digit(n, i) / 5) if i % 2 == 0 else _digit(n, i) for i in range(16)), F.lit(0))
-        return (F.length(n) == 16) & ~n.rlike(r"^(\d)\1*$") & (total % 10 == 0)
 
-    return _with(number, ok)
+WEIGHTS = {"cpf": CPF_WEIGHTS, "cnpj": CNPJ_WEIGHTS, "pis": PIS_WEIGHTS}
 
 
-CHECKS = {"cpf": is_cpf, "cnpj": is_cnpj, "pis": is_pis, "card": is_card}
+def check(number: str, kind: str) -> str:
+    return luhn(number) if kind == "card" else holds(number, WEIGHTS[kind])
 
 
-def found(text: Column, kind: str) -> Column:
+def found(text: str, kind: str) -> str:
     """Array of the values of ``kind`` in a text, as written there."""
-    every = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
-    check = CHECKS.get(kind)
-    return F.filter(every, lambda v: check(digits(v))) if check else every
+    every = f"regexp_extract_all({text}, r'{PATTERNS[kind]}', 0)"
+    return every if kind == "bank_account" else f"filter({every}, v -> {check(DIGITS.format('v'), kind)})"
 
 
-def found_in_number(value: Column, kind: str) -> Column:
+def found_in_number(value: str, kind: str) -> str:
     """The same for a numeric cell, which has lost its leading zeros."""
-    size = {"cpf": 11, "cnpj": 14, "pis": 11}[kind]
-    padded = F.lpad(value, size, "0")
-    return F.filter(F.array(padded), lambda v: value.rlike(rf"^\d{{{size - 3},{size}}}$") & CHECKS[kind](v))
+    size = len(WEIGHTS[kind][-1]) + 1
+    return f"filter(array(lpad({value}, {size}, '0')), v -> {value} RLIKE r'^\\d{{{size - 3},{size}}}$' AND {check('v', kind)})"

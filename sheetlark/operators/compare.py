@@ -7,7 +7,7 @@ sheet and address, so an inserted row shows as many changes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .findings import windows_user
@@ -20,75 +20,92 @@ def pairs(spark: SparkSession, *paths: tuple[str, str]) -> DataFrame:
     return spark.createDataFrame([(f"{old} -> {new}", old, new) for old, new in paths], "pair_id string, old_path string, new_path string")
 
 
-def sides(facts: DataFrame, pairs_: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Facts of the old and of the new version, keyed by pair."""
-    old, new = (pairs_.select("pair_id", F.col(c).alias("path")) for c in ("old_path", "new_path"))
-    return tuple(facts.join(p, "path").drop("path") for p in (old, new))
+def sided(facts: DataFrame, pairs_: DataFrame) -> DataFrame:
+    """Facts of both versions with ``pair_id`` and ``side``, old or new."""
+    each = F.array(*(F.struct(F.col(f"{side}_path").alias("path"), F.lit(side).alias("side")) for side in ("old", "new")))
+    return facts.join(pairs_.select("pair_id", F.explode(each).alias("p")).select("pair_id", "p.*"), "path").drop("path")
 
 
-def diff(old: DataFrame, new: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Full outer comparison: keys, ``<value>_old`` and ``<value>_new``, in_old, in_new; only rows where something differs."""
-    a = old.select(*keys, *(F.col(v).alias(f"{v}_old") for v in values), F.lit(True).alias("in_old"))
-    b = new.select(*keys, *(F.col(v).alias(f"{v}_new") for v in values), F.lit(True).alias("in_new"))
-    both = a.join(b, keys, "full_outer").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("in_old", "in_new")})
-    same = F.col("in_old") & F.col("in_new")
-    for v in values:
-        same &= F.col(f"{v}_old").eqNullSafe(F.col(f"{v}_new"))
-    return both.where(~same)
+def both(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Two sets of facts with ``pair_id`` as one with ``side``."""
+    return old.withColumn("side", F.lit("old")).unionByName(new.withColumn("side", F.lit("new")))
 
 
-def cell_categories(d: DataFrame) -> DataFrame:
-    """One row per category that a differing cell falls in."""
-    value, formula = (~F.col(f"{x}_old").eqNullSafe(F.col(f"{x}_new")) for x in ("value", "formula"))
-    both = F.col("in_old") & F.col("in_new")
-    constant = both & F.col("formula_old").isNotNull() & F.col("formula_new").isNull() & F.col("value_new").isNotNull()
-    made = [
-        (~F.col("in_old"), "cell_added", "value"),
-        (~F.col("in_new"), "cell_removed", "value"),
-        (both & value, "value_changed", "value"),
-        (constant, "formula_to_constant", "formula"),
-        (both & formula & ~constant, "formula_changed", "formula"),
-    ]
-    tagged = F.array_compact(F.array(*(F.when(c, F.struct(F.lit(k).alias("category"), F.col(f"{x}_old").alias("old"), F.when(F.lit(k == "formula_to_constant"), F.col("value_new")).otherwise(F.col(f"{x}_new")).alias("new"))) for c, k, x in made)))
-    return d.select("pair_id", "sheet", "ref", F.explode(tagged).alias("t")).select("pair_id", "t.category", "sheet", "ref", "t.old", "t.new")
+#: What a fact is compared by within its pair and sheet, and kinds that are told under another's name.
+_KEYS = {"cell": "ref", "sheet": "sheet", "link": "value", "prop": "name", "error": "name"}
+_AXES = ("hidden_row", "hidden_col", "hidden_rest")
 
 
-def cells(old: DataFrame, new: DataFrame) -> DataFrame:
-    a, b = (x.where("kind = 'cell'") for x in (old, new))
-    return cell_categories(diff(a, b, ["pair_id", "sheet", "ref"], ["value", "formula"]))
+def differences(facts: DataFrame) -> DataFrame:
+    """Where the two sides of ``facts`` differ: pair_id, kind, sheet, key, what each side holds.
+
+    Both versions meet in one aggregate, so facts are read and shuffled once. Facts that repeat a
+    key on one side count once, with the greatest value.
+    """
+    kind, key = F.col("kind"), None
+    for k, c in _KEYS.items():
+        key = F.when(kind == k, F.col(c)) if key is None else key.when(kind == k, F.col(c))
+    keys = F.when(kind.isin("hidden_row", "hidden_col"), F.transform(F.sequence("row", "col"), lambda i: i.cast("string"))).when(kind == "hidden_rest", F.array(F.lit("*"))).otherwise(F.array(key))
+    plain = F.when(kind == "hidden_rest", "hidden_row").otherwise(kind).alias("kind")
+    sheet = F.when(~kind.isin("link", "prop"), F.col("sheet")).alias("sheet")
+    rows = facts.where(kind.isin(*_KEYS, *_AXES)).select("pair_id", "side", plain, sheet, F.explode(keys).alias("key"), F.when(~kind.isin(*_AXES), F.col("value")).alias("value"), F.when(kind == "cell", F.col("formula")).alias("formula"))
+    by = ["pair_id", "kind", "sheet", "key"]
+    held = [F.max(F.col("side") == s).alias(f"in_{s}") for s in ("old", "new")]
+    held += [F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{c}_{s}") for c in ("value", "formula") for s in ("old", "new")]
+    same = F.col("in_old") & F.col("in_new") & F.col("value_old").eqNullSafe(F.col("value_new")) & F.col("formula_old").eqNullSafe(F.col("formula_new"))
+    # dealt out first: both steps of the aggregate then share one sort
+    return rows.repartition(*by).groupBy(*by).agg(*held).where((kind == "error") | ~same)
+
+
+def _categories(d: DataFrame) -> DataFrame:
+    """One row per category that a difference falls in: pair_id, category, sheet, ref, old, new."""
+    kind, was, now = F.col("kind"), F.col("in_old"), F.col("in_new")
+    here = was & now
+    value, formula = (~F.col(f"{x}_old").eqNullSafe(F.col(f"{x}_new")) for x in ("value", "formula"))
+    constant = here & F.col("formula_old").isNotNull() & F.col("formula_new").isNull() & F.col("value_new").isNotNull()
+    told = lambda category, old="value_old", new="value_new": F.struct(F.lit(category).alias("category"), F.col(old).alias("old"), F.col(new).alias("new"))
+    cell = [(~was, told("cell_added")), (~now, told("cell_removed")), (here & value, told("value_changed")), (constant, told("formula_to_constant", "formula_old")), (here & formula & ~constant, told("formula_changed", "formula_old", "formula_new"))]
+    sheet = F.when(~was, told("sheet_added")).when(~now, told("sheet_removed")).when(F.col("value_new") == "visible", told("sheet_shown")).when(F.col("value_old") == "visible", told("sheet_hidden")).otherwise(told("sheet_state"))
+    axis = lambda name: F.when(now, told(f"{name}_hidden")).otherwise(told(f"{name}_shown"))
+    of_kind = {
+        "cell": F.array_compact(F.array(*(F.when(c, t) for c, t in cell))),
+        "sheet": F.array(sheet),
+        "hidden_row": F.array(axis("row")),
+        "hidden_col": F.array(axis("column")),
+        "link": F.array(F.when(now, told("link_added")).otherwise(told("link_removed"))),
+        "prop": F.array(told("metadata_changed")),
+        "error": F.array(told("unreadable")),
+    }
+    tagged = None
+    for k, t in of_kind.items():
+        tagged = F.when(kind == k, t) if tagged is None else tagged.when(kind == k, t)
+    ref = F.when(~kind.isin("sheet", "link"), F.col("key"))
+    return d.select("pair_id", "sheet", ref.alias("ref"), F.explode(tagged).alias("t")).select("pair_id", "t.category", "sheet", "ref", "t.old", "t.new")
+
+
+def _of(kinds: tuple[str, ...], old: DataFrame, new: DataFrame) -> DataFrame:
+    return _categories(differences(both(old, new).where(F.col("kind").isin(*kinds))))
 
 
-def _rows(df: DataFrame, category: Column, sheet: str | None, ref: Column | str | None, old: str | None, new: str | None) -> DataFrame:
-    text = lambda c: (F.lit(None) if c is None else F.col(c) if isinstance(c, str) else c).cast("string")
-    return df.select("pair_id", category.alias("category"), text(sheet).alias("sheet"), text(ref).alias("ref"), text(old).alias("old"), text(new).alias("new"))
+def cells(old: DataFrame, new: DataFrame) -> DataFrame:
+    return _of(("cell",), old, new)
 
 
 def sheets(old: DataFrame, new: DataFrame) -> DataFrame:
-    a, b = (x.where("kind = 'sheet'") for x in (old, new))
-    d = diff(a, b, ["pair_id", "sheet"], ["value"])
-    category = F.when(~F.col("in_old"), "sheet_added").when(~F.col("in_new"), "sheet_removed").when(F.col("value_new") == "visible", "sheet_shown").when(F.col("value_old") == "visible", "sheet_hidden").otherwise("sheet_state")
-    return _rows(d, category, "sheet", None, "value_old", "value_new")
+    return _of(("sheet",), old, new)
 
 
 def axes(old: DataFrame, new: DataFrame) -> DataFrame:
     """Rows and columns that became hidden, or visible again."""
-    def hidden(x):
-        return x.where("kind IN ('hidden_row', 'hidden_col')").select("pair_id", "sheet", F.substring("kind", 8, 3).alias("axis"), F.explode(F.sequence("row", "col")).alias("index")).distinct()
-
-    d = diff(hidden(old), hidden(new), ["pair_id", "sheet", "axis", "index"], [])
-    category = F.concat(F.when(F.col("axis") == "row", "row").otherwise("column"), F.when(F.col("in_new"), "_hidden").otherwise("_shown"))
-    return _rows(d, category, "sheet", F.col("index"), None, None)
+    return _of(_AXES, old, new)
 
 
 def links(old: DataFrame, new: DataFrame) -> DataFrame:
-    a, b = (x.where("kind = 'link'").select("pair_id", F.col("value").alias("target")).distinct() for x in (old, new))
-    added = _rows(b.join(a, ["pair_id", "target"], "left_anti"), F.lit("link_added"), None, None, None, "target")
-    return added.unionByName(_rows(a.join(b, ["pair_id", "target"], "left_anti"), F.lit("link_removed"), None, None, "target", None))
+    return _of(("link",), old, new)
 
 
 def metadata(old: DataFrame, new: DataFrame) -> DataFrame:
-    a, b = (x.where("kind = 'prop'").select("pair_id", "name", "value") for x in (old, new))
-    return _rows(diff(a, b, ["pair_id", "name"], ["value"]), F.lit("metadata_changed"), None, "name", "value_old", "value_new")
+    return _of(("prop",), old, new)
 
 
 #: Kinds of facts that cannot be compared where a part is unreadable; an error without a name is a whole file.
@@ -96,41 +113,28 @@ _HIDDEN = ("hidden_row", "hidden_col")
 MISSED = {"properties": ("prop",), "links": ("link",), "sheets": ("sheet", "cell", *_HIDDEN), "shared_strings": ("cell",), "sheet": ("cell", *_HIDDEN)}
 
 
-def unreadable(old: DataFrame, new: DataFrame) -> DataFrame:
-    """What could not be read in either version, and so is not compared."""
-    a, b = (x.where("kind = 'error'") for x in (old, new))
-    out = _rows(a, F.lit("unreadable"), "sheet", "name", "value", None)
-    return out.unionByName(_rows(b, F.lit("unreadable"), "sheet", "name", None, "value"))
-
-
-def readable(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sides without the facts that an unreadable part of one of them would make look added or removed."""
-    every = ("prop", "link", *MISSED["sheets"])
-    kinds = F.when(F.col("name").isNull(), F.array(*map(F.lit, every)))
+def readable(d: DataFrame) -> DataFrame:
+    """Differences without those that an unreadable part of one side would make look added or removed."""
+    kinds = F.when(F.col("key").isNull(), F.array(*map(F.lit, ("prop", "link", *MISSED["sheets"]))))
     for name, missed in MISSED.items():
-        kinds = kinds.when(F.col("name") == name, F.array(*map(F.lit, missed)))
-    errors = old.unionByName(new).where("kind = 'error'").select("pair_id", "sheet", F.explode(kinds).alias("kind")).distinct()
-    whole, one = errors.where("sheet IS NULL").drop("sheet"), errors.where("sheet IS NOT NULL")
-    return tuple(x.join(whole, ["pair_id", "kind"], "left_anti").join(one, ["pair_id", "kind", "sheet"], "left_anti") for x in (old, new))
+        kinds = kinds.when(F.col("key") == name, F.array(*map(F.lit, missed)))
+    lost = F.transform(F.when(F.col("kind") == "error", F.coalesce(kinds, F.array().cast("array<string>"))), lambda k: F.struct(k.alias("kind"), F.coalesce("sheet", F.lit("")).alias("sheet")))
+    # a pair's differences come from two files, each of which one task has read
+    marked = d.withColumn("lost", F.flatten(F.collect_set(lost).over(Window.partitionBy("pair_id"))))
+    hit = lambda sheet: F.array_contains("lost", F.struct(F.col("kind").alias("kind"), sheet.alias("sheet")))
+    return marked.where((F.col("kind") == "error") | ~(hit(F.lit("")) | hit(F.coalesce("sheet", F.lit(""))))).drop("lost")
 
 
 def changes(facts: DataFrame, pairs_: DataFrame) -> DataFrame:
-    old, new = sides(facts, pairs_)
-    out = unreadable(old, new)
-    old, new = readable(old, new)
-    for part in (cells, sheets, axes, links, metadata):
-        out = out.unionByName(part(old, new))
-    return out
+    """All changes of all pairs; ``facts`` are read once."""
+    return _categories(readable(differences(sided(facts, pairs_))))
 
 
 def provenance(facts: DataFrame, pairs_: DataFrame) -> DataFrame:
     """Who saved last, where each version was saved, and whether the Windows user is the same: a hint, never a proof."""
-    old, new = sides(facts.where("kind = 'prop' AND name IN ('lastModifiedBy', 'save_folder')"), pairs_)
-
-    def wide(x, side):
-        pick = lambda n: F.max(F.when(F.col("name") == n, F.col("value")))
-        return x.groupBy("pair_id").agg(pick("lastModifiedBy").alias(f"saved_by_{side}"), pick("save_folder").alias(f"folder_{side}"))
-
-    out = pairs_.select("pair_id").join(wide(old, "old"), "pair_id", "left").join(wide(new, "new"), "pair_id", "left")
+    known = sided(facts.where("kind = 'prop' AND name IN ('lastModifiedBy', 'save_folder')").select("path", "name", "value"), pairs_)
+    pick = lambda n, side: F.max(F.when((F.col("name") == n) & (F.col("side") == side), F.col("value")))
+    wide = known.groupBy("pair_id").agg(*(pick(n, side).alias(f"{c}_{side}") for side in ("old", "new") for n, c in (("lastModifiedBy", "saved_by"), ("save_folder", "folder"))))
+    out = pairs_.select("pair_id").join(wide, "pair_id", "left")
     same = F.lower(windows_user(F.col("folder_old"))) == F.lower(windows_user(F.col("folder_new")))
     return out.withColumn("same_windows_user_hint", F.coalesce(same, F.lit(False))).withColumn("caveat", F.lit(f"{CAVEAT_SAVER} {CAVEAT_USER}"))

@@ -59,74 +59,96 @@ def windows_user(folder: Column) -> Column:
     return F.when(user != "", user)
 
 
-def _raw(facts: DataFrame, kind: Column | str, raw: Column | str = "value", ref: Column | str = "ref") -> DataFrame:
+# ---------------------------------------------------------------- detectors: what one fact tells
+
+
+def _finding(kind: str | Column, raw: str | Column = "value", ref: str | Column = "ref") -> Column:
     kind = F.lit(kind) if isinstance(kind, str) else kind
-    col = lambda c: F.col(c) if isinstance(c, str) else c
-    return facts.select("path", kind.alias("kind"), "sheet", col(ref).alias("ref"), col(raw).alias("raw"))
+    text = lambda c: (F.col(c) if isinstance(c, str) else c).cast("string")
+    return F.struct(kind.alias("kind"), text(ref).alias("ref"), text(raw).alias("raw"))
 
 
-def hidden_sheets(facts: DataFrame) -> DataFrame:
-    return _raw(facts.where("kind = 'sheet' AND value IN ('hidden', 'veryHidden')"), "hidden_sheet", "sheet")
+def _hidden_sheet() -> Column:
+    return F.when(F.col("value").isin("hidden", "veryHidden"), F.array(_finding("hidden_sheet", "sheet")))
 
 
-def hidden_rows(facts: DataFrame) -> DataFrame:
-    each = facts.where("kind = 'hidden_row'").withColumn("n", F.explode(F.sequence("row", "col")))
-    return _raw(each, "hidden_row", F.col("n").cast("string"), F.col("n").cast("string"))
+def _hidden_rows() -> Column:
+    return F.transform(F.sequence("row", "col"), lambda i: _finding("hidden_row", i, i))
 
 
-def hidden_columns(facts: DataFrame) -> DataFrame:
-    each = facts.where("kind = 'hidden_col'").withColumn("n", F.explode(F.sequence("row", "col")))
+def _hidden_columns() -> Column:
     letter = lambda x: F.when(x > 0, F.char(65 + (x - 1) % 26)).otherwise("")
-    high, top = F.floor((F.col("n") - 1) / 26), F.floor((F.floor((F.col("n") - 1) / 26) - 1) / 26)
-    name = F.concat(letter(top), letter(high), letter(F.col("n")))
-    return _raw(each, "hidden_column", name, name)
 
+    def name(i: Column) -> Column:
+        high = F.floor((i - 1) / 26)
+        return F.concat(letter(F.floor((high - 1) / 26)), F.when(high > 0, F.char(65 + (high - 1) % 26)).otherwise(""), letter(i))
 
-def comments(facts: DataFrame) -> DataFrame:
-    return _raw(facts.where("kind = 'comment'"), "comment")
+    return F.transform(F.transform(F.sequence("row", "col"), name), lambda n: _finding("hidden_column", n, n))
 
 
-def metadata(facts: DataFrame) -> DataFrame:
-    kinds = {"creator": "metadata_author", "company": "metadata_company", "lastModifiedBy": "metadata_last_editor"}
-    named = facts.where((F.col("kind") == "prop") & F.col("name").isin(*kinds))
-    return _raw(named, F.element_at(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]), F.col("name")), ref="name")
+_PROPS = {"creator": "metadata_author", "company": "metadata_company", "lastModifiedBy": "metadata_last_editor"}
 
 
-def save_folders(facts: DataFrame) -> DataFrame:
-    return _raw(facts.where("kind = 'prop' AND name = 'save_folder'"), "save_folder", ref=folder_class(F.col("value")))
+def _prop() -> Column:
+    who = F.element_at(F.create_map(*[F.lit(x) for kv in _PROPS.items() for x in kv]), F.col("name"))
+    folder = F.array(_finding("save_folder", ref=folder_class(F.col("value"))))
+    return F.when(F.col("name") == "save_folder", folder).when(F.col("name").isin(*_PROPS), F.array(_finding(who, ref="name")))
 
 
-def external_links(facts: DataFrame) -> DataFrame:
-    return _raw(facts.where("kind = 'link'"), "external_link", ref="name")
+def _identifiers() -> Column:
+    """CPF, CNPJ, PIS and bank data in a cell; texts by pattern, numbers by padded value."""
+    arrays = []
+    for kind in CELL_KINDS:
+        values = found("value", kind)
+        if kind in ("cpf", "cnpj", "pis"):
+            values = f"CASE WHEN type = 'n' THEN array_distinct(concat({values}, {found_in_number('value', kind)})) ELSE {values} END"
+        arrays.append(f"transform({values}, v -> struct('{kind}' AS kind, ref AS ref, v AS raw))")
+    # no identifier has less than three digits in a row
+    return F.expr(rf"CASE WHEN value RLIKE r'\d{{3}}' THEN concat({', '.join(arrays)}) END")
+
+
+#: The findings of a fact by its kind, each an array from that row alone.
+DETECTORS = {
+    "sheet": _hidden_sheet,
+    "hidden_row": _hidden_rows,
+    "hidden_rest": lambda: F.array(_finding("hidden_row", F.lit("*"), F.lit("*"))),
+    "hidden_col": _hidden_columns,
+    "comment": lambda: F.array(_finding("comment")),
+    "prop": _prop,
+    "link": lambda: F.array(_finding("external_link", ref="name")),
+    "macro": lambda: F.array(_finding("macro", "name", "type")),
+    "cell": _identifiers,
+    "error": lambda: F.array(_finding("unreadable", ref="name")),
+}
+
+
+def detect(facts: DataFrame, *kinds: str) -> DataFrame:
+    """``path, kind, sheet, ref, raw`` from facts of the given kinds, or all, in one pass over them."""
+    kinds = kinds or tuple(DETECTORS)
+    each = None
+    for k in kinds:
+        each = F.when(F.col("kind") == k, DETECTORS[k]()) if each is None else each.when(F.col("kind") == k, DETECTORS[k]())
+    some = facts.where(F.col("kind").isin(*kinds)).select("path", "sheet", F.explode(each).alias("x"))
+    return some.select("path", "x.kind", "sheet", "x.ref", "x.raw")
 
 
-def macros(facts: DataFrame) -> DataFrame:
-    return _raw(facts.where("kind = 'macro'"), "macro", "name", "type")
+def hidden_sheets(facts: DataFrame) -> DataFrame:
+    return detect(facts, "sheet")
 
 
-def unreadable(facts: DataFrame) -> DataFrame:
-    return _raw(facts.where("kind = 'error'"), "unreadable", ref="name")
+def hidden_columns(facts: DataFrame) -> DataFrame:
+    return detect(facts, "hidden_col")
 
 
-def _tagged(values: Column, kind: str) -> Column:
-    return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("raw")))
+def comments(facts: DataFrame) -> DataFrame:
+    return detect(facts, "comment")
 
 
 def identifiers(facts: DataFrame) -> DataFrame:
-    """CPF, CNPJ, PIS and bank data in cells; texts by pattern, numbers by padded value. One pass over the cells."""
-    cell = facts.where("kind = 'cell' AND value IS NOT NULL")
-    number = F.col("type") == "n"
-    arrays = []
-    for kind in CELL_KINDS:
-        values = found(F.col("value"), kind)
-        if kind in ("cpf", "cnpj", "pis"):
-            values = F.when(number, F.array_distinct(F.concat(values, found_in_number(F.col("value"), kind)))).otherwise(values)
-        arrays.append(_tagged(values, kind))
-    each = cell.where(F.col("value").rlike(r"\d")).select("path", "sheet", "ref", F.explode(F.concat(*arrays)).alias("x"))
-    return each.select("path", F.col("x.kind").alias("kind"), "sheet", "ref", F.col("x.raw").alias("raw"))
+    return detect(facts, "cell")
 
 
-DETECTORS = (hidden_sheets, hidden_rows, hidden_columns, comments, metadata, save_folders, external_links, macros, identifiers, unreadable)
+# ---------------------------------------------------------------- findings
 
 
 def classify(raw: DataFrame) -> DataFrame:
@@ -136,12 +158,8 @@ def classify(raw: DataFrame) -> DataFrame:
 
 
 def findings(facts: DataFrame) -> DataFrame:
-    """All findings of all detectors in one place, with real values; see ``functions.masking.reveal``."""
-    every = [d(facts) for d in DETECTORS]
-    out = every[0]
-    for d in every[1:]:
-        out = out.unionByName(d)
-    return classify(out)
+    """All findings in one place, with real values; see ``functions.masking.reveal``. Facts are read once."""
+    return classify(detect(facts))
 
 
 def grouped(found_: DataFrame, *extra: str) -> DataFrame:

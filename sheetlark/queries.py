@@ -99,7 +99,23 @@ def mask_values(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", mask(money("o_totalprice")).alias("masked"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{s}', {findings.RANKS[s]}, '{e}')" for k, s, e in findings.RULES) + ") t(kind, severity, rank, explanation)")
+@query("""SELECT * FROM (VALUES
+ ('hidden_sheet', 'alto', 3, 'Aba oculta: o conteúdo segue no arquivo e pode ser reexibido.'),
+ ('hidden_row', 'medio', 2, 'Linha oculta: os valores continuam na planilha.'),
+ ('hidden_column', 'medio', 2, 'Coluna oculta: os valores continuam na planilha.'),
+ ('comment', 'medio', 2, 'Comentário ou nota que o destinatário pode ler.'),
+ ('metadata_author', 'baixo', 1, 'Autor gravado nos metadados do arquivo.'),
+ ('metadata_company', 'baixo', 1, 'Empresa gravada nos metadados do arquivo.'),
+ ('metadata_last_editor', 'baixo', 1, 'Último editor gravado no arquivo; o nome pode ser alterado.'),
+ ('save_folder', 'medio', 2, 'Pasta onde a planilha foi salva; pode revelar usuário ou rede.'),
+ ('external_link', 'medio', 2, 'Vínculo externo registrado; não foi aberto.'),
+ ('macro', 'alto', 3, 'Macro presente; foi analisada sem ser executada.'),
+ ('cpf', 'alto', 3, 'CPF com dígitos verificadores válidos em célula.'),
+ ('cnpj', 'medio', 2, 'CNPJ com dígitos verificadores válidos em célula.'),
+ ('pis', 'alto', 3, 'PIS com dígito verificador válido em célula.'),
+ ('bank_account', 'alto', 3, 'Agência e conta bancária em célula.'),
+ ('card', 'alto', 3, 'Número de cartão em célula.'),
+ ('unreadable', 'medio', 2, 'Parte do arquivo não pôde ser lida; revise manualmente.')) t(kind, severity, rank, explanation)""")
 def severity_rules(spark, sf_dir):
     return findings.rules(spark)
 
@@ -107,42 +123,46 @@ def severity_rules(spark, sf_dir):
 # ---------------------------------------------------------------- identifiers
 
 
-def _sql_digit(number: str, weights: tuple[int, ...]) -> str:
-    total = " + ".join(f"CAST(substr({number}, {i + 1}, 1) AS INT) * {w}" for i, w in enumerate(weights))
-    return f"(CASE WHEN ({total}) % 11 < 2 THEN 0 ELSE 11 - ({total}) % 11 END)"
-
-
 def _check_digits(spark, sf_dir, size, weights):
     base = F.lpad(F.pmod(F.col("c_custkey") * 7919 + 104729, F.lit(10**9)).cast("string"), size, "1")
     df = table(spark, sf_dir, "customer").select("c_custkey", base.alias("number"))
     for w in weights:
-        df = df.withColumn("number", F.concat("number", ids.check_digit(F.col("number"), w).cast("string")))
-    return df.select("c_custkey", "number", ids.holds(F.col("number"), weights).alias("valid"), ids.holds(F.concat(F.expr("left(number, length(number) - 1)"), F.pmod(F.right("number", F.lit(1)).cast("int") + 1, F.lit(10)).cast("string")), weights).alias("valid_if_changed"))
+        df = df.withColumn("number", F.expr(f"concat(number, CAST({ids.check_digit('number', w)} AS STRING))"))
+    changed = "concat(left(number, length(number) - 1), CAST(pmod(CAST(right(number, 1) AS INT) + 1, 10) AS STRING))"
+    return df.select("c_custkey", "number", F.expr(ids.holds("number", weights)).alias("valid"), F.expr(ids.holds(changed, weights)).alias("valid_if_changed"))
+
+
+#: The published weights, written out here apart from the code's own.
+_SQL_CPF = ("[10, 9, 8, 7, 6, 5, 4, 3, 2]", "[11, 10, 9, 8, 7, 6, 5, 4, 3, 2]")
+_SQL_CNPJ = ("[5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2]", "[6, 5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2]")
+_SQL_PIS = ("[3, 2, 9, 8, 7, 6, 5, 4, 3, 2]",)
 
 
-def _check_sql(size, weights):
+def _check_sql(size: int, weights: tuple[str, ...]) -> str:
+    """Numbers of customers with the remainders of their weighted sums as check digits."""
     sql = f"SELECT c_custkey, lpad(CAST((c_custkey * 7919 + 104729) % 1000000000 AS VARCHAR), {size}, '1') AS number FROM customer"
     for w in weights:
-        sql = f"SELECT c_custkey, number || CAST({_sql_digit('number', w)} AS VARCHAR) AS number FROM ({sql})"
+        rest = f"list_sum(list_transform({w}, lambda w, i: w * CAST(substr(number, CAST(i AS INT), 1) AS INT))) % 11"
+        sql = f"SELECT c_custkey, number || CASE WHEN {rest} < 2 THEN '0' ELSE CAST(CAST(11 - {rest} AS INT) AS VARCHAR) END AS number FROM ({sql})"
     return f"SELECT c_custkey, number, length(replace(number, substr(number, 1, 1), '')) > 0 AS valid, false AS valid_if_changed FROM ({sql})"
 
 
-@query(_check_sql(9, ids.CPF_WEIGHTS))
+@query(_check_sql(9, _SQL_CPF))
 def cpf_check_digit(spark, sf_dir):
     return _check_digits(spark, sf_dir, 9, ids.CPF_WEIGHTS)
 
 
-@query(_check_sql(12, ids.CNPJ_WEIGHTS))
+@query(_check_sql(12, _SQL_CNPJ))
 def cnpj_check_digit(spark, sf_dir):
     return _check_digits(spark, sf_dir, 12, ids.CNPJ_WEIGHTS)
 
 
-@query(_check_sql(10, ids.PIS_WEIGHTS))
+@query(_check_sql(10, _SQL_PIS))
 def pis_check_digit(spark, sf_dir):
     return _check_digits(spark, sf_dir, 10, ids.PIS_WEIGHTS)
 
 
-_CPF_TEXT = f"SELECT c_custkey, substr(number, 1, 3) || '.' || substr(number, 4, 3) || '.' || substr(number, 7, 3) || '-' || substr(number, 10, 2) AS raw FROM ({_check_sql(9, ids.CPF_WEIGHTS)})"
+_CPF_TEXT = f"SELECT c_custkey, substr(number, 1, 3) || '.' || substr(number, 4, 3) || '.' || substr(number, 7, 3) || '-' || substr(number, 10, 2) AS raw FROM ({_check_sql(9, _SQL_CPF)})"
 
 
 @query(f"SELECT CAST(c_custkey AS VARCHAR) AS ref, 'cpf' AS kind, raw FROM ({_CPF_TEXT})")
@@ -162,7 +182,7 @@ SELECT c_custkey, b || CAST((10 - t % 10) % 10 AS VARCHAR) AS number FROM s""")
 def card_luhn(spark, sf_dir):
     base = F.concat(F.lit("4"), F.lpad(F.pmod(F.col("c_custkey") * 7919 + 104729, F.lit(10**9)).cast("string"), 14, "3"))
     each = table(spark, sf_dir, "customer").select("c_custkey", F.explode(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(base, d.cast("string")))).alias("number"))
-    return each.where(ids.is_card(F.col("number")))
+    return each.where(ids.luhn("number"))
 
 
 @query("SELECT CAST(c_custkey AS VARCHAR) AS ref, 'Agência ' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') || ' conta ' || CAST(10000 + c_custkey AS VARCHAR) || '-' || CAST(c_custkey % 10 AS VARCHAR) AS raw FROM customer")
@@ -228,8 +248,7 @@ def _versions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     formula = F.when(priced & (k % 89 == 0), F.lit(None)).when(priced & (k % 83 == 0), F.concat("formula", F.lit("*2"))).otherwise(F.col("formula"))
     ref = F.when(k % 101 == 0, F.concat(F.lit("Z"), "ref")).otherwise(F.col("ref"))
     new = old.select(ref.alias("ref"), value.alias("value"), formula.alias("formula"))
-    pair, sheet = F.lit("p").alias("pair_id"), F.lit("Boletim").alias("sheet")
-    return tuple(d.select(pair, sheet, F.lit("cell").alias("kind"), "ref", "value", "formula") for d in (old, new))
+    return tuple(_sided(d, "cell", sheet=F.lit("Boletim"), ref=F.col("ref"), value=F.col("value"), formula=F.col("formula")) for d in (old, new))
 
 
 _CELLS = """
@@ -268,21 +287,25 @@ def _sided(df: DataFrame, kind: str, **columns: Column) -> DataFrame:
     return facts(df, kind, **columns).withColumn("pair_id", F.lit("p"))
 
 
-@query("WITH o AS (SELECT DISTINCT 'http://h/' || CAST(ps % 5000 AS VARCHAR) AS t FROM (SELECT l_partkey AS ps FROM lineitem WHERE l_linenumber = 1)), n AS (SELECT DISTINCT 'http://h/' || CAST(l_partkey % 5000 AS VARCHAR) AS t FROM lineitem WHERE l_linenumber = 2) SELECT 'link_added' AS category, t AS target FROM (SELECT t FROM n EXCEPT SELECT t FROM o) UNION ALL SELECT 'link_removed', t FROM (SELECT t FROM o EXCEPT SELECT t FROM n)")
+@query("WITH o AS (SELECT DISTINCT 'http://h/' || CAST(l_partkey AS VARCHAR) || '/' || CAST(l_suppkey AS VARCHAR) AS t FROM lineitem WHERE l_linenumber <= 3), n AS (SELECT DISTINCT 'http://h/' || CAST(l_partkey AS VARCHAR) || '/' || CAST(l_suppkey AS VARCHAR) AS t FROM lineitem WHERE l_linenumber > 3) SELECT 'link_added' AS category, t AS target FROM (SELECT t FROM n EXCEPT SELECT t FROM o) UNION ALL SELECT 'link_removed', t FROM (SELECT t FROM o EXCEPT SELECT t FROM n)")
 def new_links_anti(spark, sf_dir):
-    target = F.concat(F.lit("http://h/"), (F.col("l_partkey") % 5000).cast("string"))
-    lines = table(spark, sf_dir, "lineitem")
-    old, new = (_sided(lines.where(F.col("l_linenumber") == n), "link", value=target) for n in (1, 2))
+    """All line items as links: the first three lines of an order are the version sent, the others the one returned."""
+    target = F.concat(F.lit("http://h/"), F.col("l_partkey").cast("string"), F.lit("/"), F.col("l_suppkey").cast("string"))
+    side = F.when(F.col("l_linenumber") <= 3, "old").otherwise("new")
+    lines = facts(table(spark, sf_dir, "lineitem"), "link", value=target, path=side).select("*", F.lit("p").alias("pair_id"), F.col("path").alias("side"))
+    old, new = (lines.where(F.col("side") == s).drop("side") for s in ("old", "new"))
     return compare.links(old, new).select("category", F.coalesce("old", "new").alias("target"))
 
 
-@query("SELECT CAST(c_custkey AS VARCHAR) AS ref, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_name END AS old, CASE WHEN c_custkey % 11 = 0 THEN NULL WHEN c_custkey % 5 = 0 THEN upper(c_name) || '!' ELSE c_name END AS new FROM customer WHERE (CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_name END) IS DISTINCT FROM (CASE WHEN c_custkey % 11 = 0 THEN NULL WHEN c_custkey % 5 = 0 THEN upper(c_name) || '!' ELSE c_name END)")
+@query("SELECT CAST(c_custkey AS VARCHAR) AS ref, c_name AS old, CASE WHEN c_custkey % 11 = 0 THEN NULL WHEN c_custkey % 5 = 0 THEN upper(c_name) || '!' ELSE c_name END AS new FROM customer WHERE c_custkey % 11 = 0 OR c_custkey % 5 = 0 UNION ALL SELECT 'x' || CAST(c_custkey AS VARCHAR), NULL, c_mktsegment FROM customer")
 def metadata_diff(spark, sf_dir):
+    """All customers as properties: some lose their value, some get another, and every one gains a second property."""
     k, name = F.col("c_custkey"), F.col("c_name")
     customers = table(spark, sf_dir, "customer")
-    old = _sided(customers.where(k % 7 != 0), "prop", name=k, value=name)
-    new = _sided(customers.where(k % 11 != 0), "prop", name=k, value=F.when(k % 5 == 0, F.concat(F.upper(name), F.lit("!"))).otherwise(name))
-    return compare.metadata(old, new).select("ref", "old", "new")
+    old = _sided(customers, "prop", name=k, value=name)
+    new = _sided(customers, "prop", name=k, value=F.when(k % 11 == 0, F.lit(None)).when(k % 5 == 0, F.concat(F.upper(name), F.lit("!"))).otherwise(name))
+    more = _sided(customers, "prop", name=F.concat(F.lit("x"), k.cast("string")), value=F.col("c_mktsegment"))
+    return compare.metadata(old, new.unionByName(more)).select("ref", "old", "new")
 
 
 @query("SELECT p_name AS sheet, CASE WHEN p_size % 2 = 0 THEN 'sheet_hidden' ELSE 'sheet_shown' END AS category, count(*) AS n FROM (SELECT p_partkey || ':' || p_name AS p_name, p_size FROM part WHERE p_size % 3 <> 0) GROUP BY ALL")
@@ -303,7 +326,10 @@ def hidden_axes_diff(spark, sf_dir):
     return compare.axes(old, new).select("category", "sheet", "ref")
 
 
-@query("SELECT CAST(c_custkey AS VARCHAR) AS pair_id, c_name AS saved_by_old, CASE WHEN c_custkey % 2 = 0 THEN upper(c_name) ELSE 'x' END AS saved_by_new, c_custkey % 5 IN (0, 1) AND c_custkey % 2 = 0 AS same_windows_user_hint FROM customer")
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS pair_id, c_name AS saved_by_old, CASE WHEN c_custkey % 2 = 0 THEN upper(c_name) ELSE 'x' END AS saved_by_new, c_custkey % 5 IN (0, 1) AND c_custkey % 2 = 0 AS same_windows_user_hint,
+ CASE c_custkey % 5 WHEN 0 THEN 'C:\\Users\\' || c_name || '\\Docs' WHEN 1 THEN 'C:\\Users\\' || c_name || '\\OneDrive\\Obras' WHEN 2 THEN '\\\\servidor\\' || c_name WHEN 3 THEN 'D:\\Obras\\' || c_name ELSE 'https://d.docs.live.net/' || c_name END AS folder_old,
+ CASE c_custkey % 5 WHEN 0 THEN 'C:\\Users\\' || w || '\\Docs' WHEN 1 THEN 'C:\\Users\\' || w || '\\OneDrive\\Obras' WHEN 2 THEN '\\\\servidor\\' || w WHEN 3 THEN 'D:\\Obras\\' || w ELSE 'https://d.docs.live.net/' || w END AS folder_new
+ FROM (SELECT *, CASE WHEN c_custkey % 2 = 0 THEN upper(c_name) ELSE 'x' END AS w FROM customer)""")
 def provenance_hint(spark, sf_dir):
     k, name = F.col("c_custkey"), F.col("c_name")
     customers = table(spark, sf_dir, "customer")
@@ -314,7 +340,7 @@ def provenance_hint(spark, sf_dir):
             one = facts(customers, "prop", path=F.concat(F.lit(side), k.cast("string")), name=F.lit(prop), value=value)
             props = one if props is None else props.unionByName(one)
     pairs = customers.select(k.cast("string").alias("pair_id"), F.concat(F.lit("old"), k.cast("string")).alias("old_path"), F.concat(F.lit("new"), k.cast("string")).alias("new_path"))
-    return compare.provenance(props, pairs).select("pair_id", "saved_by_old", "saved_by_new", "same_windows_user_hint")
+    return compare.provenance(props, pairs).select("pair_id", "saved_by_old", "saved_by_new", "folder_old", "folder_new", "same_windows_user_hint")
 
 
 # ---------------------------------------------------------------- golden workbooks

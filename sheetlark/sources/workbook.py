@@ -11,6 +11,7 @@ kind      meaning of the other columns
 ========  ==========================================================================
 sheet     sheet; value: visible, hidden or veryHidden; row: its position
 hidden_row, hidden_col   sheet; row to col: first and last hidden index
+hidden_rest   sheet; every row that the sheet does not write is hidden (``zeroHeight``)
 cell      sheet, ref, row, col; type as stored; value (shared strings resolved); formula
 comment   sheet, ref; name: author; value: text
 prop      name: creator, lastModifiedBy, company, save_folder, ...; value
@@ -43,6 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 FACTS = "path string, kind string, sheet string, ref string, row int, col int, name string, type string, value string, formula string"
 FIELDS = [f.split()[0] for f in FACTS.split(", ")]
 MAX_PART = 512 << 20
+FILES = "*.[xX][lL][sS][xXmM]"
 BATCH = 20_000
 ERRORS = (ElementTree.ParseError, zipfile.BadZipFile, zlib.error, EOFError, ValueError, TypeError, KeyError, RuntimeError, NotImplementedError, OSError)
 
@@ -224,6 +226,9 @@ def _sheet(book: zipfile.ZipFile, part: str, strings: list[str]) -> Iterator[dic
         if tag == "col":
             if node.get("hidden") in ("1", "true"):
                 yield {"kind": "hidden_col", "row": int(node.get("min")), "col": int(node.get("max"))}
+        elif tag == "sheetFormatPr":
+            if node.get("zeroHeight") in ("1", "true"):
+                yield {"kind": "hidden_rest"}
         elif tag == "row":
             number = int(node.get("r", number + 1))
             if node.get("hidden") in ("1", "true"):
@@ -288,7 +293,7 @@ def _frame(rows: list[dict]) -> pd.DataFrame:
 
 def read_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Workbook files below ``path``, one row each; other suffixes are left out."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.{xlsx,xlsm,XLSX,XLSM}").option("recursiveFileLookup", "true").load(path)
+    return spark.read.format("binaryFile").option("pathGlobFilter", FILES).option("recursiveFileLookup", "true").load(path)
 
 
 def read_workbooks(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -303,7 +308,7 @@ def sheets(facts: DataFrame) -> DataFrame:
 
 
 def axes(facts: DataFrame) -> DataFrame:
-    """Every hidden row and column by itself."""
+    """Every hidden row and column by itself; rows hidden by default are not listed here."""
     every = facts.where("kind IN ('hidden_row', 'hidden_col')")
     return every.selectExpr("path", "sheet", "substring(kind, 8) AS axis", "explode(sequence(row, col)) AS index")
 

@@ -7,14 +7,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.masking import reveal
 from ..operators.findings import findings
-from ..sources.workbook import facts_of_files
+from ..sources.workbook import FILES, facts_of_files
 
 SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
 def workbook_stream(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
-    """New ``.xlsx`` and ``.xlsm`` files of ``folder``, a bounded number at a time."""
-    return spark.readStream.format("binaryFile").schema(SCHEMA).option("pathGlobFilter", "*.{xlsx,xlsm}").option("maxFilesPerTrigger", files_per_trigger).load(folder)
+    """New ``.xlsx`` and ``.xlsm`` files below ``folder``, a bounded number at a time."""
+    return spark.readStream.format("binaryFile").schema(SCHEMA).option("pathGlobFilter", FILES).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_trigger).load(folder)
 
 
 def watch(spark: SparkSession, folder: str, out: str, checkpoint: str, **trigger) -> StreamingQuery:

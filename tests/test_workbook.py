@@ -181,3 +181,23 @@ def test_unreadable_parts_cost_nothing_else(spark, tmp_path, monkeypatch):
     large = workbook([("One", "visible", "", "".join(f'<row r="{i}">{cell(f"A{i}", "0", "s")}</row>' for i in range(1, 400)))], strings=("x" * 9000,))
     facts = list(source.workbook_facts(large))
     assert sum(f["kind"] == "cell" and f["value"] == "x" * 9000 for f in facts) == 399 and not [f for f in facts if f["kind"] == "error"]
+
+
+def test_files_are_opened_once(spark, folder):
+    """However many detectors and comparisons there are, a plan holds one reader of the files."""
+    readers = lambda df: df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("MapInPandas")
+    assert readers(api.scan(spark, str(folder))) == 1
+    assert readers(api.risk(spark, str(folder))) == 1
+    assert readers(api.compare(spark, [(str(folder / "sent.xlsx"), str(folder / "returned.xlsx"))])) == 1
+    assert readers(api.provenance(spark, [(str(folder / "sent.xlsx"), str(folder / "returned.xlsx"))])) == 1
+
+
+def test_rows_hidden_by_default(spark, tmp_path):
+    """zeroHeight hides every row that the sheet does not write."""
+    rest = '<sheetFormatPr defaultRowHeight="15" zeroHeight="1"/>'
+    (tmp_path / "a.XlsX").write_bytes(workbook([("S", "visible", "", f'<row r="1">{cell("A1", "1")}</row>')]))
+    (tmp_path / "b.xlsx").write_bytes(workbook([("S", "visible", rest, f'<row r="1">{cell("A1", "1")}</row>')]))
+    found = api.scan(spark, str(tmp_path), raw=True).collect()
+    assert [(r.path.rsplit("/", 1)[1], r.kind, r.sheet, r.ref) for r in found] == [("b.xlsx", "hidden_row", "S", "*")]
+    changes = api.compare(spark, [(str(tmp_path / "a.XlsX"), str(tmp_path / "b.xlsx"))]).collect()
+    assert [(r.category, r.sheet, r.ref) for r in changes] == [("row_hidden", "S", "*")]
