@@ -4,12 +4,19 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from .operators.findings import CAVEAT
 from .plans import api
 
 
+def show(df: DataFrame) -> None:
+    """Print every row, a partition at a time."""
+    print("\t".join(df.columns))
+    for row in df.toLocalIterator():
+        print("\t".join("" if v is None else ", ".join(map(str, v)) if isinstance(v, list) else str(v) for v in row))
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     parser = argparse.ArgumentParser(prog="sheetlark", description="Audit .xlsx and .xlsm workbooks.")
     parser.add_argument("path", nargs="*", help="workbooks or folders")
@@ -25,16 +32,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.appName("sheetlark").getOrCreate()
     if args.compare:
         pair = [tuple(args.compare)]
-        api.compare(spark, pair, raw=args.reveal).orderBy("category", "sheet", "ref").show(1000, False)
-        api.provenance(spark, pair).show(10, False)
+        show(api.compare(spark, pair, raw=args.reveal).orderBy("category", "sheet", "ref"))
+        show(api.provenance(spark, pair))
     if args.path:
         if args.limpar:
-            api.clean(spark, args.path, args.limpar, drop_hidden_sheets=args.drop_hidden_sheets, drop_macros=args.drop_macros).show(1000, False)
+            show(api.clean(spark, args.path, args.limpar, drop_hidden_sheets=args.drop_hidden_sheets, drop_macros=args.drop_macros))
         elif args.report:
             api.report(spark, args.path, args.report)
         else:
-            api.scan(spark, args.path, raw=args.reveal).orderBy("path", "severity", "kind", "sheet", "ref").show(1000, False)
-            api.risk(spark, args.path).orderBy("path").show(1000, False)
+            show(api.scan(spark, args.path, raw=args.reveal).orderBy("path", "severity", "kind", "sheet", "ref"))
+            show(api.risk(spark, args.path).orderBy("path"))
             print(CAVEAT)
     return 0
 

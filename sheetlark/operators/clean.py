@@ -3,6 +3,9 @@
 Gone by default: comments and notes, author, company, external links. On request: hidden
 sheets, macros. Values in cells are never edited; identifiers in them are left for human
 review. What else is known to remain is listed in each manifest row.
+
+Parts are edited by byte range while they stream, so all bytes but those taken out stay as they
+were, and a part is never whole in memory, however far it inflates.
 """
 
 from __future__ import annotations
@@ -12,15 +15,18 @@ import posixpath
 import re
 import uuid
 import zipfile
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from urllib.parse import urlsplit
-from xml.etree import ElementTree
+from xml.parsers import expat
+from xml.sax.saxutils import quoteattr
 
 import pandas as pd
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.workbook import attribute, local, relations, workbook_facts
+from ..sources.workbook import ERRORS, relations, workbook_facts
 
 MANIFEST = "path string, out_path string, removed array<string>, not_removed array<string>, error string"
 NOT_REMOVED = ("último editor", "pasta onde foi salva", "linhas e colunas ocultas", "CPF, CNPJ, PIS e dados bancários nas células")
@@ -31,48 +37,164 @@ _MACRO_TYPE = "application/vnd.ms-excel.sheet.macroEnabled.main+xml"
 _PLAIN_TYPE = "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"
 
 
-def _serialise(root: ElementTree.Element, source: bytes) -> bytes:
-    """XML with the prefixes of ``source``, so that names inside attribute values still hold."""
-    for _, (prefix, uri) in ElementTree.iterparse(io.BytesIO(source), events=["start-ns"]):
-        if not re.fullmatch(r"ns\d+", prefix):
-            ElementTree.register_namespace(prefix, uri)
-    return b'<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n' + ElementTree.tostring(root, encoding="utf-8")
+@dataclass
+class Node:
+    """An element as it closes: its name without prefix, its attributes, its children that stay, and its place in the bytes."""
+
+    tag: str
+    name: str
+    attrs: dict[str, str]
+    start: int
+    inner: int = 0
+    close: int = 0
+    children: int = 0
+
+    def get(self, name: str) -> str | None:
+        return next((v for k, v in self.attrs.items() if k.rpartition(":")[2] == name), None)
+
+
+#: What a decision about an element says: take it out, take its contents out, or give it other attributes.
+DROP, EMPTY = "drop", "empty"
+
+
+def edits(blocks: Iterable[bytes], decide) -> list[tuple[int, int, bytes]]:
+    """Byte ranges of an XML part and what stands there instead; ``decide(node)`` is DROP, EMPTY, new attributes or None.
+
+    All other bytes stay as they are, so declarations that no element uses are kept. A document
+    type is refused.
+    """
+    parser = expat.ParserCreate()
+    stack: list[Node] = []
+    out: list[tuple[int, int, bytes]] = []
+    due: list = []  # waits for the place where the next event begins
+
+    def event(*_) -> int:
+        at = parser.CurrentByteIndex
+        for f in due:
+            f(at)
+        due.clear()
+        return at
+
+    def start(tag, attrs):
+        node = Node(tag, tag.rpartition(":")[2], attrs, event())
+        stack.append(node)
+        due.append(lambda at: setattr(node, "inner", at))
+
+    def end(_):
+        at = event()
+        node = stack.pop()
+        node.close = at
+        told = decide(node)
+        if told == DROP:
+            due.append(lambda at: out.append((node.start, at, b"")))
+            return
+        if stack:
+            stack[-1].children += 1
+        if told == EMPTY:
+            out.append((node.inner, node.close, b""))
+        elif told:
+            attrs = "".join(f" {k}={quoteattr(v)}" for k, v in (node.attrs | told).items())
+            empty = node.inner == node.close
+            due.append(lambda at: out.append((node.start, node.inner, f"<{node.tag}{attrs}{'/' if empty and at == node.close else ''}>".encode())))
+
+    def refuse(*_):
+        raise ValueError("a document type is not read")
+
+    parser.StartElementHandler, parser.EndElementHandler = start, end
+    parser.CharacterDataHandler = parser.DefaultHandler = event
+    parser.StartDoctypeDeclHandler = refuse
+    size = 0
+    for block in blocks:
+        parser.Parse(block, False)
+        size += len(block)
+    parser.Parse(b"", True)
+    for f in due:
+        f(size)
+    kept, at = [], 0
+    for x in sorted(out, key=lambda x: (x[0], -x[1])):
+        if x[0] >= at:  # what lies in a dropped element is gone with it
+            kept.append(x)
+            at = x[1]
+    return kept
 
 
-def _drop(root: ElementTree.Element, test) -> int:
-    n = 0
-    for parent in list(root.iter()):
-        for child in list(parent):
-            if test(child):
-                parent.remove(child)
-                n += 1
-    return n
+def edited(blocks: Iterable[bytes], changes: list[tuple[int, int, bytes]]) -> Iterator[bytes]:
+    """The blocks with the changes made."""
+    left, at = list(changes), 0
+    for block in blocks:
+        stop, p = at + len(block), at
+        while left and left[0][0] < stop:
+            a, b, new = left[0]
+            yield block[p - at : max(p, a) - at]
+            if new:
+                yield new
+                left[0] = (a, b, b"")
+            p = min(max(p, b), stop)
+            if b > stop:
+                break
+            left.pop(0)
+        yield block[p - at :] if p < stop else b""
+        at = stop
+
+
+def _blocks(book: zipfile.ZipFile, part: str) -> Iterator[bytes]:
+    with book.open(part) as stream:
+        while block := stream.read(1 << 20):
+            yield block
+
+
+class _Parts:
+    """The parts of a workbook with edits laid one upon another; none is whole in memory."""
+
+    def __init__(self, book: zipfile.ZipFile):
+        self.book, self.changes = book, {}
+
+    def blocks(self, part: str) -> Iterator[bytes]:
+        blocks = _blocks(self.book, part)
+        for changes in self.changes.get(part, ()):
+            blocks = edited(blocks, changes)
+        return blocks
+
+    def edit(self, part: str, decide) -> int:
+        changes = edits(self.blocks(part), decide)
+        if changes:
+            self.changes.setdefault(part, []).append(changes)
+        return len(changes)
+
+
+def _holds(book: zipfile.ZipFile, part: str, what: bytes) -> bool:
+    tail = b""
+    for block in _blocks(book, part):
+        if what in tail + block:
+            return True
+        tail = block[-len(what) :]
+    return False
 
 
 def clean_workbook(content: bytes, *, drop_hidden_sheets: bool = False, drop_macros: bool = False) -> tuple[bytes, list[str]]:
     """A clean copy of one workbook's bytes, and what was taken out."""
     book = zipfile.ZipFile(io.BytesIO(content))
     names = set(book.NameToInfo)
+    parts = _Parts(book)
     removed: list[str] = []
     gone: set[str] = set()
-    edits: dict[str, bytes] = {}
     rels = {p: relations(book, p) for p in names if not p.endswith(".rels")}
     main = "xl/workbook.xml"
-    workbook = ElementTree.fromstring(book.read(main)) if main in names else None
-    hidden: dict[int, str] = {}
-    if drop_hidden_sheets and workbook is not None:
-        every = [n for n in workbook.iter() if local(n.tag) == "sheet"]
-        shown = [n for n in every if n.get("state", "visible") == "visible"]
-        for i, node in enumerate(every):
-            if node not in shown and shown:
-                hidden[i] = attribute(node, "id")
-                gone.add(rels[main][hidden[i]][1])
-                removed.append(f"hidden_sheet:{node.get('name')}")
+    sheets: list[Node] = []
+    if main in names:
+        edits(parts.blocks(main), lambda n: sheets.append(n) if n.name == "sheet" else None)
+    shown = [n for n in sheets if (n.get("state") or "visible") == "visible"]
+    hidden = {i: n for i, n in enumerate(sheets) if drop_hidden_sheets and shown and n not in shown}
+    for node in hidden.values():
+        gone.add(rels[main][node.get("id")][1])
+        removed.append(f"hidden_sheet:{node.get('name')}")
+    if hidden and "xl/calcChain.xml" in names:
+        gone.add("xl/calcChain.xml")  # names cells of the sheets that go; programs make it anew
     kinds = _COMMENT_KINDS | _LINK_KINDS | (_MACRO_KINDS if drop_macros else set())
     for targets in rels.values():
         for kind, target, mode in targets.values():
             # a drawing in old markup holds buttons and pictures as well as notes: it goes only where it holds notes
-            if mode != "External" and kind in kinds and (kind != "vmlDrawing" or b'ObjectType="Note"' in book.read(target) if target in names else True):
+            if mode != "External" and kind in kinds and (kind != "vmlDrawing" or target not in names or _holds(book, target, b'ObjectType="Note"')):
                 gone.add(target)
                 removed.append(f"{kind}:{target}")
     if drop_macros:
@@ -89,66 +211,49 @@ def clean_workbook(content: bytes, *, drop_hidden_sheets: bool = False, drop_mac
     lost: dict[str, set[str]] = {}
     for part, targets in rels.items():
         dead = {i for i, (kind, target, mode) in targets.items() if mode == "External" or target in gone or (kind in kinds and target not in names)}
-        if dead:
+        if dead and part not in gone:
             lost[part] = dead
             folder, name = posixpath.split(part)
-            path = posixpath.join(folder, "_rels", f"{name}.rels")
-            raw = book.read(path)
-            root = ElementTree.fromstring(raw)
             removed.extend(f"external_link:{targets[i][0]}" for i in dead if targets[i][2] == "External")
-            _drop(root, lambda n, dead=dead: n.get("Id") in dead)
-            edits[path] = _serialise(root, raw)
+            parts.edit(posixpath.join(folder, "_rels", f"{name}.rels"), lambda n, dead=dead: DROP if n.name == "Relationship" and n.get("Id") in dead else None)
     for part, dead in lost.items():
-        if part in gone or part not in names or not part.endswith(".xml"):
-            continue
-        raw = edits.get(part, book.read(part))
-        root = ElementTree.fromstring(raw)
-        if part == main:
-            _drop(root, lambda n, dead=dead: local(n.tag) in ("externalReference", "sheet") and attribute(n, "id") in dead)
-            _drop(root, lambda n: local(n.tag) == "externalReferences" and not len(n))
-        else:
-            _drop(root, lambda n, dead=dead: local(n.tag) in ("legacyDrawing", "hyperlink", "oleLink") and attribute(n, "id") in dead)
-            _drop(root, lambda n: local(n.tag) == "hyperlinks" and not len(n))
-        edits[part] = _serialise(root, raw)
+        if part in names and part.endswith(".xml"):
+            points = ("externalReference", "sheet") if part == main else ("legacyDrawing", "hyperlink", "oleLink")
+            around = ("externalReferences", "hyperlinks")
+            parts.edit(part, lambda n, dead=dead, points=points: DROP if (n.name in points and n.get("id") in dead) or (n.name in around and not n.children) else None)
     if hidden:
-        raw = edits.get(main, book.read(main))
-        root = ElementTree.fromstring(raw)
-        left = [i for i in range(len([n for n in workbook.iter() if local(n.tag) == "sheet"])) if i not in hidden]
-        for node in list(root.iter()):
-            for key in [k for k in node.attrib if local(k) in ("activeTab", "firstSheet")]:
-                node.set(key, str(left.index(int(node.get(key))) if int(node.get(key)) in left else 0))
-        _drop(root, lambda n: local(n.tag) == "definedName" and n.get("localSheetId") is not None and int(n.get("localSheetId")) in hidden)
-        for node in root.iter():
-            if local(node.tag) == "definedName" and node.get("localSheetId") is not None:
-                node.set("localSheetId", str(left.index(int(node.get("localSheetId")))))
-        edits[main] = _serialise(root, raw)
-    for part, tags in (("docProps/core.xml", ("creator",)), ("docProps/app.xml", ("Company",))):
-        if part in names:
-            raw = book.read(part)
-            root = ElementTree.fromstring(raw)
-            found = [n for n in root.iter() if local(n.tag) in tags and n.text]
-            for node in found:
-                node.text = None
-                removed.append(f"metadata:{local(node.tag)}")
-            if found:
-                edits[part] = _serialise(root, raw)
-    types = "[Content_Types].xml"
-    raw = book.read(types)
-    root = ElementTree.fromstring(raw)
-    changed = _drop(root, lambda n: n.get("PartName", "").lstrip("/") in gone)
-    if drop_macros:
-        for node in root.iter():
-            if node.get("ContentType") == _MACRO_TYPE:
-                node.set("ContentType", _PLAIN_TYPE)
-                changed += 1
-    if changed:
-        edits[types] = _serialise(root, raw)
+        place = {str(old): str(new) for new, old in enumerate(i for i in range(len(sheets)) if i not in hidden)}
+
+        def renumber(n: Node):
+            if n.name == "definedName" and n.get("localSheetId") is not None:
+                return {"localSheetId": place[n.get("localSheetId")]} if n.get("localSheetId") in place else DROP
+            if n.name == "definedNames" and not n.children:
+                return DROP
+            return {k: place.get(n.attrs[k], "0") for k in ("activeTab", "firstSheet") if k in n.attrs}
+
+        parts.edit(main, renumber)
+        if "docProps/app.xml" in names:  # lists the names of all sheets
+            parts.edit("docProps/app.xml", lambda n: DROP if n.name in ("TitlesOfParts", "HeadingPairs") else None)
+    for part, tag in (("docProps/core.xml", "creator"), ("docProps/app.xml", "Company")):
+        if part in names and parts.edit(part, lambda n, tag=tag: EMPTY if n.name == tag and n.close > n.inner else None):
+            removed.append(f"metadata:{tag}")
+
+    def retype(n: Node):
+        if (n.get("PartName") or "").lstrip("/") in gone:
+            return DROP
+        return {"ContentType": _PLAIN_TYPE} if drop_macros and n.get("ContentType") == _MACRO_TYPE else None
+
+    parts.edit("[Content_Types].xml", retype)
     gone |= {posixpath.join(posixpath.dirname(p), "_rels", f"{posixpath.basename(p)}.rels") for p in gone}
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as copy:
         for info in book.infolist():
             if info.filename not in gone:
-                copy.writestr(zipfile.ZipInfo(info.filename, (1980, 1, 1, 0, 0, 0)), edits.get(info.filename) or book.read(info.filename), zipfile.ZIP_DEFLATED)
+                new = zipfile.ZipInfo(info.filename, (1980, 1, 1, 0, 0, 0))
+                new.compress_type = zipfile.ZIP_DEFLATED
+                with copy.open(new, "w", force_zip64=info.file_size > 1 << 30) as stream:
+                    for block in parts.blocks(info.filename):
+                        stream.write(block)
     return out.getvalue(), sorted(set(removed))
 
 
@@ -180,7 +285,7 @@ def clean(files: DataFrame, out_dir: str, *, drop_hidden_sheets: bool = False, d
                 name = f"{stem}-{tag}{'.xlsx' if macro_free else suffix}"
                 try:
                     data, removed = clean_workbook(bytes(content), drop_hidden_sheets=drop_hidden_sheets, drop_macros=drop_macros)
-                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError) as error:
+                except (*ERRORS, expat.ExpatError) as error:
                     rows.append((path, None, [], list(NOT_REMOVED), f"{type(error).__name__}: {error}"[:500]))
                     continue
                 temp, final = (posixpath.join(folder, x) for x in (f"_temporary-{uuid.uuid4().hex}", name))
@@ -190,7 +295,7 @@ def clean(files: DataFrame, out_dir: str, *, drop_hidden_sheets: bool = False, d
                 if fs.get_file_info(final).type == pafs.FileType.File:
                     fs.delete_file(final)
                 fs.move(temp, final)
-                kinds = {f["kind"] for f in workbook_facts(data)}
+                kinds = {f["kind"] for f in workbook_facts(data) if f["kind"] != "sheet" or f["value"] != "visible"}
                 also = [n for k, n in (("macro", "macros"), ("sheet", "abas ocultas")) if k in kinds and not (drop_macros if k == "macro" else drop_hidden_sheets)]
                 rows.append((path, f"{out}/{name}", removed, [*NOT_REMOVED, *also], None))
             yield pd.DataFrame(rows, columns=["path", "out_path", "removed", "not_removed", "error"])

@@ -7,19 +7,22 @@ rows, which is a golden file and not an independent oracle.
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .__main__ import main
 from .functions import identifiers as ids
 from .functions.masking import mask, reveal
 from .operators import compare, findings
 from .plans import api
 from .plans.golden import golden
+from .plans.report import render
 from .sources import workbook
+from .sources.shared import shared_folder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -95,6 +98,18 @@ def risk_level(spark, sf_dir):
     return findings.risk(document_findings(spark, sf_dir), files)
 
 
+@query(f"WITH {_DOC_FINDINGS}, k AS (SELECT severity, kind, count(*) AS n, count(DISTINCT path) AS n_files FROM f GROUP BY ALL) SELECT CASE severity WHEN 'alto' THEN 'Gravidade alta' ELSE 'Gravidade média' END AS title, kind, n AS n_findings, least(n, 20) AS n_shown, 0 AS n_unmasked FROM k")
+def html_report(spark, sf_dir):
+    """The report page over all findings of the documents, read back from its markup."""
+    page = render(reveal(document_findings(spark, sf_dir)))
+    rows = []
+    for part in page.split("<h2>")[1:]:
+        for kind, n, table_ in re.findall(r"<h3>(\w+) \((\d+)\)</h3>(.*?)</table>", part, re.S):
+            shown = re.findall(r"<td>([^<]*)</?tr>", table_)
+            rows.append((part.partition("<")[0], kind, int(n), len(shown), sum(not v.endswith("****") for v in shown)))
+    return spark.createDataFrame(rows, "title string, kind string, n_findings long, n_shown long, n_unmasked int")
+
+
 @query(f"SELECT o_orderkey, {_MASK.format('CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR)')} AS masked FROM orders")
 def mask_values(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", mask(money("o_totalprice")).alias("masked"))
@@ -349,8 +364,7 @@ def provenance_hint(spark, sf_dir):
 
 def _golden_folder(spark: SparkSession) -> str:
     """The golden workbooks, written to the folder that the cluster shares."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="golden-")
-    folder = f"{folder if '://' in folder or folder.startswith('file:') else f'file://{folder}'}/golden-{uuid.uuid4().hex[:12]}"
+    folder = f"{shared_folder(spark)}/golden-{uuid.uuid4().hex[:12]}"
     fs, path = pafs.FileSystem.from_uri(folder)
     fs.create_dir(path, recursive=True)
     for name, data in golden().items():
@@ -381,3 +395,15 @@ def workbook_golden_clean(spark, sf_dir):
     folder = _golden_folder(spark)
     api.clean(spark, f"{folder}/full.xlsm", f"{folder}/clean", drop_hidden_sheets=True, drop_macros=True)
     return api.scan(spark, f"{folder}/clean").groupBy("kind").agg(F.count("*").cast("int").alias("n"))
+
+
+@query("""SELECT * FROM (VALUES ('clean.xlsx', 0, 0), ('full.xlsm', 9, 2), ('returned.xlsx', 4, 1), ('sent.xlsx', 2, 0)) t(file, n_left, n_hidden_sheets)""")
+def command_line_clean(spark, sf_dir):
+    """``--limpar`` on the golden folder: kinds of findings left in each copy, and hidden sheets, which stay unless asked for."""
+    folder = _golden_folder(spark)
+    files = workbook.read_files(spark, folder).select(F.regexp_extract("path", "[^/]+$", 0).alias("file"))
+    main([folder, "--limpar", f"{folder}-clean"], spark)
+    named = api.scan(spark, f"{folder}-clean").select(F.regexp_replace(F.regexp_extract("path", "[^/]+$", 0), "-[0-9a-f]{8}[.]", ".").alias("file"), "kind", "ref", "sheet")
+    gone = named.where(F.col("kind").isin("comment", "metadata_author", "metadata_company", "external_link")).count()
+    left = named.groupBy("file").agg((F.countDistinct("kind") + gone).cast("int").alias("n_left"), F.count_if(F.col("kind") == "hidden_sheet").cast("int").alias("n_hidden_sheets"))
+    return files.join(left, "file", "left").fillna(0)

@@ -16,7 +16,7 @@ cell      sheet, ref, row, col; type as stored; value (shared strings resolved);
 comment   sheet, ref; name: author; value: text
 prop      name: creator, lastModifiedBy, company, save_folder, ...; value
 link      name: the part that holds it; value: target, which is never opened
-macro     name: part; value: SHA-256; row: bytes. Macros are never run
+macro     name: part, or part and module; value: SHA-256; row: bytes; type: marks. Never run
 error     value: why a file or part could not be read; name: what it is, sheet: whose
 ========  ==========================================================================
 
@@ -33,6 +33,7 @@ import hashlib
 import io
 import posixpath
 import re
+import struct
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -41,6 +42,8 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from . import vba
+
 FACTS = "path string, kind string, sheet string, ref string, row int, col int, name string, type string, value string, formula string"
 FIELDS = [f.split()[0] for f in FACTS.split(", ")]
 MAX_PART = 512 << 20
@@ -164,21 +167,28 @@ def _links(book: zipfile.ZipFile) -> Iterator[dict]:
 
 
 def _macros(book: zipfile.ZipFile) -> Iterator[dict]:
+    """Macro parts and, for a project, its modules; ``type`` holds the marks that ``vba`` knows."""
     for path in sorted(book.NameToInfo):
         if posixpath.basename(path) in ("vbaProject.bin", "vbaData.xml") or path.startswith("xl/macrosheets/"):
-            seen, size, digest, window = set(), 0, hashlib.sha256(), b""
-            words = ("AutoOpen", "Auto_Open", "Workbook_Open", "Shell", "CreateObject", "URLDownloadToFile", "powershell")
+            seen, size, digest, window, head = {}, 0, hashlib.sha256(), "", b""
             try:
                 with book.open(path) as stream:
                     while block := stream.read(1 << 20):
-                        window = window[-64:] + block
+                        head = head or block[:8]
+                        window = window[-64:] + block.replace(b"\0", b"").decode("latin-1")
                         digest.update(block)
                         size += len(block)
-                        seen |= {w for w in words if w.encode() in window or w.encode("utf-16-le") in window}
+                        seen |= dict.fromkeys(vba.words(window))
             except ERRORS as error:
                 yield _error(path, error)
                 continue
-            yield {"kind": "macro", "name": path, "value": digest.hexdigest(), "row": size if size < 2**31 else None, "type": ",".join(w for w in words if w in seen)}
+            yield {"kind": "macro", "name": path, "value": digest.hexdigest(), "row": size if size < 2**31 else None, "type": ",".join(seen)}
+            if head == vba.SIGNATURE:  # sources are stored compressed, so the words above are few of them
+                try:
+                    for name, source in vba.modules(_read(book, path)):
+                        yield {"kind": "macro", "name": f"{path}/{name}", "value": hashlib.sha256(source.encode()).hexdigest(), "row": len(source), "type": ",".join(vba.marks(source))}
+                except (*ERRORS, struct.error, LookupError) as error:
+                    yield _error(path, error)
 
 
 def _sheets(book: zipfile.ZipFile) -> Iterator[dict]:

@@ -8,10 +8,12 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from sheetlark.__main__ import main
+from sheetlark.operators import clean as cleaning
 from sheetlark.operators.clean import clean_workbook
 from sheetlark.plans import api
 from sheetlark.plans.golden import cell, golden, workbook
 from sheetlark.plans.report import render
+from sheetlark.sources import vba as source_vba
 from sheetlark.sources import workbook as source
 from sheetlark.streaming.watch import watch
 
@@ -201,3 +203,125 @@ def test_rows_hidden_by_default(spark, tmp_path):
     assert [(r.path.rsplit("/", 1)[1], r.kind, r.sheet, r.ref) for r in found] == [("b.xlsx", "hidden_row", "S", "*")]
     changes = api.compare(spark, [(str(tmp_path / "a.XlsX"), str(tmp_path / "b.xlsx"))]).collect()
     assert [(r.category, r.sheet, r.ref) for r in changes] == [("row_hidden", "S", "*")]
+
+
+HEAD = (
+    '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    ' xmlns:mc="http://schemas.openxmlformats.org/markup-compatibility/2006" mc:Ignorable="x14ac xr xr2 xr3" xmlns:x14ac="http://schemas.microsoft.com/office/spreadsheetml/2009/9/ac"'
+    ' xmlns:xr="http://schemas.microsoft.com/office/spreadsheetml/2014/revision" xmlns:xr2="http://schemas.microsoft.com/office/spreadsheetml/2015/revision2"'
+    ' xmlns:xr3="http://schemas.microsoft.com/office/spreadsheetml/2016/revision3" xr:uid="{00000000-0001-0000-0000-000000000000}">'
+)
+
+
+def test_copies_keep_the_root_as_it_was():
+    """Spreadsheet programs declare prefixes that only mc:Ignorable names; a copy must declare them still."""
+    data = workbook([("S", "visible", "", f'<row r="1">{cell("A1", "a &gt; b", "inlineStr")}</row>')], comments={"A1": ("x", "y")}, hyperlink="http://b")
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        sheet = z.read("xl/worksheets/sheet1.xml").decode()
+    source = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\r\n' + HEAD + sheet[sheet.index(">") + 1 :]
+    out, _ = clean_workbook(_with_part(data, "xl/worksheets/sheet1.xml", source))
+    with zipfile.ZipFile(io.BytesIO(out)) as z:
+        got = z.read("xl/worksheets/sheet1.xml").decode()
+    assert got == source.replace('<hyperlinks><hyperlink ref="A1" r:id="rId1"/></hyperlinks>', "").replace('<legacyDrawing r:id="rId3"/>', "")
+    assert all(f"xmlns:{p}=" in got for p in ElementTree.fromstring(got).get("{http://schemas.openxmlformats.org/markup-compatibility/2006}Ignorable").split())
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(1, 40), st.sampled_from(["a", "b"]), st.booleans())
+def test_edits_by_byte_range(step, gone, attributes):
+    source = '<r x="1>2"><a i="1"/>é<b><a/>t&amp;<![CDATA[<a>]]></b ><!-- <a> --><a i=\'2\'>z<b/></a><b/></r>'.encode()
+    blocks = lambda: (source[i : i + step] for i in range(0, len(source), step))
+    change = {"i": '<"9'} if attributes else cleaning.DROP
+    out = b"".join(cleaning.edited(blocks(), cleaning.edits(blocks(), lambda n: change if n.name == gone else None)))
+    got, want = ElementTree.fromstring(out), ElementTree.fromstring(source)
+    if attributes:
+        for n in want.iter(gone):
+            n.set("i", '<"9')
+    else:
+        assert not list(got.iter(gone)) and "é" in out.decode()
+        return
+    assert ElementTree.tostring(got) == ElementTree.tostring(want)
+
+
+def test_dropped_sheets_leave_no_names():
+    data = workbook([("A", "visible", "", ""), ("Segredo", "hidden", "", "")], company="x")
+    app = '<Properties xmlns="http://schemas.openxmlformats.org/officeDocument/2006/extended-properties"><Company>x</Company><HeadingPairs/><TitlesOfParts><t>A</t><t>Segredo</t></TitlesOfParts></Properties>'
+    out, _ = clean_workbook(_with_part(data, "docProps/app.xml", app), drop_hidden_sheets=True)
+    with zipfile.ZipFile(io.BytesIO(out)) as z:
+        assert not [n for n in z.namelist() if b"Segredo" in z.read(n)]
+
+
+def test_odd_archives_make_a_manifest_row(spark, tmp_path):
+    whole = bytearray(workbook([("A", "visible", "", "")], author="x"))
+    at = whole.find(b"PK\x01\x02")
+    whole[at + 8] |= 1  # told as encrypted
+    (tmp_path / "a.xlsx").write_bytes(bytes(whole))
+    (tmp_path / "b.xlsx").write_bytes(_with_part(bytes(workbook([("A", "visible", "", "")])), "xl/workbook.xml", "<!DOCTYPE x><x/>"))
+    rows = api.clean(spark, str(tmp_path), str(tmp_path / "out")).collect()
+    assert sorted((r.path[-6:], r.out_path, bool(r.error)) for r in rows) == [("a.xlsx", None, True), ("b.xlsx", None, True)]
+
+
+#: Published examples of the compression of macro sources.
+PACKED = {
+    "012FB000236161616263646582660070616768696A01380861 6B6C00306D6E6F70067102700410727374757610 7778797A003C": b"#aaabcdefaaaaghijaaaaaklaaamnopqaaaaaaaaaaaarstuvwxyzaaa",
+    "0103B002614500": b"a" * 73,
+}
+
+
+def _project(sources):
+    """A macro project: a compound file with a directory of modules, everything in plain sectors."""
+    import struct
+
+    def pack(raw):
+        out = b"\x01"
+        for i in range(0, len(raw), 3000):
+            part = raw[i : i + 3000]
+            body = b"".join(b"\0" + part[j : j + 8] for j in range(0, len(part), 8))
+            out += struct.pack("<H", 0xB000 | (len(body) - 1)) + body
+        return out
+
+    record = lambda k, b: struct.pack("<HI", k, len(b)) + b
+    directory = record(0x0003, struct.pack("<H", 1252)) + struct.pack("<HIIH", 0x0009, 4, 1, 2)
+    files = {}
+    for name, source in sources.items():
+        directory += record(0x0019, name.encode()) + record(0x001A, name.encode()) + record(0x0031, struct.pack("<I", 7))
+        files[name] = b"ignored" + pack(source.encode("cp1252"))
+    files["dir"] = pack(directory)
+    sectors, entries = [], []
+
+    def put(data):
+        first = len(sectors) + 2
+        data += b"\0" * (-len(data) % 512)
+        sectors.extend(data[i : i + 512] for i in range(0, len(data), 512))
+        return first, len(data) // 512
+
+    fat = [0xFFFFFFFD, 0xFFFFFFFE]
+    names = sorted(files)
+    entry = lambda name, kind, right, child, start, size: (n := (name + "\0").encode("utf-16-le")).ljust(64, b"\0") + struct.pack("<HBBIII", len(n), kind, 1, 0xFFFFFFFF, right, child) + b"\0" * 36 + struct.pack("<IQ", start, size)  # noqa: E731, F841
+    entries = [entry("Root Entry", 5, 0xFFFFFFFF, 1, 0xFFFFFFFE, 0), entry("VBA", 1, 0xFFFFFFFF, 2, 0, 0)]
+    for i, name in enumerate(names):
+        data = files[name].ljust(4096, b"\0") if len(files[name]) < 4096 else files[name]
+        if name == "dir" or len(files[name]) < 4096:
+            data = files[name] + b"\0" * max(0, 4096 - len(files[name]))
+        first, n = put(data)
+        fat += [*range(first + 1, first + n), 0xFFFFFFFE]
+        entries.append(entry(name, 2, 3 + i if i + 1 < len(names) else 0xFFFFFFFF, 0xFFFFFFFF, first, len(data)))
+    first, n = put(b"".join(entries))
+    fat += [*range(first + 1, first + n), 0xFFFFFFFE]
+    assert len(fat) <= 128
+    head = source_vba.SIGNATURE + b"\0" * 16 + struct.pack("<HHHHH", 0x3E, 3, 0xFFFE, 9, 6) + b"\0" * 10 + struct.pack("<IIIIIIII", 1, first, 0, 4096, 0xFFFFFFFE, 0, 0xFFFFFFFE, 0)
+    head += struct.pack("<109I", 0, *([0xFFFFFFFF] * 108))
+    return head + struct.pack("<128I", *fat, *([0xFFFFFFFF] * (128 - len(fat)))) + b"\0" * 512 + b"".join(sectors)
+
+
+def test_macro_sources(spark, tmp_path):
+    for packed, plain in PACKED.items():
+        assert source_vba.decompress(bytes.fromhex(packed)) == plain
+    auto = "Attribute VB_Name = \"Livro\"\r\n' Shell in a comment\r\nPrivate Declare PtrSafe Function URLDownloadToFileA Lib \"urlmon\" () As Long\r\nSub Workbook_Open()\r\n  CreateObject(\"WScript.Shell\").Run \"x\"\r\nEnd Sub\r\n"
+    data = _project({"Livro": auto, "Limpo": "Sub Soma()\r\n  Shelly = 1 ' nada\r\nEnd Sub\r\n" * 200})
+    assert dict(source_vba.modules(data))["Livro"].rstrip("\0") == auto
+    (tmp_path / "m.xlsm").write_bytes(workbook([("S", "visible", "", "")], macro=data))
+    got = {r.raw: r.ref for r in api.scan(spark, str(tmp_path), raw=True).where("kind = 'macro'").collect()}
+    assert got["xl/vbaProject.bin/Livro"] == "Workbook_Open,Shell,CreateObject,WScript,Declare URLDownloadToFileA" and got["xl/vbaProject.bin/Limpo"] == ""
+    facts = list(source.workbook_facts(workbook([("S", "visible", "", "")], macro=data[:700])))
+    assert [f["kind"] for f in facts if f.get("name", "").startswith("xl/vba")] == ["macro", "error"]
