@@ -59,3 +59,33 @@ def test_edges(spark):
 
 def test_calibration():
     assert embed.needed_collisions(24, 2.0, 1e-8) >= 12
+
+
+def test_counting_is_exact():
+    rng = np.random.default_rng(1)
+    for n, k, m, needed in ((5, 3, 24, 14), (70, 130, 24, 15), (64, 64, 7, 1), (1, 200, 31, 16)):
+        a, b = rng.standard_normal((n, m)), rng.standard_normal((k, m))
+        want = (np.abs(a[:, None] - b[None]) <= 0.9).sum(2) >= needed
+        assert (embed.collisions(a, b, 0.9, needed) == want).all()
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs just above the threshold, on several axes and many blocks, and equal vectors among them."""
+    rng = np.random.default_rng(7)
+    rows, i = [], 0
+    for k in range(2):
+        for _ in range(250):
+            a = rng.standard_normal(32)
+            a /= np.linalg.norm(a)
+            side = rng.standard_normal(32)
+            side -= (side @ a) * a
+            b = 0.9803 * a + np.sqrt(1 - 0.9803**2) * side / np.linalg.norm(side)
+            rows += [(i, a.tolist(), k), (i + 1, b.tolist(), k)]
+            i += 2
+    rows += [(i + j, rows[0][1], 0) for j in range(40)] + [(i + 40 + j, rows[1][1], 0) for j in range(3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(5)
+    rows = [tuple(r) for r in df.collect()]
+    assert embed.axes_for(600, 16) > 2
+    got = embed.near_duplicates(df, block=16)
+    compare(got.collect(), rows)
+    assert got.where("n_links > 0").count() == 1043
