@@ -31,8 +31,9 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, batch_of, materialize, prefix_hashes, slices, span_hashes, text_buffer
+from .common import batch_of, byte_hashes, materialize, slices, text_buffer
 
+#: The piece pattern of the vocabulary files.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 LEXICON_SHARE = 2e-6
 CACHE_UNITS = 250_000
@@ -297,13 +298,13 @@ class Encoder:
         self.lexicon, self.merges = map_lexicon(lexicon), merges
         self.tables = cut_tables(merges.special)
         self.cut = regex.compile("|".join(f"({regex.escape(s)})" for s in merges.special)) if merges.special else None
-        self.units: dict[int, np.ndarray] = {}
+        self.units: dict[bytes, np.ndarray] = {}
         decimal = [f"{i},".encode() for i in range(len(merges.token_len))]
         self.decimal_pool, self.decimal_len = np.frombuffer(b"".join(decimal), np.uint8), np.array([len(x) for x in decimal], np.int64)
         self.decimal_at = np.cumsum(self.decimal_len) - self.decimal_len
         self.token_at = np.cumsum(merges.token_len) - merges.token_len
 
-    def _learn(self, keys: list[int], units: list[bytes]) -> None:
+    def _learn(self, units: list[bytes]) -> None:
         known: dict[bytes, int] = {}
         parts: list[list[int]] = []
         for unit in units:
@@ -324,24 +325,22 @@ class Encoder:
         unseen = [i for i, x in enumerate(ids) if x is None]
         for i, x in zip(unseen, self.merges.merge([pieces[i] for i in unseen]), strict=True):
             ids[i] = x
-        for key, part in zip(keys, parts, strict=True):
-            self.units[key] = np.concatenate([ids[p] if p >= 0 else np.array([-1 - p]) for p in part]) if len(part) != 1 or part[0] < 0 else ids[part[0]]
+        for unit, part in zip(units, parts, strict=True):
+            self.units[unit] = np.concatenate([ids[p] if p >= 0 else np.array([-1 - p]) for p in part]) if len(part) != 1 or part[0] < 0 else ids[part[0]]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows and the rows' offsets in them."""
         if not len(data):
             return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
         starts, ends = unit_spans(data, offsets, self.tables)
-        hashes = span_hashes(prefix_hashes(data, BYTE_VALUES), starts, ends)
-        distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
+        _, first, which = np.unique(byte_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        keys = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
         if len(self.units) > CACHE_UNITS:
             self.units = {k: self.units[k] for k in keys if k in self.units}
-        new = [i for i, k in enumerate(keys) if k not in self.units]
-        raw = data.tobytes()
+        new = [k for k in keys if k not in self.units]
         for a in range(0, len(new), 20_000):
-            some = new[a : a + 20_000]
-            self._learn([keys[i] for i in some], [raw[starts[first[i]] : ends[first[i]]] for i in some])
+            self._learn(new[a : a + 20_000])
         got = [self.units[k] for k in keys]
         lens = np.array([len(x) for x in got], np.int64)
         ids = gather(np.concatenate(got), (np.cumsum(lens) - lens)[which], lens[which])

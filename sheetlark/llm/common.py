@@ -7,7 +7,7 @@ if that is longer), so a task's memory does not depend on the batch size.
 
 from __future__ import annotations
 
-import tempfile
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder
+
 SLICE_BYTES = 4 << 20
 
 _SCRATCH: list[str] = []
@@ -26,18 +28,9 @@ _TABLES: list[str] = []
 # ---------------------------------------------------------------- scratch tables
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset, one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="sheetlark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
-
-
 def scratch_path(spark: SparkSession, name: str, keep: bool = False) -> str:
     """A new path in the shared folder; unless ``keep`` is set, :func:`release` deletes it."""
-    path = f"{shared_dir(spark)}/sheetlark/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_folder(spark)}/sheetlark/{name}-{uuid.uuid4().hex[:12]}"
     if not keep:
         _SCRATCH.append(path)
     return path
@@ -144,8 +137,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 BYTE_VALUES = constants(11, 256)
-FOLDED_VALUES = BYTE_VALUES.copy()
-FOLDED_VALUES[65:91] = BYTE_VALUES[97:123]  # A-Z hash as a-z
+FOLDED = np.arange(256, dtype=np.uint8)
+FOLDED[65:91] += 32  # A-Z hash as a-z
+LONG_SPAN = 4096
 SEPARATORS = np.zeros(256, bool)
 SEPARATORS[[32, *range(9, 14)]] = True
 
@@ -159,11 +153,40 @@ def prefix_hashes(data: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans; equal spans hash equally wherever they stand."""
+    """Rolling 64-bit hashes of byte spans; equal spans hash equally wherever they stand.
+
+    Cheap for a span at every byte. Patterns that double and swap themselves can collide, so what
+    must be told apart for certain goes by :func:`byte_hashes`.
+    """
     _, inverse = _powers(len(sums))
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans, eight bytes a step, each step through the finaliser.
+
+    All spans step together; those of more than LONG_SPAN bytes are hashed one by one.
+    """
+    lens = (ends - starts).astype(np.int64)
+    out = mix(lens.astype(_U) ^ _U(BASE))
+    if not len(data):
+        return out
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    for i in np.flatnonzero(lens > LONG_SPAN).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    live = np.flatnonzero((lens > 0) & (lens <= LONG_SPAN))
+    at, left, held = starts[live].astype(np.int64), lens[live], out[live]
+    while len(live):
+        cut = (8 * np.maximum(0, 8 - left)).astype(_U)
+        held = mix((held ^ ((eight[at] << cut) >> cut)) * _U(BASE) + _U(0x2545F4914F6CDD1D))
+        going = left > 8
+        done = ~going
+        out[live[done]] = held[done]
+        live, at, left, held = live[going], at[going] + 8, left[going] - 8, held[going]
+    return out
+
+
 # ---------------------------------------------------------------- words
 
 
@@ -187,7 +210,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words with A-Z lower-cased, and the word offsets of the rows."""
     starts, ends, rows = word_spans(data, offsets)
-    return span_hashes(prefix_hashes(data, FOLDED_VALUES), starts, ends), rows
+    return byte_hashes(FOLDED[data], starts, ends), rows
 
 
 def shingle_hashes(words: np.ndarray, rows: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:

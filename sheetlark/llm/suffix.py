@@ -35,8 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
-from .common import BYTE_VALUES, batch_of, bucketed, materialize, mix, partitions, prefix_hashes, signed, slices, span_hashes, text_buffer
+from .common import BYTE_VALUES, batch_of, bucketed, byte_hashes, materialize, mix, partitions, prefix_hashes, signed, slices, span_hashes, text_buffer
 
 LENGTH, GRAM, MOST, CHUNK = 200, 64, 6000, 1 << 20
 PIECE = 2 << 20
@@ -77,7 +76,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
         stop[-1] = inside[-1]
         stop[:-1] = inside[:-1] & (new[1:] | ~inside[1:])
         last = np.flatnonzero(stop)
-        seg = span_hashes(sums, first, last + length) + mix((pick[first] - first).astype(np.uint64))
+        seg = byte_hashes(part, first, last + length) + mix((pick[first] - first).astype(np.uint64))
         out.append((row[first], h[pick[first]], first + c - offsets[row[first]], last - first + 1, pick[first] - first, seg))
     if not out:
         z = np.zeros(0, np.int64)
@@ -231,7 +230,6 @@ def _expand(cut: DataFrame, length: int) -> DataFrame:
 def _count_windows(cut: DataFrame, length: int) -> DataFrame:
     """The same ranges for anchors with very many segments: windows counted by hash."""
     schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("uid", pa.int64()), ("lo", pa.int64()), ("n", pa.int64())])
-    other = common.constants(53, 256)
 
     def run(batches):
         for batch in batches:
@@ -241,7 +239,7 @@ def _count_windows(cut: DataFrame, length: int) -> DataFrame:
                 seg = np.repeat(np.arange(part.num_rows), counts)
                 start = np.arange(len(seg)) - np.repeat(np.cumsum(counts) - counts, counts)
                 at = off[:-1][seg] + start
-                x, y = (span_hashes(prefix_hashes(data, v), at, at + length) for v in (BYTE_VALUES, other))
+                x, y = span_hashes(prefix_hashes(data, BYTE_VALUES), at, at + length), byte_hashes(data, at, at + length)
                 uid, lo, n = (part.column(c).to_numpy() for c in ("uid", "lo", "n"))
                 yield batch_of(schema, x=signed(x), y=signed(y), uid=uid[seg], lo=lo[seg] + start, n=n[seg])
 

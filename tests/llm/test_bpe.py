@@ -69,3 +69,30 @@ def test_shared_suffixes():
     assert len(lexicon["final"]) < sum(map(len, words)) // 2 + 1
     assert sorted(bpe.walk(lexicon, words).tolist()) == [0, 1, 2, 3]
     assert bpe.walk(lexicon, [b"walk", b"walkings", b""]).tolist() == [-1, -1, -1]
+
+
+def test_documents_match_the_library(spark):
+    """The registered query over a whole table, against the library."""
+    from sheetlark.llm.queries import op10_bpe
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: r for r in op10_bpe(spark, sf).collect()}
+    assert len(got) == len(docs)
+    for r, (ids, decoded) in zip(docs, expected([r.text for r in docs])):
+        mine = got[r.doc_id]
+        assert (mine.n_tokens, mine.ids_sha256, mine.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+
+
+def test_units_are_told_apart_by_their_bytes(encoder):
+    import pyarrow as pa
+
+    from sheetlark.llm.common import text_buffer
+
+    a = "a"
+    while len(a) < 1024:
+        a += a.translate({97: 98, 98: 97})
+    mine, theirs = encoder
+    for text in (a, a.translate({97: 98, 98: 97})):
+        ids, _ = mine.encode(*text_buffer(pa.array([text])))
+        assert ids.tolist() == theirs.encode(text, add_special_tokens=False).ids
