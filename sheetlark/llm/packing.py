@@ -2,13 +2,15 @@
 
 A document of more than the longest length is cut into full pieces and a rest. Pieces are
 dealt by hash to groups of about ``group_items``; every group is packed alone, so the work is
-spread and each task sees a bounded list of lengths, never texts. Inside a group, longest
-piece first:
+spread and each task sees a bounded list of lengths, never texts. A sequence of capacity c
+costs ``overhead`` + c + c^2 / ``attention``: long sequences cost more by attention, short ones
+by their fixed part and the room that stays empty. Inside a group, longest piece first:
 
 * a piece goes to the open bin that it fills best (least room left over);
-* if none fits, a bin is opened whose size costs least per token it can still hold, counting
-  the tokens that are left to pack; ``overhead`` is the fixed cost of a sequence;
-* at the end every bin shrinks to the smallest permitted length that holds its contents.
+* if none fits, each permitted size bids its cost for every token that a bin of it could take
+  up from the pieces still left, longest first, and the least bid opens the bin;
+* at the end every bin shrinks to the smallest permitted length that holds its contents;
+* the same is done with each size alone, and the plan of least total cost is taken.
 
 Texts that are null or have no word have length 0 and take no bin: their row has a null
 bin_id. Repeated rows are told apart by ``copy`` and each is packed. Null ids are ids like
@@ -18,14 +20,18 @@ the data only, not on the partitions.
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
-OVERHEAD, GROUP_ITEMS = 32, 20_000
+OVERHEAD, ATTENTION, GROUP_ITEMS = 32, 16_384, 20_000
+COPIES = 10_000
 SPACE = r"[\x20\x09-\x0D]+"
 PACKED = "bin_id long, capacity int, copy int, piece int, start long, length long, offset long"
 
@@ -36,48 +42,91 @@ def word_count(text: Column) -> Column:
     return F.when(text.isNull() | (bare == ""), F.lit(0)).otherwise(F.size(F.split(bare, SPACE))).cast("long")
 
 
-def best_fit(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD) -> list[tuple[int, int, int]]:
-    """For each length, in the order given, its bin, the bin's final capacity and its offset in the bin.
+def cost(capacity: int, overhead: int = OVERHEAD, attention: int = ATTENTION) -> float:
+    """What a sequence of ``capacity`` costs: a fixed part, its length, and attention, which grows with the square."""
+    return overhead + capacity + capacity * capacity / attention
+
+
+def total_cost(placed: list[tuple[int, int, int]], overhead: int = OVERHEAD, attention: int = ATTENTION) -> float:
+    return sum(cost(c, overhead, attention) for _, c in {(b, c) for b, c, _ in placed})
 
-    No length may exceed the largest capacity.
+
+def _plan(lengths: list[int], sizes: list[int], prices: dict[int, float], single: int | None = None) -> list[tuple[int, int, int]]:
+    """Best fit of ``lengths``, longest first.
+
+    A bin is opened at the size of least cost for each token it can take up, or, with ``single``,
+    at that size or the next that holds the piece.
     """
-    sizes = sorted(capacities)
-    left = sum(lengths)
+    fitting = [-n for n in lengths]  # ascending, for searches
+    sums = [0, *accumulate(lengths)]
     room: list[tuple[int, int]] = []  # (room left, bin), ascending
     used: list[int] = []
-    place: list[tuple[int, int]] = [(0, 0)] * len(lengths)
-    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
-        n = lengths[i]
+    place: list[tuple[int, int]] = []
+
+    def filled(capacity: int, i: int) -> int:
+        """Tokens that a bin opened for piece ``i`` can take up from the pieces still left, longest first."""
+        free, at = capacity - lengths[i], i + 1
+        while free and (at := bisect_left(fitting, -free, at)) < len(lengths):
+            to = bisect_right(sums, sums[at] + free, at) - 1  # as many in a row as fit
+            free -= sums[to] - sums[at]
+            at = to
+        return capacity - free
+
+    for i, n in enumerate(lengths):
         at = bisect_left(room, (n, -1))
         if at < len(room):
             free, b = room.pop(at)
         else:
-            free = min((c for c in sizes if c >= n), key=lambda c: ((c + overhead) / min(c, left), c))
-            b = len(used)
+            best = None
+            for c in sizes[bisect_left(sizes, max(n, single or 0)) :][: 1 if single else None]:
+                holds = filled(c, i)
+                bid = (prices[sizes[bisect_left(sizes, holds)]] / holds, c)
+                best = min(best or bid, bid)
+            free, b = best[1], len(used)
             used.append(0)
-        place[i] = (b, used[b])
+        place.append((b, used[b]))
         used[b] += n
-        left -= n
         if free > n:
             insort(room, (free - n, b))
-    final = [next(c for c in sizes if c >= u) for u in used]
+    final = [sizes[bisect_left(sizes, u)] for u in used]
     return [(b, final[b], offset) for b, offset in place]
 
 
-def pack(df: DataFrame, *, id: str = "doc_id", text: str = "text", length: Column | None = None, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, group_items: int = GROUP_ITEMS) -> DataFrame:
+def best_fit(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, attention: int = ATTENTION) -> list[tuple[int, int, int]]:
+    """For each length, in the order given, its bin, the bin's final capacity and its offset in the bin.
+
+    No length may exceed the largest capacity. One plan opens bins of all sizes jointly, and one
+    for each size keeps to that size where it can; the plan of least total cost is taken.
+    """
+    sizes = sorted(capacities)
+    prices = {c: cost(c, overhead, attention) for c in sizes}
+    order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
+    ranked = [lengths[i] for i in order]
+    best = min((_plan(ranked, sizes, prices, single) for single in (None, *sizes)), key=lambda p: total_cost(p, overhead, attention))
+    out: list[tuple[int, int, int]] = [(0, 0, 0)] * len(lengths)
+    for i, x in zip(order, best, strict=True):
+        out[i] = x
+    return out
+
+
+def pack(df: DataFrame, *, id: str = "doc_id", text: str = "text", length: Column | None = None, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, attention: int = ATTENTION, group_items: int = GROUP_ITEMS) -> DataFrame:
     """One row per piece: ``(id, copy, piece, start, length, bin_id, capacity, offset)``."""
     most = max(capacities)
-    sized = df.select(F.col(id).cast("long").alias("row_id"), (word_count(F.col(text)) if length is None else F.coalesce(length, F.lit(0))).cast("long").alias("total"))
-    rows = sized.groupBy("row_id", "total").agg(F.count("*").alias("n")).select("row_id", "total", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
+    total = (word_count(F.col(text)) if length is None else F.coalesce(length, F.lit(0))).cast("long")
+    # texts are read once, for their lengths
+    sized = materialize(df.select(F.col(id).cast("long").alias("row_id"), total.alias("total")).groupBy("row_id", "total").agg(F.count("*").alias("n")), "lengths")
+    groups = max(1, -(-(sized.agg(F.sum("n")).first()[0] or 0) // group_items))
+    # copies are numbered in two steps, so that no array is longer than COPIES where there are COPIES squared of them
+    some = sized.select("row_id", "total", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / F.lit(COPIES)), F.lit(1).cast("long"))).alias("k"))
+    last = F.least(F.lit(COPIES).cast("long"), F.col("n") - F.col("k") * COPIES)
+    rows = some.select("row_id", "total", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), last), lambda j: (F.col("k") * COPIES + j).cast("int"))).alias("copy"))
     pieces = rows.where("total > 0").select("row_id", "copy", "total", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1, F.lit(most).cast("long"))).alias("piece", "start"))
     pieces = pieces.select("row_id", "copy", "piece", "start", F.least(F.lit(most).cast("long"), F.col("total") - F.col("start")).alias("length"))
-    items = df.count()
-    groups = max(1, -(-items // group_items))
     dealt = pieces.withColumn("g", F.pmod(F.xxhash64("row_id", "copy", "piece"), F.lit(groups)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "row_id", "copy", "piece"], ascending=[False, True, True, True]).reset_index(drop=True)
-        placed = best_fit(pdf["length"].tolist(), capacities, overhead)
+        placed = best_fit(pdf["length"].tolist(), capacities, overhead, attention)
         bins, caps, offsets = zip(*placed, strict=True)
         first = int(pdf["g"].iloc[0]) << 32
         return pdf.drop(columns="g").assign(bin_id=[first + b for b in bins], capacity=list(caps), offset=list(offsets))

@@ -72,3 +72,50 @@ def test_best_fit_follows_the_rules():
     # 60 opens a 64; 4 fits it exactly; 9 and 3 would cost least in one bin of 64 that later shrinks
     assert packing.best_fit([60, 4, 9, 3], (4, 10, 64), 0) == [(0, 64, 0), (0, 64, 60), (1, 10, 0), (2, 4, 0)]
     assert packing.best_fit([3, 3, 3], (4, 10, 64), 8) == [(0, 10, 0), (0, 10, 3), (0, 10, 6)]
+
+
+def optimum(lengths, capacities, overhead):
+    """Least total cost over all ways to share the lengths out, by trying every one."""
+    sizes = sorted(capacities)
+    price = lambda used: packing.cost(next(c for c in sizes if c >= used), overhead)
+    best = float("inf")
+
+    def deal(i, bins):
+        nonlocal best
+        if i == len(lengths):
+            best = min(best, sum(map(price, bins)))
+            return
+        for k in range(len(bins)):
+            if bins[k] + lengths[i] <= sizes[-1]:
+                deal(i + 1, [*bins[:k], bins[k] + lengths[i], *bins[k + 1 :]])
+        deal(i + 1, [*bins, lengths[i]])
+
+    deal(0, [])
+    return best
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 64), min_size=1, max_size=7), st.integers(0, 20))
+def test_close_to_the_optimum(lengths, overhead):
+    placed = packing.best_fit(lengths, (4, 10, 24, 64), overhead)
+    assert packing.total_cost(placed, overhead) <= 1.5 * optimum(lengths, (4, 10, 24, 64), overhead) + 1e-9
+
+
+def test_sizes_are_planned_jointly(spark):
+    """No single size costs as little as the plan, and several sizes are opened, not only at the end."""
+    rows = op8_packing(spark, "/root/testdata/sf0.01").where("bin_id is not null").collect()
+    bins = {(r.bin_id, r.capacity) for r in rows}
+    sizes = [c for _, c in bins]
+    assert sum(sizes.count(c) > 2 for c in packing.CAPACITIES) >= 3
+    lengths = sorted((r.length for r in rows), reverse=True)
+    total = sum(packing.cost(c) for c in sizes)
+    for alone in packing.CAPACITIES[2:]:
+        assert total < packing.total_cost(packing._plan(lengths, list(packing.CAPACITIES), {c: packing.cost(c) for c in packing.CAPACITIES}, alone))
+    alone = [packing.best_fit([n], packing.CAPACITIES)[0][1] for n in lengths]
+    assert total < 0.8 * sum(map(packing.cost, alone))
+
+
+def test_many_copies_of_one_row(spark):
+    df = spark.range(25_001).selectExpr("CAST(NULL AS LONG) AS doc_id", "'a b' AS text")
+    got = packing.pack(df).agg({"copy": "max", "piece": "max", "length": "sum"}).first()
+    assert (got["max(copy)"], got["sum(length)"]) == (25_001, 50_002)
