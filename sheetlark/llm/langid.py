@@ -1,8 +1,8 @@
 """Language ID of mixed-language text: script candidates, word scores, Viterbi spans.
 
 * Training counts hashed byte trigrams of lower-cased words per language, on at most about
-  ``docs_per_language`` labelled rows of each language (the documented bound; rows are taken
-  by a hash of their text, so the sample is the same on every run). It also learns which
+  ``docs_per_language`` different labelled texts of each language (the documented bound; texts
+  are taken by their hash, so the sample is the same on every run, and copies count once). It also learns which
   scripts each language writes.
 * A word's script (Unicode ranges) narrows the languages it may belong to; its score in each
   is the summed log-probability of its trigrams.
@@ -50,9 +50,10 @@ SCRIPT_RANGES = (
 SCRIPTS = ("none", *dict.fromkeys(name for name, _, _ in SCRIPT_RANGES), "other")
 BUCKET_BITS = 18
 SMOOTHING = 0.5
+LABEL = np.int16
 SWITCH_PENALTY = 12.0
 BARRED = -60.0  # a word in a script that the language does not write
-VITERBI_WORDS = 2_500_000
+VITERBI_SCORES = 10_000_000  # words times languages held at once
 
 
 @lru_cache(maxsize=1)
@@ -108,11 +109,14 @@ class Model:
 def fit(df: DataFrame, *, text: str = "text", lang: str = "lang", docs_per_language: int = 2000) -> Model:
     """Learn from the rows of ``df`` with text and label; what reaches the driver is bounded by languages x buckets."""
     labelled = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    found = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("text")).alias("texts")).collect()
+    counts = {r.lang: r.n for r in found}
     languages = tuple(sorted(counts))
+    if len(languages) > np.iinfo(LABEL).max:
+        raise ValueError(f"{len(languages)} languages are more than labels can tell apart")
     if not languages:
         return Model((), np.zeros((0, 1 << BUCKET_BITS), np.float32), np.zeros((len(SCRIPTS), 0), bool), -1)
-    share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, docs_per_language / counts[k]))])
+    share = F.create_map(*[F.lit(x) for r in found for x in (r.lang, min(1.0, docs_per_language / max(1, r.texts)))])
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     place = {k: i for i, k in enumerate(languages)}
     schema = pa.schema([("l", pa.int32()), ("k", pa.int32()), ("n", pa.int64())])
@@ -132,7 +136,9 @@ def fit(df: DataFrame, *, text: str = "text", lang: str = "lang", docs_per_langu
         l, k = np.nonzero(total)
         yield batch_of(schema, l=l.astype(np.int32), k=k.astype(np.int32), n=total[l, k])
 
-    rows = labelled.where(draw < share[F.col("lang")]).mapInArrow(tally, "l int, k int, n long").groupBy("l", "k").agg(F.sum("n").alias("n")).toPandas()
+    # copies of a text are drawn together and count once
+    drawn = labelled.where(draw < share[F.col("lang")]).dropDuplicates(["lang", "text"])
+    rows = drawn.mapInArrow(tally, "l int, k int, n long").groupBy("l", "k").agg(F.sum("n").alias("n")).toPandas()
     total = np.zeros((len(languages), (1 << BUCKET_BITS) + len(SCRIPTS)))
     total[rows.l.to_numpy(np.int64), rows.k.to_numpy(np.int64)] = rows.n
     grams, scripts = total[:, : 1 << BUCKET_BITS], total[:, 1 << BUCKET_BITS :]
@@ -178,9 +184,9 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float = SWITCH_PENA
     counts, first = counts[order], first[order]
     steps = int(counts[0]) if len(counts) else 0
     active = np.searchsorted(-counts, -np.arange(steps), "left")  # rows with more words than the step
-    labels = np.zeros(len(scores), np.int8)
-    come = np.zeros(scores.shape, np.int8)
-    here = np.arange(scores.shape[1], dtype=np.int8)
+    labels = np.zeros(len(scores), LABEL)
+    come = np.zeros(scores.shape, LABEL)
+    here = np.arange(scores.shape[1], dtype=LABEL)
     v = np.zeros((len(counts), scores.shape[1]), np.float64)
     for t in range(steps):
         n = active[t]
@@ -189,10 +195,10 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float = SWITCH_PENA
             best = v[:n].argmax(1)
             jump = v[np.arange(n), best] - penalty
             stay = v[:n] >= jump[:, None]
-            come[at] = np.where(stay, here, best[:, None].astype(np.int8))
+            come[at] = np.where(stay, here, best[:, None].astype(LABEL))
             v[:n] = np.where(stay, v[:n], jump[:, None])
         v[:n] += scores[at]
-    now = v.argmax(1).astype(np.int8)
+    now = v.argmax(1).astype(LABEL)
     for t in range(steps - 1, -1, -1):
         n = active[t]
         at = first[:n] + t
@@ -208,7 +214,7 @@ def _flush(model: Model, parts: list) -> tuple[list, list, list, list]:
     names = model.languages
     scores = np.concatenate([p[4] for p in parts])
     counts = np.concatenate([np.diff(p[3]) for p in parts])
-    labels = viterbi(scores, counts) if len(names) and len(scores) else np.zeros(len(scores), np.int8)
+    labels = viterbi(scores, counts) if len(names) and len(scores) else np.zeros(len(scores), LABEL)
     starts, ends = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
     letters = np.concatenate([p[5] for p in parts])
     rows = np.concatenate([[0], np.cumsum(counts)])
@@ -269,7 +275,7 @@ def predict(df: DataFrame, model: Model, *, id: str = "doc_id", text: str = "tex
                 base = np.repeat(off[:-1], np.diff(rows))
                 held.append((None, starts - base, ends - base, rows, scores, letters, has, part))
                 words += len(starts)
-                if words >= VITERBI_WORDS:
+                if words * max(1, len(m.languages)) >= VITERBI_SCORES:
                     yield out(held)
                     held, words = [], 0
         if held:

@@ -66,3 +66,21 @@ def test_mixed_text_has_spans(spark):
     r = langid.predict(df, model).first()
     assert {s.lang for s in r.spans} == {"en", "es"} and len(r.spans) <= 6
     assert r.spans[0].start == 0 and all(a.end <= b.start for a, b in zip(r.spans, r.spans[1:]))
+
+
+def test_many_languages_keep_their_labels():
+    import numpy as np
+
+    scores = np.full((6, 300), -5.0, np.float32)
+    scores[:3, 290] = scores[3:, 140] = 30.0
+    assert langid.viterbi(scores, np.array([3, 3])).tolist() == [290] * 3 + [140] * 3
+
+
+def test_copies_do_not_crowd_a_language_out(spark):
+    """A language of many copies of few texts is learned as well as one of many texts."""
+    rows = [(i, f"word{i} another{i} the of and", "xx") for i in range(300)] + [(1000 + i, f"żółw ślimak {i % 3} gęś", "yy") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, docs_per_language=3)
+    assert set(model.languages) == {"xx", "yy"}
+    got = langid.predict(df.where("doc_id in (5, 1001)"), model).collect()
+    assert {r.doc_id: r.lang_pred for r in got}[1001] == "yy"
