@@ -15,11 +15,13 @@ Steps, none of which gathers a group in one task:
 3. Round one verifies each set against the smallest set of each of its buckets. What is
    confirmed is contracted to classes.
 4. Round two compares, bucket by bucket, only sets of different classes. Buckets of up to
-   ``block`` such sets yield their cross pairs. Larger ones go the exact way: sets at
+   ``block`` such sets yield their cross pairs, and a pair is verified that shares as many
+   tables as :func:`least_tables` asks for. Larger ones go the exact way: sets at
    Jaccard >= t share one of their first (1 - t) * n + 1 shingles under any one order, here
    with the most common shingles last, so only sets that share such a shingle, at ranks that
    leave enough behind it, are paired.
-5. Every link is confirmed by intersecting full shingle sets.
+5. Every link is confirmed by intersecting full shingle sets; pairs whose sizes rule them out
+   are left out before.
 
 Rows without words (or with null text) have empty sets and link with nothing. Rows with a
 null id link with nothing and stay. A repeated id is one vertex. Extra columns are not read.
@@ -29,7 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch_of, constants, distinct_in_rows, materialize, mix, shingle_hashes, signed, slices, text_buffer, word_hashes
@@ -52,6 +54,22 @@ def half_keys(shingles: np.ndarray, rows: np.ndarray, halves: int, width: int) -
     return out
 
 
+def least_tables(halves: int, width: int, percent: int) -> int:
+    """Tables that a pair must share to be a candidate: two where that loses next to nothing, else one.
+
+    Half-keys in common are binomial in each collection and tables in common their product. Two
+    are asked for if pairs at the threshold with just one are under a hundredth of those with none.
+    """
+    p = (percent / 100) ** width
+    none, one = (1 - p) ** halves, halves * p * (1 - p) ** (halves - 1)
+    return 2 if one * one <= 0.01 * (2 * none - none * none) else 1
+
+
+def _alike(a: Column, b: Column, percent: int) -> Column:
+    """Whether sets of these sizes can reach ``percent`` of their union."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
 def signatures(df: DataFrame, *, id: str, text: str, size: int, halves: int, width: int) -> DataFrame:
     """``(id, n_shingles, set_hash, keys array<long>)`` of whole texts."""
     schema = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.int64()), ("keys", pa.list_(pa.int64()))])
@@ -102,27 +120,30 @@ def links(df: DataFrame, *, id: str = "doc_id", text: str = "text", size: int =
     half = reps.select("id", "n_shingles", F.posexplode("keys").alias("i", "h"))
     shared = half.groupBy("i", "h").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("i", "h")
     kept = materialize(half.join(shared, ["i", "h"], "left_semi").groupBy("id", "n_shingles").agg(F.collect_list(F.when(F.col("i") < halves, F.struct("i", "h"))).alias("u"), F.collect_list(F.when(F.col("i") >= halves, F.struct("i", "h"))).alias("v")).where("size(u) > 0 and size(v) > 0"), "halves")
-    keys = kept.select("id", F.explode("u").alias("u"), "v").select("id", "u", F.explode("v").alias("v")).select("id", F.xxhash64("u.i", "u.h", "v.i", "v.h").alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("key", "least")
-    table = materialize(keys.join(buckets, "key").select("key", "least", "id").distinct(), "tables")
+    keys = kept.select("id", "n_shingles", F.explode("u").alias("u"), "v").select("id", "n_shingles", "u", F.explode("v").alias("v")).select("id", F.col("n_shingles").alias("m"), F.xxhash64("u.i", "u.h", "v.i", "v.h").alias("key"))
+    buckets = keys.groupBy("key").agg(F.min(F.struct("id", "m")).alias("l"), F.max("id").alias("most")).where("l.id <> most").select("key", F.col("l.id").alias("least"), F.col("l.m").alias("least_m"))
+    table = materialize(keys.join(buckets, "key").select("key", "least", "least_m", "id", "m").distinct(), "tables")
 
     ids = table.select("id").distinct()
     chosen = df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi").dropDuplicates(["id"])
     sets = materialize(shingle_sets(chosen, id="id", text="text", size=size), "sets")
-    star = table.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
+    # sizes alone rule many pairs out before any set moves
+    star = table.where((F.col("id") != F.col("least")) & _alike(F.col("m"), F.col("least_m"), percent)).select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
     one = materialize(confirmed(star, sets, percent), "stars")
 
     classes = components(one).select("id", F.col("component_id").alias("class"))
-    placed = table.select("key", "id").join(classes, "id", "left").select("key", "id", F.coalesce("class", "id").alias("class"))
+    placed = table.select("key", "id", "m").join(classes, "id", "left").select("key", "id", "m", F.coalesce("class", "id").alias("class"))
     open_ = placed.groupBy("key").agg(F.min("class").alias("c0"), F.max("class").alias("c1"), F.count("*").alias("n")).where("c0 <> c1").select("key", "n")
     rest = materialize(placed.join(open_, "key"), "open")
-    few = rest.where(F.col("n") <= block).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("id", "class"))).alias("m"))
-    small = few.select(F.explode("m").alias("x"), "m").select("x", F.explode(F.filter("m", lambda y: (y["id"] > F.col("x.id")) & (y["class"] != F.col("x.class")))).alias("y"))
-    # a pair that is due misses all tables but one with probability below 1e-8, so one common bucket is no
-    # sign of it; those that share a large one as well come from there
-    cross = small.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).groupBy("a", "b").agg(F.count("*").alias("k")).where("k > 1").select("a", "b")
-    often = rest.groupBy("id").agg(F.count("*").alias("open")).where("open > 1").select("id")
-    large = rest.where(F.col("n") > block).select("id", "class").distinct().join(often, "id", "left_semi")
+    few = rest.where(F.col("n") <= block).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("id", "class", "m"))).alias("s"))
+    later = F.filter("s", lambda y: (y["id"] > F.col("x.id")) & (y["class"] != F.col("x.class")) & _alike(y["m"], F.col("x.m"), percent))
+    small = few.select(F.explode("s").alias("x"), "s").select("x", F.explode(later).alias("y"))
+    needed = least_tables(halves, width, percent)
+    # a pair may share one small and one large bucket: whoever is in several stays in the large ones
+    cross = small.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).groupBy("a", "b").agg(F.count("*").alias("k")).where(F.col("k") >= needed).select("a", "b")
+    large = rest.where(F.col("n") > block).select("id", "class").distinct()
+    if needed > 1:
+        large = large.join(rest.groupBy("id").agg(F.count("*").alias("open")).where(F.col("open") >= needed).select("id"), "id", "left_semi")
     if not large.isEmpty():
         cross = cross.unionByName(_by_rare_shingles(large, sets, percent))
     two = materialize(confirmed(cross.distinct().join(star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti"), sets, percent), "crossed")

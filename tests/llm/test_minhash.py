@@ -69,3 +69,32 @@ def test_edges(spark):
     assert minhash.near_duplicates(df.limit(0)).collect() == []
     kept = minhash.drop_near_duplicates(df)
     assert kept.columns == df.columns and kept.count() == 4
+
+
+def test_tables_asked_for_follow_the_options():
+    assert minhash.least_tables(16, 2, 75) == 2
+    assert minhash.least_tables(16, 2, 50) == 1 and minhash.least_tables(4, 4, 75) == 1
+
+
+def test_other_options_lose_nothing(spark):
+    """At a low threshold with wide tables one common table is enough."""
+    import random
+
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    base = [rng.choice(words) for _ in range(60)]
+    texts = [(i, " ".join(w if rng.random() > 0.03 else rng.choice(words) for w in base)) for i in range(30)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, percent=50, halves=24, width=1).collect()}
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    sets, up = {i: shingles(t) for i, t in texts}, {i: i for i, _ in texts}
+    for _ in range(30):
+        for i in sets:
+            for j in sets:
+                if 100 * len(sets[i] & sets[j]) >= 50 * len(sets[i] | sets[j]):
+                    up[j] = up[i] = min(up[i], up[j])
+    assert got == up
