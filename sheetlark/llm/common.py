@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import shared_folder
 
 SLICE_BYTES = 4 << 20
+MOST_BUCKETS = 50_000  # half of what Spark allows by default
 
 _SCRATCH: list[str] = []
 _TABLES: list[str] = []
@@ -62,6 +63,15 @@ def bucketed(df: DataFrame, n: int, column: str, name: str) -> DataFrame:
     return spark.table(name)
 
 
+def text_bytes(df: DataFrame, text: str) -> int:
+    return df.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
+
+
+def buckets_for(df: DataFrame, text: str, each: int = 64 << 20) -> int:
+    """Buckets of about ``each`` bytes of text: a bucket is one task's, so their number follows the data."""
+    return min(MOST_BUCKETS, max(partitions(df.sparkSession), text_bytes(df, text) // each + 1))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

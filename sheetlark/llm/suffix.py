@@ -16,12 +16,12 @@ Suffixes are first dealt to buckets so that no bucket needs the corpus:
    bytes. Each gets a suffix order and its Burrows-Wheeler transform; a breadth-first
    backward extension then derives the common prefixes in increasing value. It stops at
    ``length``: boundaries still open there are exactly the pairs that share a repeat.
-4. An anchor with more than ``most`` different segments goes the exact way for large groups:
-   its windows are counted by 128-bit hash, pre-aggregated, and spread over all tasks.
+4. The transform is built in memory, so an anchor with more than ``most`` different segments
+   goes the exact way for large groups instead: its windows are counted by 128-bit hash,
+   pre-aggregated, and spread over all tasks. Both ways give the same ranges.
 5. Covered ranges are gathered per row (bounded by the row itself) and applied.
 
-Null texts are empty; texts shorter than ``length`` keep everything unless they equal nothing
-that long; repeated rows count as different places, so their strings go in all of them. Rows
+Null texts are empty; texts shorter than ``length`` keep everything; repeated rows count as different places, so their strings go in all of them. Rows
 are told apart by an internal key, so null or repeated ids do no harm. An empty table gives no
 rows; extra columns are carried through untouched.
 """
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, batch_of, bucketed, byte_hashes, materialize, mix, partitions, prefix_hashes, signed, slices, span_hashes, text_buffer
+from .common import BYTE_VALUES, batch_of, bucketed, buckets_for, byte_hashes, materialize, mix, prefix_hashes, signed, slices, span_hashes, text_buffer
 
 LENGTH, GRAM, MOST, CHUNK = 200, 64, 6000, 1 << 20
 PIECE = 2 << 20
@@ -253,13 +253,14 @@ def _count_windows(cut: DataFrame, length: int) -> DataFrame:
 
 def _keyed(df: DataFrame) -> DataFrame:
     """The table with a row key, bucketed by it, so that joins by key leave the texts in place."""
-    return bucketed(df.withColumn("uid", F.monotonically_increasing_id()), partitions(df.sparkSession), "uid", "keyed")
+    return bucketed(df.withColumn("uid", F.monotonically_increasing_id()), buckets_for(df, "text"), "uid", "keyed")
 
 
 def covered_ranges(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
     """Ranges ``(uid, lo, hi)`` of ``keyed`` texts whose bytes repeat; ranges may overlap."""
     found = materialize(_anchor_rows(keyed, length, gram), "anchors")
-    often = found.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
+    # written first: adaptive execution can then split the occurrences of a hot anchor in the join
+    often = materialize(found.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "often")
     shared = materialize(found.join(often, "h", "left_semi"), "shared")
     segments = materialize(shared.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("uid", "lo", "w")).alias("m")).select("h", "g", "n", "m.*"), "segments")
     whole = shared.join(segments.where("n > 1").select("h", "g"), ["h", "g"], "left_semi").select("uid", "lo", (F.col("lo") + F.col("w") + length - 1).alias("hi"))
