@@ -2,8 +2,8 @@
 
 Records are dealt to shards by ranges of their id, sorted within them, and written as one
 gzip member each; a file is rolled when its compressed size passes ``roll_bytes``. Range
-bounds come from exact byte counts over ``BINS`` equal id intervals, so the same table gives
-the same files whatever the cluster. Headers, lengths and SHA-256 digests are made anew.
+bounds come from exact sums of bytes in order of id, so shards are even however the ids are
+spread, and the same table gives the same files whatever the cluster. Headers, lengths and SHA-256 digests are made anew.
 
 A task writes under a temporary name and renames the file when it is complete. File names and
 contents depend on the data alone, so a task that runs twice replaces its file with the same
@@ -12,8 +12,8 @@ readers open only what it lists.
 
 Payloads that are null count as empty. Equal payloads of ``dedup_bytes`` or more are stored
 once, in the record of the smallest id; the others are revisit records. Rows with a null id
-are written in the last shard, are always responses, and take no part in the deduplication;
-rows that repeat an id stay, ordered by url and payload. An empty table makes an empty manifest.
+are dealt over all shards and written last there; they are always responses and take no part
+in the deduplication. Rows that repeat an id stay, ordered by url and payload, in one shard. An empty table makes an empty manifest.
 """
 
 from __future__ import annotations
@@ -24,14 +24,17 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize
 
-BINS = 4096
+MOST_SHARDS = 100_000
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "file string, bytes long, sha256 string, records long, shard int, first_id long, last_id long"
@@ -107,32 +110,55 @@ class _Shard:
         return self.name, self.bytes, self.sha.hexdigest(), self.records, self.shard, self.first, self.last
 
 
-def _shards(meta: DataFrame, shard_bytes: int) -> tuple[F.Column, int]:
-    """The shard of ``id``: equal id intervals, joined up to about ``shard_bytes`` each. At most BINS rows reach the driver."""
-    low, high = meta.agg(F.min("id"), F.max("id")).first()
-    low, high = low or 0, high or 0
-    width = (high - low) // BINS + 1
-    bin_ = F.floor((F.col("id") - F.lit(low)) / F.lit(width)).cast("int")
-    sizes = {r.b: r.n for r in meta.where("id is not null").groupBy(bin_.alias("b")).agg(F.sum(F.col("bytes") + 500).alias("n")).collect()}
-    shard, held, place = 0, 0, []
-    for b in range(BINS):
-        if held >= shard_bytes:
-            shard, held = shard + 1, 0
-        place.append(shard)
-        held += sizes.get(b, 0)
-    return F.coalesce(F.element_at(F.lit(place), bin_ + 1), F.lit(shard)), shard + 1
+def _bounds(meta: DataFrame, shard_bytes: int) -> list[int]:
+    """First ids of the shards after the first: the ids at which the bytes so far, in order of id, pass a multiple of ``shard_bytes``.
 
+    Sums are exact and depend on the data alone. The driver meets one sum a partition and one id
+    a shard; beyond MOST_SHARDS shards, shards grow instead.
+    """
+    schema = pa.schema([("p", pa.int32()), ("id", pa.int64()), ("upto", pa.int64())])
 
-def write_warc(pages: DataFrame, folder: str, *, id: str = "page_id", url: str = "url", payload: str = "html", shard_bytes: int = 16 << 20, roll_bytes: int = 64 << 20, dedup_bytes: int = 100, level: int = 6) -> DataFrame:
+    def run(batches):
+        part, total = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            sums = total + np.cumsum(batch.column("n").to_numpy())
+            total = int(sums[-1]) if len(sums) else total
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sums), part), pa.int32()), batch.column("id"), pa.array(sums, pa.int64())], schema=schema)
+
+    # rows of one id count as one, so that they stay in one shard whatever their order
+    sizes = meta.where("id is not null").groupBy("id").agg(F.sum(F.col("bytes") + 500).alias("n"))
+    summed = materialize(sizes.repartitionByRange("id").sortWithinPartitions("id").mapInArrow(run, "p int, id long, upto long"), "warc-sums")
+    ends = sorted((r.p, r.n) for r in summed.groupBy("p").agg(F.max("upto").alias("n")).collect())
+    before, total = {}, 0
+    for p, n in ends:
+        before[p], total = total, total + n
+    if total <= shard_bytes:
+        return []
+    each = max(shard_bytes, total // MOST_SHARDS + 1)
+    offset = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("p"))
+    # a shard's place in the order is where the row before its first one ends
+    of = F.floor((F.col("upto") + offset - 1) / F.lit(each))
+    return sorted(r.first for r in summed.groupBy(of.alias("s")).agg(F.min("id").alias("first")).collect())[1:]
+
+
+def write_warc(pages: DataFrame, folder: str, *, id: str = "page_id", url: str = "url", payload: str = "html", shard_bytes: int = 64 << 20, roll_bytes: int = 8 << 20, dedup_bytes: int = 100, level: int = 6) -> DataFrame:
     """Write ``pages`` below ``folder`` and return the committed manifest."""
     rows = pages.select(F.col(id).cast("long").alias("id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"))
     meta = materialize(rows.select("id", "url", F.sha2("payload", 256).alias("digest"), F.length("payload").cast("long").alias("bytes")), "warc-meta")
-    shard, n = _shards(meta, shard_bytes)
+    bounds = pages.sparkSession.sparkContext.broadcast(np.array(_bounds(meta, shard_bytes), np.int64))
+    n = len(bounds.value) + 1
+
+    @F.pandas_udf("int")
+    def place(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds.value, ids.to_numpy(np.int64), "right").astype(np.int32))
+
+    # rows without id are dealt by what they hold
+    shard = F.when(F.col("id").isNull(), F.pmod(F.xxhash64("url", "digest"), F.lit(n)).cast("int")).otherwise(place(F.coalesce("id", F.lit(0))))
     large = meta.where((F.col("bytes") >= dedup_bytes) & F.col("id").isNotNull())
     first = large.groupBy("digest").agg(F.min(F.struct("id", "url")).alias("m"), F.max("id").alias("most")).where("m.id <> most").select("digest", F.col("m.id").alias("to_id"), F.col("m.url").alias("to_url"))
-    marks = large.join(first, "digest").where("id <> to_id").select("id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.unhex("digest").alias("payload"), "to_id", "to_url").distinct()
-    full = rows.select("id", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("to_id"), F.lit(None).cast("string").alias("to_url"))
-    dealt = full.unionByName(marks).withColumn("shard", shard).repartitionById(n, F.col("shard")).sortWithinPartitions("shard", F.col("id").asc_nulls_last(), "kind", "url", "payload")
+    marks = large.join(first, "digest").where("id <> to_id").select("id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.unhex("digest").alias("payload"), "to_id", "to_url", F.lit(None).cast("string").alias("digest")).distinct()
+    full = rows.select("id", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("to_id"), F.lit(None).cast("string").alias("to_url"), F.when(F.col("id").isNull(), F.sha2("payload", 256)).alias("digest"))
+    dealt = full.unionByName(marks).withColumn("shard", shard).drop("digest").repartitionById(n, F.col("shard")).sortWithinPartitions("shard", F.col("id").asc_nulls_last(), "kind", "url", "payload")
     schema = pa.schema([("file", pa.string()), ("bytes", pa.int64()), ("sha256", pa.string()), ("records", pa.int64()), ("shard", pa.int32()), ("first_id", pa.int64()), ("last_id", pa.int64())])
 
     def run(batches):
@@ -145,6 +171,7 @@ def write_warc(pages: DataFrame, folder: str, *, id: str = "page_id", url: str =
                     if writer and writer.out:
                         done.append(writer.close())
                     writer = _Shard(folder, s, roll_bytes, level)
+                    marked, last, repeat = {}, id_, 0
                 if id_ != last:
                     marked, last, repeat = {}, id_, 0
                 body = payloads[i].as_py()
@@ -152,7 +179,7 @@ def write_warc(pages: DataFrame, folder: str, *, id: str = "page_id", url: str =
                     marked[body] = (to_id, to_url)
                     continue
                 refers = marked.get(hashlib.sha256(body).digest()) if marked else None
-                done.extend(writer.add(id_, make_record(id_, url_, body, refers, repeat, level)))
+                done.extend(writer.add(id_, make_record(id_, url_, body, refers, repeat if id_ is not None else s << 40 | repeat, level)))
                 repeat += 1
         if writer and writer.out:
             done.append(writer.close())

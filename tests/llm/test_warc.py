@@ -60,3 +60,25 @@ def test_unlisted_files_do_not_count(spark, tmp_path):
     warc.write_warc(df.limit(0), f"file://{tmp_path}/e")
     (tmp_path / "e").mkdir(exist_ok=True)
     assert warc.read_warc(spark, f"file://{tmp_path}/e").count() == 0
+
+
+def test_wide_ids_even_shards_and_null_ids(spark, tmp_path):
+    """One far id puts the others into no common shard; ids may span all longs; rows without id are responses."""
+    same = "<p>" + "same " * 60
+    rows = [(i, f"http://h/{i}", f"<p>{i} " + "word " * 200) for i in range(400)]
+    rows += [(-(2**63), "u", "low " * 300), (2**63 - 1, "u", same), (7_000, "u", same), (None, "n", same), (None, "n", "alone " * 50), (None, "n", "alone " * 50), (None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    folder = f"file://{tmp_path}/w"
+    manifest = warc.write_warc(df, folder, shard_bytes=40_000, roll_bytes=2_000).collect()
+    shards = {}
+    for r in manifest:
+        shards[r.shard] = shards.get(r.shard, 0) + r.records
+    assert len(shards) > 8 and max(shards.values()) < 60 and len(manifest) > len(shards)
+    got = warc.read_warc(spark, folder).collect()
+    assert len(got) == len(rows)
+    by = {r.id: r for r in got if r.id is not None}
+    assert (by[7_000].record_type, by[2**63 - 1].record_type, by[2**63 - 1].refers_to) == ("response", "revisit", 7_000)
+    null = sorted((r.record_type, r.refers_to or 0, r.payload_bytes) for r in got if r.id is None)
+    assert null == [("response", 0, 0), ("response", 0, 300), ("response", 0, 300), ("response", 0, len(same))]
+    again = warc.write_warc(df.repartition(2), f"file://{tmp_path}/x", shard_bytes=40_000, roll_bytes=2_000).collect()
+    assert sorted((r.file, r.sha256) for r in again) == sorted((r.file, r.sha256) for r in manifest)
