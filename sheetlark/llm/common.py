@@ -44,14 +44,17 @@ def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Delete the scratch tables made so far; results that still read them must be written by now."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     while _TABLES:
         spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
     while _SCRATCH:
-        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
-        path.getFileSystem(conf).delete(path, True)
+        delete(spark, _SCRATCH.pop())
 
 
 def bucketed(df: DataFrame, n: int, column: str, name: str) -> DataFrame:

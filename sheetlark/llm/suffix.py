@@ -332,15 +332,15 @@ def _applied(df: DataFrame, text: str, length: int, carry: list[str], digest: bo
     return joined.mapInArrow(run, ", ".join([*fields, extra]))
 
 
-def remove_repeats(df: DataFrame, *, text: str = "text", length: int = LENGTH, **options) -> DataFrame:
-    """``df`` with the repeated bytes taken out of ``text``, and ``_spans``, the removed byte ranges.
+def remove_repeats(df: DataFrame, *, text: str = "text", length: int = LENGTH, spans: str | None = "_spans", **options) -> DataFrame:
+    """``df`` with the repeated bytes taken out of ``text``, and the removed byte ranges in a column named ``spans``, if any.
 
     Where a removed range splits a UTF-8 character, the rest of that character goes too.
     """
     carry = [c for c in df.columns if c != text]
     done = _applied(df, text, length, carry, False, **options)
     held = {c: f"_c{i}" for i, c in enumerate(carry)}
-    return done.select(*(F.col(held.get(c, "_kept")).alias(c) for c in df.columns), F.col("_spans").alias("_spans"))
+    return done.select(*(F.col(held.get(c, "_kept")).alias(c) for c in df.columns), *([F.col("_spans").alias(spans)] if spans else []))
 
 
 def repeat_digests(df: DataFrame, *, id: str = "doc_id", text: str = "text", length: int = LENGTH, **options) -> DataFrame:
