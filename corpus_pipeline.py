@@ -6,8 +6,13 @@
    texts of which nothing is left go, and n_chars follows the text.
 4. packing: what is left is packed into sequences of 512 to 8192 words.
 
-All stages but the last return the columns of ``documents``. SQL cannot express the language
-model, so there is no oracle; the tests hold ``run`` against brute-force stages.
+All stages but the last return the columns of ``documents``; further columns go along, whatever
+their names. Null and empty texts go in the first stage. Rows with a null doc_id are kept by the
+second, since they have no place in a class; rows that repeat a doc_id stay or go together, and
+copies of a text under other ids leave their smallest doc_id. Rows are told apart by an internal key
+in the third, so repeated rows lose their text to each other. An empty table passes every stage.
+SQL cannot express the language model, so there is no oracle; the tests hold ``run`` against
+brute-force stages.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.release(spark)
-    cut = suffix.remove_repeats(docs).where("length(text) > 0")
+    cut = suffix.remove_repeats(docs, spans=None).where("length(text) > 0")
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
@@ -50,7 +55,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written and read again before the next."""
-    docs = common.table(spark, sf_dir, "documents")
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = common.materialize(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
+        path = common.scratch_path(spark, f"stage-{name}", keep=True)
+        made = stage(spark, docs, sf_dir)
+        made.write.option("compression", "zstd").parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
+        if before:
+            common.delete(spark, before)  # its successor is written
+        before = path
+    common.release(spark)
     return docs
