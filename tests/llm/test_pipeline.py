@@ -39,3 +39,14 @@ def test_run_and_edges(spark, tmp_path):
     assert got == ["4", "None"]
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/b/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/b").collect() == []
+
+
+def test_clashing_columns(spark):
+    names = ["doc_id", "text", "lang", "source", "n_chars", "_spans", "lang_pred", "score", "component_id", "kept", "n_shingles", "uid", "_c0", "ranges", "id"]
+    rows = [(1, "a few words here", "en", "s", 3, *"abcdefghij"), (2, "a few words here", "en", "s", 3, *"klmnopqrst"), (None, "no id but words", None, None, None, *"abcdefghij")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names[5:]))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == names
+        docs = spark.createDataFrame(out.collect(), docs.schema)
+    assert sorted((str(r.doc_id), r._spans, r.id) for r in docs.collect()) == [("1", "a", "j"), ("None", "a", "j")]
