@@ -2,7 +2,7 @@
 
 * Training counts hashed byte trigrams of lower-cased words per language, on at most about
   ``docs_per_language`` different labelled texts of each language (the documented bound; texts
-  are taken by their hash, so the sample is the same on every run, and copies count once). It also learns which
+  are taken by their hash, so the sample is the same on every run; copies come with their text). It also learns which
   scripts each language writes.
 * A word's script (Unicode ranges) narrows the languages it may belong to; its score in each
   is the summed log-probability of its trigrams.
@@ -53,7 +53,7 @@ SMOOTHING = 0.5
 LABEL = np.int16
 SWITCH_PENALTY = 12.0
 BARRED = -60.0  # a word in a script that the language does not write
-VITERBI_SCORES = 10_000_000  # words times languages held at once
+VITERBI_SCORES = 6_000_000  # words times languages held at once
 
 
 @lru_cache(maxsize=1)
@@ -136,9 +136,7 @@ def fit(df: DataFrame, *, text: str = "text", lang: str = "lang", docs_per_langu
         l, k = np.nonzero(total)
         yield batch_of(schema, l=l.astype(np.int32), k=k.astype(np.int32), n=total[l, k])
 
-    # copies of a text are drawn together and count once
-    drawn = labelled.where(draw < share[F.col("lang")]).dropDuplicates(["lang", "text"])
-    rows = drawn.mapInArrow(tally, "l int, k int, n long").groupBy("l", "k").agg(F.sum("n").alias("n")).toPandas()
+    rows = labelled.where(draw < share[F.col("lang")]).mapInArrow(tally, "l int, k int, n long").groupBy("l", "k").agg(F.sum("n").alias("n")).toPandas()
     total = np.zeros((len(languages), (1 << BUCKET_BITS) + len(SCRIPTS)))
     total[rows.l.to_numpy(np.int64), rows.k.to_numpy(np.int64)] = rows.n
     grams, scripts = total[:, : 1 << BUCKET_BITS], total[:, 1 << BUCKET_BITS :]
