@@ -51,6 +51,7 @@ SCRIPTS = ("none", *dict.fromkeys(name for name, _, _ in SCRIPT_RANGES), "other"
 BUCKET_BITS = 18
 SMOOTHING = 0.5
 LABEL = np.int16
+SLICE = 1 << 20  # some sixty bytes are held for each byte of a slice
 SWITCH_PENALTY = 12.0
 BARRED = -60.0  # a word in a script that the language does not write
 VITERBI_SCORES = 6_000_000  # words times languages held at once
@@ -124,7 +125,7 @@ def fit(df: DataFrame, *, text: str = "text", lang: str = "lang", docs_per_langu
     def tally(batches):
         total = np.zeros((len(languages), (1 << BUCKET_BITS) + len(SCRIPTS)), np.int64)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=SLICE):
                 data, off = text_buffer(part.column("text"))
                 label = np.array([place[x] for x in part.column("lang").to_pylist()])
                 owner = np.repeat(label, np.diff(off))
@@ -261,7 +262,7 @@ def predict(df: DataFrame, model: Model, *, id: str = "doc_id", text: str = "tex
 
         held, words = [], 0
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=SLICE):
                 data, off = text_buffer(part.column("text"))
                 starts, ends, rows, scores, letters = word_scores(m, data, off)
                 has = np.zeros(part.num_rows, bool)
