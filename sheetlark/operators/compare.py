@@ -57,34 +57,35 @@ def differences(facts: DataFrame) -> DataFrame:
     return rows.repartition(*by).groupBy(*by).agg(*held).where((kind == "error") | ~same)
 
 
-def _categories(d: DataFrame) -> DataFrame:
-    """One row per category that a difference falls in: pair_id, category, sheet, ref, old, new."""
+def _categories(d: DataFrame, kinds: tuple[str, ...] = ()) -> DataFrame:
+    """One row per category that a difference falls in: pair_id, category, sheet, ref, old, new. Without ``kinds``, all."""
     kind, was, now = F.col("kind"), F.col("in_old"), F.col("in_new")
     here = was & now
     value, formula = (~F.col(f"{x}_old").eqNullSafe(F.col(f"{x}_new")) for x in ("value", "formula"))
     constant = here & F.col("formula_old").isNotNull() & F.col("formula_new").isNull() & F.col("value_new").isNotNull()
     told = lambda category, old="value_old", new="value_new": F.struct(F.lit(category).alias("category"), F.col(old).alias("old"), F.col(new).alias("new"))
-    cell = [(~was, told("cell_added")), (~now, told("cell_removed")), (here & value, told("value_changed")), (constant, told("formula_to_constant", "formula_old")), (here & formula & ~constant, told("formula_changed", "formula_old", "formula_new"))]
-    sheet = F.when(~was, told("sheet_added")).when(~now, told("sheet_removed")).when(F.col("value_new") == "visible", told("sheet_shown")).when(F.col("value_old") == "visible", told("sheet_hidden")).otherwise(told("sheet_state"))
+    cell = lambda: [(~was, told("cell_added")), (~now, told("cell_removed")), (here & value, told("value_changed")), (constant, told("formula_to_constant", "formula_old")), (here & formula & ~constant, told("formula_changed", "formula_old", "formula_new"))]
+    sheet = lambda: F.when(~was, told("sheet_added")).when(~now, told("sheet_removed")).when(F.col("value_new") == "visible", told("sheet_shown")).when(F.col("value_old") == "visible", told("sheet_hidden")).otherwise(told("sheet_state"))
     axis = lambda name: F.when(now, told(f"{name}_hidden")).otherwise(told(f"{name}_shown"))
     of_kind = {
-        "cell": F.array_compact(F.array(*(F.when(c, t) for c, t in cell))),
-        "sheet": F.array(sheet),
-        "hidden_row": F.array(axis("row")),
-        "hidden_col": F.array(axis("column")),
-        "link": F.array(F.when(now, told("link_added")).otherwise(told("link_removed"))),
-        "prop": F.array(told("metadata_changed")),
-        "error": F.array(told("unreadable")),
+        "cell": lambda: F.array_compact(F.array(*(F.when(c, t) for c, t in cell()))),
+        "sheet": lambda: F.array(sheet()),
+        "hidden_row": lambda: F.array(axis("row")),
+        "hidden_col": lambda: F.array(axis("column")),
+        "link": lambda: F.array(F.when(now, told("link_added")).otherwise(told("link_removed"))),
+        "prop": lambda: F.array(told("metadata_changed")),
+        "error": lambda: F.array(told("unreadable")),
     }
     tagged = None
-    for k, t in of_kind.items():
-        tagged = F.when(kind == k, t) if tagged is None else tagged.when(kind == k, t)
+    for k, make in of_kind.items():
+        if not kinds or k in kinds:
+            tagged = F.when(kind == k, make()) if tagged is None else tagged.when(kind == k, make())
     ref = F.when(~kind.isin("sheet", "link"), F.col("key"))
     return d.select("pair_id", "sheet", ref.alias("ref"), F.explode(tagged).alias("t")).select("pair_id", "t.category", "sheet", "ref", "t.old", "t.new")
 
 
 def _of(kinds: tuple[str, ...], old: DataFrame, new: DataFrame) -> DataFrame:
-    return _categories(differences(both(old, new).where(F.col("kind").isin(*kinds))))
+    return _categories(differences(both(old, new).where(F.col("kind").isin(*kinds))), kinds)
 
 
 def cells(old: DataFrame, new: DataFrame) -> DataFrame:
