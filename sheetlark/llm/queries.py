@@ -67,6 +67,21 @@ def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_suffix"] = op5_suffix
+ORACLES["op5_suffix"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+starts AS (SELECT r, b, unnest(range(1, n - {suffix.LENGTH - 2})) AS i FROM d WHERE n >= {suffix.LENGTH}),
+win AS (SELECT r, i, md5_number(b[i:i + {suffix.LENGTH - 1}]) AS h FROM starts),
+hit AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS k FROM win) WHERE k > 1),
+step AS (SELECT r, i, coalesce(i - lag(i) OVER (PARTITION BY r ORDER BY i) > {suffix.LENGTH}, true) AS new FROM hit),
+run AS (SELECT r, i, sum(CAST(new AS BIGINT)) OVER (PARTITION BY r ORDER BY i) AS g FROM step),
+span AS (SELECT r, min(i) AS a, max(i) + {suffix.LENGTH - 1} AS z FROM run GROUP BY r, g),
+gone AS (SELECT r, count(*) AS n_spans, CAST(sum(z - a + 1) AS BIGINT) AS n_removed FROM span GROUP BY r),
+edge AS (SELECT r, a, z FROM span UNION ALL SELECT r, n + 1, n FROM d),
+piece AS (SELECT r, a, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) + 1 AS f, a - 1 AS t FROM edge),
+kept AS (SELECT r, sha256(unhex(string_agg(CASE WHEN t >= f THEN hex(b[f:t]) ELSE '' END, '' ORDER BY a))) AS kept_sha256 FROM piece JOIN d USING (r) GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, kept_sha256
+FROM d JOIN kept USING (r) LEFT JOIN gone USING (r)
+"""
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
