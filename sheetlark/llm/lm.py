@@ -129,18 +129,16 @@ def automaton(words: np.ndarray, counts: np.ndarray, pairs: np.ndarray, seen: np
     return Automaton(words, (u + 1) * k + v, np.log10(p), v + 1, np.zeros(len(words) + 1, np.int64), np.concatenate([[0.0], back]), n_tokens, n_words, int(end[0]) + 1 if len(end) else 0)
 
 
-def _chunked(df: DataFrame, text: str, keep: list[Column]) -> tuple[DataFrame, int, Column]:
-    """The rows with a chunk number, bucketed so that groups by bucket and chunk leave the texts in place.
+def _chunked(df: DataFrame, text: str, keep: list[Column]) -> tuple[DataFrame, int]:
+    """The rows with a chunk number, bucketed so that groups and co-groups by chunk leave the texts in place.
 
-    Also the number of chunks, and the bucket of a chunk: there are no more than MOST_BUCKETS, so
-    a bucket of a large corpus holds several chunks. Rows are dealt one by one, whatever their ids.
+    Also the number of chunks. There are no more than MOST_BUCKETS buckets, so a bucket of a
+    large corpus holds several chunks. Rows are dealt one by one, whatever their ids.
     """
     spark = df.sparkSession
     n = max(partitions(spark), text_bytes(df, text) // CHUNK_BYTES + 1)
-    buckets = min(MOST_BUCKETS, n)
     rows = df.select(*keep, F.col(text).alias("text")).withColumn("chunk", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int"))
-    bucket = (F.col("chunk") % buckets).alias("bucket")
-    return bucketed(rows.select("*", bucket), buckets, "bucket", "chunked"), n, bucket
+    return bucketed(rows, min(MOST_BUCKETS, n), "chunk", "chunked"), n
 
 
 # ---------------------------------------------------------------- totals by key, back to the chunks
@@ -242,7 +240,7 @@ def _chunk(texts: pa.Table) -> Chunk:
 def score(df: DataFrame, learn: Column, *, id: str = "doc_id", text: str = "text", context_share: float = CONTEXT_SHARE, least: int = LEAST, discount: float = DISCOUNT) -> DataFrame:
     """``(id, n_tokens, n_known, train_tokens, base_score, score)`` of every row; ``learn`` marks the training rows."""
     learn = F.coalesce(learn, F.lit(False))
-    chunked, n, bucket = _chunked(df, text, [F.col(id).cast("long").alias("row_id"), learn.alias("learn")])
+    chunked, n = _chunked(df, text, [F.col(id).cast("long").alias("row_id"), learn.alias("learn")])
     parts = max(partitions(df.sparkSession), n // CHUNKS_A_PART)
 
     def count(texts: pa.Table) -> pa.Table:
@@ -251,7 +249,7 @@ def score(df: DataFrame, learn: Column, *, id: str = "doc_id", text: str = "text
         seen = ((WORDS, c.words, c.word), (BIGRAMS, c.bigrams, c.bigram))
         return pa.Table.from_batches([b for kind, keys, which in seen for b in _sent(chunk, kind, keys, np.bincount(which[learned], minlength=len(keys))[None], parts)], _SENT)
 
-    texts = chunked.select("bucket", "chunk", "learn", "text").groupBy("bucket", "chunk")
+    texts = chunked.select("chunk", "learn", "text").groupBy("chunk")
     counts = materialize(_exchange(texts.applyInArrow(count, SENT)), "counts")
     n_words, n_tokens = counts.where(F.col("kind") == WORDS).agg(F.coalesce(F.sum("n_keys"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
 
@@ -269,8 +267,8 @@ def score(df: DataFrame, learn: Column, *, id: str = "doc_id", text: str = "text
         sums = np.array([np.bincount(left, w, minlength=size) for w in (np.ones(len(left)), of_bigram[own], of_word[c.right[own]])]).astype(np.int64)
         return pa.Table.from_batches(_sent(chunk, CONTEXTS, c.words[context], sums[:, context], parts), _SENT)
 
-    texts = chunked.select("bucket", "chunk", "text").groupBy("bucket", "chunk")
-    sums = _exchange(texts.cogroup(counts.select("*", bucket).groupBy("bucket", "chunk")).applyInArrow(add_up, SENT))
+    texts = chunked.select("chunk", "text").groupBy("chunk")
+    sums = _exchange(texts.cogroup(counts.groupBy("chunk")).applyInArrow(add_up, SENT))
     schema = pa.schema([("row_id", pa.int64()), *((k, pa.int64()) for k in ("n_tokens", "n_known", "train_tokens")), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(texts: pa.Table, replies: pa.Table) -> pa.Table:
@@ -288,6 +286,6 @@ def score(df: DataFrame, learn: Column, *, id: str = "doc_id", text: str = "text
         )
         return pa.Table.from_batches([scored], schema)
 
-    texts = chunked.select("bucket", "chunk", "row_id", "text").groupBy("bucket", "chunk")
-    scored = texts.cogroup(counts.unionByName(sums).select("*", bucket).groupBy("bucket", "chunk")).applyInArrow(run, "row_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    texts = chunked.select("chunk", "row_id", "text").groupBy("chunk")
+    scored = texts.cogroup(counts.unionByName(sums).groupBy("chunk")).applyInArrow(run, "row_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return scored.withColumnRenamed("row_id", id)
