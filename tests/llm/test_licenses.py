@@ -41,3 +41,19 @@ def test_planted(spark):
     assert sorted((-1 if x[0] is None or x[0] != x[0] else int(x[0]), *x[1:]) for x in want) == sorted((-1 if r.doc_id is None else r.doc_id, *tuple(r)[1:]) for r in licenses.scan(df).collect())
     assert licenses.scan(df.limit(0)).collect() == []
     assert licenses.scan(df.where(F.col("doc_id") == 4)).collect() == []
+
+
+def test_siblings_are_told_apart(spark):
+    """One document per GNU notice names that license alone; two different notices in one text are both told."""
+    gnu = licenses.SIBLINGS["GNU"]
+    texts = [(i, f"a b c d e f g {licenses.TEMPLATES[name][-1]} " + "tail " * i) for i, name in enumerate(gnu)]
+    both = licenses.TEMPLATES["GPL-2.0"][0] + " " + licenses.TEMPLATES["AGPL-3.0"][0]
+    # rows that share an id: what stands in one text says nothing about the other
+    texts += [(10, both), (11, licenses.TEMPLATES["GPL-3.0"][1]), (11, licenses.TEMPLATES["LGPL-3.0"][0]), (11, licenses.TEMPLATES["LGPL-3.0"][0])]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = licenses.scan(df).collect()
+    assert {(r.doc_id, r.license) for r in got} == {*enumerate(gnu), (10, "GPL-2.0"), (10, "AGPL-3.0"), (11, "GPL-3.0"), (11, "LGPL-3.0")}
+    c = duckdb.connect()
+    pdf = df.toPandas()  # noqa: F841
+    c.sql("create view documents as select * from pdf")
+    assert rows(got) == rows(c.sql(licenses.oracle()).fetchall())
