@@ -267,3 +267,26 @@ def signed(x: np.ndarray) -> np.ndarray:
 def crc_bucket(column, n: int):
     """crc32 of a number written as text, modulo ``n``; null has no bucket."""
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(n))
+
+
+# ---------------------------------------------------------------- integer vectors
+
+MOST_UNITS = 1 << 26  # of a component; sums of squares and of products then stay exact in 64 bits
+
+
+def finite(vector):
+    """Whether a vector is there and holds neither null nor non-finite components."""
+    return vector.isNotNull() & F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+
+
+def floors(vector, scale: int):
+    """``floor(scale * x)`` of every component as an integer; null where one is beyond ``MOST_UNITS``."""
+    units = F.transform(vector, lambda x: F.floor(x.cast("double") * scale))
+    return F.when(F.forall(units, lambda u: F.abs(u) <= MOST_UNITS), units.cast("array<int>"))
+
+
+def matrix(column, width: int) -> np.ndarray:
+    """Rows of a list column, each of ``width`` numbers and none null, as a matrix."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)

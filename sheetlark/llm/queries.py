@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed, langid, licenses, lm, media, minhash, packing, suffix, warc
+from . import bpe, centroids, codes, embed, langid, licenses, lm, media, minhash, packing, suffix, urls, warc
 from .common import crc_bucket, scratch_path, table
 
 QUERIES: dict = {}
@@ -124,6 +124,94 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op8_packing"] = op8_packing
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op11_centroids"] = op11_centroids
+
+#: The rules of ``op12_urls``: action, host, beginning of the path.
+RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op12_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(table(spark, sf_dir, "pages"), RULES)
+
+
+QUERIES["op12_urls"] = op12_urls
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op13_codes"] = op13_codes
+
+
+# ---------------------------------------------------------------- SQL for the three queries of whole-number vectors and urls
+
+_RULES = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in RULES)
+_BLOCKED = ", ".join(f"('{h}')" for h in urls.BLOCKED_HOSTS)
+ORACLES["op12_urls"] = f"""
+WITH t AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u AS (SELECT row_number() OVER () AS r, page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{urls.UPPER}', '{urls.LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM t),
+rules(action, h, p) AS (VALUES {_RULES}),
+blocked(h) AS (VALUES {_BLOCKED}),
+fit AS (SELECT r, action, h || p AS rule, row_number() OVER (PARTITION BY r ORDER BY length(h) + length(p) DESC, length(h) DESC) AS k
+  FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)),
+bad AS (SELECT DISTINCT r FROM u JOIN blocked ON host = h OR ends_with(host, '.' || h))
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN bad.r IS NULL THEN 'allow' ELSE 'block' END) AS verdict, bad.r IS NOT NULL AS listed
+FROM u LEFT JOIN (SELECT * FROM fit WHERE k = 1) USING (r) LEFT JOIN bad USING (r)
+"""
+
+_FINE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0"
+_APART = "list_sum(list_transform(list_zip({0}, {1}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+
+
+def _centroid_sql(rounds: int = 3, k: int = 16) -> str:
+    """The rounds, one after the other."""
+    steps = [f"""
+q AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings WHERE len(embedding) = 64 AND {_FINE}),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR)), q) - 1 AS c, q AS m FROM q WHERE vec_id IS NOT NULL QUALIFY c < {k})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+a{i} AS (SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT r, c, CAST({_APART.format("q", "m")} AS BIGINT) AS d FROM q, c{i}) GROUP BY r)""")
+        if i < rounds:
+            steps.append(f"""
+s{i} AS (SELECT c, i, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM q JOIN a{i} USING (r)) GROUP BY ALL),
+n{i} AS (SELECT c, list(CAST(CASE WHEN s >= 0 THEN s // n ELSE -((-s + n - 1) // n) END AS BIGINT) ORDER BY i) AS m FROM s{i} GROUP BY c),
+c{i + 1} AS (SELECT c, coalesce(n{i}.m, c{i}.m) AS m FROM c{i} LEFT JOIN n{i} USING (c))""")
+    return f"""WITH {",".join(steps)}
+SELECT vec_id, CAST(c AS INT) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(m, ',')) AS centroid_sha256 FROM q JOIN a{rounds} USING (r) JOIN c{rounds} USING (c)"""
+
+
+ORACLES["op11_centroids"] = _centroid_sql()
+
+
+def _code_sql(rounds: int = 4, parts: int = 4, entries: int = 256) -> str:
+    steps = [f"""
+q AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings WHERE {_FINE}),
+p AS (SELECT r, p, q[p * len(q) // {parts} + 1:(p + 1) * len(q) // {parts}] AS x FROM q, range({parts}) t(p)),
+f AS (SELECT r, row_number() OVER (ORDER BY vec_id, q) - 1 AS e FROM q WHERE vec_id IS NOT NULL QUALIFY e < {entries}),
+b0 AS (SELECT p, e, x AS m FROM p JOIN f USING (r))"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+a{i} AS (SELECT r, p, arg_min(e, (d, e)) AS e, min(d) AS d FROM (SELECT r, p, e, CAST({_APART.format("x", "m")} AS BIGINT) AS d FROM p JOIN b{i} USING (p)) GROUP BY r, p)""")
+        if i < rounds:
+            steps.append(f"""
+s{i} AS (SELECT p, e, i, sum(v) AS s, count(*) AS n FROM (SELECT p, e, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM p JOIN a{i} USING (r, p)) GROUP BY ALL),
+n{i} AS (SELECT p, e, list(CAST(CASE WHEN s >= 0 THEN s // n ELSE -((-s + n - 1) // n) END AS BIGINT) ORDER BY i) AS m FROM s{i} GROUP BY p, e),
+b{i + 1} AS (SELECT p, e, coalesce(n{i}.m, b{i}.m) AS m FROM b{i} LEFT JOIN n{i} USING (p, e))""")
+    return f"""WITH {",".join(steps)},
+coded AS (SELECT r, string_agg(lower(lpad(hex(e), 2, '0')), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY r),
+book AS (SELECT sha256(string_agg(array_to_string(m, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM q JOIN coded USING (r), book"""
+
+
+ORACLES["op13_codes"] = _code_sql()
+
+
 # ---------------------------------------------------------------- SQL for the two link queries
 
 #: Smallest id reachable over ``link(a, b)`` from every row of ``v(id)``.
