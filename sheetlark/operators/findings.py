@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.formulas import column_number
 from ..functions.identifiers import found, found_in_number
 from ..functions.masking import mask
+from .ranges import covered
 
 #: Severity and explanation of each kind of finding.
 RULES = (
@@ -148,6 +150,23 @@ def identifiers(facts: DataFrame) -> DataFrame:
     return detect(facts, "cell")
 
 
+def with_places(found_: DataFrame, facts: DataFrame) -> DataFrame:
+    """Findings with a column ``hidden``: whether a cell stands in a hidden ``sheet``, ``row`` or ``column``, the first that holds.
+
+    Ranges meet cells in boundary sweeps. Findings without a cell, and those in plain sight, get null.
+    """
+    letters, digits = "regexp_extract(ref, '^([A-Z]{1,3})[0-9]+$', 1)", F.regexp_extract("ref", "^[A-Z]{1,3}([0-9]{1,7})$", 1)
+    cell = F.col("kind").isin(*CELL_KINDS, "comment") & F.col("ref").rlike("^[A-Z]{1,3}[0-9]{1,7}$")
+    placed = found_.withColumns({"_row": F.when(cell, F.try_to_number(digits, F.lit("9999999")).cast("long")), "_col": F.when(cell, column_number(letters).cast("long"))})
+    for kind, at, name in (("hidden_row", "_row", "_in_row"), ("hidden_col", "_col", "_in_col")):
+        held = facts.where(F.col("kind") == kind).select("path", "sheet", "row", "col")
+        placed = covered(placed, held, ["path", "sheet"], at, lo="row", hi="col", name=name)
+    away = facts.where("kind = 'sheet' AND value IN ('hidden', 'veryHidden')").select("path", "sheet", F.lit(True).alias("_in_sheet")).distinct()
+    known = placed.join(away, ["path", "sheet"], "left")
+    where = F.when(F.col("_row").isNull(), F.lit(None)).when(F.col("_in_sheet"), "sheet").when(F.col("_in_row"), "row").when(F.col("_in_col"), "column")
+    return known.select(*found_.columns, where.alias("hidden"))
+
+
 # ---------------------------------------------------------------- findings
 
 

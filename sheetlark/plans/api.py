@@ -11,11 +11,20 @@ from ..operators import clean as cleaning
 from ..operators import compare as comparing
 from ..operators import findings as detecting
 from ..sources import workbook
+from ..sources.shared import written
 
 
-def scan(spark: SparkSession, path: str | list[str], *, raw: bool = False) -> DataFrame:
-    """Findings of the workbooks below ``path``, masked unless ``raw`` is set."""
-    return reveal(detecting.findings(workbook.read_workbooks(spark, path)), raw)
+def scan(spark: SparkSession, path: str | list[str], *, raw: bool = False, places: bool = False) -> DataFrame:
+    """Findings of the workbooks below ``path``, masked unless ``raw`` is set.
+
+    With ``places`` a column ``hidden`` says of what is found in a cell whether it stands in a hidden sheet,
+    row or column; what the files say is then written first, so that they are opened once.
+    """
+    facts = workbook.read_workbooks(spark, path)
+    if not places:
+        return reveal(detecting.findings(facts), raw)
+    facts = written(facts, "facts")
+    return reveal(detecting.with_places(detecting.findings(facts), facts), raw)
 
 
 def risk(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -58,10 +67,18 @@ def clean(spark: SparkSession, path: str | list[str], out_dir: str, *, drop_hidd
 
 
 def report(spark: SparkSession, path: str | list[str], out: str) -> str:
-    """Write the HTML report of ``path`` to the local file ``out``."""
-    from .report import render
+    """Write the full HTML report of ``path``: every finding, masked.
+
+    An ``out`` that ends in a slash or names a file system is a folder, which the executors fill with the page's
+    parts. Any other is a local file, to which the lines are streamed, a partition at a time.
+    """
+    from .report import lines, write
 
-    page = render(scan(spark, path))
+    found = scan(spark, path)
+    if out.endswith("/") or "://" in out:
+        write(found, out)
+        return out
+    page = lines(found)
     with open(out, "w", encoding="utf-8") as file:
-        file.write(page)
-    return page
+        file.writelines(f"{row.line}\n" for row in page.toLocalIterator())
+    return out

@@ -18,7 +18,7 @@ from .__main__ import main
 from .functions import identifiers as ids
 from .functions.masking import mask, reveal
 from .operators import compare, findings
-from .plans import api
+from .plans import api, report
 from .plans.golden import golden
 from .plans.report import render
 from .sources import workbook
@@ -110,6 +110,15 @@ def html_report(spark, sf_dir):
     return spark.createDataFrame(rows, "title string, kind string, n_findings long, n_shown long, n_unmasked int")
 
 
+@query(f"WITH {_DOC_FINDINGS} SELECT severity, kind, count(*) AS n_findings, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_unmasked FROM f GROUP BY severity, kind")
+def html_report_full(spark, sf_dir):
+    """The full report over all findings of the documents, read back from its markup: every finding is a line."""
+    line = report.lines(reveal(document_findings(spark, sf_dir))).where("kind IS NOT NULL")
+    row = F.col("line").startswith("<tr>")
+    told = F.max(F.when(F.col("part") == 0, F.regexp_extract("line", r"<h3>\w+ \((\d+)\)", 1).cast("long")))
+    return line.groupBy("severity", "kind").agg(told.alias("n_findings"), F.count_if(row).alias("n_rows"), F.count_if(row & ~F.col("line").endswith("****</tr>")).alias("n_unmasked"))
+
+
 @query(f"SELECT o_orderkey, {_MASK.format('CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR)')} AS masked FROM orders")
 def mask_values(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", mask(money("o_totalprice")).alias("masked"))
@@ -339,7 +348,8 @@ def hidden_axes_diff(spark, sf_dir):
     nation, k = table(spark, sf_dir, "nation"), F.col("n_nationkey")
     old = _sided(nation, "hidden_row", sheet=F.col("n_name"), row=k + 1, col=k + 3)
     new = _sided(nation, "hidden_row", sheet=F.col("n_name"), row=k + 2, col=k + 5)
-    return compare.axes(old, new).select("category", "sheet", "ref")
+    found = compare.hidden_ranges(compare.both(old, new))
+    return found.select(F.when(F.col("in_new"), "row_hidden").otherwise("row_shown").alias("category"), "sheet", F.explode(F.transform(F.sequence("lo", "hi"), lambda i: i.cast("string"))).alias("ref"))
 
 
 @query("""SELECT CAST(c_custkey AS VARCHAR) AS pair_id, c_name AS saved_by_old, CASE WHEN c_custkey % 2 = 0 THEN upper(c_name) ELSE 'x' END AS saved_by_new, c_custkey % 5 IN (0, 1) AND c_custkey % 2 = 0 AS same_windows_user_hint,

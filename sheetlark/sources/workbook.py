@@ -42,6 +42,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.formulas import shift
 from . import vba
 
 FACTS = "path string, kind string, sheet string, ref string, row int, col int, name string, type string, value string, formula string"
@@ -229,7 +230,7 @@ def _sheets(book: zipfile.ZipFile) -> Iterator[dict]:
 
 
 def _sheet(book: zipfile.ZipFile, part: str, strings: list[str]) -> Iterator[dict]:
-    shared: dict[str, str] = {}
+    shared: dict[str | None, tuple[str, int, int]] = {}
     number = 0
     for node in _nodes(book, part, "row"):
         tag = local(node.tag)
@@ -257,8 +258,12 @@ def _sheet(book: zipfile.ZipFile, part: str, strings: list[str]) -> Iterator[dic
                         value = _text(child)
                     elif local(child.tag) == "f":
                         formula = child.text
-                        if child.get("t") == "shared":
-                            formula = shared.setdefault(child.get("si"), formula or "") if formula else f"shared:{shared.get(child.get('si'), '')}"
+                        if child.get("t") == "shared":  # the first cell holds the text, which the others are filled from
+                            if formula:
+                                shared[child.get("si")] = formula, number, at
+                            elif child.get("si") in shared:
+                                text, row, column = shared[child.get("si")]
+                                formula = shift(text, number - row, at - column)
                 if kind == "s" and value is not None:
                     value = strings[int(value)] if int(value) < len(strings) else None
                 if value is not None or formula is not None:

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 
 from sheetlark.__main__ import main
 from sheetlark.operators import clean as cleaning
+from sheetlark.operators import compare as comparing
 from sheetlark.operators.clean import clean_workbook
 from sheetlark.plans import api
 from sheetlark.plans.golden import cell, golden, workbook
@@ -185,12 +186,18 @@ def test_unreadable_parts_cost_nothing_else(spark, tmp_path, monkeypatch):
     assert sum(f["kind"] == "cell" and f["value"] == "x" * 9000 for f in facts) == 399 and not [f for f in facts if f["kind"] == "error"]
 
 
-def test_files_are_opened_once(spark, folder):
-    """However many detectors and comparisons there are, a plan holds one reader of the files."""
+def test_files_are_opened_once(spark, folder, monkeypatch):
+    """However many detectors and comparisons there are, a plan holds one reader of the files.
+
+    A comparison writes what the files say, by a plan that holds the one reader, and reads it from there.
+    """
     readers = lambda df: df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("MapInPandas")
+    seen, write = {}, comparing.written
+    monkeypatch.setattr(comparing, "written", lambda df, name: (seen.update({name: readers(df)}), write(df, name))[1])
+    assert readers(api.compare(spark, [(str(folder / "sent.xlsx"), str(folder / "returned.xlsx"))])) == 0
+    assert seen == {"facts": 1, "sheets": 0, "rows": 0}
     assert readers(api.scan(spark, str(folder))) == 1
     assert readers(api.risk(spark, str(folder))) == 1
-    assert readers(api.compare(spark, [(str(folder / "sent.xlsx"), str(folder / "returned.xlsx"))])) == 1
     assert readers(api.provenance(spark, [(str(folder / "sent.xlsx"), str(folder / "returned.xlsx"))])) == 1
 
 
