@@ -74,15 +74,21 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _with(value: str, name: str, made: str) -> str:
+    """``made`` of a value that is worked out once under ``name``, however often it is used there."""
+    return f"get(transform(array({value}), {name} -> {made}), 0)"
+
+
 def _column_sql(letters: str) -> str:
-    at = lambda i: f"(ascii(substring(upper({letters}), {i}, 1)) - 64)"
-    return f"CASE length({letters}) WHEN 1 THEN {at(1)} WHEN 2 THEN {at(1)} * 26 + {at(2)} ELSE ({at(1)} * 26 + {at(2)}) * 26 + {at(3)} END"
+    at = lambda i: f"(ascii(substring(up_, {i}, 1)) - 64)"
+    return _with(f"upper({letters})", "up_", f"CASE length(up_) WHEN 1 THEN {at(1)} WHEN 2 THEN {at(1)} * 26 + {at(2)} ELSE ({at(1)} * 26 + {at(2)}) * 26 + {at(3)} END")
 
 
 def _reference_sql(token: str) -> str:
     part = lambda i: f"regexp_extract({token}, {_quoted(_PARTS)}, {i})"
     made = f"struct({part(1)} <> '' AS fixed_column, {_column_sql(part(2))} AS column, {part(3)} <> '' AS fixed_row, try_cast({part(4)} AS INT) AS row)"
-    return f"CASE WHEN {token} RLIKE {_quoted(_PARTS)} THEN get(filter(array({made}), r -> r.column <= {MOST_COLUMNS} AND r.row <= {MOST_ROWS}), 0) END"
+    inside = f"IF(ref_.column <= {MOST_COLUMNS} AND ref_.row <= {MOST_ROWS}, ref_, NULL)"
+    return f"CASE WHEN length({token}) > 1 AND {token} RLIKE {_quoted(_PARTS)} THEN {_with(made, 'ref_', inside)} END"
 
 
 def tokens(formula: str) -> Column:
@@ -103,8 +109,8 @@ def reference(token: str) -> Column:
 def relative(formula: str = "formula", row: str = "row", column: str = "col") -> Column:
     """The formula of that column with every cell reference relative to the cell at ``row`` and ``column``."""
     apart = lambda fixed, place, own: f"if({fixed}, string({place}), concat('[', {place} - {own}, ']'))"
-    cell = f"get(transform(array({_reference_sql('t')}), r -> concat('R', {apart('r.fixed_row', 'r.row', row)}, 'C', {apart('r.fixed_column', 'r.column', column)})), 0)"
-    ends = lambda number, own: f"array_join(transform(split(t, ':'), e -> CASE WHEN e LIKE '$%' THEN upper(e) ELSE concat('[', {number} - {own}, ']') END), ':')"
-    whole = f"CASE WHEN t RLIKE {_quoted(f'^{COLUMNS}$')} THEN concat('C', {ends(_column_sql('e'), column)}) WHEN t RLIKE {_quoted(f'^{ROWS}$')} THEN concat('R', {ends('try_cast(e AS INT)', row)}) END"
-    each = f"transform(regexp_extract_all({formula}, {_quoted(TOKENS)}, 0), t -> coalesce({cell}, {whole}, t))"
+    cell = f"get(transform(array({_reference_sql('tok_')}), ref_ -> concat('R', {apart('ref_.fixed_row', 'ref_.row', row)}, 'C', {apart('ref_.fixed_column', 'ref_.column', column)})), 0)"
+    ends = lambda number, own: f"array_join(transform(split(tok_, ':'), end_ -> CASE WHEN end_ LIKE '$%' THEN upper(end_) ELSE concat('[', {number} - {own}, ']') END), ':')"
+    whole = f"CASE WHEN NOT contains(tok_, ':') THEN NULL WHEN tok_ RLIKE {_quoted(f'^{COLUMNS}$')} THEN concat('C', {ends(_column_sql('end_'), column)}) WHEN tok_ RLIKE {_quoted(f'^{ROWS}$')} THEN concat('R', {ends('try_cast(end_ AS INT)', row)}) END"
+    each = f"transform(regexp_extract_all({formula}, {_quoted(TOKENS)}, 0), tok_ -> IF(length(tok_) < 2, tok_, coalesce({cell}, {whole}, tok_)))"
     return F.expr(f"CASE WHEN {formula} IS NOT NULL AND {row} IS NOT NULL AND {column} IS NOT NULL THEN array_join({each}, '') ELSE {formula} END")

@@ -25,15 +25,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.formulas import MOST_ROWS, relative
+from ..functions.formulas import MOST_ROWS
 
 KEY = ["pair_id", "sheet"]
 ALIGNED = "pair_id string, sheet string, old_row int, new_row int, moved boolean"
 
 
 def content() -> Column:
-    """What a cell says, wherever it stands."""
-    return F.when(F.col("formula").isNotNull(), F.struct(F.lit("f").alias("kind"), relative().alias("text"))).otherwise(F.struct(F.lit("v").alias("kind"), F.col("value").alias("text")))
+    """What a cell says, wherever it stands; ``form`` is its formula in relative form."""
+    return F.when(F.col("formula").isNotNull(), F.struct(F.lit("f").alias("kind"), F.col("form").alias("text"))).otherwise(F.struct(F.lit("v").alias("kind"), F.col("value").alias("text")))
 
 
 # ---------------------------------------------------------------- one sheet
@@ -119,7 +119,7 @@ def align(old: list[tuple[int, object]], new: list[tuple[int, object]], anchors:
 def aligned_rows(cells: DataFrame) -> DataFrame:
     """``(pair_id, sheet, old_row, new_row, moved)`` of all sheets in which some row differs.
 
-    ``cells`` hold pair_id, side (old or new), sheet, row, col, value and formula. In sheets that are not
+    ``cells`` hold pair_id, side (old or new), sheet, row, col, value, formula and its relative form. In sheets that are not
     listed every row keeps its number.
     """
     each = cells.where(F.col("row").between(1, MOST_ROWS)).select(*KEY, "side", "row", "col", content().alias("content"))

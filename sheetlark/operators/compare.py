@@ -52,7 +52,7 @@ def _keyed(facts: DataFrame) -> DataFrame:
         key = F.when(kind == k, F.col(c)) if key is None else key.when(kind == k, F.col(c))
     sheet = F.when(~kind.isin("link", "prop"), F.col("sheet")).alias("sheet")
     formula = F.when(kind == "cell", F.col("formula")).alias("formula")
-    form = F.when(kind == "cell", relative()).alias("form")
+    form = F.when(kind == "cell", F.col("form") if "form" in facts.columns else relative()).alias("form")
     return facts.where(kind.isin(*_KEYS)).select("pair_id", "side", "kind", sheet, key.alias("key"), "value", formula, form)
 
 
@@ -245,7 +245,7 @@ def _followed(d: DataFrame, rows: DataFrame, renamed: DataFrame) -> DataFrame:
 
 def aligned_cells(facts: DataFrame, rows: DataFrame, renamed: DataFrame) -> DataFrame:
     """Differences of all kinds but axes, where ``rows`` (from :func:`align.aligned_rows`) match the rows of both sides."""
-    return _followed(differences(_placed(facts, rows)), rows, renamed)
+    return _followed(written(differences(_placed(facts, rows)), "differences"), rows, renamed)
 
 
 def changes(facts: DataFrame, pairs_: DataFrame) -> DataFrame:
@@ -254,7 +254,7 @@ def changes(facts: DataFrame, pairs_: DataFrame) -> DataFrame:
     Rows are matched by what they hold, so an inserted row is one ``row_added`` and cells are told by where they
     stand now. A sheet that another name holds nearly the same of is one ``sheet_renamed``.
     """
-    known = written(sided(facts, pairs_), "facts")
+    known = written(sided(facts, pairs_).withColumn("form", relative()), "facts")
     gone = lost(known)
     renamed = written(matched_sheets(known), "sheets")
     if not renamed.isEmpty():

@@ -61,7 +61,7 @@ def assignment(weights: np.ndarray) -> list[tuple[int, int]]:
 
 
 def matched_sheets(facts: DataFrame) -> DataFrame:
-    """``(pair_id, old_sheet, new_sheet)`` of sheets that were renamed; ``facts`` have a side, old or new."""
+    """``(pair_id, old_sheet, new_sheet)`` of sheets that were renamed; ``facts`` have a side, old or new, and formulas in relative form."""
     listed = facts.where("kind = 'sheet' AND sheet IS NOT NULL").groupBy("pair_id", "sheet").agg(F.bool_or(F.col("side") == "old").alias("was"), F.bool_or(F.col("side") == "new").alias("now"))
     alone = listed.where("was <> now").select("pair_id", "sheet")
     cells = facts.where("kind = 'cell'").join(alone, ["pair_id", "sheet"], "left_semi")

@@ -15,9 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .__main__ import main
+from .functions import formulas
 from .functions import identifiers as ids
 from .functions.masking import mask, reveal
-from .operators import compare, findings
+from .operators import compare, findings, sheets
+from .operators.asof import asof
 from .plans import api, report
 from .plans.golden import golden
 from .plans.report import render
@@ -369,6 +371,190 @@ def provenance_hint(spark, sf_dir):
     return compare.provenance(props, pairs).select("pair_id", "saved_by_old", "saved_by_new", "folder_old", "folder_new", "same_windows_user_hint")
 
 
+# ---------------------------------------------------------------- rows, formulas and sheets that moved
+
+#: Of the rows k of a sheet: one is inserted after k % 1000 = 500, k % 1500 = 700 go, k % 5000 = 123 move to the end.
+_SHEET_ROWS = 100_000
+
+
+def _before(k: str, each: int, rest: int) -> str:
+    """How many j < k there are with j % each = rest, as SQL that both engines read."""
+    return f"CAST(floor(({k} + {each - 1 - rest}) / {each}) AS BIGINT)"
+
+
+def _shift(k: str) -> str:
+    return f"({_before(k, 1000, 500)} - {_before(k, 1500, 700)} - {_before(k, 5000, 123)})"
+
+
+_ORDER_ROWS = f"""SELECT *, CASE WHEN k % 5000 = 123 THEN n + {_shift("n")} + 1 + {_before("k", 5000, 123)} WHEN k % 1500 = 700 THEN NULL ELSE k + 1 + {_shift("k")} END AS new_row
+FROM (SELECT concat('Pedidos ', CAST(CAST(floor(o_orderkey / {_SHEET_ROWS}) AS BIGINT) AS STRING)) AS sheet, o_orderkey % {_SHEET_ROWS} AS k, count(*) OVER (PARTITION BY floor(o_orderkey / {_SHEET_ROWS})) AS n, o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING) AS price, o_orderpriority FROM orders)"""
+
+
+@query(f"""WITH r AS ({_ORDER_ROWS.replace("STRING", "VARCHAR")})
+SELECT 'row_added' AS category, sheet, CAST(new_row + 1 AS VARCHAR) AS ref, NULL AS old, NULL AS new FROM r WHERE k % 1000 = 500
+UNION ALL SELECT 'row_removed', sheet, CAST(k + 1 AS VARCHAR), NULL, NULL FROM r WHERE new_row IS NULL
+UNION ALL SELECT 'row_moved', sheet, CAST(new_row AS VARCHAR), CAST(k + 1 AS VARCHAR), CAST(new_row AS VARCHAR) FROM r WHERE k % 5000 = 123
+UNION ALL SELECT 'value_changed', sheet, 'B' || CAST(new_row AS VARCHAR), price, price || '1' FROM r WHERE k % 777 = 5 AND new_row IS NOT NULL""")
+def rows_inserted_and_moved(spark, sf_dir):
+    """Orders as sheets, and as they came back with rows inserted, removed and moved; formulas follow their rows, so they are no change."""
+    rows = spark.sql(_ORDER_ROWS.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders"))
+
+    def cells_of(row: str, price: str) -> DataFrame:
+        at = f"CAST({row} AS STRING)"
+        each = [("A", 1, "concat('pedido ', o_orderkey)", "NULL"), ("B", 2, price, "NULL"), ("C", 3, "o_orderpriority", "NULL"), ("D", 4, "IF(k % 10 = 0, '0', NULL)", f"IF(k % 10 = 0, concat('B', {at}, '*2'), NULL)"), ("E", 5, "IF(k % 100 = 0, '0', NULL)", f"IF(k % 100 = 0, concat('SUM(B1:B', {at}, ')'), NULL)")]
+        made = ", ".join(f"named_struct('ref', concat('{c}', {at}), 'row', {row}, 'col', {n}, 'value', {v}, 'formula', {f})" for c, n, v, f in each)
+        return rows.where(f"{row} IS NOT NULL").selectExpr("sheet", f"inline(array({made}))").where("value IS NOT NULL")
+
+    old = cells_of("k + 1", "price")
+    new = cells_of("new_row", "IF(k % 777 = 5, concat(price, '1'), price)")
+    more = rows.where("k % 1000 = 500").selectExpr("sheet", "concat('A', new_row + 1) AS ref", "new_row + 1 AS row", "1 AS col", "concat('novo ', k) AS value", "CAST(NULL AS STRING) AS formula")
+    of = lambda df, path: facts(df, "cell", path=F.lit(path), **{c: F.col(c) for c in ("sheet", "ref", "row", "col", "value", "formula")})
+    found = compare.changes(of(old, "old").unionByName(of(new.unionByName(more), "new")), compare.pairs(spark, ("old", "new")))
+    return found.select("category", "sheet", "ref", "old", "new")
+
+
+@query('''SELECT o_orderkey, 'R[1]C[' || CAST(2 - c AS VARCHAR) || ']*R1C3+''Plano B2''!R[0]C[' || CAST(4 - c AS VARCHAR) || ']&"A1 ""B2"""&LOG10(R[0]C[' || CAST(1 - c AS VARCHAR) || '])+R[' || CAST(9 - r AS VARCHAR) || ']C28' AS form, true AS filled_equal
+FROM (SELECT o_orderkey, o_orderkey % 700 + 1 AS c, o_orderkey % 100000 + 1 AS r FROM orders)''')
+def formulas_in_relative_form(spark, sf_dir):
+    """Formulas with quoted sheets and texts, fixed parts and function names; the same formula filled two rows down has the same form."""
+    r, k = F.col("r"), F.col("o_orderkey")
+    at = lambda n: n.cast("string")
+    written = lambda row, last: F.concat(F.lit("B"), at(row + 1), F.lit("*$C$1+'Plano B2'!D"), at(row), F.lit('&"A1 ""B2"""&LOG10(A'), at(row), F.lit(")+$AB"), last)
+    df = table(spark, sf_dir, "orders").select("o_orderkey", (k % 700 + 1).cast("int").alias("c"), (k % 100000 + 1).cast("int").alias("r"))
+    df = df.select("o_orderkey", "c", "r", (r + 2).alias("r2"), written(r, F.lit("9")).alias("f"), written(r + 2, F.lit("11")).alias("f2"))
+    form = formulas.relative("f", "r", "c")
+    return df.select("o_orderkey", form.alias("form"), (form == formulas.relative("f2", "r2", "c")).alias("filled_equal"))
+
+
+@query("SELECT DISTINCT n_name AS old_sheet, n_name || ' (rev)' AS new_sheet FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_nationkey % 3 = 0")
+def sheets_renamed(spark, sf_dir):
+    """Customers as a sheet for each nation; a third of the sheets came back under another name, with some balances changed."""
+    held = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    renamed = F.when(F.col("n_nationkey") % 3 == 0, F.concat("n_name", F.lit(" (rev)"))).otherwise(F.col("n_name"))
+    both = None
+    for side, name in (("old", F.col("n_name")), ("new", renamed)):
+        balance = money("c_acctbal") if side == "old" else F.when(F.col("c_custkey") % 4 == 0, F.lit("0.00")).otherwise(money("c_acctbal"))
+        one = facts(held, "cell", sheet=name, row=F.col("c_custkey"), col=F.lit(1), value=F.concat("c_name", F.lit(" "), F.col("c_custkey").cast("string")))
+        one = one.unionByName(facts(held, "cell", sheet=name, row=F.col("c_custkey"), col=F.lit(2), value=balance)).unionByName(facts(held.select(name.alias("s")).distinct(), "sheet", sheet=F.col("s")))
+        one = one.select("*", F.lit("p").alias("pair_id"), F.lit(side).alias("side"))
+        both = one if both is None else both.unionByName(one)
+    return sheets.matched_sheets(both.withColumn("form", formulas.relative())).select("old_sheet", "new_sheet")
+
+
+# ---------------------------------------------------------------- joins by place and time
+
+
+@query(f"""WITH c AS (SELECT c_custkey, c_custkey % 7 AS b, CAST(floor(c_custkey / 7) AS BIGINT) + 1 AS r, c_custkey % 3 + 1 AS col, raw FROM customer JOIN ({_CPF_TEXT}) USING (c_custkey))
+SELECT 'book' || CAST(b AS VARCHAR) AS path, chr(CAST(64 + col AS INT)) || CAST(r AS VARCHAR) AS ref, raw, CASE WHEN b = 6 THEN 'sheet' WHEN EXISTS (SELECT 1 FROM c h WHERE h.b = c.b AND h.r % 10 = 1 AND c.r BETWEEN h.r AND h.r + 2) THEN 'row' WHEN b % 2 = 0 AND col >= 3 THEN 'column' END AS hidden FROM c""")
+def identifiers_in_hidden_places(spark, sf_dir):
+    """CPFs in cells, joined with the ranges of rows and columns that are hidden; ranges are never written out."""
+    numbers = _check_digits(spark, sf_dir, 9, ids.CPF_WEIGHTS)
+    k, n = F.col("c_custkey"), F.col("number")
+    shaped = F.concat(F.left(n, F.lit(3)), F.lit("."), F.substring(n, 4, 3), F.lit("."), F.substring(n, 7, 3), F.lit("-"), F.substring(n, 10, 2))
+    cells = numbers.select(k, F.concat(F.lit("book"), (k % 7).cast("string")).alias("p"), (F.floor(k / 7) + 1).alias("r"), (k % 3 + 1).alias("c"), shaped.alias("v"))
+    told = facts(cells, "cell", path=F.col("p"), sheet=F.lit("S"), ref=F.concat(F.char(64 + F.col("c")), F.col("r").cast("string")), row=F.col("r"), col=F.col("c"), type=F.lit("s"), value=F.col("v"))
+    hidden = facts(cells.where("r % 10 = 1"), "hidden_row", path=F.col("p"), sheet=F.lit("S"), row=F.col("r"), col=F.col("r") + 2)
+    hidden = hidden.unionByName(facts(cells.where("c_custkey % 7 % 2 = 0"), "hidden_col", path=F.col("p"), sheet=F.lit("S"), row=F.lit(3), col=F.lit(16384)))
+    hidden = hidden.unionByName(facts(cells.where("p = 'book6'"), "sheet", path=F.col("p"), sheet=F.lit("S"), value=F.lit("hidden")))
+    found = findings.classify(findings.detect(told, "cell")).where("kind = 'cpf'")
+    return findings.with_places(found, hidden).select("path", "ref", "raw", "hidden")
+
+
+_SAVES = """WITH o AS (SELECT o_orderkey, o_custkey % 100 AS k, TIMESTAMP '2024-01-01' + to_minutes(o_orderkey % 20160) AS at FROM orders), e AS (SELECT user_id % 100 AS k, ts, event_id, event_type FROM events)
+SELECT o_orderkey, {0} AS event_id, {1} AS event_type FROM o ASOF LEFT JOIN e ON o.k = e.k AND o.at >= e.ts"""
+
+
+def _last_saves(spark, sf_dir, **options) -> DataFrame:
+    k = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders").select(k, (F.col("o_custkey") % 100).alias("k"), (F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp")) + k % 20160 * 60_000_000).alias("at"))
+    events = table(spark, sf_dir, "events").select((F.col("user_id") % 100).alias("k"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", "event_type")
+    return asof(orders, events, ["k"], "at", ["event_id", "event_type"], **options).select("o_orderkey", "event_id", "event_type")
+
+
+@query(_SAVES.format("event_id", "event_type"))
+def last_save_before(spark, sf_dir):
+    """For each order the last event of its user at or before it; users are cut into days."""
+    return _last_saves(spark, sf_dir, width=86_400_000_000)
+
+
+@query(_SAVES.format("CASE WHEN o.at - e.ts <= INTERVAL 20 MINUTE THEN event_id END", "CASE WHEN o.at - e.ts <= INTERVAL 20 MINUTE THEN event_type END"))
+def last_save_within(spark, sf_dir):
+    """The same, if it is not older than twenty minutes: one shuffle, since a stretch is handed to the next whole."""
+    return _last_saves(spark, sf_dir, width=3_600_000_000, tolerance=1_200_000_000)
+
+
+# ---------------------------------------------------------------- detectors over given tables
+
+_KINDS = ("creator", "company", "lastModifiedBy", "title")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS path, p_name AS sheet, CAST(unnest(range(p_size, p_size + p_partkey % 4)) AS VARCHAR) AS ref FROM part WHERE p_partkey % 4 > 0")
+def hidden_rows_found(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").where("p_partkey % 4 > 0")
+    held = facts(parts, "hidden_row", path=F.col("p_partkey"), sheet=F.col("p_name"), row=F.col("p_size"), col=F.col("p_size") + F.col("p_partkey") % 4 - 1)
+    return findings.detect(held, "hidden_row").select("path", "sheet", "ref")
+
+
+def _metadata(spark, sf_dir) -> DataFrame:
+    name = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("c_custkey") % 4 + 1).cast("int"))
+    return facts(table(spark, sf_dir, "customer"), "prop", path=F.concat(F.lit("c"), F.col("c_custkey").cast("string")), name=name, value=F.col("c_name"))
+
+
+_METADATA_SQL = "SELECT 'c' || CAST(c_custkey AS VARCHAR) AS path, CASE c_custkey % 4 WHEN 0 THEN 'metadata_author' WHEN 1 THEN 'metadata_company' ELSE 'metadata_last_editor' END AS kind, c_name AS raw FROM customer WHERE c_custkey % 4 < 3"
+
+
+@query(f"SELECT path, kind, 'baixo' AS severity, {_MASK.format('raw')} AS masked FROM ({_METADATA_SQL})")
+def metadata_findings(spark, sf_dir):
+    """Authors, companies and last editors; other properties are no findings."""
+    return reveal(findings.findings(_metadata(spark, sf_dir))).select("path", "kind", "severity", "masked")
+
+
+def _links(spark, sf_dir) -> DataFrame:
+    return facts(table(spark, sf_dir, "pages"), "link", path=F.concat(F.lit("p"), F.col("page_id").cast("string")), name=F.lit("xl/_rels/workbook.xml.rels"), value=F.col("url"))
+
+
+_LINKS_SQL = "SELECT 'p' || CAST(page_id AS VARCHAR) AS path, 'external_link' AS kind, url AS raw FROM pages"
+
+
+@query(f"SELECT path, kind, raw, 'xl/_rels/workbook.xml.rels' AS ref, 'medio' AS severity FROM ({_LINKS_SQL})")
+def link_findings(spark, sf_dir):
+    """Addresses of pages as external links: told, never opened."""
+    return findings.findings(_links(spark, sf_dir)).select("path", "kind", "raw", "ref", "severity")
+
+
+_NOTES_SQL = "SELECT 'n' || CAST(page_id AS VARCHAR) AS path, 'comment' AS kind, unnest(regexp_extract_all(html, '(?s)<!--(.*?)-->', 1)) AS raw FROM pages"
+_SHEETS_SQL = "SELECT 's' || CAST(p_partkey AS VARCHAR) AS path, 'hidden_sheet' AS kind, p_name AS raw FROM part WHERE p_size % 2 = 0"
+_CELLS_SQL = f"SELECT 'i' || CAST(c_custkey AS VARCHAR) AS path, 'cpf' AS kind, raw FROM ({_CPF_TEXT})"
+_EXPLAINED = {"hidden_sheet": "Aba oculta: o conteúdo segue no arquivo e pode ser reexibido.", "comment": "Comentário ou nota que o destinatário pode ler.", "metadata_author": "Autor gravado nos metadados do arquivo.", "metadata_company": "Empresa gravada nos metadados do arquivo.", "metadata_last_editor": "Último editor gravado no arquivo; o nome pode ser alterado.", "external_link": "Vínculo externo registrado; não foi aberto.", "cpf": "CPF com dígitos verificadores válidos em célula."}
+
+
+def _everything(spark, sf_dir) -> DataFrame:
+    """Facts of six kinds from four tables, as a scan of many files gives them."""
+    pages, part = table(spark, sf_dir, "pages"), table(spark, sf_dir, "part")
+    notes = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit("(?s)<!--(.*?)-->"), F.lit(1))).alias("text"))
+    n = F.col("number")
+    shaped = F.concat(F.left(n, F.lit(3)), F.lit("."), F.substring(n, 4, 3), F.lit("."), F.substring(n, 7, 3), F.lit("-"), F.substring(n, 10, 2))
+    named = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    out = _metadata(spark, sf_dir).unionByName(_links(spark, sf_dir))
+    out = out.unionByName(facts(notes, "comment", path=named("n", "page_id"), value=F.col("text")))
+    out = out.unionByName(facts(part, "sheet", path=named("s", "p_partkey"), sheet=F.col("p_name"), value=F.when(F.col("p_size") % 2 == 0, "veryHidden").otherwise("visible")))
+    return out.unionByName(facts(_check_digits(spark, sf_dir, 9, ids.CPF_WEIGHTS), "cell", path=named("i", "c_custkey"), ref=F.lit("A1"), type=F.lit("s"), value=shaped))
+
+
+_ALL_SQL = " UNION ALL ".join((_METADATA_SQL, _LINKS_SQL, _NOTES_SQL, _SHEETS_SQL, _CELLS_SQL))
+
+
+@query(f"SELECT path, kind, raw FROM ({_ALL_SQL})")
+def all_findings_in_one_place(spark, sf_dir):
+    """Findings of every kind from one pass over the facts."""
+    return findings.findings(_everything(spark, sf_dir)).where("kind <> 'pis'").select("path", "kind", "raw")
+
+
+@query(f"SELECT path, kind, CASE kind {' '.join(f"WHEN '{k}' THEN '{e}'" for k, e in _EXPLAINED.items())} END AS explanation FROM ({_ALL_SQL})")
+def findings_explained(spark, sf_dir):
+    return findings.findings(_everything(spark, sf_dir)).where("kind <> 'pis'").select("path", "kind", "explanation")
+
+
 # ---------------------------------------------------------------- golden workbooks
 
 
