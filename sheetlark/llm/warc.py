@@ -11,9 +11,11 @@ bytes. The manifest, written last by Spark's own committer, is what makes files
 readers open only what it lists.
 
 Payloads that are null count as empty. Equal payloads of ``dedup_bytes`` or more are stored
-once, in the record of the smallest id; the others are revisit records. Rows with a null id
-are dealt over all shards and written last there; they are always responses and take no part
-in the deduplication. Rows that repeat an id stay, ordered by url and payload, in one shard. An empty table makes an empty manifest.
+once, in the record of the smallest id; the others are revisit records, those with a null id too. Where no copy
+has an id there is none to refer to, and all are responses. Rows with a null id are dealt over all shards and
+written last there. Rows that repeat an id stay, ordered by url and payload, in one shard; all that repeat the
+smallest one are responses. A payload of any length is one record. Extra columns are not read. An
+empty table makes an empty manifest.
 """
 
 from __future__ import annotations
@@ -154,9 +156,11 @@ def write_warc(pages: DataFrame, folder: str, *, id: str = "page_id", url: str =
 
     # rows without id are dealt by what they hold
     shard = F.when(F.col("id").isNull(), F.pmod(F.xxhash64("url", "digest"), F.lit(n)).cast("int")).otherwise(place(F.coalesce("id", F.lit(0))))
-    large = meta.where((F.col("bytes") >= dedup_bytes) & F.col("id").isNotNull())
-    first = large.groupBy("digest").agg(F.min(F.struct("id", "url")).alias("m"), F.max("id").alias("most")).where("m.id <> most").select("digest", F.col("m.id").alias("to_id"), F.col("m.url").alias("to_url"))
-    marks = large.join(first, "digest").where("id <> to_id").select("id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.unhex("digest").alias("payload"), "to_id", "to_url", F.lit(None).cast("string").alias("digest")).distinct()
+    large = meta.where(F.col("bytes") >= dedup_bytes)
+    first = large.groupBy("digest").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "url"))).alias("m"), F.count("*").alias("copies")).where("copies > 1 AND m IS NOT NULL").select("digest", F.col("m.id").alias("to_id"), F.col("m.url").alias("to_url"))
+    # a mark goes where the rows that it is for go: by their id, or by what they hold
+    loose = F.col("id").isNull()
+    marks = large.join(first, "digest").where(loose | (F.col("id") != F.col("to_id"))).select("id", F.lit(0).alias("kind"), F.when(loose, F.col("url")).alias("url"), F.unhex("digest").alias("payload"), "to_id", "to_url", F.when(loose, F.col("digest")).alias("digest")).distinct()
     full = rows.select("id", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("to_id"), F.lit(None).cast("string").alias("to_url"), F.when(F.col("id").isNull(), F.sha2("payload", 256)).alias("digest"))
     dealt = full.unionByName(marks).withColumn("shard", shard).drop("digest").repartitionById(n, F.col("shard")).sortWithinPartitions("shard", F.col("id").asc_nulls_last(), "kind", "url", "payload")
     schema = pa.schema([("file", pa.string()), ("bytes", pa.int64()), ("sha256", pa.string()), ("records", pa.int64()), ("shard", pa.int32()), ("first_id", pa.int64()), ("last_id", pa.int64())])

@@ -31,7 +31,7 @@ def test_edges_rolling_and_round_trip(spark, tmp_path):
     expect = []
     for i, _, html in rows():
         size = len((html or "").encode())
-        to = {5: 3, 9: 3, 12: 11}.get(i)
+        to = {5: 3, 9: 3, 12: 11, None: 3}.get(i)
         expect.append((i if i is not None else -1, "revisit" if to else "response", size, to))
     assert by == sorted(expect, key=str)
     bodies = {r.id: r.payload for r in got if r.record_type == "response"}
@@ -63,7 +63,7 @@ def test_unlisted_files_do_not_count(spark, tmp_path):
 
 
 def test_wide_ids_even_shards_and_null_ids(spark, tmp_path):
-    """One far id puts the others into no common shard; ids may span all longs; rows without id are responses."""
+    """One far id puts the others into no common shard; ids may span all longs; rows without id revisit a copy that has one."""
     same = "<p>" + "same " * 60
     rows = [(i, f"http://h/{i}", f"<p>{i} " + "word " * 200) for i in range(400)]
     rows += [(-(2**63), "u", "low " * 300), (2**63 - 1, "u", same), (7_000, "u", same), (None, "n", same), (None, "n", "alone " * 50), (None, "n", "alone " * 50), (None, None, None)]
@@ -79,6 +79,16 @@ def test_wide_ids_even_shards_and_null_ids(spark, tmp_path):
     by = {r.id: r for r in got if r.id is not None}
     assert (by[7_000].record_type, by[2**63 - 1].record_type, by[2**63 - 1].refers_to) == ("response", "revisit", 7_000)
     null = sorted((r.record_type, r.refers_to or 0, r.payload_bytes) for r in got if r.id is None)
-    assert null == [("response", 0, 0), ("response", 0, 300), ("response", 0, 300), ("response", 0, len(same))]
+    assert null == [("response", 0, 0), ("response", 0, 300), ("response", 0, 300), ("revisit", 7_000, len(same))]
     again = warc.write_warc(df.repartition(2), f"file://{tmp_path}/x", shard_bytes=40_000, roll_bytes=2_000).collect()
     assert sorted((r.file, r.sha256) for r in again) == sorted((r.file, r.sha256) for r in manifest)
+
+
+def test_null_ids_follow_the_query_s_sql(spark, tmp_path):
+    """Every copy refers to the smallest id, also where only one row has an id and the copies are many."""
+    table = [(5, "u", LONG), *[(None, f"v{i % 3}", LONG) for i in range(40)], (None, None, LONG + "y"), (8, None, LONG + "z"), (None, None, "short"), (9, None, "short")]
+    spark.createDataFrame([(i, u, h, "s", 1) for i, u, h in table], "page_id long, url string, html string, record_type string, shard int").repartition(4).write.parquet(f"{tmp_path}/pages.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    got = sorted(map(tuple, op4_warc(spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted(c.sql(ORACLES["op4_warc"]).fetchall(), key=str) and sum(g[3] == "revisit" for g in got) == 40
