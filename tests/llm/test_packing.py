@@ -1,5 +1,8 @@
 import re
 
+import duckdb
+import pyarrow.parquet as pq
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -101,18 +104,53 @@ def test_close_to_the_optimum(lengths, overhead):
     assert packing.total_cost(placed, overhead) <= 1.5 * optimum(lengths, (4, 10, 24, 64), overhead) + 1e-9
 
 
-def test_sizes_are_planned_jointly(spark):
-    """No single size costs as little as the plan, and several sizes are opened, not only at the end."""
-    rows = op8_packing(spark, "/root/testdata/sf0.01").where("bin_id is not null").collect()
-    bins = {(r.bin_id, r.capacity) for r in rows}
-    sizes = [c for _, c in bins]
-    assert sum(sizes.count(c) > 2 for c in packing.CAPACITIES) >= 3
-    lengths = sorted((r.length for r in rows), reverse=True)
-    total = sum(packing.cost(c) for c in sizes)
-    for alone in packing.CAPACITIES[2:]:
-        assert total < packing.total_cost(packing._plan(lengths, list(packing.CAPACITIES), {c: packing.cost(c) for c in packing.CAPACITIES}, alone))
-    alone = [packing.best_fit([n], packing.CAPACITIES)[0][1] for n in lengths]
-    assert total < 0.8 * sum(map(packing.cost, alone))
+def lengths_of(sf):
+    texts = pq.read_table(f"/root/testdata/{sf}/documents.parquet", columns=["text"])["text"].to_pylist()
+    most = max(packing.CAPACITIES)
+    words = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
+    return sorted((min(most, n - at) for n in words for at in range(0, n, most)), reverse=True)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_sizes_are_planned_jointly(sf):
+    """The joint plan opens several sizes, is none of the plans of one size and costs no more than any of them."""
+    lengths, sizes = lengths_of(sf), list(packing.CAPACITIES)
+    prices = {c: packing.cost(c) for c in sizes}
+    count = lambda plan: sorted({(b, c) for b, c, _ in plan})
+    joint = packing._joint(lengths, sizes, prices)
+    total = packing.total_cost(joint)
+    bins = [c for _, c in count(joint)]
+    assert sum(bins.count(c) > 2 for c in sizes) >= 4
+    for alone in sizes:
+        plan = packing._plan(lengths, sizes, prices, alone)
+        assert total <= packing.total_cost(plan) and sorted(bins) != sorted(c for _, c in count(plan))
+    assert packing.best_fit(lengths) == joint
+    assert total < 0.8 * sum(prices[min(c for c in sizes if c >= n)] for n in lengths)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 64), min_size=1, max_size=80), st.integers(0, 40))
+def test_joint_plans_never_cost_more_than_least_bids(lengths, overhead):
+    ranked, sizes = sorted(lengths, reverse=True), [4, 10, 24, 64]
+    prices = {c: packing.cost(c, overhead) for c in sizes}
+    joint = packing._joint(ranked, sizes, prices)
+    assert packing.total_cost(joint, overhead) <= packing.total_cost(packing._plan(ranked, sizes, prices), overhead) + 1e-9
+    assert {b for b, _, _ in joint} == set(range(len({b for b, _, _ in joint})))
+
+
+def test_invariants_in_sql(spark, tmp_path):
+    """Pieces cover every text once, bins have neither gaps nor overlaps, and each has the least capacity that holds it."""
+    op8_packing(spark, "/root/testdata/sf0.01").write.parquet(f"{tmp_path}/packed")
+    c = duckdb.connect()
+    c.sql(f"create view p as select * from '{tmp_path}/packed/*.parquet'")
+    c.sql("create view documents as select * from '/root/testdata/sf0.01/documents.parquet'")
+    sizes = ", ".join(map(str, packing.CAPACITIES))
+    one = lambda sql: c.sql(sql).fetchall()[0][0]
+    words = r"SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n FROM documents"
+    assert one(f"SELECT count(*) FROM ({words}) d FULL JOIN (SELECT doc_id, sum(length) AS n FROM p GROUP BY doc_id, copy) q USING (doc_id) WHERE d.n IS DISTINCT FROM q.n") == 0
+    assert one("SELECT count(*) FROM (SELECT start, coalesce(sum(length) OVER (PARTITION BY doc_id, copy ORDER BY piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM p) WHERE start <> s") == 0
+    assert one('SELECT count(*) FROM (SELECT "offset" AS o, coalesce(sum(length) OVER (PARTITION BY bin_id ORDER BY "offset" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM p WHERE bin_id IS NOT NULL) WHERE o <> s') == 0
+    assert one(f"SELECT count(*) FROM (SELECT bin_id, min(capacity) AS c, max(capacity) AS d, sum(length) AS u FROM p WHERE bin_id IS NOT NULL GROUP BY bin_id) WHERE c <> d OR c <> list_min(list_filter([{sizes}], lambda x: x >= u))") == 0
 
 
 def test_many_copies_of_one_row(spark):
