@@ -15,7 +15,11 @@ window, so minhashes are computed for windows around such shingles alone; the ot
 collide. Texts are split and hashed once in the scan, and what leaves it are short slices of
 hashes: nothing is shuffled but the small result.
 
-Null and empty texts, and texts of fewer than five words, match nothing. Results are per id
+Words are compared in lower case (A-Z) and without the signs at their edges, and words of signs alone do not count: so
+comment marks before the lines of a source file, quotes, and another last sign hide nothing. This holds for templates too.
+
+Null and empty texts, and texts of fewer than five words, match nothing. Very long texts are
+searched whole. Results are per id
 and license, so rows that repeat an id share them, as rows with a null id do. An empty table
 gives no rows; extra columns are not read.
 """
@@ -101,9 +105,14 @@ SIBLINGS: dict[str, tuple[str, ...]] = {"GNU": ("AGPL-3.0", "GPL-2.0", "GPL-3.0"
 NEAR = 20
 
 
+#: Signs that do not count at the edges of a word.
+EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~“”‘’«»–—…•·©®"
+
+
 def _shingles(text: Column) -> Column:
     """Hashes of the 5-word shingles of a text, in order; none for fewer words."""
-    words = F.split(F.btrim(F.translate(text, UPPER, LOWER), F.lit(" \t\n\x0b\x0c\r")), SPACE)
+    bare = F.transform(F.split(F.translate(text, UPPER, LOWER), SPACE), lambda w: F.btrim(w, F.lit(EDGES)))
+    words = F.filter(bare, lambda w: w != "")
     hashed = F.transform(F.array(words), lambda w: F.when(F.size(w) >= 5, F.transform(F.sequence(F.lit(1), F.size(w) - 4), lambda i: F.xxhash64(*(F.get(w, i + j - 1) for j in range(5))))))
     return F.coalesce(F.get(hashed, F.lit(0)), F.array().cast("array<bigint>"))
 
@@ -165,6 +174,11 @@ def sql_words(text: str) -> str:
     return f"string_split_regex(trim(translate({text}, '{UPPER}', '{LOWER}'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{SPACE}')"
 
 
+def _sql_bare_words(text: str) -> str:
+    """SQL for the lower-cased words of a text without the signs at their edges."""
+    return f"list_filter(list_transform(string_split_regex(translate({text}, '{UPPER}', '{LOWER}'), '{SPACE}'), lambda x: trim(x, '{EDGES.replace(chr(39), chr(39) * 2)}')), lambda x: x <> '')"
+
+
 def oracle() -> str:
     """The same result in SQL, by counting shared shingles in every window."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
@@ -173,10 +187,10 @@ def oracle() -> str:
     siblings = " ".join(f"WHEN license IN ({', '.join(map(quote, members))}) THEN {quote(name)}" for name, members in SIBLINGS.items())
     return f"""
 WITH t(license, template, text) AS (VALUES {values}),
-tw AS (SELECT license, template, {sql_words("text")} AS w FROM t),
+tw AS (SELECT license, template, {_sql_bare_words("text")} AS w FROM t),
 ts AS (SELECT license, template, len(w) AS n, CAST(ceil(len(w) / 4.0) AS INT) AS stride, unnest(list_distinct({shingles})) AS s FROM tw),
 tn AS (SELECT template, count(*) AS size FROM ts GROUP BY template),
-dw AS (SELECT DISTINCT doc_id, md5(array_to_string(w, ' ')) AS text_key, w FROM (SELECT doc_id, {sql_words("text")} AS w FROM documents WHERE text IS NOT NULL)),
+dw AS (SELECT DISTINCT doc_id, md5(array_to_string(w, ' ')) AS text_key, w FROM (SELECT doc_id, {_sql_bare_words("text")} AS w FROM documents WHERE text IS NOT NULL)),
 ds AS (SELECT doc_id, text_key, unnest({shingles}) AS s, generate_subscripts({shingles}, 1) - 1 AS p FROM dw WHERE len(w) >= 5),
 hit AS (SELECT doc_id, text_key, license, template, n, stride, ds.s, p FROM ds JOIN ts USING (s)),
 win AS (SELECT *, unnest(range(greatest(0, CAST(ceil((p + 5 - (n + stride - 1)) / CAST(stride AS DOUBLE)) AS BIGINT)), p // stride + 1)) AS j FROM hit),

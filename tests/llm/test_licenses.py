@@ -57,3 +57,21 @@ def test_siblings_are_told_apart(spark):
     pdf = df.toPandas()  # noqa: F841
     c.sql("create view documents as select * from pdf")
     assert rows(got) == rows(c.sql(licenses.oracle()).fetchall())
+
+
+def test_notices_as_source_files_have_them(spark):
+    """Comment marks before every line, quotes around, and another last sign."""
+    mit = licenses.TEMPLATES["MIT"][1].split()
+    lines = [" ".join(mit[i : i + 12]) for i in range(0, len(mit), 12)]
+    marked = lambda mark: "code();\n" + "".join(f"{mark} {x}\n" for x in lines) + "more code"
+    texts = {
+        1: marked("#"), 2: marked(" *"), 3: marked("//"), 4: marked("--"), 5: marked(";;"), 6: "see: Released under the MIT license", 7: "Licensed under the Apache License, Version 2.0", 8: "licensed under CC BY 4.0, see file", 9: "(\u201cReleased under the MIT License\u201d)",
+        10: "Released under the MIT-0 License.", 11: "Licensed under CC BY-ND 4.0.", 12: "# # # -- //", 13: "!" * 100_000, 14: "<b>Licensed under CC BY-SA 4.0</b>",
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.license for r in licenses.scan(df).collect()}
+    assert got == {1: "MIT", 2: "MIT", 3: "MIT", 4: "MIT", 5: "MIT", 6: "MIT", 7: "Apache-2.0", 8: "CC-BY-4.0", 9: "MIT"}
+    c = duckdb.connect()
+    pdf = df.toPandas()  # noqa: F841
+    c.sql("create view documents as select * from pdf")
+    assert rows(licenses.scan(df).collect()) == rows(c.sql(licenses.oracle()).fetchall())
