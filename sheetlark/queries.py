@@ -25,6 +25,7 @@ from .plans.golden import golden
 from .plans.report import render
 from .sources import workbook
 from .sources.shared import shared_folder
+from .streaming import events, returns
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -483,6 +484,116 @@ def last_save_within(spark, sf_dir):
     return _last_saves(spark, sf_dir, width=3_600_000_000, tolerance=1_200_000_000)
 
 
+# ---------------------------------------------------------------- streams
+
+_EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double"
+_FAR = "TIMESTAMP '2100-01-01 00:00:00'"
+
+
+def _arrivals(spark, sf_dir, rows: DataFrame, parts: list, last: str) -> str:
+    """A folder to which ``rows`` have come in files, one after the other, and then one row that moves the clock on."""
+    folder = f"{shared_folder(spark)}/arrivals-{uuid.uuid4().hex[:12]}"
+    for part in parts:
+        rows.where(part).coalesce(1).write.mode("append").parquet(folder)
+    spark.sql(last).write.mode("append").parquet(folder)
+    return folder
+
+
+def _events(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
+
+
+def _event_files(spark, sf_dir, hold_back: str) -> str:
+    """Events in four files by quarters of their time, then those held back."""
+    rows = _events(spark, sf_dir)
+    quarters = rows.where(f"NOT ({hold_back})").agg(F.min(F.unix_micros("ts")).alias("a"), F.max(F.unix_micros("ts")).alias("z")).first()
+    at = [quarters.a + (quarters.z - quarters.a) * i // 4 for i in range(5)]
+    parts = [(F.unix_micros("ts") >= at[i]) & (F.unix_micros("ts") < at[i + 1] + (i == 3)) & ~F.expr(hold_back) for i in range(4)]
+    return _arrivals(spark, sf_dir, rows, [*parts, F.expr(hold_back)], f"SELECT -1L AS event_id, {_FAR} AS ts, -1L AS user_id, 'end' AS event_type, 0D AS value")
+
+
+def _told(spark, folder: str, made, delay: str) -> DataFrame:
+    """What windows over the files of ``folder`` tell, one file a micro-batch."""
+    out = f"{folder}-told"
+    query_ = events.run_windows(events.stream(spark, folder, _EVENTS), made, delay, out, f"{folder}-state")
+    query_.awaitTermination()
+    return spark.read.parquet(out)
+
+
+_AT = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+_HELD = "event_id % 97 = 0"
+#: The windows that the fourth file's batch had closed: those behind the first three.
+_WINDOWS_SQL = """WITH q AS (SELECT min(epoch_us(ts)) AS a, max(epoch_us(ts)) AS z FROM events WHERE event_id % 97 > 0),
+m AS (SELECT max(ts) - INTERVAL 2 HOUR AS mark FROM events, q WHERE event_id % 97 > 0 AND epoch_us(ts) < a + (z - a) * 3 // 4),
+e AS (SELECT *, unnest({starts}) AS start FROM events), w AS (SELECT *, event_id % 97 = 0 AND start + INTERVAL {length} <= date_trunc('millisecond', mark) AS late FROM e, m)"""
+_STARTS = "[time_bucket(INTERVAL 1 HOUR, ts)]"
+_SLIDES = "[time_bucket(INTERVAL 2 HOUR, ts) - to_hours(2 * i) FOR i IN range(3)]"
+_WINDOW_ROWS = "SELECT event_type, strftime(start, '%Y-%m-%d %H:%M:%S.%f') AS start, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS total FROM w WHERE NOT late GROUP BY ALL"
+
+
+@query(f"{_WINDOWS_SQL.format(starts=_STARTS, length='1 HOUR')} {_WINDOW_ROWS}")
+def event_windows_tumbling(spark, sf_dir):
+    """Hourly windows over a stream in six micro-batches; rows that come after their window has closed are not in it."""
+    told = _told(spark, _event_files(spark, sf_dir, _HELD), lambda e: events.windows(e, "1 hour"), "2 hours")
+    return told.select("event_type", _AT("start").alias("start"), "n", "total")
+
+
+@query(f"{_WINDOWS_SQL.format(starts=_SLIDES, length='6 HOUR')} {_WINDOW_ROWS}")
+def event_windows_sliding(spark, sf_dir):
+    told = _told(spark, _event_files(spark, sf_dir, _HELD), lambda e: events.windows(e, "6 hours", "2 hours"), "2 hours")
+    return told.select("event_type", _AT("start").alias("start"), "n", "total")
+
+
+@query("""WITH s AS (SELECT *, coalesce(ts - lag(ts) OVER w > INTERVAL 30 MINUTE, true) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+g AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM s)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S.%f') AS "end", count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS total FROM g GROUP BY user_id, g""")
+def event_sessions(spark, sf_dir):
+    """Sessions of users over the same stream, none held back: each ends half an hour after its last event."""
+    told = _told(spark, _event_files(spark, sf_dir, "event_id < 0"), lambda e: events.sessions(e, "30 minutes"), "1 hour")
+    return told.select("user_id", _AT("start").alias("start"), _AT("end").alias("end"), "n", "total")
+
+
+@query(f"{_WINDOWS_SQL.format(starts=_STARTS, length='1 HOUR')} SELECT event_type, strftime(start, '%Y-%m-%d %H:%M:%S.%f') AS start, count(*) AS n_late FROM w WHERE late GROUP BY ALL")
+def event_rows_too_late(spark, sf_dir):
+    """Rows that came after their hour had closed, counted apart by the hour that they would have been in."""
+    folder = _event_files(spark, sf_dir, _HELD)
+    events.run_late(events.stream(spark, folder, _EVENTS), "1 hour", 7200, f"{folder}-late", f"{folder}-marks").awaitTermination()
+    late = spark.read.schema("batch long, event_type string, start timestamp, n_late long").parquet(f"{folder}-late/late")
+    return late.groupBy("event_type", "start").agg(F.sum("n_late").alias("n_late")).select("event_type", _AT("start").alias("start"), "n_late")
+
+
+_RETURNED = "o_orderkey % 11 > 0"
+
+
+@query(f"""SELECT CAST(o_orderkey AS VARCHAR) AS key, CASE WHEN NOT ({_RETURNED}) THEN 'never_returned' WHEN o_orderkey % 13 = 5 THEN 'never_sent' WHEN o_orderkey % 7 = 0 THEN 'changed' ELSE 'unchanged' END AS outcome,
+CASE WHEN NOT ({_RETURNED}) OR o_orderkey % 13 <> 5 THEN CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) END AS old, CASE WHEN {_RETURNED} THEN CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) || CASE WHEN o_orderkey % 7 = 0 THEN '1' ELSE '' END END AS new FROM orders""")
+def versions_returned(spark, sf_dir):
+    """Orders sent and returned on one stream; the query stops after two files and goes on from its checkpoint."""
+    k = F.col("o_orderkey")
+    at = lambda seconds: F.timestamp_seconds(F.lit(1_704_067_200) + k % 3600 + seconds)
+    orders = table(spark, sf_dir, "orders")
+    sent = orders.where(f"NOT ({_RETURNED}) OR o_orderkey % 13 <> 5").select(k.cast("string").alias("key"), F.lit("sent").alias("side"), at(0).alias("time"), money("o_totalprice").alias("value"), (k % 2).alias("part"))
+    back = orders.where(_RETURNED).select(k.cast("string").alias("key"), F.lit("returned").alias("side"), at(3600).alias("time"), F.concat(money("o_totalprice"), F.when(k % 7 == 0, "1").otherwise("")).alias("value"), (k % 2 + 1).alias("part"))
+    rows = sent.unionByName(back)
+    folder = _arrivals(spark, sf_dir, rows, [F.col("part") == i for i in range(3)], f"SELECT CAST(NULL AS STRING) AS key, 'sent' AS side, {_FAR} AS time, '' AS value, 9L AS part LIMIT 0")
+    out, state = f"{folder}-told", f"{folder}-state"
+    source = lambda name: events.stream(spark, name, "key string, side string, time timestamp, value string, part long")
+
+    def go() -> None:
+        setting, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+        spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        try:
+            told = returns.returned(source(folder), patience=86_400)
+            told.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        finally:
+            spark.conf.set(setting, before) if before else spark.conf.unset(setting)
+
+    go()
+    spark.sql(f"SELECT 'end' AS key, 'sent' AS side, {_FAR} AS time, '' AS value, 9L AS part").write.mode("append").parquet(folder)
+    go()  # a new query over the same checkpoint: what was told is not told again
+    return spark.read.parquet(out).where("key <> 'end'").select("key", "outcome", "old", "new")
+
+
 # ---------------------------------------------------------------- detectors over given tables
 
 _KINDS = ("creator", "company", "lastModifiedBy", "title")
