@@ -27,7 +27,7 @@ ROWS = r"\$?[0-9]+:\$?[0-9]+"
 #: The same pattern serves Java's engine and Python's.
 TOKENS = "|".join((r'"(?:[^"]|"")*"', r"'(?:[^']|'')*'!?", r"\[[^\]]*\]", CELL + _END, COLUMNS + _END, ROWS, r"[A-Za-z_\\À-ÿ][A-Za-z0-9_.À-ÿ]*[(!]?", r"[0-9]+(?:\.[0-9]*)?(?:[eE][+-]?[0-9]+)?", r"[\s\S]"))
 _PARTS = r"^(\$?)([A-Za-z]{1,3})(\$?)([0-9]+)$"
-_TOKEN, _CELL = re.compile(TOKENS), re.compile(_PARTS)
+TOKEN, _CELL = re.compile(TOKENS), re.compile(_PARTS)
 
 
 def _number(letters: str) -> int:
@@ -61,7 +61,7 @@ def shift(formula: str, rows: int, columns: int) -> str:
                 return ":".join(f"{e[1]}{_letters(_number(e[2]) + (0 if e[1] else columns))}" for e in ends)
         return token
 
-    return "".join(moved(t) for t in _TOKEN.findall(formula))
+    return "".join(moved(t) for t in TOKEN.findall(formula))
 
 
 # ---------------------------------------------------------------- the same as column expressions

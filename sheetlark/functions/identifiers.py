@@ -1,5 +1,10 @@
 """Brazilian identifiers and bank data as column expressions: patterns and check digits.
 
+A CNPJ may hold letters in its first twelve places, each of the value of its code less 48; one with letters counts only
+in its written form (``XX.XXX.XXX/XXXX-00``), since any word could be one otherwise. An IBAN holds if it has its country's
+length and its number, first four signs last and letters as 10 to 35, leaves 1 modulo 97. A PIX key is told by
+its name next to it, and by its shape: e-mail, phone, random key, CPF or CNPJ.
+
 A number counts only if it stands alone (no letter or digit next to it) and its check
 digits hold; numbers of one repeated digit never count. Eleven digits may be a CPF and a
 PIS at once: both are told.
@@ -15,13 +20,18 @@ PIS_WEIGHTS = ((3, 2, 9, 8, 7, 6, 5, 4, 3, 2),)
 _ALONE = r"(?<![0-9A-Za-zÀ-ÿ]){}(?![0-9A-Za-zÀ-ÿ])"
 PATTERNS = {
     "cpf": _ALONE.format(r"\d{3}\.?\d{3}\.?\d{3}-?\d{2}"),
-    "cnpj": _ALONE.format(r"\d{2}\.?\d{3}\.?\d{3}/?\d{4}-?\d{2}"),
+    "cnpj": _ALONE.format(r"(?:\d{2}\.?\d{3}\.?\d{3}/?\d{4}-?\d{2}|[0-9A-Z]{2}\.[0-9A-Z]{3}\.[0-9A-Z]{3}/[0-9A-Z]{4}-\d{2})"),
     "pis": _ALONE.format(r"\d{3}\.?\d{5}\.?\d{2}-?\d"),
     "bank_account": r"(?i)(?<![a-zÀ-ÿ])ag(?:[êe]ncia)?\.?:?\s*\d{3,5}(?:-[\dx])?\s*[,;/|-]?\s*(?:conta(?: corrente)?|c/?c|cta)\.?:?\s*\d{3,12}-?[\dx]?(?![0-9A-Za-zÀ-ÿ])",
+    "iban": _ALONE.format(r"[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?"),
+    "pix_key": r"(?i)(?<![a-zÀ-ÿ])pix(?:[: =-]|\s|é|e chave|chave){0,4}(?:[a-z0-9._+-]{1,64}@[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63}){1,4}|\+55\d{10,11}|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|\d{3}\.?\d{3}\.?\d{3}-?\d{2}|\d{2}\.?\d{3}\.?\d{3}/?\d{4}-?\d{2})(?![0-9a-zÀ-ÿ@])",
     "card": _ALONE.format(r"\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}"),
 }
 REPEATED = r"^(\d)\1*$"
 DIGITS = "regexp_replace({}, '[^0-9]', '')"
+CHARACTERS = "regexp_replace({}, '[^0-9A-Z]', '')"
+#: Lengths of IBANs by country; others may have 15 to 34 signs.
+IBAN_LENGTHS = {"AT": 20, "BE": 16, "BR": 29, "CH": 21, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24}
 
 
 # Expressions are SQL text over a column's name: a check is some hundred operators, which the
@@ -56,6 +66,19 @@ def luhn(number: str) -> str:
     return _with(number, lambda n: f"(length({n}) = 16 AND NOT {n} RLIKE r'{REPEATED}' AND ({total(n)}) % 10 = 0)")
 
 
+def modulo_97(digits: str) -> str:
+    """A string of digits of any length modulo 97, seven digits at a time."""
+    return f"aggregate(sequence(1, greatest(length({digits}), 1), 7), 0, (rest_, at_) -> CAST(concat(rest_, substring({digits}, at_, 7)) AS INT) % 97)"
+
+
+def iban(text: str) -> str:
+    """Whether an IBAN, without spaces, has its country's length and leaves 1 modulo 97."""
+    lengths = "map(" + ", ".join(f"'{c}', {n}" for c, n in IBAN_LENGTHS.items()) + ")"
+    size = f"length({text}) = coalesce({lengths}[left({text}, 2)], length({text})) AND length({text}) BETWEEN 15 AND 34"
+    digits = f"array_join(transform(split(concat(substring({text}, 5, 40), left({text}, 4)), ''), c_ -> CASE WHEN c_ RLIKE '[A-Z]' THEN string(ascii(c_) - 55) ELSE c_ END), '')"
+    return f"({size} AND get(transform(array({digits}), d_ -> {modulo_97('d_')} = 1), 0))"
+
+
 WEIGHTS = {"cpf": CPF_WEIGHTS, "cnpj": CNPJ_WEIGHTS, "pis": PIS_WEIGHTS}
 
 
@@ -66,7 +89,11 @@ def check(number: str, kind: str) -> str:
 def found(text: str, kind: str) -> str:
     """Array of the values of ``kind`` in a text, as written there."""
     every = f"regexp_extract_all({text}, r'{PATTERNS[kind]}', 0)"
-    return every if kind == "bank_account" else f"filter({every}, v -> {check(DIGITS.format('v'), kind)})"
+    if kind in ("bank_account", "pix_key"):
+        return every
+    if kind == "iban":
+        return f"filter({every}, v -> {iban(CHARACTERS.format('v'))})"
+    return f"filter({every}, v -> {check((CHARACTERS if kind == 'cnpj' else DIGITS).format('v'), kind)})"
 
 
 def found_in_number(value: str, kind: str) -> str:

@@ -26,6 +26,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.formulas import TOKEN
 from ..sources.workbook import ERRORS, relations, workbook_facts
 
 MANIFEST = "path string, out_path string, removed array<string>, not_removed array<string>, error string"
@@ -257,6 +258,15 @@ def clean_workbook(content: bytes, *, drop_hidden_sheets: bool = False, drop_mac
     return out.getvalue(), sorted(set(removed))
 
 
+def cited(formula: str | None, gone: set[str]) -> bool:
+    """Whether a formula that stays names another workbook, or a sheet that went."""
+    if not formula:
+        return False
+    parts = TOKEN.findall(formula)
+    names = {t[:-1].strip("'").replace("''", "'") for t in parts if t.endswith("!")}
+    return bool(names & gone) or any(re.match(r"'?\[[0-9]+\]", t) for t in parts)
+
+
 def _uri(path: str) -> str:
     """A path as a URI, with one form for local files."""
     return "file://" + urlsplit(path).path if path.startswith(("file:", "/")) else path
@@ -295,8 +305,15 @@ def clean(files: DataFrame, out_dir: str, *, drop_hidden_sheets: bool = False, d
                 if fs.get_file_info(final).type == pafs.FileType.File:
                     fs.delete_file(final)
                 fs.move(temp, final)
-                kinds = {f["kind"] for f in workbook_facts(data) if f["kind"] != "sheet" or f["value"] != "visible"}
-                also = [n for k, n in (("macro", "macros"), ("sheet", "abas ocultas")) if k in kinds and not (drop_macros if k == "macro" else drop_hidden_sheets)]
+                kinds, cites = set(), False
+                gone = {f["sheet"] for f in workbook_facts(bytes(content)) if f["kind"] == "sheet"} if drop_hidden_sheets else set()
+                for f in workbook_facts(data):
+                    if f["kind"] == "sheet":
+                        gone.discard(f["sheet"])
+                    if f["kind"] != "sheet" or f["value"] != "visible":
+                        kinds.add(f["kind"])
+                    cites = cites or cited(f.get("formula"), gone)
+                also = ["fórmulas que citam o que saiu"] * cites + [n for k, n in (("macro", "macros"), ("sheet", "abas ocultas")) if k in kinds and not (drop_macros if k == "macro" else drop_hidden_sheets)]
                 rows.append((path, f"{out}/{name}", removed, [*NOT_REMOVED, *also], None))
             yield pd.DataFrame(rows, columns=["path", "out_path", "removed", "not_removed", "error"])
 

@@ -260,7 +260,7 @@ def changes(facts: DataFrame, pairs_: DataFrame) -> DataFrame:
     if not renamed.isEmpty():
         known = with_new_names(known, renamed)
     rows = written(aligned_rows(readable(known.where("kind = 'cell'"), gone)), "rows")
-    if renamed.isEmpty() and rows.isEmpty():  # every sheet and row is where it was
+    if renamed.isEmpty() and rows.where("NOT (old_row <=> new_row)").isEmpty():  # every sheet and row is where it was
         found, hidden = differences(known), known
     else:
         found, hidden = aligned_cells(known, rows, renamed), followed_ranges(known, rows)

@@ -31,12 +31,14 @@ RULES = (
     ("pis", "alto", "PIS com dígito verificador válido em célula."),
     ("bank_account", "alto", "Agência e conta bancária em célula."),
     ("card", "alto", "Número de cartão em célula."),
+    ("iban", "alto", "IBAN com dígitos verificadores válidos em célula."),
+    ("pix_key", "alto", "Chave PIX em célula."),
     ("unreadable", "medio", "Parte do arquivo não pôde ser lida; revise manualmente."),
 )
 RANKS = {"baixo": 1, "medio": 2, "alto": 3}
 LEVELS = {0: "Nenhum", 1: "Baixo", 2: "Médio", 3: "Alto"}
 CAVEAT = "A ausência de achados não significa que o arquivo está limpo; a revisão humana continua necessária."
-CELL_KINDS = ("cpf", "cnpj", "pis", "bank_account", "card")
+CELL_KINDS = ("cpf", "cnpj", "pis", "bank_account", "card", "iban", "pix_key")
 WINDOWS_USER = r"(?i)^[a-z]:[\\/]users[\\/]([^\\/]+)"
 
 
@@ -105,8 +107,8 @@ def _identifiers() -> Column:
         if kind in ("cpf", "cnpj", "pis"):
             values = f"CASE WHEN type = 'n' THEN array_distinct(concat({values}, {found_in_number('value', kind)})) ELSE {values} END"
         arrays.append(f"transform({values}, v -> struct('{kind}' AS kind, ref AS ref, v AS raw))")
-    # no identifier has less than three digits in a row
-    return F.expr(rf"CASE WHEN value RLIKE r'\d{{3}}' THEN concat({', '.join(arrays)}) END")
+    # an identifier has two digits in a row, or its name
+    return F.expr(rf"CASE WHEN value RLIKE r'(?i)\d{{2}}|pix' THEN concat({', '.join(arrays)}) END")
 
 
 #: The findings of a fact by its kind, each an array from that row alone.

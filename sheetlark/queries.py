@@ -18,13 +18,13 @@ from .__main__ import main
 from .functions import formulas
 from .functions import identifiers as ids
 from .functions.masking import mask, reveal
-from .operators import compare, findings, sheets
+from .operators import compare, findings, nested, sheets, sketches
 from .operators.asof import asof
 from .plans import api, report
 from .plans.golden import golden
 from .plans.report import render
 from .sources import workbook
-from .sources.shared import shared_folder
+from .sources.shared import shared_folder, written
 from .streaming import events, returns
 
 QUERIES: dict = {}
@@ -143,6 +143,8 @@ def mask_values(spark, sf_dir):
  ('pis', 'alto', 3, 'PIS com dígito verificador válido em célula.'),
  ('bank_account', 'alto', 3, 'Agência e conta bancária em célula.'),
  ('card', 'alto', 3, 'Número de cartão em célula.'),
+ ('iban', 'alto', 3, 'IBAN com dígitos verificadores válidos em célula.'),
+ ('pix_key', 'alto', 3, 'Chave PIX em célula.'),
  ('unreadable', 'medio', 2, 'Parte do arquivo não pôde ser lida; revise manualmente.')) t(kind, severity, rank, explanation)""")
 def severity_rules(spark, sf_dir):
     return findings.rules(spark)
@@ -220,6 +222,56 @@ def bank_accounts_in_cells(spark, sf_dir):
     return findings.identifiers(facts(table(spark, sf_dir, "customer"), "cell", ref=k, type=F.lit("s"), value=value)).where("kind = 'bank_account'").select("ref", "raw")
 
 
+_ALNUM_BASE = "chr(CAST(65 + c_custkey % 26 AS INT)) || lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0') || chr(CAST(65 + c_custkey * 7 % 26 AS INT)) || lpad(CAST((c_custkey * 7919 + 104729) % 10000000 AS VARCHAR), 7, '1')"
+
+
+def _alnum_sql() -> str:
+    sql = f"SELECT c_custkey, {_ALNUM_BASE} AS number FROM customer"
+    for w in _SQL_CNPJ:
+        rest = f"list_sum(list_transform({w}, lambda w, i: w * (ascii(substr(number, CAST(i AS INT), 1)) - 48))) % 11"
+        sql = f"SELECT c_custkey, number || CASE WHEN {rest} < 2 THEN '0' ELSE CAST(CAST(11 - {rest} AS INT) AS VARCHAR) END AS number FROM ({sql})"
+    return f"SELECT CAST(c_custkey AS VARCHAR) AS ref, substr(number, 1, 2) || '.' || substr(number, 3, 3) || '.' || substr(number, 6, 3) || '/' || substr(number, 9, 4) || '-' || substr(number, 13, 2) AS raw FROM ({sql})"
+
+
+@query(_alnum_sql())
+def cnpj_with_letters_in_cells(spark, sf_dir):
+    """CNPJs with letters, each next to one with another last digit and one without its signs, which is no CNPJ then."""
+    k = F.col("c_custkey")
+    base = F.concat(F.char(65 + k % 26), F.lpad((k % 1000).cast("string"), 3, "0"), F.char(65 + k * 7 % 26), F.lpad(F.pmod(k * 7919 + 104729, F.lit(10**7)).cast("string"), 7, "1"))
+    df = table(spark, sf_dir, "customer").select("c_custkey", base.alias("number"))
+    for w in ids.CNPJ_WEIGHTS:
+        df = df.withColumn("number", F.expr(f"concat(number, CAST({ids.check_digit('number', w)} AS STRING))"))
+    n = F.col("number")
+    shaped = lambda x: F.concat(F.substring(x, 1, 2), F.lit("."), F.substring(x, 3, 3), F.lit("."), F.substring(x, 6, 3), F.lit("/"), F.substring(x, 9, 4), F.lit("-"), F.substring(x, 13, 2))
+    wrong = F.concat(F.left(n, F.lit(13)), F.pmod(F.right(n, F.lit(1)).cast("int") + 1, F.lit(10)).cast("string"))
+    cells = facts(df, "cell", ref=k, type=F.lit("s"), value=F.concat(F.lit("CNPJ "), shaped(n), F.lit("; "), shaped(wrong), F.lit("; "), n))
+    return findings.identifiers(cells).where("kind = 'cnpj'").select("ref", "raw")
+
+
+_IBAN_BASE = "lpad(CAST((c_custkey * 7919 + 104729) % 100000000 AS VARCHAR), 8, '0') || '00001' || lpad(CAST(c_custkey AS VARCHAR), 10, '0') || 'C' || CAST(c_custkey % 10 AS VARCHAR)"
+
+
+@query(f"""WITH b AS (SELECT c_custkey, {_IBAN_BASE} AS base FROM customer), d AS (SELECT c_custkey, base, 98 - CAST(replace(base, 'C', '12') || '112700' AS HUGEINT) % 97 AS digits FROM b)
+SELECT CAST(c_custkey AS VARCHAR) AS ref, 'BR' || lpad(CAST(digits AS VARCHAR), 2, '0') || base AS raw FROM d""")
+def ibans_in_cells(spark, sf_dir):
+    """IBANs with the check digits that their number asks for; with all other digits tried in their place none holds."""
+    k = F.col("c_custkey")
+    base = F.concat(F.lpad(F.pmod(k * 7919 + 104729, F.lit(10**8)).cast("string"), 8, "0"), F.lit("00001"), F.lpad(k.cast("string"), 10, "0"), F.lit("C"), (k % 10).cast("string"))
+    tried = F.array_join(F.transform(F.sequence(F.lit(2), F.lit(98)), lambda d: F.concat(F.lit("BR"), F.lpad(d.cast("string"), 2, "0"), base)), "; ")
+    cells = facts(table(spark, sf_dir, "customer"), "cell", ref=k, type=F.lit("s"), value=tried)
+    return findings.identifiers(cells).where("kind = 'iban'").select("ref", "raw")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS ref, 'PIX: ' || CASE c_custkey % 3 WHEN 0 THEN 'cliente.' || CAST(c_custkey AS VARCHAR) || '@banco.com.br' WHEN 1 THEN '+5511' || lpad(CAST(c_custkey AS VARCHAR), 9, '9') ELSE substr(md5('a'), 1, 8) || '-1234-4abc-8def-' || lpad(CAST(c_custkey AS VARCHAR), 12, '0') END AS raw FROM customer")
+def pix_keys_in_cells(spark, sf_dir):
+    """PIX keys of three shapes by their name; the same e-mail without it is none."""
+    k = F.col("c_custkey")
+    mail = F.concat(F.lit("cliente."), k.cast("string"), F.lit("@banco.com.br"))
+    key = F.when(k % 3 == 0, mail).when(k % 3 == 1, F.concat(F.lit("+5511"), F.lpad(k.cast("string"), 9, "9"))).otherwise(F.concat(F.left(F.md5(F.lit("a")), F.lit(8)), F.lit("-1234-4abc-8def-"), F.lpad(k.cast("string"), 12, "0")))
+    cells = facts(table(spark, sf_dir, "customer"), "cell", ref=k, type=F.lit("s"), value=F.concat(F.lit("pagar em PIX: "), key, F.lit(" ou escrever a "), mail))
+    return findings.identifiers(cells).where("kind = 'pix_key'").select("ref", "raw")
+
+
 # ---------------------------------------------------------------- detectors over facts
 
 _FOLDERS = ("C:\\Users\\{}\\Docs", "C:\\Users\\{}\\OneDrive\\Obras", "\\\\servidor\\{}", "D:\\Obras\\{}", "https://d.docs.live.net/{}")
@@ -420,9 +472,9 @@ def formulas_in_relative_form(spark, sf_dir):
     """Formulas with quoted sheets and texts, fixed parts and function names; the same formula filled two rows down has the same form."""
     r, k = F.col("r"), F.col("o_orderkey")
     at = lambda n: n.cast("string")
-    written = lambda row, last: F.concat(F.lit("B"), at(row + 1), F.lit("*$C$1+'Plano B2'!D"), at(row), F.lit('&"A1 ""B2"""&LOG10(A'), at(row), F.lit(")+$AB"), last)
+    filled = lambda row, last: F.concat(F.lit("B"), at(row + 1), F.lit("*$C$1+'Plano B2'!D"), at(row), F.lit('&"A1 ""B2"""&LOG10(A'), at(row), F.lit(")+$AB"), last)
     df = table(spark, sf_dir, "orders").select("o_orderkey", (k % 700 + 1).cast("int").alias("c"), (k % 100000 + 1).cast("int").alias("r"))
-    df = df.select("o_orderkey", "c", "r", (r + 2).alias("r2"), written(r, F.lit("9")).alias("f"), written(r + 2, F.lit("11")).alias("f2"))
+    df = df.select("o_orderkey", "c", "r", (r + 2).alias("r2"), filled(r, F.lit("9")).alias("f"), filled(r + 2, F.lit("11")).alias("f2"))
     form = formulas.relative("f", "r", "c")
     return df.select("o_orderkey", form.alias("form"), (form == formulas.relative("f2", "r2", "c")).alias("filled_equal"))
 
@@ -666,6 +718,45 @@ def findings_explained(spark, sf_dir):
     return findings.findings(_everything(spark, sf_dir)).where("kind <> 'pis'").select("path", "kind", "explanation")
 
 
+# ---------------------------------------------------------------- sketches, nested properties
+
+
+@query("SELECT l_returnflag AS flag, CAST(count(*) AS BIGINT) AS n, true AS distinct_near, true AS median_near, true AS steps_near FROM lineitem GROUP BY ALL")
+def sketches_rolled_up(spark, sf_dir):
+    """Sketches of line items by supplier and flag, rolled up to flags in one step and in two; both are held against exact counts."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_suppkey").alias("file"), (F.col("l_suppkey") % 7).alias("part"), money("l_extendedprice").alias("value"))
+    kept = written(sketches.profile(lines, ["flag", "part", "file"]), "profiles")
+    once = sketches.rollup(kept, ["flag"])
+    twice = sketches.estimates(sketches.rollup(sketches.rollup(kept, ["flag", "part"]), ["flag"]), 0.5).select("flag", F.col("n").alias("n2"), F.col("n_distinct").alias("d2"))
+    number = F.col("value").cast("double")
+    exact = lines.groupBy("flag").agg(F.countDistinct("value").alias("d"))
+    told = sketches.estimates(once, 0.5).join(exact, "flag").join(twice, "flag")
+    # the rank that the told median really has
+    below = lines.join(F.broadcast(told.select("flag", "q_50")), "flag").groupBy("flag").agg(F.avg((number < F.col("q_50")).cast("int")).alias("lo"), F.avg((number <= F.col("q_50")).cast("int")).alias("hi"))
+    near = lambda d: F.abs(F.col(d) - F.col("d")) <= sketches.ERROR_DISTINCT * F.col("d")
+    rank = (F.col("lo") <= 0.5 + sketches.ERROR_RANK) & (F.col("hi") >= 0.5 - sketches.ERROR_RANK)
+    return told.join(below, "flag").select("flag", "n", near("n_distinct").alias("distinct_near"), rank.alias("median_near"), (near("d2") & (F.col("n") == F.col("n2"))).alias("steps_near"))
+
+
+@query("""SELECT event_id, category, path, old, new FROM (SELECT event_id, unnest(list_filter([
+ CASE WHEN event_id % 3 = 0 THEN {'category': 'prop_added', 'path': '$.extra.deep[1].x', 'old': NULL, 'new': CAST(k AS VARCHAR)} END, CASE WHEN event_id % 3 = 0 THEN {'category': 'prop_added', 'path': '$.extra.deep[0]', 'old': NULL, 'new': event_type} END,
+ CASE WHEN event_id % 5 = 0 THEN {'category': 'prop_lost', 'path': '$.meta.user', 'old': CAST(user_id AS VARCHAR), 'new': NULL} END, CASE WHEN event_id % 7 = 0 THEN {'category': 'prop_retyped', 'path': '$.k', 'old': 'BIGINT ' || CAST(k AS VARCHAR), 'new': 'STRING ' || CAST(k AS VARCHAR)} END,
+ CASE WHEN event_id % 11 = 0 THEN {'category': 'prop_changed', 'path': '$.meta["the type"]', 'old': event_type, 'new': event_type || '!'} END], lambda x: x IS NOT NULL), recursive := true)
+FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events))""")
+def nested_metadata_diff(spark, sf_dir):
+    """Events' properties, nested under others; some came back with paths added, lost, of another type or value."""
+    events_ = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    i = F.col("event_id")
+    meta = lambda user, kind: F.struct(user.alias("user"), kind.alias("the type"))
+    user, kind = F.col("user_id"), F.col("event_type")
+    old = events_.select("event_id", F.to_json(F.struct("k", meta(user, kind).alias("meta"))).alias("props"))
+    extra = F.when(i % 3 == 0, F.concat(F.lit(',"extra":{"deep":["'), kind, F.lit('",{"x":'), F.col("k").cast("string"), F.lit("}]}"))).otherwise("")
+    number = F.when(i % 7 == 0, F.concat(F.lit('"'), F.col("k").cast("string"), F.lit('"'))).otherwise(F.col("k").cast("string"))
+    changed = F.to_json(meta(F.when(i % 5 != 0, user), F.when(i % 11 == 0, F.concat(kind, F.lit("!"))).otherwise(kind)))
+    new = events_.select("event_id", F.concat(F.lit('{"meta":'), changed, F.lit(',"k":'), number, extra, F.lit("}")).alias("props"))
+    return nested.differences(old, new, ["event_id"], "props")
+
+
 # ---------------------------------------------------------------- golden workbooks
 
 

@@ -23,8 +23,8 @@ error     value: why a file or part could not be read; name: what it is, sheet:
 Sheets, comments, shared strings and macros are read as a stream, whatever their size, and
 sheets are handed on in batches, so a large sheet is never whole in a task; the shared strings'
 texts are. An unreadable sheet or part is an error by itself: the others are read. Only the
-relationships, properties, people and list of sheets, which inflate beyond ``MAX_PART`` in no
-sound file, are told as an error then.
+relationships, properties, people, list of sheets and macro projects, which inflate beyond ``MAX_PART`` in no
+sound file, are told as an error then, and so is a file of ``MAX_FILE`` bytes or more, which is not opened.
 """
 
 from __future__ import annotations
@@ -41,6 +41,7 @@ from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.formulas import shift
 from . import vba
@@ -48,6 +49,7 @@ from . import vba
 FACTS = "path string, kind string, sheet string, ref string, row int, col int, name string, type string, value string, formula string"
 FIELDS = [f.split()[0] for f in FACTS.split(", ")]
 MAX_PART = 512 << 20
+MAX_FILE = (1 << 31) - 1  # of Spark's binary source
 FILES = "*.[xX][lL][sS][xXmM]"
 BATCH = 20_000
 ERRORS = (ElementTree.ParseError, zipfile.BadZipFile, zlib.error, EOFError, ValueError, TypeError, KeyError, RuntimeError, NotImplementedError, OSError)
@@ -298,7 +300,13 @@ def facts_of_files(files: DataFrame) -> DataFrame:
                 if held:
                     yield _frame(held)
 
-    return files.select("path", "content").mapInPandas(run, FACTS)
+    if "length" not in files.columns:
+        return files.select("path", "content").mapInPandas(run, FACTS)
+    # a filter on lengths reaches the source, which then never opens what it cannot hold
+    fits = F.col("length") < MAX_FILE
+    told = {"kind": F.lit("error"), "path": F.col("path"), "value": F.concat(F.lit("the file has "), F.col("length").cast("string"), F.lit(f" bytes, {MAX_FILE} or more"))}
+    large = files.where(~fits).select(*(told.get(n, F.lit(None)).cast(t).alias(n) for n, t in (f.split() for f in FACTS.split(", "))))
+    return files.where(fits).select("path", "content").mapInPandas(run, FACTS).unionByName(large)
 
 
 def _frame(rows: list[dict]) -> pd.DataFrame:
