@@ -9,8 +9,8 @@
 3. Tasks cut whole texts into units where pieces surely begin, look each distinct unit up in the
    transducer and merge unseen pieces exactly, by rank.
 
-Nulls count as empty texts, empty texts have no tokens, a repeated row repeats its
-result, an empty table gives no rows; other columns are not read. The special token's
+Nulls count as empty texts, empty texts have no tokens, very long texts are encoded whole, a
+repeated row repeats its result (with a null id too), an empty table gives no rows; other columns are not read. The special token's
 string is recognised in texts as the tokenizers library does by default.
 """
 
@@ -20,18 +20,17 @@ import hashlib
 import heapq
 import json
 import os
-import tempfile
-import uuid
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, byte_hashes, materialize, slices, text_buffer
+from .common import batch_of, byte_hashes, materialize, scratch_path, slices, text_buffer
 
 #: The piece pattern of the vocabulary files.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -213,10 +212,12 @@ def walk(lexicon: dict[str, np.ndarray], pieces: list[bytes]) -> np.ndarray:
 
 
 def save_lexicon(lexicon: dict[str, np.ndarray], path: str) -> None:
+    """Write a lexicon to a path or URI, aligned for memory mapping."""
     head = json.dumps({k: [str(v.dtype), len(v)] for k, v in lexicon.items()}).encode()
-    with open(path, "wb") as file:
-        file.write(len(head).to_bytes(8, "little") + head)
-        file.write(b"\0" * (-file.tell() % 8))
+    fs, name = pafs.FileSystem.from_uri(path)
+    fs.create_dir(name.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(name, compression=None) as file:
+        file.write(len(head).to_bytes(8, "little") + head + b"\0" * (-(8 + len(head)) % 8))
         for v in lexicon.values():
             file.write(v.tobytes() + b"\0" * (-v.nbytes % 8))
 
@@ -374,11 +375,10 @@ def build(df: DataFrame, tokenizer: str, lexicon_share: float = LEXICON_SHARE, t
     total = counts.agg(F.sum("count")).first()[0] or 0
     words = counts.where(F.col("count") >= lexicon_share * total).select("w").collect()
     pieces = sorted({p.encode() for r in words for unit in (r.w, f" {r.w}") for p in PIECES.findall(unit)})
-    name = f"lexicon-{uuid.uuid4().hex}.bin"
-    folder = tempfile.mkdtemp(prefix="lexicon-")
-    save_lexicon(compile_lexicon(pieces, merges.merge(pieces)), f"{folder}/{name}")
-    spark.sparkContext.addFile(f"{folder}/{name}")
-    return name, spark.sparkContext.broadcast(merges)
+    path = scratch_path(spark, "lexicon")
+    save_lexicon(compile_lexicon(pieces, merges.merge(pieces)), path)
+    spark.sparkContext.addFile(path)
+    return path.rsplit("/", 1)[1], spark.sparkContext.broadcast(merges)
 
 
 def encode(df: DataFrame, tokenizer: str, *, id: str = "doc_id", text: str = "text", lexicon_share: float = LEXICON_SHARE) -> DataFrame:

@@ -38,6 +38,7 @@ from .common import batch_of, constants, distinct_in_rows, materialize, mix, shi
 from .graph import components
 
 SHINGLE, HALVES, ROWS, BLOCK = 5, 16, 2, 64
+MOST_COMMON = 1_000_000  # shingles that are broadcast as common ones: 8 MB
 
 
 def half_keys(shingles: np.ndarray, rows: np.ndarray, halves: int, width: int) -> np.ndarray:
@@ -177,7 +178,9 @@ def _common_shingles(members: DataFrame, share: float) -> np.ndarray:
 
     counted = materialize(members.select("s").mapInArrow(run, "s long, c long, n long").groupBy("s").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "common")
     total = counted.where("s is null").agg(F.sum("n")).first()[0] or 0
-    return np.array(sorted(r.s for r in counted.where(F.col("s").isNotNull() & (F.col("c") >= share * total)).select("s").collect()), np.int64)
+    # any set would do, so long as it is one: the most frequent shingles first, as many as a task can hold
+    found = counted.where(F.col("s").isNotNull() & (F.col("c") >= share * total)).orderBy(F.desc("c"), "s").limit(MOST_COMMON)
+    return np.array(sorted(r.s for r in found.select("s").collect()), np.int64)
 
 
 def _by_rare_shingles(large: DataFrame, sets: DataFrame, percent: int, share: float = 0.02) -> DataFrame:
