@@ -12,7 +12,9 @@ calibrated so that a pair at the threshold is lost with probability below ``miss
    the rest is cut into blocks of ``block`` vectors, so a large label or cell is many blocks
    and no group is whole anywhere. There are more axes where the largest label has more rows.
 2. Blocks of the same or neighbouring cells whose last axis comes within the window are paired
-   by their numbers alone. (The windows on axes are ``AXIS_WINDOW`` widths, which a pair leaves
+   by their numbers alone. Blocks that follow each other make bundles, and what is sent is bundles in pairs: a vector goes to
+   as many tasks as there are bundles near its own, not blocks. Bundles grow with the largest label (an eighth of it, up to
+   ``MOST_BUNDLE_BYTES``, which bounds a task's memory). (The windows on axes are ``AXIS_WINDOW`` widths, which a pair leaves
    with probability below 1e-8 an axis.)
 3. Inside a pair of blocks every counted projection of one block is sorted; the window around
    each vector of the other is a range of that order, which prefix sets of rows turn into the
@@ -35,6 +37,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +46,7 @@ from .graph import components
 
 THRESHOLD, PROJECTIONS, MISS, BLOCK = 0.98, 24, 1e-8, 2048
 WINDOW, AXIS_WINDOW, MOST_AXES = 2.0, 6.0, 5
+BUNDLES, MOST_BUNDLE_BYTES = 8, 32 << 20
 SEED = 20_240
 
 
@@ -87,7 +91,12 @@ def axes_for(rows: int, block: int) -> int:
     return min(MOST_AXES, 1 + max(0, math.ceil(math.log(max(1, rows / block), 5))))
 
 
-def _blocks(rows: DataFrame, width: float, block: int, axes: int) -> DataFrame:
+def bundle_for(rows: int, block: int) -> int:
+    """Vectors in a bundle: some ``BUNDLES`` bundles for the largest label, none smaller than a block."""
+    return max(block, -(-rows // BUNDLES))
+
+
+def _blocks(rows: DataFrame, width: float, block: int, axes: int, bundle: int) -> DataFrame:
     """Blocks of vectors near each other on the axes, and rows without block number that tell equal vectors.
 
     ``ids``, ``numbers`` and ``vectors`` are those of a block's distinct vectors. Where ``no`` is
@@ -107,20 +116,25 @@ def _blocks(rows: DataFrame, width: float, block: int, axes: int) -> DataFrame:
             cells = pa.ListArray.from_arrays(pa.array(np.arange(len(dims) + 1) * (axes - 1), pa.int32()), pa.array(cell.reshape(-1)))
             yield batch_of(placed_schema, id=batch.column("id"), label=batch.column("label"), dim=dims, cell=cells, y=y, v=[v.tobytes() for v in vectors])
 
-    schema = pa.schema([("label", pa.string()), ("dim", pa.int32()), ("cell", pa.list_(pa.int64())), ("lo", pa.float64()), ("hi", pa.float64()), ("rep", pa.int64()), ("ids", pa.binary()), ("numbers", pa.binary()), ("vectors", pa.binary())])
+    schema = pa.schema([("label", pa.string()), ("dim", pa.int32()), ("cell", pa.list_(pa.int64())), ("lo", pa.float64()), ("hi", pa.float64()), ("rep", pa.int64()), ("bundle", pa.int64()), ("ids", pa.binary()), ("numbers", pa.binary()), ("vectors", pa.binary())])
 
     def cut(batches):
         held: list[list] = []  # distinct vectors: id, y, bytes, number
         equal: list[int] = []
         key = None
+        number, size, of = TaskContext.get().partitionId() << 32, 0, None  # of the bundle that takes the next block
 
         def told():
+            nonlocal number, size, of
             label, dim, cell = key
+            if of != (label, dim) or size + len(held) > min(bundle, MOST_BUNDLE_BYTES // len(held[0][2])):
+                number, size, of = number + 1, 0, (label, dim)
+            size += len(held)
             ids, numbers = (np.array([x[k] for x in held], np.int64).tobytes() for k in (0, 3))
-            return batch_of(schema, label=[label], dim=[dim], cell=[list(cell)], lo=[held[0][1]], hi=[held[-1][1]], rep=pa.array([None], pa.int64()), ids=[ids], numbers=[numbers], vectors=[b"".join(x[2] for x in held)])
+            return batch_of(schema, label=[label], dim=[dim], cell=[list(cell)], lo=[held[0][1]], hi=[held[-1][1]], rep=pa.array([None], pa.int64()), bundle=[number], ids=[ids], numbers=[numbers], vectors=[b"".join(x[2] for x in held)])
 
         def told_equal():
-            out = batch_of(schema, label=pa.array([None], pa.string()), dim=pa.array([None], pa.int32()), cell=pa.array([None], pa.list_(pa.int64())), lo=pa.array([None], pa.float64()), hi=pa.array([None], pa.float64()), rep=[held[-1][0]], ids=[np.array(equal, np.int64).tobytes()], numbers=[b""], vectors=[b""])
+            out = batch_of(schema, label=pa.array([None], pa.string()), dim=pa.array([None], pa.int32()), cell=pa.array([None], pa.list_(pa.int64())), lo=pa.array([None], pa.float64()), hi=pa.array([None], pa.float64()), rep=[held[-1][0]], bundle=pa.array([None], pa.int64()), ids=[np.array(equal, np.int64).tobytes()], numbers=[b""], vectors=[b""])
             equal.clear()
             return out
 
@@ -149,7 +163,7 @@ def _blocks(rows: DataFrame, width: float, block: int, axes: int) -> DataFrame:
     order = ("label", "dim", "cell", "y", "v", "id")
     # bounds by the id as well: equal vectors of a hot group go to several tasks
     made = placed.repartitionByRange("label", "dim", "cell", "y", "id").sortWithinPartitions(*order)
-    made = made.mapInArrow(cut, "label string, dim int, cell array<long>, lo double, hi double, rep long, ids binary, numbers binary, vectors binary")
+    made = made.mapInArrow(cut, "label string, dim int, cell array<long>, lo double, hi double, rep long, bundle long, ids binary, numbers binary, vectors binary")
     return materialize(made.withColumn("no", F.when(F.col("rep").isNull(), F.monotonically_increasing_id())), "blocks")
 
 
@@ -224,15 +238,22 @@ def _forest(link: np.ndarray, ids: np.ndarray, other: np.ndarray) -> tuple[list[
 
 
 def _pairs(blocks: DataFrame, width: float, axes: int) -> DataFrame:
-    """Numbers ``(no, no_b)`` of blocks that may hold links, each pair once; vectors are not touched."""
-    meta = blocks.where("no is not null").select("label", "dim", "cell", "lo", "hi", "no")
+    """Numbers ``(no, no_b)`` of blocks that may hold links, each pair once, with their bundles; vectors are not touched."""
+    meta = blocks.where("no is not null").select("label", "dim", "cell", "lo", "hi", "no", "bundle")
     # of two opposite steps to a neighbouring cell only one is taken
     steps = [s for s in itertools.product((-1, 0, 1), repeat=axes - 1) if s >= (0,) * (axes - 1)]
     moved = F.array(*(F.struct(F.array(*(F.col("cell")[i] + x for i, x in enumerate(s))).cast("array<long>").alias("cell"), F.lit(any(s)).alias("other")) for s in steps))
-    near = meta.select("label", "dim", F.explode(moved).alias("m"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), F.col("no").alias("no_b")).select("label", "dim", "m.*", "lo_b", "hi_b", "no_b")
+    near = meta.select("label", "dim", F.explode(moved).alias("m"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), F.col("no").alias("no_b"), F.col("bundle").alias("bundle_b")).select("label", "dim", "m.*", "lo_b", "hi_b", "no_b", "bundle_b")
     reach = AXIS_WINDOW * width
     close = (F.col("lo") <= F.col("hi_b") + reach) & (F.col("lo_b") <= F.col("hi") + reach)
-    return meta.join(near, ["label", "dim", "cell"]).where(close & (F.col("other") | (F.col("no") <= F.col("no_b")))).select("no", "no_b")
+    return meta.join(near, ["label", "dim", "cell"]).where(close & (F.col("other") | (F.col("no") <= F.col("no_b")))).select("no", "no_b", "bundle", "bundle_b")
+
+
+def _sent(pairs: DataFrame) -> DataFrame:
+    """``(first, second, of, role)``: the bundles ``of`` that go to each pair of bundles, once to a pair of its own."""
+    both = pairs.select(F.least("bundle", "bundle_b").alias("first"), F.greatest("bundle", "bundle_b").alias("second")).distinct()
+    roles = F.array_distinct(F.array(F.struct(F.col("first").alias("of"), F.lit(0).alias("role")), F.struct(F.col("second").alias("of"), (F.col("first") != F.col("second")).cast("int").alias("role"))))
+    return both.select("first", "second", F.explode(roles).alias("r")).select("first", "second", "r.*")
 
 
 def near_duplicates(df: DataFrame, *, id: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, projections: int = PROJECTIONS, miss: float = MISS, block: int = BLOCK) -> DataFrame:
@@ -241,13 +262,10 @@ def near_duplicates(df: DataFrame, *, id: str = "vec_id", vector: str = "embeddi
     needed = needed_collisions(projections, WINDOW, miss)
     rows = _usable(df, id, vector, label)
     kind = np.float32 if rows.schema["v"].dataType.simpleString() == "array<float>" else np.float64
-    axes = axes_for(df.groupBy(label).count().agg(F.max("count")).first()[0] or 0, block)
-    blocks = _blocks(rows, width, block, axes)
-    pairs = _pairs(blocks, width, axes)
-    # each block goes to the pairs it is in, once for a pair of its own
-    roles = F.array_distinct(F.array(F.struct(F.col("no").alias("of"), F.lit(0).alias("role")), F.struct(F.col("no_b").alias("of"), (F.col("no") != F.col("no_b")).cast("int").alias("role"))))
-    wanted = pairs.select("no", "no_b", F.explode(roles).alias("r")).select("no", "no_b", "r.*")
-    sent = wanted.join(blocks.where("no is not null").select(F.col("no").alias("of"), "dim", "ids", "numbers", "vectors"), "of").drop("of")
+    largest = df.groupBy(label).count().agg(F.max("count")).first()[0] or 0
+    axes, bundle = axes_for(largest, block), bundle_for(largest, block)
+    blocks = _blocks(rows, width, block, axes, bundle)
+    sent = _sent(_pairs(blocks, width, axes)).join(blocks.where("no is not null").select(F.col("bundle").alias("of"), "no", "dim", "cell", "lo", "hi", "ids", "numbers", "vectors"), "of").drop("of")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
     def met(first, second):
@@ -264,21 +282,34 @@ def near_duplicates(df: DataFrame, *, id: str = "vec_id", vector: str = "embeddi
         some = n > 0
         return batch_of(schema, a=np.concatenate([who[some], np.array(fa, np.int64)]), b=pa.array([None] * int(some.sum()) + fb, pa.int64()), n=np.concatenate([n[some], np.zeros(len(fa), np.int64)]))
 
+    def together(first, second):
+        """The links between blocks of two bundles, or of one where ``second`` is empty."""
+        for i, (meta, block_) in enumerate(first):
+            if second:
+                cells, lows, highs = (np.array([m[k] for m, _ in second]) for k in range(3))
+            else:
+                cells, lows, highs = (np.array([m[k] for m, _ in first[i:]]) for k in range(3))
+            near = (np.abs(cells - np.array(meta[0])) <= 1).reshape(len(lows), -1).all(1) & (lows <= meta[2] + reach) & (highs >= meta[1] - reach)
+            for j in np.flatnonzero(near).tolist():
+                if second:
+                    yield met(block_, second[j][1])
+                else:
+                    yield met(block_, None if j == 0 else first[i + j][1])
+
     def run(batches):
-        held, waits = None, None
+        sides, key = ([], []), None
         for batch in batches:
             for i in range(batch.num_rows):
-                col = {c: batch.column(c)[i].as_py() for c in ("no", "no_b", "dim", "ids", "numbers", "vectors")}
+                col = {c: batch.column(c)[i].as_py() for c in ("first", "second", "role", "dim", "cell", "lo", "hi", "ids", "numbers", "vectors")}
+                if key != (col["first"], col["second"]):
+                    yield from together(*sides)
+                    sides, key = ([], []), (col["first"], col["second"])
                 mine = (np.frombuffer(col["ids"], np.int64), np.frombuffer(col["numbers"], np.int64), np.frombuffer(col["vectors"], kind).reshape(-1, col["dim"]))
-                if col["no"] == col["no_b"]:
-                    yield met(mine, None)
-                elif waits == (col["no"], col["no_b"]):
-                    yield met(held, mine)
-                    waits = None
-                else:
-                    held, waits = mine, (col["no"], col["no_b"])
+                sides[col["role"]].append(((col["cell"], col["lo"], col["hi"]), mine))
+        yield from together(*sides)
 
-    spread = sent.repartition("no", "no_b").sortWithinPartitions("no", "no_b", "role")
+    reach = AXIS_WINDOW * width
+    spread = sent.repartition("first", "second").sortWithinPartitions("first", "second", "role", "no")
     found = materialize(spread.mapInArrow(run, "a long, b long, n long"), "block-links")
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
     schema_equal = pa.schema([("id", pa.int64()), ("rep", pa.int64())])

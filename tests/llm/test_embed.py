@@ -89,3 +89,25 @@ def test_recall_at_the_threshold(spark):
     got = embed.near_duplicates(df, block=16)
     compare(got.collect(), rows)
     assert got.where("n_links > 0").count() == 1043
+
+
+def shipped(spark, n, dim=64, block=embed.BLOCK):
+    """How often a vector of one label is sent, and the share of all pairs that is compared: from block numbers alone."""
+    from pyspark.sql import functions as F
+
+    width = np.sqrt(2 - 2 * embed.THRESHOLD)
+    rows = spark.range(n, numPartitions=8).select("id", F.lit("a").alias("label"), F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda i: F.sqrt(-2 * F.log(F.pmod(F.xxhash64("id", i), F.lit(1 << 30)) / (1 << 30) + 1e-12)) * F.cos(F.pmod(F.xxhash64("id", i, F.lit(1)), F.lit(1 << 30)) / (1 << 30) * 2 * np.pi)).cast("array<float>").alias("v"))
+    axes = embed.axes_for(n, block)
+    blocks = embed._blocks(rows, width, block, axes, embed.bundle_for(n, block))
+    sizes = blocks.where("no is not null").select("no", "bundle", (F.length("ids") / 8).cast("long").alias("size"))
+    pairs = embed._pairs(blocks, width, axes)
+    copies = embed._sent(pairs).join(sizes.groupBy(F.col("bundle").alias("of")).agg(F.sum("size").alias("size")), "of").agg(F.sum("size")).first()[0] / n
+    own, other = (sizes.select(F.col("no").alias(c), F.col("size").alias(f"size_{c}")) for c in ("no", "no_b"))
+    compared = pairs.join(own, "no").join(other, "no_b").agg(F.sum(F.col("size_no") * F.col("size_no_b") * F.when(F.col("no") == F.col("no_b"), 0.5).otherwise(1.0))).first()[0]
+    return copies, compared / (n * n / 2)
+
+
+def test_vectors_are_sent_a_bounded_number_of_times(spark):
+    """A label without any structure, the worst case: each vector goes to fewer than ten tasks."""
+    copies, share = shipped(spark, 20_000)
+    assert copies < 10 and share < 0.75
