@@ -11,7 +11,8 @@
 
 A text that is null or has no letter is ``und`` with score 0 and no spans. A script that no
 language was seen in leaves all languages open. An empty or unlabelled training table makes
-every text ``und``. Repeated rows repeat their result; ties go to the language first in
+every text ``und``, and an empty table of texts gives no rows. Very long texts are labelled whole, slice by slice of a batch
+(one text is at least a slice). Repeated rows repeat their result, with a null id too; ties go to the language first in
 alphabetical order; other columns are not read.
 """
 

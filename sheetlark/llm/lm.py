@@ -18,7 +18,8 @@ Tokens are the words ``[^\\x20\\x09-\\x0D]+`` of whole texts with A-Z lower-case
   end token.
 
 The unigrams are (c + 0.1) / (N + 0.1 (V + 1)), and arcs with backoff sum to one in every
-state. Null text is an empty one, whose only token is the end. Rows with a null id are scored
+state. Null text is an empty one, whose only token is the end. Very
+long texts are scored whole. Rows with a null id are scored
 and never learned from. Repeated rows repeat their result; an empty table gives no rows; with
 nothing to learn from every score is 0. Extra columns are not read.
 """

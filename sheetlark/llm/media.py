@@ -11,7 +11,7 @@ Reading takes each distinct content once: a range read of the tar and image head
 metadata columns, and a second range read fetches the stored bytes for checks and features.
 
 Null counts as an empty payload, and payloads are padded with 255 to a positive multiple of
-``WIDTH``, so no image is empty. Equal rows get equal values; an empty table gives no rows;
+``WIDTH``, so no image is empty; a very long text is one tall image. Equal rows get equal values, rows with a null id too; an empty table gives no rows;
 extra columns are not read.
 """
 

@@ -21,7 +21,7 @@ Suffixes are first dealt to buckets so that no bucket needs the corpus:
    pre-aggregated, and spread over all tasks. Both ways give the same ranges.
 5. Covered ranges are gathered per row (bounded by the row itself) and applied.
 
-Null texts are empty; texts shorter than ``length`` keep everything; repeated rows count as different places, so their strings go in all of them. Rows
+Null texts are empty; very long ones are judged whole; texts shorter than ``length`` keep everything; repeated rows count as different places, so their strings go in all of them. Rows
 are told apart by an internal key, so null or repeated ids do no harm. An empty table gives no
 rows; extra columns are carried through untouched.
 """
