@@ -23,8 +23,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
 
 
+_WRITTEN: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table of the shared folder: what made it runs once, however often it is read."""
     path = f"{shared_folder(df.sparkSession)}/sheetlark-tables/{name}-{uuid.uuid4().hex[:12]}"
+    _WRITTEN.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that :func:`written` has made so far; results that still read them must be written by now."""
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

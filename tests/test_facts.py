@@ -1,13 +1,14 @@
 """Identifiers, sketches and nested properties on small tables."""
 
 import json
+import os
 import random
 
 from pyspark.sql import functions as F
 
 from sheetlark.functions import identifiers as ids
 from sheetlark.operators import findings, nested, sketches
-from sheetlark.sources import workbook
+from sheetlark.sources import shared, workbook
 
 
 def told(spark, texts, kind):
@@ -79,3 +80,13 @@ def test_nested_differences(spark):
     got = sorted(map(tuple, nested.differences(old, new, ["id"], "props").collect()), key=str)
     assert got == sorted([(1, "prop_changed", "$.a", "1", "3"), (2, "prop_retyped", "$.a", "STRING 1", "BIGINT 1"), (3, "prop_added", "$.n", None, None), (5, "prop_lost", "$.a[1]", "2", None)], key=str)
     assert nested.differences(old, old, ["id"], "props").count() == 0 and nested.differences(old.limit(0), old.limit(0), ["id"], "props").count() == 0
+
+
+def test_written_tables_can_be_released(spark):
+    shared.release(spark)
+    kept = shared.written(spark.range(3), "t")
+    assert kept.count() == 3
+    path = kept.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(path)
+    shared.release(spark)
+    assert not os.path.exists(path)
