@@ -111,8 +111,8 @@ EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~“”‘’«»–—…•·©®"
 
 def _shingles(text: Column) -> Column:
     """Hashes of the 5-word shingles of a text, in order; none for fewer words."""
-    bare = F.transform(F.split(F.translate(text, UPPER, LOWER), SPACE), lambda w: F.btrim(w, F.lit(EDGES)))
-    words = F.filter(bare, lambda w: w != "")
+    bare = F.transform(F.split(F.translate(text, UPPER, LOWER), SPACE), lambda w: F.xxhash64(F.btrim(w, F.lit(EDGES))))
+    words = F.filter(bare, lambda w: w != F.xxhash64(F.lit("")))  # each word is hashed once, shingles from the words' hashes
     hashed = F.transform(F.array(words), lambda w: F.when(F.size(w) >= 5, F.transform(F.sequence(F.lit(1), F.size(w) - 4), lambda i: F.xxhash64(*(F.get(w, i + j - 1) for j in range(5))))))
     return F.coalesce(F.get(hashed, F.lit(0)), F.array().cast("array<bigint>"))
 
