@@ -16,11 +16,17 @@ Suffixes are first dealt to buckets so that no bucket needs the corpus:
    bytes. Each gets a suffix order and its Burrows-Wheeler transform; a breadth-first
    backward extension then derives the common prefixes in increasing value. It stops at
    ``length``: boundaries still open there are exactly the pairs that share a repeat.
-4. The transform is built in memory, so an anchor with more than ``most`` different segments
-   goes the exact way for large groups instead: its windows are counted by 128-bit hash,
-   pre-aggregated, and spread over all tasks. Both ways give the same ranges.
+4. The transform is built in memory, so a bucket of more than ``most`` different segments is
+   dealt again by a longer key (:func:`_dealt_again`): windows are split by how far they begin
+   before their anchor, and all windows of one such range share a longer core around it, whose
+   hash is the new bucket. Equal windows begin equally far before equal anchors and so stay
+   together. Equal pieces collapse, lone ones go; the ranges narrow until every bucket fits,
+   at the last to one window, of which a bucket holds one kind.
 5. Covered ranges are gathered per row (bounded by the row itself) and applied.
 
+Joins by anchor send keys that hold over a ``HOT``-th of the rows, of which there are fewer than
+``HOT``, to all tasks and leave their rows in place; only the rest is shuffled.
+
 Null texts are empty; very long ones are judged whole; texts shorter than ``length`` keep everything; repeated rows count as different places, so their strings go in all of them. Rows
 are told apart by an internal key, so null or repeated ids do no harm. An empty table gives no
 rows; extra columns are carried through untouched.
@@ -39,6 +45,8 @@ from .common import BYTE_VALUES, batch_of, bucketed, buckets_for, byte_hashes, m
 
 LENGTH, GRAM, MOST, CHUNK = 200, 64, 6000, 1 << 20
 PIECE = 2 << 20
+HOT = 1000
+NARROWER = 4
 _POS = 26
 
 # ---------------------------------------------------------------- anchors
@@ -227,25 +235,70 @@ def _expand(cut: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(run, "uid long, lo long, hi long")
 
 
-def _count_windows(cut: DataFrame, length: int) -> DataFrame:
-    """The same ranges for anchors with very many segments: windows counted by hash."""
-    schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("uid", pa.int64()), ("lo", pa.int64()), ("n", pa.int64())])
+# ---------------------------------------------------------------- large buckets
+
+
+def _meet(rows: DataFrame, keys: DataFrame, on: list[str], count: str) -> DataFrame:
+    """Written ``rows`` joined with distinct written ``keys``, of which ``count`` says how many rows have them."""
+    most = rows.count() // HOT
+    hot = F.broadcast(keys.where(F.col(count) > most))  # fewer than HOT keys
+    rest = rows.join(F.broadcast(keys.where(F.col(count) > most).select(*on)), on, "left_anti")
+    return rows.join(hot, on).unionByName(rest.join(keys.where(F.col(count) <= most), on))
+
+
+def _with_offsets(pieces: DataFrame, length: int, gram: int) -> DataFrame:
+    """Segments with the distance ``o`` from their first window to their anchor."""
+    schema = pa.schema([("n", pa.int64()), ("uid", pa.int64()), ("lo", pa.int64()), ("o", pa.int64()), ("bytes", pa.binary())])
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "bytes", 1 << 19):
-                data, off = text_buffer(part.column("bytes"))
-                counts = np.diff(off) - length + 1
-                seg = np.repeat(np.arange(part.num_rows), counts)
-                start = np.arange(len(seg)) - np.repeat(np.cumsum(counts) - counts, counts)
-                at = off[:-1][seg] + start
-                x, y = span_hashes(prefix_hashes(data, BYTE_VALUES), at, at + length), byte_hashes(data, at, at + length)
-                uid, lo, n = (part.column(c).to_numpy() for c in ("uid", "lo", "n"))
-                yield batch_of(schema, x=signed(x), y=signed(y), uid=uid[seg], lo=lo[seg] + start, n=n[seg])
+            for part in slices(batch, "bytes", PIECE // 2):
+                row, _, _, _, o, _ = anchors(*text_buffer(part.column("bytes")), length, gram)
+                part = part.take(pa.array(row))  # a segment has one anchor
+                yield batch_of(schema, n=part.column("n"), uid=part.column("uid"), lo=part.column("lo"), o=o, bytes=part.column("bytes"))
+
+    return pieces.select("n", "uid", "lo", "bytes").mapInArrow(run, "n long, uid long, lo long, o long, bytes binary")
 
-    windows = materialize(cut.select("uid", "lo", "n", "bytes").mapInArrow(run, "x long, y long, uid long, lo long, n long"), "windows")
-    often = windows.groupBy("x", "y").agg(F.sum("n").alias("k")).where("k > 1").select("x", "y")
-    return windows.where("n = 1").join(often, ["x", "y"], "left_semi").select("uid", "lo", (F.col("lo") + length).alias("hi"))
+
+def cores(data: np.ndarray, off: np.ndarray, o: np.ndarray, length: int, gram: int, width: int) -> tuple[np.ndarray, ...]:
+    """Segments cut where the distance from a window to its anchor passes a multiple of ``width``.
+
+    For each part: row, hash of the core that all windows in that range share, first window,
+    windows, distance of the first window, hash of the part.
+    """
+    last = o - (np.diff(off) - length)  # distance of the last window
+    cells = o // width - last // width + 1
+    row = np.repeat(np.arange(len(o)), cells)
+    cell = (o // width)[row] - (np.arange(len(row)) - np.repeat(np.cumsum(cells) - cells, cells))
+    near, far = cell * width, np.minimum(cell * width + width - 1, length - gram)
+    begin, end = np.minimum(o[row], far), np.maximum(last[row], near)
+    first, w = o[row] - begin, begin - end + 1
+    anchor = off[:-1][row] + o[row]
+    key = byte_hashes(data, anchor - near, anchor + length - far) + mix(cell.astype(np.uint64))
+    start = off[:-1][row] + first
+    return row, key, first, w, begin, byte_hashes(data, start, start + w + length - 1) + mix(begin.astype(np.uint64))
+
+
+def _dealt_again(large: DataFrame, length: int, gram: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """Ranges that repeat as whole parts, and the different parts of cores that hold two kinds or more, with their bytes."""
+    schema = pa.schema([("h", pa.int64()), ("g", pa.int64()), ("n", pa.int64()), ("uid", pa.int64()), ("piece", pa.int64()), ("at", pa.int32()), ("w", pa.int32()), ("o", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "bytes", PIECE // 2):
+                row, h, at, w, o, g = cores(*text_buffer(part.column("bytes")), part.column("o").to_numpy(), length, gram, width)
+                n, uid, lo = (part.column(c).to_numpy()[row] for c in ("n", "uid", "lo"))
+                yield batch_of(schema, h=signed(h), g=signed(g), n=n, uid=uid, piece=lo, at=at.astype(np.int32), w=w.astype(np.int32), o=o)
+
+    dealt = materialize(large.mapInArrow(run, "h long, g long, n long, uid long, piece long, at int, w int, o long"), "dealt")
+    kinds = materialize(dealt.groupBy("h", "g").agg(F.sum("n").alias("k"), F.count_if(F.col("n") == 1).alias("parts"), F.min(F.struct("uid", "piece", "at", "w", "o")).alias("m")).select("h", "g", "k", "parts", "m.*"), "kinds")
+    lo = F.col("piece") + F.col("at")
+    whole = _meet(dealt.where("n = 1"), kinds.where("k > 1 AND parts > 0").select("h", "g", "parts"), ["h", "g"], "parts").select("uid", lo.alias("lo"), (lo + F.col("w") + length - 1).alias("hi"))
+    mixed = materialize(kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), "mixed")
+    wanted = _meet(kinds, mixed, ["h"], "kinds").select("h", F.col("k").alias("n"), "uid", "piece", "at", "w", "o", "kinds")
+    cut = F.expr(f"substring(bytes, at + 1, w + {length - 1})")
+    parts = large.select("uid", F.col("lo").alias("piece"), "bytes").join(wanted, ["uid", "piece"])
+    return whole, materialize(parts.select("h", "n", "uid", lo.alias("lo"), "o", "kinds", cut.alias("bytes")), "parts")
 
 
 # ---------------------------------------------------------------- the operator
@@ -259,13 +312,12 @@ def _keyed(df: DataFrame) -> DataFrame:
 def covered_ranges(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
     """Ranges ``(uid, lo, hi)`` of ``keyed`` texts whose bytes repeat; ranges may overlap."""
     found = materialize(_anchor_rows(keyed, length, gram), "anchors")
-    # written first: adaptive execution can then split the occurrences of a hot anchor in the join
-    often = materialize(found.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "often")
-    shared = materialize(found.join(often, "h", "left_semi"), "shared")
+    often = materialize(found.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "often")
+    shared = materialize(_meet(found, often, ["h"], "k").drop("k"), "shared")
     segments = materialize(shared.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("uid", "lo", "w")).alias("m")).select("h", "g", "n", "m.*"), "segments")
-    whole = shared.join(segments.where("n > 1").select("h", "g"), ["h", "g"], "left_semi").select("uid", "lo", (F.col("lo") + F.col("w") + length - 1).alias("hi"))
-    mixed = segments.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    wanted = segments.join(mixed, "h").groupBy("uid").agg(F.collect_list(F.struct("h", "n", "lo", "w", "kinds")).alias("want"))
+    whole = _meet(shared, segments.where("n > 1").select("h", "g", "n"), ["h", "g"], "n").select("uid", "lo", (F.col("lo") + F.col("w") + length - 1).alias("hi"))
+    mixed = materialize(segments.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), "mixed")
+    wanted = _meet(segments, mixed, ["h"], "kinds").groupBy("uid").agg(F.collect_list(F.struct("h", "n", "lo", "w", "kinds")).alias("want"))
     schema = pa.schema([("h", pa.int64()), ("n", pa.int64()), ("uid", pa.int64()), ("lo", pa.int64()), ("kinds", pa.int64()), ("bytes", pa.binary())])
 
     def cut(batches):
@@ -283,9 +335,15 @@ def covered_ranges(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, mos
                 yield batch_of(schema, h=h, n=n, uid=part.column("uid").to_numpy()[owner], lo=lo, kinds=kinds, bytes=pieces)
 
     pieces = materialize(keyed.select("uid", "text").join(wanted, "uid").mapInArrow(cut, "h long, n long, uid long, lo long, kinds long, bytes binary"), "pieces")
-    ranges = whole.unionByName(_expand(pieces.where(F.col("kinds") <= most), length))
-    large = pieces.where(F.col("kinds") > most)
-    return ranges if large.isEmpty() else ranges.unionByName(_count_windows(large, length))
+    fit, large = pieces.where(F.col("kinds") <= most).drop("kinds"), pieces.where(F.col("kinds") > most)
+    width = length - gram + 1
+    while not large.isEmpty():
+        width = -(-width // NARROWER)
+        again, pieces = _dealt_again(large if "o" in large.columns else _with_offsets(large, length, gram), length, gram, width)
+        whole = whole.unionByName(again)
+        fits = (F.col("kinds") <= most) | F.lit(width == 1)  # buckets of one window hold one kind, unless hashes are equal
+        fit, large = fit.unionByName(pieces.where(fits).select(*fit.columns)), pieces.where(~fits)
+    return whole.unionByName(_expand(fit, length))
 
 
 def _merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:

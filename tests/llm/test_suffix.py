@@ -51,10 +51,40 @@ def test_planted(spark):
     compare(spark, planted(), 200)
 
 
-def test_large_groups_go_the_exact_way(spark):
+def test_large_buckets_are_dealt_again(spark):
     compare(spark, planted(), 60, gram=20, most=3)
 
 
+def test_hot_passages_to_the_last_level(spark, monkeypatch):
+    # a passage just short of a repeat fills buckets until the last window tells its places apart
+    monkeypatch.setattr(suffix, "HOT", 3)
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    hot, other = text(199), text(150)
+    texts = [text(rng.randrange(0, 90)) + rng.choice("xyz") + hot + rng.choice("uvw") + text(rng.randrange(0, 90)) for _ in range(40)]
+    texts += [text(30) + other + text(60) for _ in range(12)] + [hot, "x" + hot, hot + "u", "x" + hot, None, ""]
+    compare(spark, texts, 200, most=2)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.binary(max_size=9), st.binary(max_size=9)), min_size=1, max_size=6), st.integers(1, 9))
+def test_cores_keep_equal_windows_together(sides, width):
+    # segments around one anchor "gg": all windows of 8 bytes that hold it at distances from 0 to 6
+    length, gram, found = 8, 2, {}
+    cut = [(left[-6:], right[:6]) for left, right in sides]
+    cut = [(a, b) for a, b in cut if len(a) + gram + len(b) >= length]
+    segments = [a + b"gg" + b for a, b in cut]
+    off = np.concatenate([[0], np.cumsum([len(x) for x in segments])]).astype(np.int64)
+    o = np.array([len(a) for a, _ in cut], np.int64)
+    row, key, first, w, begin, _ = suffix.cores(np.frombuffer(b"".join(segments), np.uint8), off, o, length, gram, width)
+    assert int(w.sum()) == sum(len(x) - length + 1 for x in segments)
+    for r, k, f, n, d in zip(row.tolist(), key.tolist(), first.tolist(), w.tolist(), begin.tolist(), strict=True):
+        for i in range(n):
+            assert o[r] - f == d
+            window = (segments[r][f + i : f + i + length], d - i)
+            assert found.setdefault(window, k) == k
+
+
 def test_edges(spark):
     df = spark.createDataFrame([(None, "x" * 300, "k", 1), (None, "x" * 300, "k", 2), (7, "é" * 150 + "y", "k", 3)], "doc_id long, text string, ranges string, _n long")
     got = sorted(r.n_removed for r in suffix.repeat_digests(df).collect())
