@@ -67,16 +67,22 @@ def luhn(number: str) -> str:
 
 
 def modulo_97(digits: str) -> str:
-    """A string of digits of any length modulo 97, seven digits at a time."""
-    return f"aggregate(sequence(1, greatest(length({digits}), 1), 7), 0, (rest_, at_) -> CAST(concat(rest_, substring({digits}, at_, 7)) AS INT) % 97)"
+    """A string of digits of any length modulo 97, sixteen digits at a time."""
+    return f"aggregate(sequence(1, greatest(length({digits}), 1), 16), 0, (rest_, at_) -> CAST(CAST(concat(rest_, substring({digits}, at_, 16)) AS BIGINT) % 97 AS INT))"
 
 
 def iban(text: str) -> str:
     """Whether an IBAN, without spaces, has its country's length and leaves 1 modulo 97."""
     lengths = "map(" + ", ".join(f"'{c}', {n}" for c, n in IBAN_LENGTHS.items()) + ")"
-    size = f"length({text}) = coalesce({lengths}[left({text}, 2)], length({text})) AND length({text}) BETWEEN 15 AND 34"
-    digits = f"array_join(transform(split(concat(substring({text}, 5, 40), left({text}, 4)), ''), c_ -> CASE WHEN c_ RLIKE '[A-Z]' THEN string(ascii(c_) - 55) ELSE c_ END), '')"
-    return f"({size} AND get(transform(array({digits}), d_ -> {modulo_97('d_')} = 1), 0))"
+
+    def fits(t: str) -> str:
+        size = f"length({t}) BETWEEN 15 AND 34 AND length({t}) = coalesce({lengths}[left({t}, 2)], length({t}))"
+        # runs of digits go on at once, a letter is two digits more
+        parts = f"regexp_extract_all(concat(substring({t}, 5, 40), left({t}, 4)), '[A-Z]|[0-9]{{1,16}}', 0)"
+        rest = f"aggregate({parts}, 0L, (rest_, p_) -> CASE WHEN p_ < 'A' THEN CAST(concat(rest_, p_) AS BIGINT) ELSE rest_ * 100 + ascii(p_) - 55 END % 97)"
+        return f"({size} AND {rest} = 1)"
+
+    return _with(text, fits)
 
 
 WEIGHTS = {"cpf": CPF_WEIGHTS, "cnpj": CNPJ_WEIGHTS, "pis": PIS_WEIGHTS}
@@ -92,7 +98,7 @@ def found(text: str, kind: str) -> str:
     if kind in ("bank_account", "pix_key"):
         return every
     if kind == "iban":
-        return f"filter({every}, v -> {iban(CHARACTERS.format('v'))})"
+        return f"filter({every}, v -> {iban("replace(v, ' ', '')")})"  # its pattern takes no other sign
     return f"filter({every}, v -> {check((CHARACTERS if kind == 'cnpj' else DIGITS).format('v'), kind)})"
 
 

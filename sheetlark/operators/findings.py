@@ -99,10 +99,10 @@ def _prop() -> Column:
     return F.when(F.col("name") == "save_folder", folder).when(F.col("name").isin(*_PROPS), F.array(_finding(who, ref="name")))
 
 
-def _identifiers() -> Column:
+def _identifiers(kinds: tuple[str, ...] = CELL_KINDS) -> Column:
     """CPF, CNPJ, PIS and bank data in a cell; texts by pattern, numbers by padded value."""
     arrays = []
-    for kind in CELL_KINDS:
+    for kind in kinds:
         values = found("value", kind)
         if kind in ("cpf", "cnpj", "pis"):
             values = f"CASE WHEN type = 'n' THEN array_distinct(concat({values}, {found_in_number('value', kind)})) ELSE {values} END"
@@ -132,8 +132,11 @@ def detect(facts: DataFrame, *kinds: str) -> DataFrame:
     each = None
     for k in kinds:
         each = F.when(F.col("kind") == k, DETECTORS[k]()) if each is None else each.when(F.col("kind") == k, DETECTORS[k]())
-    some = facts.where(F.col("kind").isin(*kinds)).select("path", "sheet", F.explode(each).alias("x"))
-    return some.select("path", "x.kind", "sheet", "x.ref", "x.raw")
+    return _told(facts.where(F.col("kind").isin(*kinds)), each)
+
+
+def _told(facts: DataFrame, each: Column) -> DataFrame:
+    return facts.select("path", "sheet", F.explode(each).alias("x")).select("path", "x.kind", "sheet", "x.ref", "x.raw")
 
 
 def hidden_sheets(facts: DataFrame) -> DataFrame:
@@ -148,8 +151,9 @@ def comments(facts: DataFrame) -> DataFrame:
     return detect(facts, "comment")
 
 
-def identifiers(facts: DataFrame) -> DataFrame:
-    return detect(facts, "cell")
+def identifiers(facts: DataFrame, *kinds: str) -> DataFrame:
+    """Identifiers of the given kinds in cells, or of all; patterns of other kinds are not searched for."""
+    return _told(facts.where("kind = 'cell'"), _identifiers(kinds or CELL_KINDS))
 
 
 def with_places(found_: DataFrame, facts: DataFrame) -> DataFrame:

@@ -153,9 +153,19 @@ def severity_rules(spark, sf_dir):
 # ---------------------------------------------------------------- identifiers
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` dealt out one by one over all cores: a narrow file is read by few tasks, whatever its rows ask for."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
+
+
+def _customers(spark, sf_dir) -> DataFrame:
+    return dealt(table(spark, sf_dir, "customer").select("c_custkey"))
+
+
 def _check_digits(spark, sf_dir, size, weights):
     base = F.lpad(F.pmod(F.col("c_custkey") * 7919 + 104729, F.lit(10**9)).cast("string"), size, "1")
-    df = table(spark, sf_dir, "customer").select("c_custkey", base.alias("number"))
+    df = _customers(spark, sf_dir).select("c_custkey", base.alias("number"))
     for w in weights:
         df = df.withColumn("number", F.expr(f"concat(number, CAST({ids.check_digit('number', w)} AS STRING))"))
     changed = "concat(left(number, length(number) - 1), CAST(pmod(CAST(right(number, 1) AS INT) + 1, 10) AS STRING))"
@@ -203,7 +213,7 @@ def cpf_in_cells(spark, sf_dir):
     wrong = F.concat(F.left(n, F.lit(10)), F.pmod(F.right(n, F.lit(1)).cast("int") + 1, F.lit(10)).cast("string"))
     text = F.concat(F.lit("Nome X, CPF "), shaped(n), F.lit("; outro "), shaped(wrong), F.lit("; token a"), n, F.lit("f"))
     cells = facts(_check_digits(spark, sf_dir, 9, ids.CPF_WEIGHTS), "cell", ref=F.col("c_custkey"), type=F.lit("s"), value=text)
-    return findings.identifiers(cells).where("kind = 'cpf'").select("ref", "kind", "raw")
+    return findings.identifiers(cells, "cpf").select("ref", "kind", "raw")
 
 
 @query("""WITH d AS (SELECT c_custkey, '4' || lpad(CAST((c_custkey * 7919 + 104729) % 1000000000 AS VARCHAR), 14, '3') AS b FROM customer),
@@ -219,7 +229,7 @@ def card_luhn(spark, sf_dir):
 def bank_accounts_in_cells(spark, sf_dir):
     k = F.col("c_custkey")
     value = F.concat(F.lit("Pagar: Agência "), F.lpad((k % 10000).cast("string"), 4, "0"), F.lit(" conta "), (10000 + k).cast("string"), F.lit("-"), (k % 10).cast("string"), F.lit(", obrigado"))
-    return findings.identifiers(facts(table(spark, sf_dir, "customer"), "cell", ref=k, type=F.lit("s"), value=value)).where("kind = 'bank_account'").select("ref", "raw")
+    return findings.identifiers(facts(_customers(spark, sf_dir), "cell", ref=k, type=F.lit("s"), value=value), "bank_account").select("ref", "raw")
 
 
 _ALNUM_BASE = "chr(CAST(65 + c_custkey % 26 AS INT)) || lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0') || chr(CAST(65 + c_custkey * 7 % 26 AS INT)) || lpad(CAST((c_custkey * 7919 + 104729) % 10000000 AS VARCHAR), 7, '1')"
@@ -238,14 +248,14 @@ def cnpj_with_letters_in_cells(spark, sf_dir):
     """CNPJs with letters, each next to one with another last digit and one without its signs, which is no CNPJ then."""
     k = F.col("c_custkey")
     base = F.concat(F.char(65 + k % 26), F.lpad((k % 1000).cast("string"), 3, "0"), F.char(65 + k * 7 % 26), F.lpad(F.pmod(k * 7919 + 104729, F.lit(10**7)).cast("string"), 7, "1"))
-    df = table(spark, sf_dir, "customer").select("c_custkey", base.alias("number"))
+    df = _customers(spark, sf_dir).select("c_custkey", base.alias("number"))
     for w in ids.CNPJ_WEIGHTS:
         df = df.withColumn("number", F.expr(f"concat(number, CAST({ids.check_digit('number', w)} AS STRING))"))
     n = F.col("number")
     shaped = lambda x: F.concat(F.substring(x, 1, 2), F.lit("."), F.substring(x, 3, 3), F.lit("."), F.substring(x, 6, 3), F.lit("/"), F.substring(x, 9, 4), F.lit("-"), F.substring(x, 13, 2))
     wrong = F.concat(F.left(n, F.lit(13)), F.pmod(F.right(n, F.lit(1)).cast("int") + 1, F.lit(10)).cast("string"))
     cells = facts(df, "cell", ref=k, type=F.lit("s"), value=F.concat(F.lit("CNPJ "), shaped(n), F.lit("; "), shaped(wrong), F.lit("; "), n))
-    return findings.identifiers(cells).where("kind = 'cnpj'").select("ref", "raw")
+    return findings.identifiers(cells, "cnpj").select("ref", "raw")
 
 
 _IBAN_BASE = "lpad(CAST((c_custkey * 7919 + 104729) % 100000000 AS VARCHAR), 8, '0') || '00001' || lpad(CAST(c_custkey AS VARCHAR), 10, '0') || 'C' || CAST(c_custkey % 10 AS VARCHAR)"
@@ -258,8 +268,8 @@ def ibans_in_cells(spark, sf_dir):
     k = F.col("c_custkey")
     base = F.concat(F.lpad(F.pmod(k * 7919 + 104729, F.lit(10**8)).cast("string"), 8, "0"), F.lit("00001"), F.lpad(k.cast("string"), 10, "0"), F.lit("C"), (k % 10).cast("string"))
     tried = F.array_join(F.transform(F.sequence(F.lit(2), F.lit(98)), lambda d: F.concat(F.lit("BR"), F.lpad(d.cast("string"), 2, "0"), base)), "; ")
-    cells = facts(table(spark, sf_dir, "customer"), "cell", ref=k, type=F.lit("s"), value=tried)
-    return findings.identifiers(cells).where("kind = 'iban'").select("ref", "raw")
+    cells = facts(_customers(spark, sf_dir), "cell", ref=k, type=F.lit("s"), value=tried)
+    return findings.identifiers(cells, "iban").select("ref", "raw")
 
 
 @query("SELECT CAST(c_custkey AS VARCHAR) AS ref, 'PIX: ' || CASE c_custkey % 3 WHEN 0 THEN 'cliente.' || CAST(c_custkey AS VARCHAR) || '@banco.com.br' WHEN 1 THEN '+5511' || lpad(CAST(c_custkey AS VARCHAR), 9, '9') ELSE substr(md5('a'), 1, 8) || '-1234-4abc-8def-' || lpad(CAST(c_custkey AS VARCHAR), 12, '0') END AS raw FROM customer")
@@ -268,8 +278,8 @@ def pix_keys_in_cells(spark, sf_dir):
     k = F.col("c_custkey")
     mail = F.concat(F.lit("cliente."), k.cast("string"), F.lit("@banco.com.br"))
     key = F.when(k % 3 == 0, mail).when(k % 3 == 1, F.concat(F.lit("+5511"), F.lpad(k.cast("string"), 9, "9"))).otherwise(F.concat(F.left(F.md5(F.lit("a")), F.lit(8)), F.lit("-1234-4abc-8def-"), F.lpad(k.cast("string"), 12, "0")))
-    cells = facts(table(spark, sf_dir, "customer"), "cell", ref=k, type=F.lit("s"), value=F.concat(F.lit("pagar em PIX: "), key, F.lit(" ou escrever a "), mail))
-    return findings.identifiers(cells).where("kind = 'pix_key'").select("ref", "raw")
+    cells = facts(_customers(spark, sf_dir), "cell", ref=k, type=F.lit("s"), value=F.concat(F.lit("pagar em PIX: "), key, F.lit(" ou escrever a "), mail))
+    return findings.identifiers(cells, "pix_key").select("ref", "raw")
 
 
 # ---------------------------------------------------------------- detectors over facts

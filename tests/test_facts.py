@@ -90,3 +90,18 @@ def test_written_tables_can_be_released(spark):
     assert os.path.isdir(path)
     shared.release(spark)
     assert not os.path.exists(path)
+
+
+def test_ibans_against_plain_arithmetic(spark):
+    g = random.Random(2)
+    texts = ["".join(g.choice("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(g.choice((15, 22, 29, 34)))) for _ in range(3000)]
+    texts += [f"{c}{d:02d}{'Z' * 14}{'9' * 16}"[: ids.IBAN_LENGTHS.get(c, 34)] for c in ("BR", "XX", "NO") for d in range(98)]
+    want = {t for t in texts if len(t) == ids.IBAN_LENGTHS.get(t[:2], len(t)) and int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t for r in df.where(ids.iban("t")).collect()} == want and len(want) > 20
+
+
+def test_one_kind_of_identifier_is_looked_for_alone(spark):
+    cells = spark.createDataFrame([("1", "4111111111111111; DE89370400440532013000")], "ref string, value string").selectExpr("*", "'cell' AS kind", "'s' AS type", "'f' AS path", "'t' AS sheet")
+    assert [r.kind for r in findings.identifiers(cells, "iban").collect()] == ["iban"]
+    assert sorted(r.kind for r in findings.identifiers(cells).collect()) == ["card", "iban"]

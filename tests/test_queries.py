@@ -2,6 +2,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as e
 from sheetlark import queries
@@ -47,3 +48,10 @@ def test_every_value_of_a_document_is_found(spark, tmp_path):
     assert queries.findings_masked_by_default(spark, str(tmp_path)).count() == 6
     assert {r.path: r.n_findings for r in queries.risk_level(spark, str(tmp_path)).collect()} == {"0": 5, "1": 1, "2": 0, "3": 0}
     assert queries.findings_grouped(spark, str(tmp_path)).agg({"n_findings": "max"}).first()[0] == 6
+
+
+@pytest.mark.parametrize("name", ["ibans_in_cells", "cpf_in_cells"])
+def test_a_narrow_file_is_dealt_over_the_cores(spark, name):
+    """One small file is one task's to read; what its rows ask for is everyone's."""
+    used = queries.QUERIES[name](spark, SF).groupBy(F.spark_partition_id()).count().collect()
+    assert len(used) > 8 and max(r["count"] for r in used) < 40
