@@ -221,7 +221,7 @@ s AS (SELECT c_custkey, b, list_sum(list_transform(range(1, 16), lambda i: CASE
 SELECT c_custkey, b || CAST((10 - t % 10) % 10 AS VARCHAR) AS number FROM s""")
 def card_luhn(spark, sf_dir):
     base = F.concat(F.lit("4"), F.lpad(F.pmod(F.col("c_custkey") * 7919 + 104729, F.lit(10**9)).cast("string"), 14, "3"))
-    each = table(spark, sf_dir, "customer").select("c_custkey", F.explode(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(base, d.cast("string")))).alias("number"))
+    each = _customers(spark, sf_dir).select("c_custkey", F.explode(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(base, d.cast("string")))).alias("number"))
     return each.where(ids.luhn("number"))
 
 

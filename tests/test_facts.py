@@ -92,13 +92,18 @@ def test_written_tables_can_be_released(spark):
     assert not os.path.exists(path)
 
 
-def test_ibans_against_plain_arithmetic(spark):
+def test_ibans_and_cards_against_plain_arithmetic(spark):
     g = random.Random(2)
     texts = ["".join(g.choice("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(g.choice((15, 22, 29, 34)))) for _ in range(3000)]
     texts += [f"{c}{d:02d}{'Z' * 14}{'9' * 16}"[: ids.IBAN_LENGTHS.get(c, 34)] for c in ("BR", "XX", "NO") for d in range(98)]
     want = {t for t in texts if len(t) == ids.IBAN_LENGTHS.get(t[:2], len(t)) and int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1}
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert {r.t for r in df.where(ids.iban("t")).collect()} == want and len(want) > 20
+    numbers = [f"{g.randrange(10**16):016d}" for _ in range(2000)] + ["0" * 16, "4" * 16, "8" * 16, "", "123", "4111111111111111"]
+    odd = lambda n: sum(int(c) if i % 2 else int(c) * 2 // 10 + int(c) * 2 % 10 for i, c in enumerate(n))
+    want = {n for n in numbers if len(n) == 16 and len(set(n)) > 1 and odd(n) % 10 == 0}
+    df = spark.createDataFrame([(n,) for n in numbers], "n string")
+    assert {r.n for r in df.where(ids.luhn("n")).collect()} == {r.n for r in df.where(ids.luhn("concat(n, '')")).collect()} == want
 
 
 def test_one_kind_of_identifier_is_looked_for_alone(spark):

@@ -50,7 +50,7 @@ def test_every_value_of_a_document_is_found(spark, tmp_path):
     assert queries.findings_grouped(spark, str(tmp_path)).agg({"n_findings": "max"}).first()[0] == 6
 
 
-@pytest.mark.parametrize("name", ["ibans_in_cells", "cpf_in_cells"])
+@pytest.mark.parametrize("name", ["ibans_in_cells", "card_luhn", "cpf_in_cells"])
 def test_a_narrow_file_is_dealt_over_the_cores(spark, name):
     """One small file is one task's to read; what its rows ask for is everyone's."""
     used = queries.QUERIES[name](spark, SF).groupBy(F.spark_partition_id()).count().collect()
