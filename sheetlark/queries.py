@@ -552,11 +552,12 @@ _EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value d
 _FAR = "TIMESTAMP '2100-01-01 00:00:00'"
 
 
-def _arrivals(spark, sf_dir, rows: DataFrame, parts: list, last: str) -> str:
-    """A folder to which ``rows`` have come in files, one after the other, and then one row that moves the clock on."""
+def _arrivals(spark, sf_dir, rows: DataFrame, parts: list, last: str, files: int = 1) -> str:
+    """A folder to which ``rows`` have come, a part after the other in ``files`` files each, and then one row that moves the clock on."""
     folder = f"{shared_folder(spark)}/arrivals-{uuid.uuid4().hex[:12]}"
     for part in parts:
-        rows.where(part).coalesce(1).write.mode("append").parquet(folder)
+        come = rows.where(part)
+        (come.coalesce(1) if files == 1 else come.repartition(files)).write.mode("append").parquet(folder)
     spark.sql(last).write.mode("append").parquet(folder)
     return folder
 
@@ -630,16 +631,17 @@ _RETURNED = "o_orderkey % 11 > 0"
 @query(f"""SELECT CAST(o_orderkey AS VARCHAR) AS key, CASE WHEN NOT ({_RETURNED}) THEN 'never_returned' WHEN o_orderkey % 13 = 5 THEN 'never_sent' WHEN o_orderkey % 7 = 0 THEN 'changed' ELSE 'unchanged' END AS outcome,
 CASE WHEN NOT ({_RETURNED}) OR o_orderkey % 13 <> 5 THEN CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) END AS old, CASE WHEN {_RETURNED} THEN CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) || CASE WHEN o_orderkey % 7 = 0 THEN '1' ELSE '' END END AS new FROM orders""")
 def versions_returned(spark, sf_dir):
-    """Orders sent and returned on one stream; the query stops after two files and goes on from its checkpoint."""
+    """Orders sent and returned on one stream; the query stops after three arrivals and goes on from its checkpoint."""
     k = F.col("o_orderkey")
     at = lambda seconds: F.timestamp_seconds(F.lit(1_704_067_200) + k % 3600 + seconds)
     orders = table(spark, sf_dir, "orders")
     sent = orders.where(f"NOT ({_RETURNED}) OR o_orderkey % 13 <> 5").select(k.cast("string").alias("key"), F.lit("sent").alias("side"), at(0).alias("time"), money("o_totalprice").alias("value"), (k % 2).alias("part"))
     back = orders.where(_RETURNED).select(k.cast("string").alias("key"), F.lit("returned").alias("side"), at(3600).alias("time"), F.concat(money("o_totalprice"), F.when(k % 7 == 0, "1").otherwise("")).alias("value"), (k % 2 + 1).alias("part"))
     rows = sent.unionByName(back)
-    folder = _arrivals(spark, sf_dir, rows, [F.col("part") == i for i in range(3)], f"SELECT CAST(NULL AS STRING) AS key, 'sent' AS side, {_FAR} AS time, '' AS value, 9L AS part LIMIT 0")
+    files = 4 * spark.sparkContext.defaultParallelism
+    folder = _arrivals(spark, sf_dir, rows, [F.col("part") == i for i in range(3)], f"SELECT CAST(NULL AS STRING) AS key, 'sent' AS side, {_FAR} AS time, '' AS value, 9L AS part LIMIT 0", files)
     out, state = f"{folder}-told", f"{folder}-state"
-    source = lambda name: events.stream(spark, name, "key string, side string, time timestamp, value string, part long")
+    source = lambda name: events.stream(spark, name, "key string, side string, time timestamp, value string, part long", files_per_trigger=files)
 
     def go() -> None:
         setting, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)

@@ -75,3 +75,74 @@ def test_versions_that_return(spark, tmp_path):
 def test_windows_hold_decimal_sums(spark):
     rows = spark.range(1000).select(F.col("id").alias("event_id"), F.lit(START).alias("ts"), F.lit(1).cast("long").alias("user_id"), F.lit("a").alias("event_type"), F.lit(0.1).alias("value"))
     assert str(events.windows(rows, "1 hour").first().total) == "100.00"
+
+
+class Store:
+    """The state of one bucket, and how often it was asked."""
+
+    def __init__(self):
+        self.value, self.timers, self.n = None, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def _said(self):
+        self.n += 1
+
+    def get(self):
+        self._said()
+        return self.value
+
+    def update(self, value):
+        self._said()
+        self.value = value
+
+    def clear(self):
+        self._said()
+        self.value = None
+
+    def registerTimer(self, at):
+        self._said()
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self._said()
+        self.timers.remove(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.mark
+
+
+def test_a_bucket_of_versions_takes_a_few_messages():
+    """However many keys it holds; the timer is the earliest of theirs."""
+    import pandas as pd
+
+    store, pairing, out = Store(), returns.Pairing(60), []
+    pairing.init(store)
+
+    def come(rows):
+        frame = pd.DataFrame(rows, columns=["key", "side", "at", "value"])
+        for pdf in pairing.handleInputRows((7,), iter([frame[: len(rows) // 2], frame[len(rows) // 2 :]]), store):
+            out.extend(pdf.itertuples(index=False, name=None))
+        return store.n
+
+    def passes(mark):
+        store.mark = mark
+        while due := [t for t in store.timers if t < mark]:
+            store.timers -= set(due)
+            for pdf in pairing.handleExpiredTimer((7,), store, None):
+                out.extend(pdf.itertuples(index=False, name=None))
+
+    assert come([(str(i), "sent", i * 1_000_000, "x") for i in range(1000)]) <= 4 and store.timers == {60_000}
+    assert come([(str(i), "returned", 2_000_000_000, "x" if i % 2 else "y") for i in range(0, 1000, 5)]) <= 8 and store.timers == {61_000}
+    assert sorted(out) == sorted((str(i), "unchanged" if i % 2 else "changed", "x", "x" if i % 2 else "y", 2_000_000_000) for i in range(0, 1000, 5))
+    out.clear()
+    passes(61_000)
+    assert not out and store.timers == {61_000}  # what is due then expires after it
+    passes(560_000)
+    assert sorted(out) == sorted((str(i), "never_returned", "x", None, i * 1_000_000) for i in range(500) if i % 5) and store.timers == {561_000}
+    out.clear()
+    come([("0", "returned", 2_000_000_001, "z")])
+    assert out == [("0", "again", "x", "z", 2_000_000_001)]
+    passes(10**10)
+    assert len(out) == 401 and store.value is None and not store.timers
