@@ -24,7 +24,8 @@ CAVEAT_USER = "O mesmo usuário do Windows nas duas versões é indício, não p
 
 
 def pairs(spark: SparkSession, *paths: tuple[str, str]) -> DataFrame:
-    return spark.createDataFrame([(f"{old} -> {new}", old, new) for old, new in paths], "pair_id string, old_path string, new_path string")
+    """A table of the given paths, broadcast in joins: facts of a few paths stay dealt out as they are."""
+    return F.broadcast(spark.createDataFrame([(f"{old} -> {new}", old, new) for old, new in paths], "pair_id string, old_path string, new_path string"))
 
 
 def sided(facts: DataFrame, pairs_: DataFrame) -> DataFrame:

@@ -187,3 +187,11 @@ def test_repeated_facts_and_null_keys(spark):
     new = spark.createDataFrame([("p", "cell", "S", "A1", None, None, None, "2", None), ("p", "cell", None, None, None, None, None, "y", None), ("p", "cell", "S", "A2", None, None, None, None, "B1")], schema)
     got = sorted(tuple(r) for r in compare.cells(old, new).select("category", F.coalesce("ref", F.lit("-")), F.coalesce("old", F.lit("-")), F.coalesce("new", F.lit("-"))).collect())
     assert got == [("formula_changed", "A2", "-", "B1"), ("value_changed", "-", "x", "y")]
+
+
+def test_facts_of_two_files_stay_on_all_cores(spark):
+    """Two paths are two keys: dealt out by path they would be two tasks' work."""
+    each = spark.range(0, 8000, 1, 8).selectExpr("IF(id % 2 = 0, 'old', 'new') AS path", "id")
+    met = compare.sided(each, compare.pairs(spark, ("old", "new")))
+    held = met.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(held) == 8 and {r["count"] for r in held} == {1000}
