@@ -179,9 +179,12 @@ def lost(facts: DataFrame) -> DataFrame:
 
 
 def readable(d: DataFrame, lost_: DataFrame) -> DataFrame:
-    """Differences without those that an unreadable part of one side would make look added or removed."""
-    whole = lost_.where("sheet = ''").select("pair_id", "kind")
-    one = lost_.where("sheet <> ''").withColumnRenamed("sheet", "lost_sheet")
+    """Differences without those that an unreadable part of one side would make look added or removed.
+
+    What is lost is a few rows per error and is broadcast; dealt out by pair and kind, all cells of a pair would be one task's.
+    """
+    whole = F.broadcast(lost_.where("sheet = ''").select("pair_id", "kind"))
+    one = F.broadcast(lost_.where("sheet <> ''").withColumnRenamed("sheet", "lost_sheet"))
     left = d.join(whole, ["pair_id", "kind"], "left_anti")
     return left.join(one, (left["pair_id"] == one["pair_id"]) & (left["kind"] == one["kind"]) & (left["sheet"] == one["lost_sheet"]), "left_anti")
 

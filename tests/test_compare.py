@@ -195,3 +195,10 @@ def test_facts_of_two_files_stay_on_all_cores(spark):
     met = compare.sided(each, compare.pairs(spark, ("old", "new")))
     held = met.groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert len(held) == 8 and {r["count"] for r in held} == {1000}
+
+
+def test_what_cannot_be_read_meets_cells_on_all_cores(spark):
+    cells = spark.range(0, 8000, 1, 8).selectExpr("'p' AS pair_id", "'cell' AS kind", "concat('s', id % 4) AS sheet", "id")
+    lost = spark.createDataFrame([("p", "cell", "s1"), ("p", "link", ""), ("q", "cell", "")], "pair_id string, kind string, sheet string")
+    held = compare.readable(cells, lost).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(held) == 8 and sum(r["count"] for r in held) == 6000
